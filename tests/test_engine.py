@@ -399,3 +399,73 @@ def test_caches(spark):
     assert rows(r.merged_cache(cache, fresh, F.lit("y")), "path", "content_hash", "cached_at") == [("a", 5, "x"), ("b", 7, "y"), ("c", 7, "y")]
     prints = r.fingerprint(spark.createDataFrame([(0, 1, "b", 1, 1), (0, 0, "a", 1, 1)], "job int, seq int, path string, length int, mtime int"))
     assert r.signature(prints, {"padding": 1}).first()["signature"] != r.signature(prints, {"padding": 2}).first()["signature"]
+
+
+def test_options():
+    from tessera import options as o
+
+    assert o.options().mode == "fast" and o.options("legacy").padding == 1 and o.options("desktop", preset="small").optimize == "space"
+    assert o.options("space", mode="fast").rotate and o.options(sort="stable:width").order == ("width", True)
+    half = o.options(source_resolution=(100, 200), target_resolution=(50, 50), scale=0.5)
+    assert half.whole_scale == 0.25 and o.options(source_resolution=(100, 200), target_resolution=(50, 50), resolution_reference="smallest").whole_scale == 0.25
+    mine = "[profile tiny]\n# x\nmax_width=8\nrotate=yes\n"
+    assert o.options("tiny", profiles=mine).max_width == 8
+    for wrong in ({"scale": 0}, {"scale": 2}, {"dedup_threshold": 65}, {"mode": "odd"}, {"source_resolution": (1, 1)}, {"sort": "odd"}):
+        with pytest.raises(ValueError):
+            o.options(**wrong)
+    for text in ("[profile a]\nnot an option\n", "x=1\n", "[profile a]\nodd=1\n"):
+        with pytest.raises(ValueError):
+            o.parse_profiles(text)
+    assert o.parse_colour("#f0f") == o.parse_colour("rgb(255, 0, 255)") == o.parse_colour("#FF00ff") == (255, 0, 255) and o.parse_colour("1,2,3,4") == (1, 2, 3, 4)
+    with pytest.raises(ValueError):
+        o.parse_colour("256,0,0")
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    top = tmp_path_factory.mktemp("images")
+    for job in ("walk", "run"):
+        (top / job).mkdir()
+        for i in range(4):
+            p = np.zeros((10, 12, 4), np.uint8)
+            p[2 : 6 + i % 3, 3:9] = picture(4 + i % 3, 6, i % 3)
+            (top / job / f"f_{i}.png").write_bytes(png.write_png(p))
+    return top
+
+
+@pytest.mark.parametrize("mode", ["fast", "compact", "pot", "grid"])
+def test_from_folder_to_documents(spark, folder, mode):
+    from tessera import api
+    from tessera.options import options
+
+    o = options(mode=mode, trim_transparent=mode != "grid", deduplicate="none" if mode == "grid" else "exact", max_width=64, max_height=64, padding=1)
+    found = api.layout(api.folder_sprites(spark, str(folder), o), o)
+    assert found["sprite"].count() == (8 if mode == "grid" else 6) and found["alias"].count() == (0 if mode == "grid" else 2)
+    assert r.overlaps(found["sprite"]).count() == 0 and r.out_of_bounds(found["sprite"], found["atlas"]).count() == 0
+    sheets = api.pack(found, images.images(spark, str(folder))).collect()
+    sizes = {x["job"]: (x["width"], x["height"]) for x in found["atlas"].collect()}
+    assert {x["job"]: png.png_size(bytes(x["content"])) for x in sheets} == sizes
+    if mode == "pot":
+        assert all(v & (v - 1) == 0 for wh in sizes.values() for v in wh)
+
+
+def test_conversion_with_auto_animations(spark):
+    from tessera import api
+
+    lines = texts.split_lines(spark.createDataFrame([("f", 'atlas 64,16\nsprite "f_10.png" 0,0 8,8\nsprite "f_2.png" 8,0 8,8\nsprite "x.png" 16,0 8,8\n')], "file string, value string"))
+    doc = json.loads(api.convert(lines, "json", auto=True).first()["content"])
+    assert [(a["name"], a["sprite_indexes"]) for a in doc["animations"]] == [("f", [0, 1])]
+    assert api.convert(lines, "unity.anim", auto=True).first()["name"] == "f.anim"
+
+
+def test_watching_a_folder(spark, folder, tmp_path):
+    from tessera import api
+    from tessera.options import options
+    from tessera.streaming.watch import newest, watch
+
+    watch(spark, str(folder), f"{tmp_path}/cache", f"{tmp_path}/state", trim=True).awaitTermination()
+    cache = newest(spark, f"{tmp_path}/cache")
+    assert cache.count() == 8
+    o = options(trim_transparent=True, deduplicate="exact")
+    files = images.images(spark, str(folder)).withColumn("job", F.lit(0).cast("long"))
+    assert rows(api.source_sprites(files, o, cache), "path", "w", "h", "content_hash") == rows(api.source_sprites(files, o), "path", "w", "h", "content_hash")
