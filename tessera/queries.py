@@ -353,8 +353,8 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.consecutive_runs(frames, ("user_id",))
 
 
-PIVOT = INDEXED + ", " + MARKER + """, own AS (SELECT job, sprite_index AS index, arg_min(x, marker.index) AS x, arg_min(y, marker.index) AS y FROM marker WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NOT NULL GROUP BY ALL),
-everywhere AS (SELECT job, arg_min(x, marker.index) AS x, arg_min(y, marker.index) AS y FROM marker WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NULL GROUP BY job),
+PIVOT = INDEXED + ", " + MARKER + """, own AS (SELECT job, sprite_index AS index, arg_min(x, row(marker.index, x, y)) AS x, arg_min(y, row(marker.index, x, y)) AS y FROM marker WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NOT NULL GROUP BY ALL),
+everywhere AS (SELECT job, arg_min(x, row(marker.index, x, y)) AS x, arg_min(y, row(marker.index, x, y)) AS y FROM marker WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NULL GROUP BY job),
 pivoted AS (SELECT i.*, coalesce(o.x, e.x, 0)::INT AS pivot_x, coalesce(o.y, e.y, 0)::INT AS pivot_y FROM indexed i LEFT JOIN own o USING (job, index) LEFT JOIN everywhere e USING (job))"""
 
 
@@ -482,13 +482,47 @@ b AS (SELECT job, string_agg(name || chr(10) || '  rotate: ' || rotated || chr(1
 SELECT job, 'atlas_0.png' || chr(10) || 'size: ' || aw || ',' || ah || chr(10) || 'format: RGBA8888' || chr(10) || 'filter: Nearest,Nearest' || chr(10) || 'repeat: none' || chr(10) || chr(10) || body AS content FROM b JOIN a USING (job)"""
 
 
+DOC = INDEXED + ", " + MARKER + f""", mark AS (SELECT * FROM marker WHERE index % 40 = 1), size AS (SELECT job, max(x + w) AS aw, max(y + h) AS ah FROM placed GROUP BY job),
+own AS (SELECT job, sprite_index AS index, arg_min(x, row(mark.index, x, y)) AS x, arg_min(y, row(mark.index, x, y)) AS y FROM mark WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NOT NULL GROUP BY ALL),
+everywhere AS (SELECT job, arg_min(x, row(mark.index, x, y)) AS x, arg_min(y, row(mark.index, x, y)) AS y FROM mark WHERE name = 'pivot' AND type = 'point' AND sprite_index IS NULL GROUP BY job),
+sp AS (SELECT i.*, coalesce(o.x, e.x, 0) AS px, coalesce(o.y, e.y, 0) AS py, CASE WHEN rotated THEN h ELSE i.w END AS cw, CASE WHEN rotated THEN i.w ELSE h END AS ch, CASE WHEN rotated THEN '90' ELSE '0' END AS turn, trim_left + trim_top + trim_right > 0 AS has_trim
+  FROM indexed i LEFT JOIN own o USING (job, index) LEFT JOIN everywhere e USING (job)),
+mk AS (SELECT m.*, CASE WHEN type = 'circle' THEN 3 END AS radius, coalesce(i.name, '') AS sname, coalesce(i.path, '') AS spath FROM mark m LEFT JOIN indexed i ON i.job = m.job AND i.index = m.sprite_index),
+g AS (SELECT job, index, name AS sname, regexp_replace(name, '^[a-z]+ ', '') AS name FROM indexed),
+frame AS (SELECT job, {BASE} AS name, index, sname FROM g WHERE {BASE} <> ''),
+anim AS (SELECT job, name, rank() OVER (PARTITION BY job ORDER BY name) AS index, list(index ORDER BY index) AS frames, list(sname ORDER BY index) AS names FROM frame GROUP BY job, name HAVING count(*) > 1)"""
+
+RENDER_SQL = {
+    "css": CSS_SQL,
+    "libgdx": GDX_SQL,
+    "plist": f"""WITH {DOC}, b AS (SELECT job, string_agg(concat('\t\t<key>', name, '</key>\n\t\t<dict>\n\t\t\t<key>frame</key>\n\t\t\t<string>{{', x, ',', y, '}},{{', w, ',', h, '}}</string>\n\t\t\t<key>offset</key>\n\t\t\t<string>{{', floor((trim_left - trim_right) / 2)::INT, ',', floor((trim_bottom - trim_top) / 2)::INT,
+  '}}</string>\n\t\t\t<key>rotated</key>\n\t\t\t', CASE WHEN rotated THEN '<true/>' ELSE '<false/>' END, '\n\t\t\t<key>sourceColorRect</key>\n\t\t\t<string>{{', trim_left, ',', trim_top, '}},{{', cw, ',', ch, '}}</string>\n\t\t\t<key>sourceSize</key>\n\t\t\t<string>{{', cw + trim_left + trim_right, ',', ch + trim_top, '}}</string>\n\t\t</dict>\n'), '' ORDER BY index) AS body FROM sp GROUP BY job)
+SELECT job, concat('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE plist PUBLIC "-//Apple//DTD PLIST 1.0//EN" "http://www.apple.com/DTDs/PropertyList-1.0.dtd">\n<plist version="1.0">\n<dict>\n\t<key>frames</key>\n\t<dict>\n\n', body, '\t</dict>\n\t<key>metadata</key>\n\t<dict>\n\t\t<key>format</key>\n\t\t<integer>2</integer>\n\t\t<key>realTextureFileName</key>\n\t\t<string>atlas_0.png</string>\n\t\t<key>size</key>\n\t\t<string>{{', aw, ',', ah, '}}</string>\n\t\t<key>textureFileName</key>\n\t\t<string>atlas_0.png</string>\n\t</dict>\n</dict>\n</plist>\n') AS content FROM b JOIN size USING (job)""",
+    "phaser-anims": f"""WITH {DOC}, b AS (SELECT job, string_agg(concat('{{"frameRate":8,"frames":[', array_to_string(['{{"frame":"' || n || '","key":"atlas_0"}}' FOR n IN names], ','), '],"key":"', name, '","repeat":-1}}'), ',' ORDER BY index) AS body FROM anim GROUP BY job)
+SELECT job, concat('{{"anims":[', coalesce(body, ''), ']}}') AS content FROM size LEFT JOIN b USING (job)""",
+    "aseprite": f"""WITH {DOC}, b AS (SELECT job, string_agg(concat('{{"duration":100,"filename":"', name, '","frame":{{"h":', h, ',"w":', w, ',"x":', x, ',"y":', y, '}},"rotated":', rotated, ',"sourceSize":{{"h":', ch + trim_top, ',"w":', cw + trim_left + trim_right, '}},"spriteSourceSize":{{"h":', ch, ',"w":', cw, ',"x":', trim_left, ',"y":', trim_top, '}},"trimmed":', has_trim, '}}'), ',' ORDER BY index) AS body FROM sp GROUP BY job),
+f AS (SELECT job, name, index AS a, unnest(frames) AS v FROM anim), n AS (SELECT *, coalesce((v <> lag(v) OVER w + 1)::INT, 0) AS brk FROM f WINDOW w AS (PARTITION BY job, a ORDER BY v)), r AS (SELECT *, sum(brk) OVER (PARTITION BY job, a ORDER BY v) AS run FROM n),
+tag AS (SELECT job, a, name, run, min(v) AS lo, max(v) AS hi FROM r GROUP BY ALL), t AS (SELECT job, string_agg(concat('{{"direction":"forward","from":', lo, ',"name":"', name, '","to":', hi, '}}'), ',' ORDER BY a, run) AS tags FROM tag GROUP BY job)
+SELECT job, concat('{{"frames":[', body, '],"meta":{{"app":"https://www.aseprite.org/","format":"RGBA8888","frameTags":[', coalesce(tags, ''), '],"image":"atlas_0.png","layers":[],"scale":"1","size":{{"h":', ah, ',"w":', aw, '}},"slices":[],"version":"1.3"}}}}') AS content FROM b JOIN size USING (job) LEFT JOIN t USING (job)""",
+    "csv": f"""WITH {DOC}, mj AS (SELECT job, sprite_index AS index, count(*) AS n, string_agg(concat('{{"name":"', name, '","type":"', type, '","x":', x, ',"y":', y, CASE WHEN type = 'circle' THEN ',"radius":3' ELSE '' END, '}}'), ',' ORDER BY mk.index, name, type, x, y) AS js FROM mk WHERE sprite_index IS NOT NULL GROUP BY ALL),
+b AS (SELECT job, string_agg(concat(index, ',', name, ',', path, ',0,atlas_0.png,', x, ',', y, ',', w, ',', h, ',', px, ',', py, ',', trim_left, ',', trim_top, ',', trim_right, ',0,', coalesce(n, 0), ',', CASE WHEN js IS NULL THEN '[]' ELSE concat('"', replace(concat('[', js, ']'), '"', '""'), '"') END, ',', turn, '\n'), '' ORDER BY index) AS body FROM sp LEFT JOIN mj USING (job, index) GROUP BY job),
+m AS (SELECT job, string_agg(concat('marker,', index, ',', name, ',', type, ',', x, ',', y, ',', coalesce(radius::VARCHAR, ''), ',,,,', coalesce(sprite_index, -1), ',', sname, ',', spath, '\n'), '' ORDER BY index, name, type, x, y, sprite_index) AS marks FROM mk GROUP BY job),
+a AS (SELECT job, string_agg(concat('animation,', index, ',', name, ',8,', array_to_string(frames, '|'), '\n'), '' ORDER BY index) AS anims FROM anim GROUP BY job)
+SELECT job, concat('{{CSV_HEAD}}', body, coalesce(marks, ''), coalesce(anims, '')) AS content FROM b LEFT JOIN m USING (job) LEFT JOIN a USING (job)""".replace("{CSV_HEAD}", d.CSV_HEAD),
+    "xml": f"""WITH {DOC}, mx AS (SELECT job, sprite_index AS index, count(*) AS n, string_agg(concat('<marker name="', name, '" type="', type, '" x="', x, '" y="', y, CASE WHEN type = 'circle' THEN '" radius="3' ELSE '' END, '" />'), '\n    ' ORDER BY mk.index, name, type, x, y) AS ms FROM mk WHERE sprite_index IS NOT NULL GROUP BY ALL),
+b AS (SELECT job, string_agg(concat('<sprite index="', index, '" name="', name, '" path="', path, '" x="', x, '" y="', y, '" w="', w, '" h="', h, '" pivot_x="', px, '" pivot_y="', py, '" trim_left="', trim_left, '" trim_top="', trim_top, '" trim_right="', trim_right, '" trim_bottom="0" marker_count="', coalesce(n, 0), '" rotation="', turn, '">', CASE WHEN ms IS NULL THEN '' ELSE concat('\n  <markers>\n    ', ms, '\n  </markers>\n') END, '</sprite>'), '\n        ' ORDER BY index) AS body FROM sp LEFT JOIN mx USING (job, index) GROUP BY job),
+a AS (SELECT job, string_agg(concat('    <animation index="', index, '" name="', name, '" fps="8" sprite_indexes="', array_to_string(frames, ','), '" />'), '\n' ORDER BY index) AS anims FROM anim GROUP BY job)
+SELECT job, concat('<?xml version="1.0" encoding="UTF-8"?>\n<layout multipack="false" scale="1" extrude="0">\n  <atlases>\n    <atlas index="0" width="', aw, '" height="', ah, '" path="atlas_0.png">\n      <sprites>\n        ', body, '\n      </sprites>\n    </atlas>\n  </atlases>\n', CASE WHEN anims IS NULL THEN '' ELSE concat('  <animations>\n', anims, '\n  </animations>\n') END, '</layout>\n') AS content FROM b JOIN size USING (job) LEFT JOIN a USING (job)""",
+}
+
+
 def _renderings() -> None:
     for kind in d.RENDERINGS:
 
         def run(spark: SparkSession, sf_dir: str, kind: str = kind) -> DataFrame:
             return d.rendered(docs(spark, sf_dir), kind)
 
-        query({"css": CSS_SQL, "libgdx": GDX_SQL}.get(kind), f"render_{kind.replace('-', '_').replace('.', '_')}")(run)
+        query(RENDER_SQL.get(kind), f"render_{kind.replace('-', '_').replace('.', '_')}")(run)
 
 
 _renderings()
