@@ -28,9 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session leaves it at Spark's 64 MB:
+#: a batch stands in the worker several times over, as Arrow, as Python objects and as results.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to send long rows to Python workers in small batches."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY).rstrip("b") == str(BATCH_DEFAULT):
+        conf.set(BATCH_KEY, str(BATCH))
+    return df
+
+
 def text_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; whatever other columns docs has are left behind."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def map_texts(docs: DataFrame, each_batch: Callable[[list, list], dict], schema: str, out: pa.Schema, setup: Callable | None = None) -> DataFrame:
@@ -46,4 +59,4 @@ def map_texts(docs: DataFrame, each_batch: Callable[[list, list], dict], schema:
             columns = each_batch(ids, texts, *extra)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
