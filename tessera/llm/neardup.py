@@ -23,18 +23,20 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, table, text_frame
 
 WORDS = 5
 REGISTERS, MANTISSA, EMPTY = 256, 10, 0xFFFF
+HELD = 1024  #: bits of the map of hashes in the marks
 BANDS, ROWS = 42, 6
 CACHED = 500_000
 #: A side with at most so many ids is broadcast; beyond, it is joined by a shuffle.
@@ -88,6 +90,14 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return registers
 
 
+def marks(found: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    """Longs: four say which buckets are filled, four have the last bit of their registers, the rest a bit for each value of some bits of the hashes."""
+    filled, held = np.zeros(REGISTERS, np.uint8), np.zeros(HELD, np.uint8)
+    filled[(found & np.uint64(REGISTERS - 1)).astype(np.int64)] = 1
+    held[(found >> np.uint64(40)).astype(np.int64) % HELD] = 1
+    return np.packbits(np.concatenate((filled, (registers & 1).astype(np.uint8) & filled, held))).view(np.int64)
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     rows = registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     total = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))[None, :].repeat(len(rows), axis=0)
@@ -108,10 +118,10 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that name the set) and registers of every row of a text_frame."""
+    """doc_id, n_shingles, set_a and set_b (128 bits that name the set), registers and marks of every row of a text_frame."""
 
     def each(ids: list, texts: list[bytes], hashes: WordHashes) -> dict:
-        out: dict = {k: [] for k in ("doc_id", "n_shingles", "set_a", "set_b", "registers")}
+        out: dict = {k: [] for k in ("doc_id", "n_shingles", "set_a", "set_b", "registers", "marks")}
         for doc_id, text in zip(ids, texts, strict=True):
             found = shingles(text, hashes)
             name = xxhash.xxh3_128_intdigest(found.tobytes())
@@ -119,11 +129,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             out["n_shingles"].append(len(found))
             out["set_a"].append((name >> 64) - (1 << 63))
             out["set_b"].append((name & (1 << 64) - 1) - (1 << 63))
-            out["registers"].append(sketch(found).tobytes() if len(found) else None)
+            registers = sketch(found) if len(found) else None
+            out["registers"].append(None if registers is None else registers.tobytes())
+            out["marks"].append(None if registers is None else marks(found, registers))
         return out
 
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())]
-    return map_texts(docs, each, "doc_id long, n_shingles long, set_a long, set_b long, registers binary", pa.schema(fields), WordHashes)
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary()), ("marks", pa.list_(pa.int64()))]
+    return map_texts(docs, each, "doc_id long, n_shingles long, set_a long, set_b long, registers binary, marks array<long>", pa.schema(fields), WordHashes)
 
 
 def bands():  # noqa: ANN201
@@ -150,6 +162,24 @@ def possible(percent: int):  # noqa: ANN201
     return test
 
 
+def alike(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """Whether two rows of marks leave the similarity possible; part of the join, so that pairs that can't be similar are never made.
+
+    Each bit in which the maps of hashes differ stands for a shingle of one set only, and similar
+    sets have at most (1 - t) / (1 + t) of their sizes' sum of these; this never fails.  Of the
+    buckets filled in either, those filled in one only differ, and of those filled in both a
+    differing register shows in its last bit half of the time, so those count twice; here five
+    standard deviations are allowed for.
+    """
+    total = lambda f, words: reduce(lambda p, q: p + q, [F.bit_count(f(k)) for k in words])
+    either = total(lambda k: a[k].bitwiseOR(b[k]), range(4))
+    one = total(lambda k: a[k].bitwiseXOR(b[k]), range(4))
+    both = total(lambda k: a[k].bitwiseXOR(b[k]).bitwiseAND(a[k - 4].bitwiseAND(b[k - 4])), range(4, 8))
+    apart = total(lambda k: a[k].bitwiseXOR(b[k]), range(8, 8 + HELD // 64))
+    t = percent / 100
+    return (apart * (100 + percent) <= (size_a + size_b) * (100 - percent)) & (one + 2 * both <= (1 - t) * either + 5 * F.sqrt(either * (t * (1 - t) + 1 - t)))
+
+
 def confirmed(percent: int):  # noqa: ANN201
     """Whether 100 * intersection >= percent * union on the full sets; rows come sorted by the second text."""
 
@@ -209,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     docs = text_frame(docs, id_col, text_col)
     made = cut(sketches(docs))
     name = ["set_a", "set_b"]
-    classes = cut(made.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
+    classes = cut(made.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("marks").alias("marks")))
     banded = classes.select("class", F.explode(bands()("registers")).alias("bucket"))
 
     hubs = banded.groupBy("bucket").agg(F.min("class").alias("b"), F.max("class").alias("_most")).where("b < _most").select("bucket", "b")
@@ -222,9 +252,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     own = F.coalesce("component", "class")
     placed = banded.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", own.alias("component"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
-    members = cut(placed.join(mixed_buckets, "bucket").join(classes.select("class", "n_shingles"), "class"))
+    members = cut(placed.join(mixed_buckets, "bucket").join(classes.select("class", "n_shingles", "marks"), "class"))
     x, y = members.alias("x"), members.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"))
+    sized = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
+    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & sized & alike(F.col("x.marks"), F.col("y.marks"), F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
     rest = across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(rest, classes, docs, percent)
     if more.limit(1).count():
