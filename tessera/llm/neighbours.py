@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAF = 48
+LEAF = 256
 NOTHING = np.iinfo(np.int64).max
 
 
@@ -54,6 +54,7 @@ class Tree:
         """Scores and ids of the k best for each query but its own; the places left over hold -inf."""
         self.own, self.q, self.k, self.factor = own, queries, k, factor
         self.base = np.einsum("nd,nd->n", queries, queries) + self.most  # a squared distance is this less twice the inner product
+        self.size = 1 + float(np.abs(self.base).max())
         self.best = np.full((len(queries), k), -np.inf)
         self.names = np.full((len(queries), k), NOTHING)
         self.visit(self.root, np.arange(len(queries)))
@@ -79,18 +80,34 @@ class Tree:
                     self.visit(branch, at[chosen][least * self.factor <= reach + 1e-9])
 
     def scan(self, rows: np.ndarray, at: np.ndarray) -> None:
+        """Look at a leaf's rows for some queries.
+
+        A fast product says, but for rounding, which rows can be among a query's best; only these
+        are scored exactly.
+        """
+        rough, near = self.q[at] @ self.x[rows].T, 1e-9 * self.size
+        rough[self.own[at][:, None] == self.ids[rows][None, :]] = -np.inf
+        least = self.best[at, -1]
+        if len(rows) > self.k:
+            least = np.maximum(least, np.partition(rough, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+        many = (rough >= (least - near)[:, None]).sum(axis=1)
+        # Many may tie for the last places, as copies do; such queries look at the whole leaf.
+        crowded = many > 2 * self.k
+        for group, width in ((~crowded & (many > 0), int(many[~crowded].max(initial=0))), (crowded, len(rows))):
+            if group.any():
+                chosen = np.argpartition(-rough[group], width - 1, axis=1)[:, :width]
+                self.merge(at[group], rows[chosen])
+
+    def merge(self, at: np.ndarray, rows: np.ndarray) -> None:
         # einsum adds up each pair alike wherever it stands, so that equal vectors tie exactly.
-        scores = np.einsum("qd,xd->qx", self.q[at], self.x[rows])
-        scores[self.own[at][:, None] == self.ids[rows][None, :]] = -np.inf
-        better = scores.max(axis=1) >= self.best[at, -1]
-        at, scores = at[better], scores[better]
-        if len(at):
-            all_scores = np.hstack((self.best[at], scores))
-            all_ids = np.hstack((self.names[at], np.broadcast_to(self.ids[rows], scores.shape)))
-            all_ids = np.where(np.isneginf(all_scores), NOTHING, all_ids)
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-            self.best[at] = np.take_along_axis(all_scores, order, axis=1)
-            self.names[at] = np.take_along_axis(all_ids, order, axis=1)
+        scores = np.einsum("qd,qmd->qm", self.q[at], self.x[rows])
+        ids = self.ids[rows]
+        scores[self.own[at][:, None] == ids] = -np.inf
+        scores, ids = np.hstack((self.best[at], scores)), np.hstack((self.names[at], ids))
+        ids[np.isneginf(scores)] = NOTHING
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        self.best[at] = np.take_along_axis(scores, order, axis=1)
+        self.names[at] = np.take_along_axis(ids, order, axis=1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -100,7 +117,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(~odd, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("vector"))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 4.0, shard_rows: int = 2048, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 4.0, shard_rows: int = 16384, block_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each row whose id is divisible by `every`."""
     rows = usable(vectors, id_col, vector_col)
     is_query = F.col("vec_id") % every == 0
