@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, table, text_frame
 
-CACHED = 300_000
+CACHED = 700_000
 PAIRS = 2_000_000
 
 
@@ -127,21 +127,23 @@ class ByteBPE:
 
 
 class PieceIds(dict):
-    """ids of pieces of text, as a tuple and as text, for most pieces recur."""
+    """ids of pieces of text, as the bytes of small numbers, for most pieces recur."""
 
     def __init__(self, bpe: ByteBPE) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.kind = bpe, "<u2" if max(bpe.tokens) < 1 << 16 else "<u4"
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.bpe.encode(piece.encode()))
-        found = ids, " ".join(map(str, ids))
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self.bpe.encode(piece.encode()), dtype=self.kind).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHED:
                 self.clear()
             self[piece] = found
         return found
 
+    def ids(self, pieces: list[str]) -> list[int]:
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), self.kind).tolist()
+
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens and the digests of ids and of the decoded bytes per document; with keep_ids the ids and bytes too."""
@@ -150,18 +152,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         import regex
 
         bpe = ByteBPE(read_ranks(ranks_path))
-        return bpe, PieceIds(bpe), regex.compile(pattern).findall
+        return bpe, PieceIds(bpe), regex.compile(pattern).findall, {i: str(i) for i in bpe.tokens}
 
     def each(doc_ids: list, texts: list[bytes], tools: tuple) -> dict:
-        bpe, cache, split = tools
+        bpe, cache, split, shown = tools
         out: dict = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for doc_id, text in zip(doc_ids, texts, strict=True):
-            found = list(map(cache.__getitem__, split(text.decode())))
-            ids = list(chain.from_iterable([x[0] for x in found]))
+            ids = cache.ids(split(text.decode()))
             decoded = bpe.decode(ids)
             out["doc_id"].append(doc_id)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
             if keep_ids:
                 out["ids"].append(ids)
