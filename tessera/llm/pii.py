@@ -154,7 +154,7 @@ def sample_texts(size: int = SAMPLE, seed: int = 3) -> list[tuple[str, list[tupl
         make, words = true[kind] if kind else r.choice(false)
         value, before = make(), " ".join(r.choices(filler, k=r.randint(0, 8))) + " " + r.choice(words)
         head = before.strip() + r.choice([" ", ": ", " is "]) if before.strip() else ""
-        out.append((head + value + r.choice([" ", ". ", ", ", ""]) + " ".join(r.choices(filler, k=r.randint(0, 6))), [(kind, len(head), len(head) + len(value))] if kind else []))
+        out.append((head + value + r.choice([" ", ". ", ", "]) + " ".join(r.choices(filler, k=r.randint(0, 6))), [(kind, len(head), len(head) + len(value))] if kind else []))
     return out
 
 
@@ -218,7 +218,7 @@ def _learnt(key: tuple) -> tuple[str, tuple[float, ...]]:
         mine = x[~fit][:, 0] == k
         s, t = score[mine], y[~fit][mine]
         good = [c for c in np.unique(s) if t[s >= c].mean() >= 0.98]
-        cuts.append(float(min(good)) if good else float("inf"))
+        cuts.append(float(min(good)) - 1e-3 if good else float("inf"))  # the expression rounds its numbers
     return " + ".join(f"({sql_of(t, rate)})" for t in trees), tuple(cuts)
 
 

@@ -46,7 +46,7 @@ def test_trigram_queries_hold_for_what_matches():
     rng = random.Random(1)
     assert secrets.trigram_query("[0-9a-f]{16,}") is True
     assert secrets.trigram_query("abc") == b"abc"
-    assert secrets.trigram_query("x?abcd*") == b"abc"
+    assert b"abc" in secrets.mentioned(secrets.trigram_query("x?abcd*"))
     pattern = "(?:foo|bar(?:baz)?)[xy]=[0-9]+"
     query = secrets.trigram_query(pattern)
     grams = sorted(secrets.mentioned(query))
