@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +48,12 @@ def text_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system, for a Python worker outlives its tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(docs: DataFrame, each_batch: Callable[[list, list], dict], schema: str, out: pa.Schema, setup: Callable | None = None) -> DataFrame:
     """Apply each_batch(ids, utf-8 texts[, what setup returned]) to every Arrow batch of a text_frame."""
 
@@ -58,5 +66,8 @@ def map_texts(docs: DataFrame, each_batch: Callable[[list, list], dict], schema:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             columns = each_batch(ids, texts, *extra)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+            del ids, texts, columns
+        del extra
+        trim()
 
     return small_batches(docs).mapInArrow(run, schema)

@@ -38,7 +38,7 @@ WORDS = 5
 REGISTERS, MANTISSA, EMPTY = 256, 10, 0xFFFF
 HELD = 1024  #: bits of the map of hashes in the marks
 BANDS, ROWS = 42, 6
-CACHED = 500_000
+CACHED = 150_000
 #: A side with at most so many ids is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

@@ -30,7 +30,7 @@ from .common import cut, map_texts, table, text_frame
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 600_000
+CACHED = 300_000
 PUNCTUATION = b".,;:!?*#%&$"
 
 
