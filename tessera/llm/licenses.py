@@ -1,9 +1,10 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 Terms of the templates are weighed by how many documents of the whole corpus hold them (one
-aggregate, as many rows as the templates have terms).  Every line of a text that holds a rare
-template term is compared, as is every block of such neighbouring lines and the whole text, so
-notices are found wherever they stand.  A text that is itself like a template, or has a licence
+aggregate, as many rows as the templates have terms); a common notice's own words keep the weight of
+words that one document in twenty holds.  Every line of a text is compared, as are blocks of
+neighbouring lines and the whole text, so notices are found wherever they stand and however common
+they are; only what an upper bound of its cosine rules out is left out.  A text that is itself like a template, or has a licence
 file's name, is a licence file, and covers its directory and all below that have none of their own:
 directories are joined with their ancestors that hold a licence file and the deepest one wins.  The
 joins are on distinct directories; only ids and paths take part, never texts.
@@ -63,7 +64,10 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 NOTICE, FILE = 0.7, 0.45  #: least cosines of a notice and of a licence file
-RARE = 0.05  #: a term in at most this share of documents can mark a line
+RARE = 0.05  #: terms but for function words weigh as if at most this share of documents held them
+MOSTLY = 0.5  #: least upper bound of the cosines of the lines of a block
+#: Function words of the templates; they mark no line.
+STOP = frozenset("all and any are as at by can either except following for from has in into is it later may no not of on or that the this to under with without you".split())
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
 WORD = re.compile(rb"[a-z0-9]+")
 
@@ -86,21 +90,24 @@ class Matcher:
         lists = [Counter(terms(t)) for texts in templates.values() for t in texts]
         self.vocabulary = {w: k for k, w in enumerate(sorted(set().union(*lists)))}
         self.unknown = math.log(total + 1) + 1
-        self.idf = np.array([math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in self.vocabulary])
+        own = {w for w in self.vocabulary if len(w) > 1 and w not in STOP}
+        held = {w: min(counts.get(w, 0), max(1, RARE * total)) if w in own else counts.get(w, 0) for w in self.vocabulary}
+        self.idf = np.array([math.log((total + 1) / (held[w] + 1)) + 1 for w in self.vocabulary])
         weights = np.zeros((len(lists), len(self.vocabulary)))
         for row, words in zip(weights, lists, strict=True):
             for w, n in words.items():
                 row[self.vocabulary[w]] = n * self.idf[self.vocabulary[w]]
         self.weights = weights / np.linalg.norm(weights, axis=1, keepdims=True)
-        rare = [w for w in self.vocabulary if counts.get(w, 0) <= max(1, RARE * total) and len(w) > 1]
-        self.rare = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(w.encode()) for w in rare) + rb")(?![a-z0-9])") if rare else None
+        self.places = {w.encode(): k for w, k in self.vocabulary.items()}
+        self.squares = {w: float(self.idf[k]) ** 2 for w, k in self.places.items()}
+        self.own = frozenset(w.encode() for w in own)
+        self.rare = frozenset(w.encode() for w in self.vocabulary if len(w) > 1 and counts.get(w, 0) <= max(1, RARE * total))
 
-    def best(self, words: list[str]) -> tuple[float, int]:
-        """The greatest cosine of a text to a template, and that template."""
-        counted = Counter(words)
+    def best(self, counted: Counter) -> tuple[float, int]:
+        """The greatest cosine of a text's words to a template, and that template."""
         x, rest = np.zeros(len(self.vocabulary)), 0.0
         for w, n in counted.items():
-            k = self.vocabulary.get(w)
+            k = self.places.get(w)
             if k is None:
                 rest += (n * self.unknown) ** 2
             else:
@@ -110,26 +117,52 @@ class Matcher:
         k = int(cosines.argmax())
         return round(float(cosines[k]), 9), k
 
+    def bound(self, counted: Counter) -> float:
+        """What no cosine to a template exceeds: the share of the templates' terms in the length of the vector."""
+        known = every = 0.0
+        for w, n in counted.items():
+            square = self.squares.get(w)
+            if square is None:
+                every += (n * self.unknown) ** 2
+            else:
+                known += n * n * square
+        return math.sqrt(known / (known + every)) if known else 0.0
+
     def scan(self, text: bytes) -> tuple[str | None, float, int | None, float]:
         """Licence, its similarity and line, and the similarity of the whole text."""
-        low = text.lower()
-        if self.rare is None or not self.rare.search(low):
-            return None, 0.0, None, 0.0
-        marked = [n for n, x in enumerate(low.split(b"\n")) if self.rare.search(x)]
-        lines = low.split(b"\n")
-        blocks, start = [(n, n) for n in marked], 0
-        for k in range(1, len(marked) + 1):
-            if k == len(marked) or marked[k] != marked[k - 1] + 1:
-                if k - start > 1:
-                    blocks.append((marked[start], marked[k - 1]))
-                start = k
-        split = lambda x: [w.decode() for w in WORD.findall(x)]
-        scored = [(*self.best(split(b"\n".join(lines[a : b + 1]))), a) for a, b in blocks]
-        score, k, line = max(scored, key=lambda s: (s[0], -s[2]))
-        whole, j = self.best(split(low))
+        lines = [Counter(WORD.findall(x)) for x in text.lower().split(b"\n")]
+        every = lines[0] if len(lines) == 1 else Counter()
+        if len(lines) > 1:
+            for counted in lines:
+                every.update(counted)
+        whole, j = self.best(every)
+        need = (whole if whole >= FILE else NOTICE) - 1e-6  # what stays below changes no result
+        bounds = [self.bound(counted) for counted in lines]
+        candidates = [(n, counted) for n, (counted, most) in enumerate(zip(lines, bounds, strict=True)) if most >= need]
+        blocks = set()
+        for marked in (
+            [n for n, counted in enumerate(lines) if bounds[n] and not self.own.isdisjoint(counted)],
+            [n for n, counted in enumerate(lines) if bounds[n] and not self.rare.isdisjoint(counted)],
+            [n for n, most in enumerate(bounds) if most >= MOSTLY],
+        ):
+            start = 0
+            for k in range(1, len(marked) + 1):
+                if k == len(marked) or marked[k] != marked[k - 1] + 1:
+                    if k - start > 1:
+                        blocks.add((marked[start], marked[k - 1]))
+                    start = k
+        for a, b in sorted(blocks):
+            counted = Counter()
+            for part in lines[a : b + 1]:
+                counted.update(part)
+            if self.bound(counted) >= need:
+                candidates.append((a, counted))
+        score, k, line = max(((*self.best(counted), a) for a, counted in candidates), key=lambda s: (s[0], -s[2]), default=(whole, j, 0))
         if whole > score:
             score, k, line = whole, j, 0
-        return (self.names[k] if score >= NOTICE or whole >= FILE else None), score, line, whole
+        if score >= NOTICE or whole >= FILE:
+            return self.names[k], score, line, whole
+        return None, 0.0, None, whole
 
 
 def scan(docs: DataFrame, path: Column, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -241,6 +241,17 @@ def test_every_template_is_its_own_best_match():
     assert matcher.scan(b"")[0] is None and matcher.scan("für die the of 日本".encode())[0] is None
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_common_notices_are_found(spark, every):
+    """A notice in all or a third of the rows, on a line of its own, behind other words, or over two lines between prose."""
+    notices = ["Released under the MIT License.", "prose here\n# demo: Released under the MIT License.", "the public work of words\nReleased under the\nMIT License.\na file of other words"]
+    made = [(i, f"d{i}/x.txt", f"some words w{i} of the text\n" + (notices[i // every % 3] if i % every == 0 else "and nothing else")) for i in range(90)]
+    made += [(1000, "g/y.txt", "int y;"), (1001, "e/LICENSE", "Released under the MIT License."), (1002, "e/f/y.txt", "int y;")]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.scan(spark.createDataFrame(made, "doc_id long, path string, text string"), F.col("path")).collect()}
+    want = {i: ("MIT", "own") if i % every == 0 else (None, "none") for i in range(90)}
+    assert got == want | {1000: (None, "none"), 1001: ("MIT", "own"), 1002: ("MIT", "inherited")}
+
+
 def test_licences_of_odd_rows(docs, awkward):
     out = licenses.scan(docs, F.col("path"))
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in awkward)
