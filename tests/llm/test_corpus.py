@@ -296,6 +296,23 @@ def test_pipeline_stage_by_stage(spark, corpus, judged, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == set(personal) and packed.columns == packing.COLUMNS
 
 
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark, tmp_path):
+    """Copies with three to seven scattered words changed: similarities on either side of 0.80, some between it and 0.85."""
+    made = []
+    for i in range(25):
+        base = [f"w{i}_{k}" for k in range(250)]
+        copy = list(base)
+        for k in range(3 + i % 5):
+            copy[20 + 30 * k] = f"changed{i}_{k}"
+        made += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    sets = {i: shingle_set(t) for i, t in made}
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 50, 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) >= 5 and min(alike) < 0.8
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, _, c in brute_components(made, 80) if i == c}
+
+
 def test_pipeline_run_is_its_stages(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
 
