@@ -196,6 +196,23 @@ def test_toxicity_training_is_bounded_and_blind(judged):
     assert not held & set(texts)
 
 
+def test_all_of_a_run_without_spaces_is_seen():
+    """Toxic words far into runs of letters and of Chinese characters; texts of either class begin alike."""
+    rng = np.random.default_rng(8)
+    for signs, bad in (("abcdefghijklmnop", "scoundrel"), ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "混蛋坏人")):
+        made = []
+        for i in range(400):
+            run = "".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(40, 90)))
+            at = int(rng.integers(30, len(run)))
+            made.append(run[:at] + bad + run[at:] if i % 4 == 0 else run)
+        labels = [int(i % 4 == 0) for i in range(400)]
+        model = toxicity.fit(made[:300], labels[:300])
+        got = toxicity.scores(model, [t.encode() for t in made[300:]]) >= toxicity.CUT
+        assert (got == np.array(labels[300:])).mean() >= 0.9
+    words = toxicity.Words([b"x" * n for n in (24, 25, 36, 37, 1000)])
+    assert words.counts.tolist() == [1, 2, 2, 3, 83]
+
+
 def test_toxicity_of_odd_rows(judged, docs, no_docs, awkward):
     labelled, labels = judged
     model = toxicity.fit(*toxicity.training_sample(labelled, labels))
