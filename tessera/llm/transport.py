@@ -2,7 +2,7 @@
 
 `to_stream` stores a payload as a transport stream of one program: program tables, then a private
 elementary stream whose access units carry timestamps, every few of them a random-access point.
-`read_stream` takes any such stream apart: it checks the program tables, finds the elementary
+`read_stream` takes such a stream apart: it checks the program tables, finds the elementary
 stream, checks continuity counters, reassembles the elementary packets and returns the payload with
 the timestamps and random-access points of its units.  Both work on one row at a time within Arrow
 batches; nothing is shuffled.
@@ -11,6 +11,9 @@ Defined results: a null payload counts as an empty one; a stream with lost or re
 read as far as it goes and says so in `continuity_errors`; packets without the sync byte and bytes
 beyond the last whole packet are counted in `bad_packets`; a stream without valid tables gives an
 empty payload.  Equal payloads give equal streams; other columns are ignored.
+
+Read are the first program and its first stream of private data (type 0x06), with tables whose
+sections fit one packet, from the first intact section on.
 """
 
 from __future__ import annotations
@@ -116,9 +119,9 @@ def demux(stream: bytes) -> dict:
     packets = packets[good]
     out["packets"] = len(packets)
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    programs = read_section(packets[pid == TABLE_PID][:8], 0)
+    programs = read_section(packets[pid == TABLE_PID], 0)
     maps = next((m for m in (int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs) - 3, 4) if programs[i : i + 2] != b"\0\0")), None) if programs else None
-    body = read_section(packets[pid == maps][:8], 2) if maps is not None else None
+    body = read_section(packets[pid == maps], 2) if maps is not None else None
     if body is None or len(body) < 9:
         return out
     at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)

@@ -82,6 +82,14 @@ def test_lost_and_repeated_packets_are_noticed():
     assert transport.demux(b"\0" * 188 + whole)["payload"] == payload
 
 
+def test_tables_are_found_behind_damaged_ones():
+    payload = bytes(range(256)) * 50
+    whole = transport.mux(payload)
+    tables = [whole[i : i + 188] for i in range(0, 376, 188)]
+    damaged = b"".join(t[:20] + bytes([t[20] ^ 255]) + t[21:] for t in tables)
+    assert transport.demux(damaged * 9 + whole)["payload"] == payload
+
+
 def test_byte_bpe_is_tiktokens(docs, no_docs, awkward):
     import tiktoken
 
