@@ -6,17 +6,22 @@ buckets, and a bucket stores the leading zeros of its least hash and the ten bit
 bucket that stays empty borrows from a filled one chosen by fixed priorities.  Bands of six
 registers make LSH buckets (a pair at similarity 0.85 shares one of the 42 but for 3 in 10^9).
 
-In each LSH bucket members are first held against its smallest one only.  Pairs whose Jaccard
-estimate, corrected for registers that agree by chance, leaves the wanted similarity possible are
-confirmed on their full sets, and confirmed links are joined into components.  In buckets that still
-hold several components, the members of different ones are then held against each other in the same
-way; so no link between different sets is lost, and copies of one text never expand into all pairs.
+In each LSH bucket members are first held against its smallest one, the hub, only.  Pairs whose
+Jaccard estimate, corrected for registers that agree by chance, leaves the wanted similarity possible
+are confirmed on their full sets, and confirmed links are joined into components.  In buckets that
+still hold several components, the members of different ones are then held against each other in the
+same way, in blocks of bounded size; so no link between different sets is lost, and copies of one
+text never expand into all pairs.
+
+Classes have numbers of their own, so that ids which are repeated with different texts stay apart.
+A hub with many candidates meets them in salted parts, and what is summed up by a key is written
+before it is joined by that key, so that Spark can split whatever key is frequent.
 
 Defined results: a text without words (null, empty or blank) has an empty set and links with nothing;
 with fewer than five words the whole sequence is one shingle; repeated rows fall into one class and
-each returns the same; an id repeated with different texts is
-compared by the smallest of them; rows without an id are
-linked but name a component only where it has no other; other columns are ignored; an empty table
+each returns the same; each text of a repeated id has its own links, and its row names its own
+component; rows without an id are linked, but name a component only where nothing else does (the
+component's id is null then); other columns are ignored (`deduplicated` keeps them); an empty table
 gives no rows.
 """
 
@@ -39,8 +44,10 @@ REGISTERS, MANTISSA, EMPTY = 256, 10, 0xFFFF
 HELD = 1024  #: bits of the map of hashes in the marks
 BANDS, ROWS = 42, 6
 CACHED = 150_000
-#: A side with at most so many ids is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: A side with at most so many rows of three longs is broadcast (about 50 MB); beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+PER_HUB = 256  #: candidates that meet a hub in one part
+BLOCK = 1024  #: members of an LSH bucket that meet in one part
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -117,25 +124,33 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (agree - chance) / (1 - chance)
 
 
+KEY, KEY_SQL = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64())]), "struct<doc_id:long,text_hash:long>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, text) of a text_frame; the key also holds the text's hash, for ids may be repeated."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that name the set), registers and marks of every row of a text_frame."""
+    """doc_id, text_hash, n_shingles, set_a and set_b (128 bits that name the set), registers and marks of every row of a text_frame."""
 
-    def each(ids: list, texts: list[bytes], hashes: WordHashes) -> dict:
-        out: dict = {k: [] for k in ("doc_id", "n_shingles", "set_a", "set_b", "registers", "marks")}
-        for doc_id, text in zip(ids, texts, strict=True):
+    def each(keys: list, texts: list[bytes], hashes: WordHashes) -> dict:
+        out: dict = {k: [] for k in ("n_shingles", "set_a", "set_b", "registers", "marks")}
+        for text in texts:
             found = shingles(text, hashes)
             name = xxhash.xxh3_128_intdigest(found.tobytes())
-            out["doc_id"].append(doc_id)
             out["n_shingles"].append(len(found))
             out["set_a"].append((name >> 64) - (1 << 63))
             out["set_b"].append((name & (1 << 64) - 1) - (1 << 63))
             registers = sketch(found) if len(found) else None
             out["registers"].append(None if registers is None else registers.tobytes())
             out["marks"].append(None if registers is None else marks(found, registers))
-        return out
+        return {"key": keys, **out}
 
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary()), ("marks", pa.list_(pa.int64()))]
-    return map_texts(docs, each, "doc_id long, n_shingles long, set_a long, set_b long, registers binary, marks array<long>", pa.schema(fields), WordHashes)
+    fields = [("key", KEY), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary()), ("marks", pa.list_(pa.int64()))]
+    made = map_texts(keyed(docs), each, f"key {KEY_SQL}, n_shingles long, set_a long, set_b long, registers binary, marks array<long>", pa.schema(fields), WordHashes)
+    return made.select("key.*", *(name for name, _ in fields[1:]))
 
 
 def bands():  # noqa: ANN201
@@ -219,52 +234,96 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """class and text, once for each of the classes in ids."""
+    wanted = cut(ids.distinct().join(classes.select("class", "first"), "class").select("class", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    found = docs.join(wanted, (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return cut(found.groupBy("class").agg(F.first("text").alias("text")))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of class ids, those whose full sets are similar enough."""
+    """Of distinct pairs (a, b) of classes, those whose full sets are similar enough; b may be a hub of any number of pairs."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"_n{x}"), F.col("registers").alias(f"_r{x}"))
     sized = F.expr(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
     likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(possible(percent)("_ra", "_rb", "_na", "_nb")).select("a", "b"))
-    ids = cut(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # An id that is repeated with different texts is compared by the smallest of them.
-    texts = docs.join(needed, "doc_id", "left_semi")
-    mine = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    with_a = likely.join(mine.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a")
-    with_b = with_a.join(mine.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb")), "b")
-    return cut(with_b.where(confirmed(percent)("_ta", "_tb")).select("a", "b"))
+    texts = texts_of(likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))), classes, docs)
+    crowded = cut(likely.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") > PER_HUB).select("b", F.ceil(F.col("_n") / PER_HUB).alias("_parts")))
+    dealt = likely.join(crowded, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("_parts", F.lit(1))).alias("part"))
+    with_a = dealt.join(texts.select(F.col("class").alias("a"), F.col("text").alias("_ta")), "a")
+    hubs = dealt.select("b", "part").distinct().join(texts.select(F.col("class").alias("b"), F.col("text").alias("_tb")), "b")
+    return cut(with_a.join(hubs, ["b", "part"]).where(confirmed(percent)("_ta", "_tb")).select("a", "b"))
+
+
+def apart(shared: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share an LSH bucket, lie in different components and may be similar."""
+    placed = shared.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
+    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
+    mixed_buckets = cut(mixed_buckets.select("bucket", F.ceil(F.col("_n") / BLOCK).alias("_parts")))
+    members = placed.join(mixed_buckets, "bucket").withColumn("part", F.pmod(F.xxhash64("class"), "_parts")).withColumn("_other", F.explode(F.expr("sequence(0L, _parts - 1)")))
+    members = members.select("bucket", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "class", "component")
+    members = cut(members.join(classes.select("class", "n_shingles", "marks"), "class"))
+    x, y = members.alias("x"), members.alias("y")
+    met = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "low", "high")])
+    once = (F.col("x.class") > F.col("y.class")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.part") != F.col("y.part")))
+    sized = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
+    may = alike(F.col("x.marks"), F.col("y.marks"), F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
+    return x.join(y, met & once & (F.col("x.component") != F.col("y.component")) & sized & may).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept for every row."""
-    docs = text_frame(docs, id_col, text_col)
-    made = cut(sketches(docs))
-    name = ["set_a", "set_b"]
-    classes = cut(made.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("marks").alias("marks")))
-    banded = classes.select("class", F.explode(bands()("registers")).alias("bucket"))
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, text_hash, n_shingles and head of every row of a text_frame.
+
+    head (no_id, doc_id, text_hash) is the first text of the row's component by id; null for an empty set.
+    """
+    made, name = cut(sketches(docs)), ["set_a", "set_b"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = made.where("n_shingles > 0").groupBy(*name).agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "marks")))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
 
-    hubs = banded.groupBy("bucket").agg(F.min("class").alias("b"), F.max("class").alias("_most")).where("b < _most").select("bucket", "b")
-    star = banded.join(hubs, "bucket").where("class > b").select(F.col("class").alias("a"), "b").distinct()
-    tried = cut(star)
+    banded = classes.select("class", F.explode(bands()("registers")).alias("bucket"))
+    hubs = cut(banded.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("_most")).where("hub < _most").select("bucket", "hub"))
+    shared = cut(banded.join(hubs, "bucket"))
+    tried = cut(shared.where("class > hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
     links = verified(tried, classes, docs, percent)
     labels = components(links)
-
     # Buckets that still hold several components: their members across components, once each.
-    own = F.coalesce("component", "class")
-    placed = banded.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", own.alias("component"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
-    members = cut(placed.join(mixed_buckets, "bucket").join(classes.select("class", "n_shingles", "marks"), "class"))
-    x, y = members.alias("x"), members.alias("y")
-    sized = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") > F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & sized & alike(F.col("x.marks"), F.col("y.marks"), F.col("x.n_shingles"), F.col("y.n_shingles"), percent))
-    rest = across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(rest, classes, docs, percent)
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-
-    of_set = classes.select(*name, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select(*name, F.coalesce("component", "class").alias("_component"))
-    placed = made.select("doc_id", "n_shingles", *name).join(of_set, name, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rest = cut(apart(shared.select("bucket", "class"), classes, labels, percent).join(tried, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        more = verified(rest, classes, docs, percent)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+
+    led = labels.join(classes.select(F.col("class").alias("node"), "first"), "node")
+    heads = cut(led.groupBy("component").agg(F.min("first").alias("head")))
+    led = labels.join(heads, "component").select(F.col("node").alias("class"), "head")
+    of_set = classes.select(*name, "class", "first").join(led, "class", "left").select(*name, F.coalesce("head", "first").alias("head"))
+    return made.select("doc_id", "text_hash", "n_shingles", *name).join(of_set, name, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("head")).alias("head"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept for every row."""
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    rows = grouped(text_frame(docs, id_col, text_col), percent)
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one is left for each component: the first text of its smallest id.
+
+    Of rows that repeat both id and text one is left; rows with an empty set all stay.
+    """
+    rows = cut(grouped(text_frame(docs, id_col, text_col), percent).where("head is not null").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))))
+    gone = cut(rows.where("not _kept").select("doc_id", "text_hash").distinct())
+    again = cut(rows.where("_kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
+    own = lambda listed: (F.col("_hash") == listed["text_hash"]) & F.col("_id").eqNullSafe(listed["doc_id"])
+    small = lambda listed: F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+    kept = every.join(small(gone), own(gone), "left_anti")
+    if again.limit(1).count():
+        single = kept.join(small(again), own(again), "left_semi").dropDuplicates(["_id", "_hash"])
+        kept = kept.join(small(again), own(again), "left_anti").unionByName(single)
+    return kept.select("_row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,32 +20,57 @@ def shingle_set(text):
 
 
 def brute_components(docs, percent):
-    """(doc_id, n_shingles, component) of every row; ids are unique."""
-    sets = {i: shingle_set(t) for i, t in docs}
-    root = {i: i for i in sets}
+    """(doc_id, n_shingles, component) of every row; rows that agree in id and text are one, and rows without an id come last."""
+    nodes = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, d[1] or ""))
+    sets = [shingle_set(t) for _, t in nodes]
+    root = list(range(len(nodes)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                p, q = find(a), find(b)
+    for x, a in enumerate(sets):
+        for y in range(x + 1, len(sets)):
+            both = len(a & sets[y])
+            if both and 100 * both >= percent * (len(a) + len(sets[y]) - both):
+                p, q = find(x), find(y)
                 root[max(p, q)] = min(p, q)
-    return sorted((i, len(sets[i]), find(i)) for i in ids)
+    of = {d: (len(sets[i]), nodes[find(i)][0]) for i, d in enumerate(nodes)}
+    return sorted(((i, *of[i, t]) for i, t in docs), key=lambda r: tuple((x is not None, x or 0) for x in r))
 
 
 def test_near_duplicates_match_all_pairs(docs, awkward):
-    unique = [(i, t) for i, t in awkward if i is not None and i not in (303, 306)]
-    out = neardup.near_duplicates(docs.where("doc_id is not null and doc_id not in (303, 306)"))
-    assert rows(out, "doc_id", "n_shingles", "component_id") == brute_components(unique, 85)
+    out = neardup.near_duplicates(docs)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == brute_components(awkward, 85)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.collect())
 
 
+def test_texts_of_a_repeated_id_keep_their_own_links(spark):
+    """Two texts of id 5, two of id 9, and a near copy of one of each; rows without an id; a repeated row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    made = [(5, a), (5, b), (9, a), (9, c), (12, a + " more"), (12, c + " more"), (None, b), (None, "no id here at all"), (None, "no id here at all"), (9, c), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*d, "x", 1) for d in made], "doc_id long, text string, `a.b` string, text_hash int")
+    assert rows(neardup.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == brute_components(made, 85)
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert rows(left, "doc_id", "text") == sorted([(5, a), (5, b), (9, c), (None, "no id here at all"), (3, ""), (3, "")], key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+
+
+def test_crowded_hubs_and_buckets_are_split(spark, monkeypatch):
+    """The same links where a hub's candidates and a bucket's members meet in many parts."""
+    monkeypatch.setattr(neardup, "PER_HUB", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    base, made = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        copy = list(base)
+        for k in range(i % 8):
+            copy[(37 * i + 41 * k) % 300] = f"changed{i}_{k}"
+        made.append((i, " ".join(copy)))
+    out = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 90)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == brute_components(made, 90)
+
+
 def test_links_across_chains_and_borders(spark):
     """Chains of texts that are each just similar enough to the next, and pairs just on either side of the limit."""
     base = [f"w{i}" for i in range(200)]
@@ -306,7 +331,7 @@ def test_pipeline_stage_by_stage(spark, corpus, judged, tmp_path):
     assert lines[1000] == before[1000] and before[1001] == lines[1001] + "\n" + before[1007] and lines[1001] and 1007 not in lines and lines[1005] == "" and lines[1006] is None
     near = seen["near_dedup"]
     assert 1002 in near and 1003 not in near
-    assert {i for i, _, c in brute_components([(i, t) for i, t in lines.items()], 85) if i == c} == set(near)
+    assert {i for i, _, c in brute_components(list(lines.items()), 80) if i == c} == set(near)
     personal = seen["personal_data"]
     assert personal[1004] == before[1004].replace("word1@word2.word3", "[EMAIL]") and {i: t for i, t in personal.items() if i != 1004} == {i: t for i, t in near.items() if i != 1004}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, corpus)
