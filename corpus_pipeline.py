@@ -37,9 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, of similarity NEAR or more, stays."""
-    gone = neardup.near_duplicates(docs, NEAR).where(~F.col("kept")).select("doc_id").distinct()
-    gone = neardup.cut(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.deduplicated(docs, NEAR)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
