@@ -130,20 +130,75 @@ def brute_lines(docs, least):
 
 @pytest.mark.parametrize("least", [1, 4, 50])
 def test_line_dedup_matches_all_runs(docs, awkward, least):
-    unique = [(i, t) for i, t in awkward if i is not None and i not in (303, 306)]
-    out = linededup.deletions(docs.where("doc_id is not null and doc_id not in (303, 306)"), least)
-    assert {r["doc_id"]: r["deleted"] for r in out.collect()} == brute_lines(unique, least)
+    """Ids are numbered by their order here, for they repeat: rows that agree in id and text are one, and null ids come last."""
+    distinct = sorted({(i, t) for i, t in awkward if t}, key=lambda d: (d[0] is None, d[0] or 0))
+    unique = [d for d in distinct if sum(e[0] == d[0] for e in distinct) == 1]
+    out = linededup.deletions(docs.where("doc_id is null or doc_id <> 306"), least)
+    want = {unique[n][0]: lines for n, lines in brute_lines([(n, t) for n, (_, t) in enumerate(unique)], least).items()}
+    assert {None if r["doc_id"] == linededup.LAST else r["doc_id"]: r["deleted"] for r in out.collect()} == want
+
+
+def test_rows_without_an_id_lose_later_copies(spark):
+    body = "\n".join(f"line {k} of the text that is here" for k in range(10))
+    made = spark.createDataFrame([(None, body, 1, "x"), (7, body, 2, "y"), (None, "other\n" + body, 3, "z"), (7, body, 2, "y"), (8, None, 4, None), (7, "another text", 5, "q")], "doc_id long, text string, _text int, deleted string")
+    out = linededup.deduplicated(made)
+    assert out.columns == ["doc_id", "text", "_text", "deleted"]
+    assert rows(out, "_text", "text") == [(1, ""), (2, body), (2, body), (3, "other"), (4, None), (5, "another text")]
+    kept = linededup.deduplicated(made, mark="gone")
+    assert kept.columns == [*made.columns, "gone"] and rows(kept, "_text", "deleted") == [(1, "x"), (2, "y"), (2, "y"), (3, "z"), (4, None), (5, "q")]
+    staged = corpus_pipeline.dedup_lines(spark, made, "")
+    assert staged.columns == made.columns and rows(staged, "_text", "text") == [(2, body), (2, body), (3, "other"), (4, None), (5, "another text")]
+
+
+def suffix_intervals(docs, least):
+    """From a sorted list of all suffixes and their common prefixes: the intervals of the depth that has `least` words, of two copies or more."""
+    suffixes = []
+    for i, t in docs:
+        solid = [x for x in t.split("\n") if x.strip()]
+        suffixes += [(tuple(solid[a:]), i, a) for a in range(len(solid))]
+    suffixes.sort()
+    common = lambda p, q: next((n for n, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))  # noqa: E731, B905
+    depth = lambda s: next((n + 1 for n in range(len(s)) if sum(len(x.split()) for x in s[: n + 1]) >= least), None)
+    out, group = set(), []
+    for n, (s, i, a) in enumerate(suffixes):
+        m = depth(s)
+        joined = group and m is not None and common(suffixes[n - 1][0], s) >= m
+        if not joined:
+            out |= {frozenset(group)} if len(group) > 1 else set()
+            group = []
+        if m is not None:
+            group.append((i, a, m))
+    return out | ({frozenset(group)} if len(group) > 1 else set())
+
+
+def test_names_are_the_intervals_of_the_suffix_array(spark):
+    rng = np.random.default_rng(12)
+    made = [(i, "\n".join(f"l{rng.integers(0, 4)} word" if rng.random() < 0.9 else f"only{i}_{k}" for k in range(rng.integers(5, 40)))) for i in range(30)]
+    found = defaultdict(set)
+    for r in linededup.run_copies(spark.createDataFrame(made, "doc_id long, text string"), 12).collect():
+        found[tuple(r[c] for c in linededup.INTERVAL)].add((r["doc_id"], r["start"], r["m"]))
+    got, want = {frozenset(g) for g in found.values() if len(g) > 1}, suffix_intervals(made, 12)
+    # Runs that end at a line and are not the shortest from their start on have intervals of their own.
+    assert want and {g for g in got if next(iter(g)) in {x for w in want for x in w}} == want
+    assert all(any({(i, a) for i, a, _ in g} <= {(i, a) for i, a, _ in w} for w in want) for g in got)
+
+
+def test_repeated_runs_are_maximal(spark):
+    line = lambda k: f"line {k} has five words"
+    passage = [line(k) for k in range(20)]
+    made = [(1, "\n".join(["head a", *passage, "tail a"])), (2, "\n".join([*passage[:7], "", *passage[7:], "tail b"])), (3, "\n".join(["other", *passage[4:16]])), (4, "\n".join(passage[:3]))]
+    got = linededup.repeated_runs(spark.createDataFrame(made, "doc_id long, text string"), 50)
+    assert rows(got, "doc_id", "first_line", "last_line", "from_doc", "n_lines") == [(2, 0, 20, 1, 20), (3, 1, 12, 1, 12)]
 
 
 def test_line_dedup_of_odd_rows(docs, no_docs, awkward):
-    renamed = docs.drop("deleted")
-    out = linededup.deduplicated(renamed)
-    assert out.columns == [*renamed.columns, "deleted"]
+    out = linededup.deduplicated(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
     got = Counter(r["doc_id"] for r in out.collect())
     assert got == Counter(i for i, _ in awkward)
     same = {r["doc_id"]: r["text"] for r in out.where("doc_id in (300, 301, 406, 400)").collect()}
     assert same == {i: t for i, t in awkward if i in (300, 301, 406, 400)}
-    assert linededup.deduplicated(no_docs.drop("deleted")).count() == 0
+    assert linededup.deduplicated(no_docs).count() == 0
 
 
 def test_runs_that_repeat_themselves_keep_one(spark):
