@@ -31,8 +31,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; so do documents of which nothing else is left."""
-    done = linededup.deduplicated(docs)
-    return sized(done.where(F.col("deleted").isNull() | F.col("text").rlike(r"\S")).drop("deleted"))
+    mark = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    done = linededup.deduplicated(docs, mark=mark)
+    return sized(done.where(F.col(mark).isNull() | F.col("text").rlike(r"\S")).drop(mark))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
