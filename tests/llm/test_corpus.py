@@ -272,6 +272,8 @@ def test_toxicity_training_is_bounded_and_blind(judged):
     docs, labels = judged
     texts, y = toxicity.training_sample(docs, labels, sample_rows=40)
     assert len(texts) <= 40 and sum(y) == 20
+    few, _ = toxicity.training_sample(docs, labels, sample_bytes=20_000)
+    assert 0 < sum(len(t) for t in few) <= 20_000 and max(map(len, few)) <= 20_000 // 64
     held = {r["text"] for r in docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).collect()}
     assert not held & set(texts)
 
