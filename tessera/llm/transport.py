@@ -3,17 +3,20 @@
 `to_stream` stores a payload as a transport stream of one program: program tables, then a private
 elementary stream whose access units carry timestamps, every few of them a random-access point.
 `read_stream` takes such a stream apart: it checks the program tables, finds the elementary
-stream, checks continuity counters, reassembles the elementary packets and returns the payload with
+streams, checks continuity counters, reassembles the elementary packets and returns each payload with
 the timestamps and random-access points of its units.  Both work on one row at a time within Arrow
 batches; nothing is shuffled.
 
-Defined results: a null payload counts as an empty one; a stream with lost or repeated packets is
-read as far as it goes and says so in `continuity_errors`; packets without the sync byte and bytes
-beyond the last whole packet are counted in `bad_packets`; a stream without valid tables gives an
-empty payload.  Equal payloads give equal streams; other columns are ignored.
+Read are all programs and all their elementary streams, of whatever type, named by intact current
+sections of the tables (which may span packets, and of which packets may hold several); tables of
+the same program add up.  Packets of PIDs that no table names are counted, not read.
 
-Read are the first program and its first stream of private data (type 0x06), with tables whose
-sections fit one packet, from the first intact section on.
+Defined results: a null payload counts as an empty one; a stream with lost or repeated packets is
+read as far as it goes and says so in `continuity_errors`, for which a packet may come twice and a
+counter may jump where the packet announces it; packets without the sync byte, with the error flag or
+scrambled, units without a start code, and bytes beyond the last whole packet are counted in
+`bad_packets`; a stream without valid tables has no elementary streams.  Equal payloads give equal
+streams; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -95,76 +99,118 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_section(packets: np.ndarray, table_id: int) -> bytes | None:
-    """The body of the first intact section of a table that fits one packet, as program tables of one program do."""
-    for p in packets:
-        raw = p.tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[1] & 0x40 or at >= PACKET:
-            continue
-        at += 1 + raw[at]
-        if at + 3 > PACKET or raw[at] != table_id:
-            continue
-        end = at + 3 + ((raw[at + 1] & 0x0F) << 8 | raw[at + 2])
-        if end <= PACKET and end - at >= 12 and section_crc(raw[at : end - 4]) == int.from_bytes(raw[end - 4 : end], "big"):
-            return raw[at + 8 : end - 4]
-    return None
+def payload_start(packets: np.ndarray) -> np.ndarray:
+    """Where the payloads of packets begin."""
+    return np.where(packets[:, 3] & 0x20 > 0, 5 + packets[:, 4].astype(np.int64), 4).clip(max=PACKET)
 
 
-def demux(stream: bytes) -> dict:
-    out: dict = {"payload": b"", "pts": [], "at": [], "random_access": [], "packets": 0, "continuity_errors": 0, "bad_packets": 0, "stream_type": None}
-    packets = np.frombuffer(stream, np.uint8, len(stream) // PACKET * PACKET).reshape(-1, PACKET)
-    good = packets[:, 0] == SYNC
-    out["bad_packets"] = int((~good).sum()) + (len(stream) % PACKET > 0)
-    packets = packets[good]
-    out["packets"] = len(packets)
-    pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    programs = read_section(packets[pid == TABLE_PID], 0)
-    maps = next((m for m in (int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs) - 3, 4) if programs[i : i + 2] != b"\0\0")), None) if programs else None
-    body = read_section(packets[pid == maps], 2) if maps is not None else None
-    if body is None or len(body) < 9:
-        return out
-    at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
-    media = None
-    while at + 5 <= len(body):
-        kind, own, more = struct.unpack(">BHH", body[at : at + 5])
-        if kind == PRIVATE_DATA:
-            media = own & 0x1FFF
-            out["stream_type"] = kind
-            break
-        at += 5 + (more & 0x0FFF)
-    packets = packets[(pid == media) & (packets[:, 3] & 0x10 > 0)] if media is not None else packets[:0]
-    if not len(packets):
-        return out
+def in_sequence(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of one PID's packets those with a payload, each once, and how many continuity errors there are."""
+    packets = packets[packets[:, 3] & 0x10 > 0]
+    if len(packets) < 2:
+        return packets, 0
     step = (packets[1:, 3].astype(np.int16) - packets[:-1, 3]) & 15
-    again = np.concatenate(([False], (step == 0) & (packets[1:] == packets[:-1]).all(axis=1)))  # one repetition is allowed
-    out["continuity_errors"] = int(((step != 1) & ~again[1:]).sum())
-    packets = packets[~again]
-    adapted = packets[:, 3] & 0x20 > 0
-    start = np.where(adapted, 5 + packets[:, 4].astype(np.int64), 4).clip(max=PACKET)
-    random = adapted & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 > 0)
+    again = np.concatenate(([False], (step == 0) & (packets[1:] == packets[:-1]).all(axis=1)))
+    announced = (packets[1:, 3] & 0x20 > 0) & (packets[1:, 4] > 0) & (packets[1:, 5] & 0x80 > 0)
+    errors = (step != 1) & ~again[1:] & ~announced | again[1:] & again[:-1]  # one repetition is allowed
+    return packets[~again], int(errors.sum())
+
+
+def sections(packets: np.ndarray, table_id: int) -> Iterator[bytes]:
+    """The bodies of the intact, current sections of a table."""
+    held, last = b"", None
+    for p, start in zip(packets, payload_start(packets), strict=True):
+        data, counter = p[start:].tobytes(), int(p[3]) & 15
+        if last is not None and counter != last + 1 & 15:
+            held = b""  # something is missing in between
+        last = counter
+        if p[1] & 0x40:
+            begin = 1 + data[0] if data else 0
+            parts = [held + data[1:begin] if held else b"", data[begin:]]
+        else:
+            parts = [held + data] if held else []
+        held = b""
+        for held in parts:
+            while len(held) >= 3 and held[0] != 0xFF:
+                end = 3 + ((held[1] & 0x0F) << 8 | held[2])
+                if len(held) < end:
+                    break
+                section, held = held[:end], held[end:]
+                if section[0] == table_id and end >= 12 and section[5] & 1 and section_crc(section[:-4]) == int.from_bytes(section[-4:], "big"):
+                    yield section[8:-4]
+            if held[:1] == b"\xff":
+                held = b""
+
+
+#: Elementary packets whose header ends with their length, and the one of these that only pads.
+PLAIN, PADDING = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
+def clock(p: bytes) -> int:
+    return (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
+
+
+def elementary(packets: np.ndarray) -> tuple[bytes, list[dict], int]:
+    """Payload, units and the number of bad units of one elementary stream."""
+    random = (packets[:, 3] & 0x20 > 0) & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 > 0)
+    start = payload_start(packets)
     begins = np.flatnonzero(packets[:, 1] & 0x40)
     data = packets[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
     where = np.concatenate(([0], np.cumsum(PACKET - start)))
-    parts, size = [], 0
+    parts, units, size, bad = [], [], 0, 0
     for k, b in enumerate(begins):
         unit = data[where[b] : where[begins[k + 1]] if k + 1 < len(begins) else len(data)]
-        if len(unit) < 9 or unit[:3] != b"\0\0\1":
-            out["bad_packets"] += 1
+        if len(unit) < 6 or unit[:3] != b"\0\0\1" or unit[3] not in PLAIN and len(unit) < 9:
+            bad += 1
             continue
-        head = 9 + unit[8]
-        if unit[7] & 0x80 and len(unit) >= 14:
-            p = unit[9:14]
-            out["pts"].append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
-        else:
-            out["pts"].append(None)
+        if unit[3] == PADDING:
+            continue
+        pts = dts = None
+        head = 6
+        if unit[3] not in PLAIN:
+            head = 9 + unit[8]
+            pts = clock(unit[9:14]) if unit[7] & 0x80 and len(unit) >= 14 else None
+            dts = clock(unit[14:19]) if unit[7] & 0xC0 == 0xC0 and len(unit) >= 19 else None
         length = int.from_bytes(unit[4:6], "big")
         part = unit[head : 6 + length] if length else unit[head:]
-        out["at"].append(size)
-        out["random_access"].append(bool(random[b]))
+        units.append({"pts": pts, "dts": dts, "at": size, "random_access": bool(random[b])})
         parts.append(part)
         size += len(part)
-    out["payload"] = b"".join(parts)
+    return b"".join(parts), units, bad
+
+
+def demux(stream: bytes) -> dict:
+    """packets, bad_packets, continuity_errors and streams, the elementary streams by program and in the order of their table."""
+    packets = np.frombuffer(stream, np.uint8, len(stream) // PACKET * PACKET).reshape(-1, PACKET)
+    good = (packets[:, 0] == SYNC) & (packets[:, 1] & 0x80 == 0) & (packets[:, 3] & 0xC0 == 0)
+    out: dict = {"packets": int((packets[:, 0] == SYNC).sum()), "bad_packets": int((~good).sum()) + (len(stream) % PACKET > 0), "continuity_errors": 0, "streams": []}
+    packets = packets if good.all() else packets[good]
+    pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
+
+    def read(number: int) -> tuple[np.ndarray, int]:
+        own, errors = in_sequence(packets[pid == number])
+        out["continuity_errors"] += errors
+        return own, errors
+
+    maps, seen = {}, set()
+    for body in sections(read(TABLE_PID)[0], 0):
+        for at in range(0, len(body) - 3, 4):
+            program, place = struct.unpack(">HH", body[at : at + 4])
+            if program:
+                maps.setdefault((program, place & 0x1FFF))
+    of_map = {number: list(sections(read(number)[0], 2)) for number in dict.fromkeys(place for _, place in maps)}
+    for program, place in maps:
+        for body in of_map[place]:
+            at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+            while at + 5 <= len(body):
+                kind, own, more = struct.unpack(">BHH", body[at : at + 5])
+                at += 5 + (more & 0x0FFF)
+                if (program, own) not in seen:
+                    seen.add((program, own))
+                    mine, errors = read(own & 0x1FFF)
+                    payload, units, bad = elementary(mine)
+                    out["bad_packets"] += bad
+                    out["streams"].append({"program": program, "pid": own & 0x1FFF, "stream_type": kind, "payload": payload, "units": units, "continuity_errors": errors})
     return out
 
 
@@ -183,38 +229,40 @@ def to_stream(payloads: DataFrame, id_col: str = "doc_id", payload_col: str = "p
     return made.select("key.doc_id", "key.n_bytes", "media")
 
 
-UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("at", pa.int64()), ("random_access", pa.bool_())]))
+UNITS = [("pts", pa.int64()), ("dts", pa.int64()), ("at", pa.int64()), ("random_access", pa.bool_())]
+STREAM = [("program", pa.int64()), ("pid", pa.int64()), ("stream_type", pa.int64()), ("continuity_errors", pa.int64()), ("units", pa.list_(pa.struct(UNITS)))]
+STREAM_SQL = "program:long,pid:long,stream_type:long,continuity_errors:long,units:array<struct<pts:long,dts:long,at:long,random_access:boolean>>"
+DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
+
+
+def digest(stream: dict) -> dict:
+    payload = stream.pop("payload")
+    return stream | {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
 
 
 def read_stream(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", digest_only: bool = False) -> DataFrame:
-    """The payload of each stream, its access units (timestamp, byte offset, random access) and what is wrong with it.
+    """Of each row `streams`, its elementary streams: program, pid, type, payload and access units (timestamps, byte offset, random access), and what is wrong with them.
 
-    With digest_only, digests stand for payload and stream.
+    With digest_only, digests stand for payloads and stream.
     """
-    names = ["key", "units", "packets", "continuity_errors", "bad_packets"] + (["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"] if digest_only else ["payload"])
-    types = {"key": KEY, "units": UNITS, "payload": pa.binary(), "payload_sha256": pa.string(), "media_sha256": pa.string()}
-    sql = {"key": KEY_SQL, "units": "array<struct<pts:long,at:long,random_access:boolean>>", "payload": "binary", "payload_sha256": "string", "media_sha256": "string"}
+    fields = STREAM + (DIGEST if digest_only else [("payload", pa.binary())])
+    inner = STREAM_SQL + (",payload_bytes:long,payload_sha256:string,tail_crc32:long" if digest_only else ",payload:binary")
+    counts = ["packets", "bad_packets", "continuity_errors"]
 
     def each(keys: list, streams: list[bytes]) -> dict:
-        out: dict = {n: [] for n in names}
-        out["key"] = keys
+        out: dict = {n: [] for n in ("streams", *counts, "media_bytes", "media_sha256")}
         for stream in streams:
             x = demux(stream)
-            out["units"].append([{"pts": p, "at": a, "random_access": r} for p, a, r in zip(x["pts"], x["at"], x["random_access"], strict=True)])
-            for n in ("packets", "continuity_errors", "bad_packets"):
+            out["streams"].append([digest(s) for s in x["streams"]] if digest_only else x["streams"])
+            out["media_bytes"].append(len(stream))
+            out["media_sha256"].append(hashlib.sha256(stream).hexdigest())
+            for n in counts:
                 out[n].append(x[n])
-            if digest_only:
-                out["payload_bytes"].append(len(x["payload"]))
-                out["payload_sha256"].append(hashlib.sha256(x["payload"]).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(x["payload"][-64:]))
-                out["media_bytes"].append(len(stream))
-                out["media_sha256"].append(hashlib.sha256(stream).hexdigest())
-            else:
-                out["payload"].append(x["payload"])
-        return out
+        return {"key": keys, **out}
 
-    read = map_texts(keyed(media, id_col, media_col), each, ", ".join(f"{n} {sql.get(n, 'long')}" for n in names), pa.schema([(n, types.get(n, pa.int64())) for n in names]))
-    return read.select("key.*", *names[1:])
+    schema = pa.schema([("key", KEY), ("streams", pa.list_(pa.struct(fields))), *((n, pa.int64()) for n in counts), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+    read = map_texts(keyed(media, id_col, media_col), each, f"key {KEY_SQL}, streams array<struct<{inner}>>, packets long, bad_packets long, continuity_errors long, media_bytes long, media_sha256 string", schema)
+    return read.select("key.*", *schema.names[1:])
 
 
 def padded(docs: DataFrame, multiple: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,8 +273,8 @@ def padded(docs: DataFrame, multiple: int = 64, id_col: str = "doc_id", text_col
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_stream(to_stream(padded(table(spark, sf_dir, "documents"))), digest_only=True)
-    random = F.filter("units", lambda u: u["random_access"])
+    read = read_stream(to_stream(padded(table(spark, sf_dir, "documents"))), digest_only=True).withColumn("_s", F.element_at("streams", 1))
+    random = F.filter("_s.units", lambda u: u["random_access"])
     points = F.array_join(F.transform(random, lambda u: F.concat_ws("@", u["pts"], u["at"])), " ")
-    feature = F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("units="), F.size("units")), F.concat(F.lit("last_pts="), F.element_at("units", -1)["pts"]), F.concat(F.lit("continuity_errors="), "continuity_errors"), F.concat(F.lit("random_access="), F.size(random)))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), points.alias("random_access_points"), "continuity_errors")
+    feature = F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("units="), F.size("_s.units")), F.concat(F.lit("last_pts="), F.element_at("_s.units", -1)["pts"]), F.concat(F.lit("continuity_errors="), "continuity_errors"), F.concat(F.lit("random_access="), F.size(random)))
+    return read.select("doc_id", "n_bytes", "_s.payload_bytes", "_s.payload_sha256", "_s.tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), points.alias("random_access_points"), "continuity_errors")

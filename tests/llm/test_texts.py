@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -63,23 +64,38 @@ def test_postings_say_which_documents_hold_a_trigram(docs, awkward):
 
 
 def test_streams_give_back_what_they_hold(docs, no_docs, awkward):
-    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["payload"])) for r in transport.read_stream(transport.to_stream(transport.padded(docs))).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], *(bytes(s["payload"]) for s in r["streams"])) for r in transport.read_stream(transport.to_stream(transport.padded(docs))).collect())
     pad = lambda b: b.ljust(max(1, -(-len(b) // 64)) * 64, b"\0")
     assert got == Counter((i, len((t or "").encode()), pad((t or "").encode())) for i, t in awkward)
     assert transport.read_stream(transport.to_stream(transport.padded(no_docs))).count() == 0
 
 
+def only(stream):
+    found = transport.demux(stream)["streams"]
+    assert len(found) == 1
+    return found[0]
+
+
 def test_lost_and_repeated_packets_are_noticed():
     payload = bytes(range(256)) * 50
     whole = transport.mux(payload)
     packets = [whole[i : i + 188] for i in range(0, len(whole), 188)]
-    assert transport.demux(whole)["random_access"][0] and transport.demux(whole)["pts"] == [0, 3600, 7200, 10800]
-    again = transport.demux(b"".join(packets[:10] + [packets[9]] + packets[10:]))
-    assert again["payload"] == payload and again["continuity_errors"] == 0
-    lost = transport.demux(b"".join(packets[:10] + packets[11:]))
-    assert lost["continuity_errors"] == 1 and lost["payload"] != payload
-    assert transport.demux(b"")["payload"] == b"" and transport.demux(whole + b"xx")["bad_packets"] == 1
-    assert transport.demux(b"\0" * 188 + whole)["payload"] == payload
+    units = only(whole)["units"]
+    assert units[0]["random_access"] and [u["pts"] for u in units] == [0, 3600, 7200, 10800] and [u["at"] for u in units] == [0, 4096, 8192, 12288]
+    again = b"".join(packets[:10] + [packets[9]] + packets[10:])
+    assert only(again)["payload"] == payload and transport.demux(again)["continuity_errors"] == 0
+    thrice = b"".join(packets[:10] + [packets[9]] * 2 + packets[10:])
+    assert only(thrice)["payload"] == payload and only(thrice)["continuity_errors"] == 1
+    lost = b"".join(packets[:10] + packets[11:])
+    assert transport.demux(lost)["continuity_errors"] == 1 and only(lost)["payload"] != payload
+    # The next packet says that its counter jumps: an adaptation field of one byte with the flag, in place of two bytes of payload.
+    jump = packets[11][:3] + bytes([packets[11][3] | 0x20, 1, 0x80]) + packets[11][4:-2]
+    assert transport.demux(b"".join(packets[:10] + [jump] + packets[12:]))["continuity_errors"] == 0
+    assert transport.demux(b"")["streams"] == [] and transport.demux(whole + b"xx")["bad_packets"] == 1
+    assert only(b"\0" * 188 + whole)["payload"] == payload
+    broken = packets[12][:1] + bytes([packets[12][1] | 0x80]) + packets[12][2:]
+    found = transport.demux(b"".join([*packets[:12], broken, *packets[13:]]))
+    assert found["bad_packets"] == 1 and found["continuity_errors"] == 1
 
 
 def test_tables_are_found_behind_damaged_ones():
@@ -87,7 +103,59 @@ def test_tables_are_found_behind_damaged_ones():
     whole = transport.mux(payload)
     tables = [whole[i : i + 188] for i in range(0, 376, 188)]
     damaged = b"".join(t[:20] + bytes([t[20] ^ 255]) + t[21:] for t in tables)
-    assert transport.demux(damaged * 9 + whole)["payload"] == payload
+    assert only(damaged * 9 + whole)["payload"] == payload
+
+
+def packets_of(pid, data, start, stuffing=None):
+    """Packets of a PID; what is left over is filled with stuffing after the data, or within an adaptation field."""
+    out = []
+    for k, at in enumerate(range(0, len(data), 184)):
+        part = data[at : at + 184]
+        field = b""
+        if len(part) < 184 and stuffing is None:
+            short = 183 - len(part)
+            field = bytes([short]) + (b"\0" + b"\xff" * (short - 1) if short else b"")
+        head = struct.pack(">BHB", 0x47, pid | (0x4000 if k == 0 and start else 0), (0x30 if field else 0x10) | k & 15)
+        out.append(head + field + (part if field else part.ljust(184, stuffing or b"\xff")))
+    return out
+
+
+def section_of(table_id, number, body):
+    raw = struct.pack(">BHHBBB", table_id, 0xB000 | len(body) + 9, number, 0xC1, 0, 0) + body
+    return raw + struct.pack(">I", transport.section_crc(raw))
+
+
+def unit_of(stream_id, data, pts=None, dts=None, sized=True):
+    """An elementary packet with time stamps, if it has any; unsized, as video is."""
+    coded = lambda t, mark: bytes((mark << 4 | (t >> 30 & 7) << 1 | 1, t >> 22 & 255, (t >> 15 & 127) << 1 | 1, t >> 7 & 255, (t & 127) << 1 | 1))
+    stamps = b"" if pts is None else coded(pts, 2) if dts is None else coded(pts, 3) + coded(dts, 1)
+    head = bytes((0x80, (0, 0x80, 0xC0)[len(stamps) // 5], len(stamps))) + stamps
+    return struct.pack(">IH", 0x100 | stream_id, len(head) + len(data) if sized else 0) + head + data
+
+
+def test_all_programs_and_stream_types_are_read():
+    """Two programs with tables over several packets, a video stream without lengths, an audio stream, private data and a packet that only pads."""
+    maps = [(0x100 + k, [(0x1B, 0x200 + 16 * k), (0x0F, 0x201 + 16 * k), (0x06, 0x202 + 16 * k)]) for k in range(2)]
+    far = b"".join(struct.pack(">HH", 90 + k, 0xE000 | 0x1F00) for k in range(60))  # programs without a map
+    tables = packets_of(0, b"\0" + section_of(0, 1, struct.pack(">HHHH", 1, 0xE100, 2, 0xE101) + far), True, b"\xff")
+    want, streams = [], []
+    for k, (pid, kinds) in enumerate(maps):
+        described = b"\x05\xb0" + b"d" * 0xB0
+        body = struct.pack(">HH", 0xE1FF, 0xF000) + b"".join(struct.pack(">BHH", kind, 0xE000 | own, 0xF000 | len(described)) + described for kind, own in kinds)
+        tables += packets_of(pid, b"\0" + section_of(2, k + 1, body), True, b"\xff")
+        for n, (kind, own) in enumerate(kinds):
+            data = [bytes([k, n, j]) * (300 + 41 * j) for j in range(3)]
+            units = [unit_of((0xE0, 0xC0, 0xBD)[n], d, (1 << 32) + 5 * j, 77 + j if n == 0 else None, sized=n > 0) for j, d in enumerate(data)]
+            if n == 2:
+                units.insert(1, struct.pack(">IH", 0x100 | 0xBE, 50) + b"\xff" * 50)
+            own_packets = [p for u in units for p in packets_of(own, u, True)]
+            streams.append([p[:3] + bytes([p[3] & 0xF0 | i & 15]) + p[4:] for i, p in enumerate(own_packets)])
+            want.append((k + 1, own, kind, b"".join(data), [((1 << 32) + 5 * j, 77 + j if n == 0 else None) for j in range(3)]))
+    mixed = tables + [p for k in range(max(map(len, streams))) for s in streams for p in s[k : k + 1]]
+    found = transport.demux(b"".join(mixed))
+    assert [(s["program"], s["pid"], s["stream_type"], s["payload"], [(u["pts"], u["dts"]) for u in s["units"]]) for s in found["streams"]] == want
+    assert found["continuity_errors"] == found["bad_packets"] == 0 and found["packets"] == len(mixed)
+    assert len(transport.demux(b"".join(mixed[: len(tables)]))["streams"]) == 6 and transport.demux(b"".join([mixed[0], *mixed[2:]]))["streams"] == []
 
 
 def test_byte_bpe_is_tiktokens(docs, no_docs, awkward):
