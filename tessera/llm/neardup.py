@@ -328,3 +328,38 @@ def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words
+  FROM documents
+), words AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed
+), runs AS (
+  SELECT doc_id, n, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS shingle
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), filled AS (
+  SELECT doc_id, list(DISTINCT shingle ORDER BY shingle) AS held FROM runs WHERE i <= greatest(n - 4, 1) GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, coalesce(held, []) AS held FROM documents LEFT JOIN filled USING (doc_id)
+), classes AS (
+  SELECT held, min(doc_id) AS class, len(held) AS size FROM sets WHERE len(held) > 0 GROUP BY held
+), shingles AS (
+  SELECT class, size, unnest(held) AS shingle FROM classes
+), pairs AS (
+  SELECT a.class AS a, b.class AS b, any_value(a.size + b.size) AS total, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.class < b.class AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.size + b.size) - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT class AS node, class AS seen FROM classes
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON r.seen = l.a
+), components AS (
+  SELECT node, min(seen) AS component FROM reached GROUP BY node
+)
+SELECT s.doc_id, len(s.held) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, coalesce(k.component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN classes c ON s.held = c.held LEFT JOIN components k ON c.class = k.node
+"""

@@ -3,9 +3,12 @@
 Within a shard every vector gets one more coordinate that makes all lengths equal, so that the
 largest inner product is the smallest Euclidean distance and the triangle inequality can prune.  A
 branch is left out when the least distance it can hold, times `factor`, exceeds the distance of the
-k-th best so far: factor one is exact search, larger ones look at less.  Vectors are dealt to shards
-and queries to blocks by hash; each pair of shard and block is one task's work of fixed size, and
-the best k of each are merged with a ranking that Spark limits before it shuffles.
+k-th best so far: factor one is exact search, larger ones look at less.
+
+Rows are dealt to shards of `shard_rows` by their number, so that no frequent id or vector makes one
+large, and each moves once.  Queries alone are replicated, to every shard.  A task reads a shard's
+vectors, which sort first, builds its tree once and then answers the queries as they stream past, a
+block at a time; of the best k of each shard Spark keeps the best k before it shuffles them.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows
 without an id, take no part, and vectors of other lengths than the query's are not compared with
@@ -15,13 +18,15 @@ neighbours; ties go to the smaller id; an empty table gives no rows.  Other colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, trim
 
 LEAF = 256
 NOTHING = np.iinfo(np.int64).max
@@ -99,8 +104,8 @@ class Tree:
                 self.merge(at[group], rows[chosen])
 
     def merge(self, at: np.ndarray, rows: np.ndarray) -> None:
-        # einsum adds up each pair alike wherever it stands, so that equal vectors tie exactly.
-        scores = np.einsum("qd,qmd->qm", self.q[at], self.x[rows])
+        # Components are added one after another, wherever a pair stands, so that equal vectors tie exactly.
+        scores = np.add.accumulate(self.q[at][:, None] * self.x[rows], axis=2)[:, :, -1]
         ids = self.ids[rows]
         scores[self.own[at][:, None] == ids] = -np.inf
         scores, ids = np.hstack((self.best[at], scores)), np.hstack((self.names[at], ids))
@@ -117,27 +122,48 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(~odd, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("vector"))
 
 
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, bool], np.ndarray, np.ndarray]]:
+    """(dim, shard, asked), ids and vectors of each stretch of equal keys in a batch of (dim, shard, asked, vec_id, vector)."""
+    dim, shard, asked = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    edges = np.flatnonzero((dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1]) | (asked[1:] != asked[:-1])) + 1
+    for a, b in zip([0, *edges], [*edges, len(dim)], strict=True):
+        ids = batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False)
+        yield (int(dim[a]), int(shard[a]), bool(asked[a])), ids, batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 4.0, shard_rows: int = 16384, block_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each row whose id is divisible by `every`."""
-    rows = usable(vectors, id_col, vector_col)
-    is_query = F.col("vec_id") % every == 0
-    total, asking = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // block_rows))
-    key = F.xxhash64("vec_id")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    there = rows.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    asked = rows.where(is_query).withColumn("block", F.pmod(F.shiftrightunsigned(key, 20), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-
-    def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(block):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = block["vec_id"].to_numpy(np.int64)
-        best, names = Tree(shard["vec_id"].to_numpy(np.int64), np.stack(shard["vector"].to_numpy())).search(own, np.stack(block["vector"].to_numpy()), k, factor)
-        found = names != NOTHING
-        return pd.DataFrame({"query_id": np.repeat(own, found.sum(axis=1)), "vec_id": names[found], "score": best[found]})
-
-    keys = ["dim", "shard", "block"]
-    found = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    rows = usable(small_batches(vectors), id_col, vector_col)
+    shards = max(1, -(-rows.count() // shard_rows))
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    there = rows.select("dim", shard.alias("shard"), F.lit(False).alias("asked"), "vec_id", "vector")
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "vec_id", "vector")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, tree = None, [], None
+        for batch in batches:
+            for (dim, number, is_query), ids, x in runs(batch) if batch.num_rows else ():
+                if key != (dim, number):
+                    key, parts, tree = (dim, number), [], None
+                if not is_query:
+                    parts.append((ids, x))
+                    continue
+                if tree is None and parts:
+                    tree, parts = Tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), []
+                for at in range(0, len(ids) if tree else 0, block_rows):
+                    own = ids[at : at + block_rows]
+                    best, names = tree.search(own, x[at : at + block_rows], k, factor)
+                    found = names != NOTHING
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.sum(axis=1))), pa.array(names[found]), pa.array(best[found])], schema=FOUND)
+        del parts, tree
+        trim()
+
+    dealt = there.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asked")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -146,3 +172,18 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+#: Exact search.  The relaxed one is to find all of it on tables of a few thousand vectors, where its trees are small.
+OP6_SQL = """
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), usable AS (
+  SELECT * FROM vectors
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -19,4 +19,4 @@ QUERIES = {
         neardup.op10_near_duplicates,
     )
 }
-ORACLES = {"op8_line_dedup": linededup.OP8_SQL}
+ORACLES = {"op1_secret_scan": secrets.OP1_SQL, "op6_nearest": neighbours.OP6_SQL, "op8_line_dedup": linededup.OP8_SQL, "op10_near_duplicates": neardup.OP10_SQL}

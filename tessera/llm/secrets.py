@@ -252,3 +252,40 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
 
+
+
+#: The same rules as the SQL engine's expressions: white space and letters of either case are spelt out.
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_IN_SQL = {
+    "assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "url_login": rf"[a-z][a-z0-9+.-]{{1,20}}://[^{_BLANK}:/@]{{1,64}}:[^{_BLANK}:/@]{{1,64}}@",
+}
+
+
+def _matches(k: int, rule: Rule) -> str:
+    pattern = _IN_SQL.get(rule.kind, rule.pattern).replace("'", "''")
+    return f"SELECT rid, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {rule.group}) AS held, string_split_regex(text, '{pattern}') AS gaps FROM docs"
+
+
+#: Places are the lengths of the matches, and of what stands between them, up to each.
+OP1_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), matched AS (
+  {" UNION ALL ".join(_matches(k, r) for k, r in enumerate(BASE + MORE))}
+), numbered AS (
+  SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matched WHERE len(found) > 0
+), spans AS (
+  SELECT rid, k, kind, coalesce(list_sum(list_transform(gaps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS start, len(found[i]) AS size
+  FROM numbered WHERE len(held[i]) >= least
+), lines AS (
+  SELECT rid, k, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS line FROM spans
+), joined AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(line, ',' ORDER BY start, k) FILTER (k < {len(BASE)}) AS base, string_agg(line, ',' ORDER BY start, k) AS spans
+  FROM lines GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (rid)
+"""
