@@ -7,8 +7,9 @@ always taken.  All work on the corpus is DataFrame operations: the trees become
 
 There are no labels of personal data, so the trees learn from `SAMPLE` short texts made here, with
 personal data and look-alikes (versions, measures, order numbers, hashes) in known places; their
-candidates and features come from the same DataFrame operations.  A quarter of them is held back to
-set, for each kind, the lowest threshold whose precision is at least 0.98.
+candidates and features come from the same DataFrame operations.  Thresholds are set on as many
+other texts, whose formats and cue words the trees have not seen: for each kind the lowest one whose
+precision is at least 0.98.  A span within one of the base kinds adds nothing and is left out.
 
 Rows are told apart by a generated key, so repeated rows or ids each get their own result.  Positions
 come from running sums of the lengths of matches and of the text between them.  No expression goes
@@ -43,6 +44,8 @@ GENERATORS = {
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "spelt_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}+(?:\.[A-Za-z0-9-]{1,64}+)++",
+    # The base rule for phones runs on into numbers that follow; this one ends with the phone.
+    "whole_phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 KINDS = tuple(GENERATORS)
 POSSIBLE = r"[0-9@]|[(\[]at[)\]]"
@@ -110,51 +113,66 @@ def candidates(docs: DataFrame, text_col: str = "text", keep: Column | None = No
 # Training.
 
 
-def sample_texts(size: int = SAMPLE, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Texts with the spans in them that are personal data."""
-    r = random.Random(seed)
+def sample_texts(size: int = SAMPLE, seed: int = 3, held: bool = False, cues: dict[str, list[str]] | None = None, around: Sequence[str] = ()) -> list[tuple[str, list[tuple[str | None, int, int]]]]:
+    """Texts with the places of the value in each: its kind if it is personal data, None if it looks like it.
+
+    The formats and cue words of texts to learn from and of those held back differ; cues may replace
+    the latter, and values are put into the texts `around`, if there are any, instead of made filler.
+    """
+    r = random.Random(seed + held)
     filler = "the report was read by many and the result in our view of it is that all of them have more to say on this later".split()
     some = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     name = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 9)))
+    way = lambda learnt, other: (other if held else learnt)()
+    words = lambda learnt, other: other if held else learnt
 
     def luhn(n: int) -> str:
         body = r.choice("3456") + some(n - 2)
         total = sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(int(c) for c in reversed(body)))
         return body + str(-total % 10)
 
-    def grouped(digits: str) -> str:
-        sep = r.choice(["", "", " ", "-"])
+    def grouped(digits: str, seps: list[str]) -> str:
+        sep = r.choice(seps)
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     true = {
-        "email": (lambda: f"{name()}.{some(2)}@{name()}.{r.choice(['com', 'org', 'de'])}", ["mail", "contact", "write to", "", ""]),
-        "ip": (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), ["from", "host", "address", ""]),
-        "card": (lambda: grouped(luhn(r.choice([15, 16, 16]))), ["card", "visa", "credit card", "", "payment"]),
-        "phone": (lambda: f"+{r.randint(1, 99)} ({some(3)}) {some(3)}-{some(4)}", ["tel", "phone", "call", ""]),
-        "local_phone": (lambda: f"({r.randint(200, 999)}) {some(3)}-{some(4)}" if r.random() < 0.5 else f"{r.randint(200, 999)}-{some(3)}-{some(4)}", ["tel", "phone", "call", "fax", "mobile"]),
-        "national_id": (lambda: f"{some(3)}-{some(2)}-{some(4)}", ["ssn", "social security number", "social"]),
-        "iban": (lambda: r.choice(["DE", "FR", "ES", "GB"]) + some(2) + some(18), ["iban", "account", "bank account"]),
-        "spelt_email": (lambda: f"{name()} (at) {name()}.{r.choice(['com', 'org'])}", ["mail", "contact", ""]),
+        "email": (lambda: f"{name()}.{some(2)}@{name()}.{r.choice(words(['com', 'org'], ['de', 'net']))}", words(["mail", "write to", ""], ["contact", "reach", ""])),
+        "ip": (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), words(["from", "host", ""], ["address", "client", ""])),
+        "card": (lambda: grouped(luhn(r.choice(words([15, 16, 16], [16, 14]))), words(["", " "], ["", "-"])), words(["card", "visa", "", "payment"], ["credit card", "debit", ""])),
+        "phone": (lambda: way(lambda: f"+{r.randint(1, 99)} ({some(3)}) {some(3)}-{some(4)}", lambda: f"+{r.randint(1, 99)} {some(3)} {some(3)} {some(4)}"), words(["tel", "phone", ""], ["call", "mobile", ""])),
+        "local_phone": (lambda: way(lambda: f"({r.randint(200, 999)}) {some(3)}-{some(4)}" if r.random() < 0.5 else f"{r.randint(200, 999)}-{some(3)}-{some(4)}", lambda: f"{r.randint(200, 999)}.{some(3)}.{some(4)}"), words(["tel", "phone", "call"], ["fax", "mobile", "ring"])),
+        "national_id": (lambda: f"{some(3)}-{some(2)}-{some(4)}", words(["ssn", "social security number"], ["social", "passport"])),
+        "iban": (lambda: r.choice(words(["DE", "FR", "ES"], ["GB", "IT", "NL"])) + some(2) + some(words(18, 20)), words(["iban", "account"], ["bank account", "iban no"])),
+        "spelt_email": (lambda: f"{name()}{words(' (at) ', ' [at] ')}{name()}.{r.choice(words(['com', 'org'], ['de', 'net']))}", words(["mail", ""], ["contact", ""])),
+        # A number follows at once, which takes the base rule beyond what a phone may have.
+        "whole_phone": (lambda: f"+{r.randint(1, 99)} ({some(3)}) {some(3)}-{some(4)}" if not held else f"+{r.randint(1, 99)}-{some(3)}-{some(3)}-{some(4)}", words(["tel", "phone", ""], ["call", "mobile", ""])),
     }
     false = [
-        (lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 400)}.{r.randint(300, 9000)}", ["version", "release", "build"]),
-        (lambda: some(r.choice([10, 12, 13, 14, 16, 18])), ["order", "serial", "invoice", "part", "item", "", ""]),
-        (lambda: f"{some(3)} {some(3)} {some(4)}", ["row", "size", "ratio", "", "page"]),
-        (lambda: f"{some(3)}-{some(2)}-{some(4)}", ["part", "order", "sku", "item", ""]),
-        (lambda: f"{some(3)}-{some(3)}-{some(4)}", ["part", "order", "sku", "ticket", ""]),
-        (lambda: f"{r.choice(['AB', 'XK', 'PN'])}{some(2)}{name().upper()}{some(9)}", ["part", "serial", "sku", "item"]),
-        (lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), ["hash", "build", ""]),
-        (lambda: f"{r.randint(1900, 2030)}-{some(2)}-{some(2)}", ["on", "since", "page"]),
-        (lambda: f"+{some(1)} {some(2)} {some(2)}", ["ratio", "row", "size"]),
-        (lambda: some(r.randint(2, 5)), ["page", "row", "", "in"]),
+        (lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 400)}.{r.randint(300, 9000)}", words(["version", "release"], ["build", "rev"])),
+        (lambda: some(r.choice(words([10, 12, 13, 16], [11, 14, 18]))), words(["order", "serial", "item", ""], ["invoice", "part", ""])),
+        (lambda: f"{some(3)} {some(3)} {some(4)}", words(["row", "size", ""], ["ratio", "page"])),
+        (lambda: f"{some(3)}-{some(2)}-{some(4)}", words(["part", "order", ""], ["sku", "item"])),
+        (lambda: f"{some(3)}-{some(3)}-{some(4)}", words(["part", "order", ""], ["sku", "ticket"])),
+        (lambda: f"{r.choice(['AB', 'XK', 'PN'])}{some(2)}{name().upper()}{some(9)}", words(["part", "serial"], ["sku", "item"])),
+        (lambda: "".join(r.choice("0123456789abcdef") for _ in range(words(40, 32))), words(["hash", ""], ["build", ""])),
+        (lambda: f"{r.randint(1900, 2030)}-{some(2)}-{some(2)}", words(["on", "since"], ["page", "until"])),
+        (lambda: f"+{some(1)} {some(2)} {some(2)}", words(["ratio", "row"], ["size"])),
+        (lambda: some(r.randint(2, 5)), words(["page", "row", ""], ["in", "of"])),
     ]
     out = []
-    for _ in range(size):
-        kind = r.choice([*true, *[None] * 8])
-        make, words = true[kind] if kind else r.choice(false)
-        value, before = make(), " ".join(r.choices(filler, k=r.randint(0, 8))) + " " + r.choice(words)
-        head = before.strip() + r.choice([" ", ": ", " is "]) if before.strip() else ""
-        out.append((head + value + r.choice([" ", ". ", ", "]) + " ".join(r.choices(filler, k=r.randint(0, 6))), [(kind, len(head), len(head) + len(value))] if kind else []))
+    for k in range(size):
+        kind = r.choice([*true, *[None] * 9])
+        make, known = true[kind] if kind else r.choice(false)
+        value, cue = make(), r.choice((cues or {}).get(kind or "", known))
+        if around:
+            text = around[k % len(around)]
+            at = r.choice([0, *(i + 1 for i, c in enumerate(text) if c in " \n")])
+            before, rest = text[:at], text[at:]
+        else:
+            before, rest = "".join(w + " " for w in r.choices(filler, k=r.randint(0, 8))), " ".join(r.choices(filler, k=r.randint(0, 6)))
+        head = before + (cue + r.choice([" ", ": ", " is "]) if cue else "")
+        after = f" {some(3)}.{some(2)} " if kind == "whole_phone" else r.choice([" ", ". ", ", "])
+        out.append((head + value + after + rest, [(kind, len(head), len(head) + len(value))]))
     return out
 
 
@@ -206,17 +224,15 @@ def sql_of(node: Node, rate: float) -> str:
 
 
 @lru_cache(maxsize=4)
-def _learnt(key: tuple) -> tuple[str, tuple[float, ...]]:
-    rows, rate = key, 0.4
+def _learnt(rows: tuple, rate: float = 0.4) -> tuple[str, tuple[float, ...]]:
     data = np.array(rows, dtype=np.float64)
-    part, x, y = data[:, 0], data[:, 1:-1], data[:, -1]
-    fit = part % 4 != 0
-    trees = boost(x[fit], y[fit], rate=rate)
-    score = sum(rate * value_of(t, x[~fit]) for t in trees)
+    held, x, y = data[:, 0] > 0, data[:, 2:-1], data[:, -1]
+    trees = boost(x[~held], y[~held], rate=rate)
+    score = sum(rate * value_of(t, x[held]) for t in trees)
     cuts = []
     for k in range(len(KINDS)):
-        mine = x[~fit][:, 0] == k
-        s, t = score[mine], y[~fit][mine]
+        mine = x[held][:, 0] == k
+        s, t = score[mine], y[held][mine]
         good = [c for c in np.unique(s) if t[s >= c].mean() >= 0.98]
         cuts.append(float(min(good)) - 1e-3 if good else float("inf"))  # the expression rounds its numbers
     return " + ".join(f"({sql_of(t, rate)})" for t in trees), tuple(cuts)
@@ -224,15 +240,14 @@ def _learnt(key: tuple) -> tuple[str, tuple[float, ...]]:
 
 def learn(spark: SparkSession, size: int = SAMPLE, seed: int = 3) -> tuple[str, tuple[float, ...]]:
     """The trees as a SQL expression over FEATURES, and a threshold for each kind."""
-    made = sample_texts(size, seed)
-    truth = [(i, kind, a, b) for i, (_, spans) in enumerate(made) for kind, a, b in spans]
+    made = [*sample_texts(size, seed), *sample_texts(size, seed, held=True)]
+    known = {(i, a, b) for i, (_, values) in enumerate(made) for kind, a, b in values if kind}  # under whatever name
     texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "i long, text string")
     found = candidates(texts, keep=F.col("i")).where("kind_id is not null")
     # _kept is on a row's first candidate only; the others have it from their row.
     number = F.first("_kept", ignorenulls=True).over(W.partitionBy("_row").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     rows = found.select(number.alias("i"), "start", "end", *FEATURES).collect()  # of the made texts only
-    known = set(truth)
-    return _learnt(tuple(sorted((r["i"], *(r[f] for f in FEATURES), int((r["i"], KINDS[r["kind_id"]], r["start"], r["end"]) in known)) for r in rows)))
+    return _learnt(tuple(sorted((int(r["i"] >= size), r["i"], *(r[f] for f in FEATURES), int((r["i"], r["start"], r["end"]) in known)) for r in rows)))
 
 
 def spans(docs: DataFrame, model: tuple[str, Sequence[float]], text_col: str = "text", keep: Column | None = None) -> DataFrame:
@@ -243,9 +258,12 @@ def spans(docs: DataFrame, model: tuple[str, Sequence[float]], text_col: str = "
     plain = docs.where(~F.coalesce(F.col(text_col).rlike(POSSIBLE), F.lit(False))).select((keep if keep is not None else F.lit(None)).alias("kept"), none.alias("spans"))
     found = candidates(rows, text_col, keep).withColumn("score", F.expr(score))
     chosen = F.col("base") | F.coalesce(*(F.when(F.col("kind_id") == k, F.col("score") >= F.lit(c)) for k, c in enumerate(cuts)), F.lit(False))
-    span = F.when(chosen, F.struct("kind_id", F.col("start").cast("long"), F.col("end").cast("long"), "base"))
+    span = F.when(chosen, F.struct("kind_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "base"))
     taken = found.groupBy("_row").agg(F.first("_kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list(span)).alias("spans"))
-    return plain.unionByName(taken.select("kept", F.col("spans").cast("array<struct<kind_id:int,start:long,end:long,base:boolean>>").alias("spans")))
+    base = F.filter("spans", lambda s: s["base"])
+    new = lambda s: s["base"] | ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+    taken = taken.withColumn("_base", base).select("kept", F.filter("spans", new).cast("array<struct<kind_id:int,start:long,end:long,base:boolean>>").alias("spans"))
+    return plain.unionByName(taken)
 
 
 def redacted(docs: DataFrame, model: tuple[str, Sequence[float]], text_col: str = "text") -> DataFrame:
