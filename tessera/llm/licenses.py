@@ -27,24 +27,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
 
-#: Notices by which works name their licence, and the openings of licence texts.
+#: Notices by which works name their licence, and openings and later passages of licence texts.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "GPL-2.0": [
@@ -55,6 +58,7 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -93,11 +97,13 @@ class Matcher:
         own = {w for w in self.vocabulary if len(w) > 1 and w not in STOP}
         held = {w: min(counts.get(w, 0), max(1, RARE * total)) if w in own else counts.get(w, 0) for w in self.vocabulary}
         self.idf = np.array([math.log((total + 1) / (held[w] + 1)) + 1 for w in self.vocabulary])
-        weights = np.zeros((len(lists), len(self.vocabulary)))
-        for row, words in zip(weights, lists, strict=True):
+        #: Of each term the templates that hold it, and its weights there.
+        held_by: dict[bytes, list[tuple[int, float]]] = {}
+        for t, words in enumerate(lists):
+            length = math.sqrt(sum((n * self.idf[self.vocabulary[w]]) ** 2 for w, n in words.items()))
             for w, n in words.items():
-                row[self.vocabulary[w]] = n * self.idf[self.vocabulary[w]]
-        self.weights = weights / np.linalg.norm(weights, axis=1, keepdims=True)
+                held_by.setdefault(w.encode(), []).append((t, n * self.idf[self.vocabulary[w]] / length))
+        self.postings = {w: (np.array([t for t, _ in p]), self.idf[self.vocabulary[w.decode()]] * np.array([x for _, x in p])) for w, p in held_by.items()}
         self.places = {w.encode(): k for w, k in self.vocabulary.items()}
         self.squares = {w: float(self.idf[k]) ** 2 for w, k in self.places.items()}
         self.own = frozenset(w.encode() for w in own)
@@ -105,15 +111,15 @@ class Matcher:
 
     def best(self, counted: Counter) -> tuple[float, int]:
         """The greatest cosine of a text's words to a template, and that template."""
-        x, rest = np.zeros(len(self.vocabulary)), 0.0
+        dots, square = np.zeros(len(self.names)), 0.0
         for w, n in counted.items():
-            k = self.places.get(w)
-            if k is None:
-                rest += (n * self.unknown) ** 2
+            posting = self.postings.get(w)
+            if posting is None:
+                square += (n * self.unknown) ** 2
             else:
-                x[k] = n * self.idf[k]
-        norm = math.sqrt(float(x @ x) + rest)
-        cosines = self.weights @ x / norm if norm else np.zeros(len(self.weights))
+                dots[posting[0]] += n * posting[1]
+                square += n * n * self.squares[w]
+        cosines = dots / math.sqrt(square) if square else dots
         k = int(cosines.argmax())
         return round(float(cosines[k]), 9), k
 

@@ -340,6 +340,35 @@ def test_every_template_is_its_own_best_match():
     assert matcher.scan(b"")[0] is None and matcher.scan("für die the of 日本".encode())[0] is None
 
 
+def test_scans_match_plain_cosines():
+    """Similarities against vectors written out; every line by itself and the whole text, where lines with a licence's words stand apart."""
+    rng, common = np.random.default_rng(4), "the of to in and a is".split()
+    counts = {w: 700 for w in common} | {"software": 30, "license": 40}
+    matcher = licenses.Matcher(licenses.TEMPLATES, 1000, counts)
+    weight = lambda w: float(matcher.idf[matcher.vocabulary[w]]) if w in matcher.vocabulary else matcher.unknown
+    vector = lambda text: {w: n * weight(w) for w, n in Counter(licenses.terms(text)).items()}
+    length = lambda v: sum(x * x for x in v.values()) ** 0.5
+    cosine = lambda u, v: sum(x * v.get(w, 0) for w, x in u.items()) / (length(u) * length(v)) if u and v else 0.0
+    templates = [(name, vector(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    sources = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.integers(1, 4)):
+            words = sources[rng.integers(0, len(sources))].split()
+            words = [w for w in words if rng.random() < 0.9] + [f"word{rng.integers(0, 99)}" for _ in range(rng.integers(0, 6))]
+            lines += [" ".join(words), "plain words between them"]
+        text = "\n".join(lines)
+        best = lambda t: max(((round(cosine(vector(t), v), 9), name) for name, v in templates), key=lambda x: x[0])
+        whole, each = best(text), [best(x) for x in lines]
+        top = max([whole, *each], key=lambda x: x[0])
+        licence, similarity, _, of_whole = matcher.scan(text.encode())
+        assert abs(of_whole - whole[0]) < 1e-8
+        if top[0] >= licenses.NOTICE:
+            assert abs(similarity - top[0]) < 1e-8 and licence in {n for s, n in [whole, *each] if abs(s - top[0]) < 1e-8}
+        elif whole[0] < licenses.FILE:
+            assert licence is None
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_common_notices_are_found(spark, every):
     """A notice in all or a third of the rows, on a line of its own, behind other words, or over two lines between prose."""
