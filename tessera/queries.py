@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rendering_sql
 from .functions import scalars as s
 from .operators import relations as r
 from .plans import documents as d
@@ -515,6 +516,8 @@ a AS (SELECT job, string_agg(concat('    <animation index="', index, '" name="',
 SELECT job, concat('<?xml version="1.0" encoding="UTF-8"?>\n<layout multipack="false" scale="1" extrude="0">\n  <atlases>\n    <atlas index="0" width="', aw, '" height="', ah, '" path="atlas_0.png">\n      <sprites>\n        ', body, '\n      </sprites>\n    </atlas>\n  </atlases>\n', CASE WHEN anims IS NULL THEN '' ELSE concat('  <animations>\n', anims, '\n  </animations>\n') END, '</layout>\n') AS content FROM b JOIN size USING (job) LEFT JOIN a USING (job)""",
 }
 
+RENDER_SQL |= rendering_sql.renderings(DOC) | {"unity.meta": rendering_sql.unity_meta(DOC, d.indented(d.META_IMPORT, 2))}
+
 
 def _renderings() -> None:
     for kind in d.RENDERINGS:
@@ -528,7 +531,7 @@ def _renderings() -> None:
 _renderings()
 
 
-@query()
+@query(rendering_sql.unity_anim(DOC))
 def render_unity_anim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unity_anims(docs(spark, sf_dir))
 
