@@ -28,19 +28,27 @@ def carve(free: list[Free], x: int, y: int, w: int, h: int) -> list[Free]:
     """The free rectangles once (x, y, w, h) is taken.
 
     What is left of a rectangle at the sides keeps its full height, what is left above and below
-    only the breadth that was cut; rectangles within others are dropped.
+    only the breadth that was cut; rectangles within others are dropped.  Of those given none lies
+    within another, so only the pieces need a look.
     """
+    right, below = x + w, y + h
+    whole = [f for f in free if x >= f[0] + f[2] or f[0] >= right or y >= f[1] + f[3] or f[1] >= below]
+    if len(whole) == len(free):
+        return free
+    pieces: list[Free] = []
     out: list[Free] = []
     for f in free:
         fx, fy, fw, fh = f
-        if x >= fx + fw or fx >= x + w or y >= fy + fh or fy >= y + h:
-            rest = (f,)
-        else:
-            a, b = max(fx, x), min(fx + fw, x + w)
-            rest = ((fx, fy, x - fx, fh), (x + w, fy, fx + fw - x - w, fh), (a, fy, b - a, y - fy), (a, y + h, b - a, fy + fh - y - h))
-        for r in rest:
-            if r[2] > 0 and r[3] > 0 and not any(within(r, o) for o in out):
-                out = [o for o in out if not within(o, r)]
+        fr, fb = fx + fw, fy + fh
+        if x >= fr or fx >= right or y >= fb or fy >= below:
+            out.append(f)
+            continue
+        a, b = max(fx, x), min(fr, right)
+        for r in ((fx, fy, x - fx, fh), (right, fy, fr - right, fh), (a, fy, b - a, y - fy), (a, below, b - a, fb - below)):
+            if r[2] > 0 and r[3] > 0 and not any(within(r, o) for o in whole) and not any(within(r, o) for o in pieces):
+                if inner := [o for o in pieces if within(o, r)]:
+                    pieces, out = [o for o in pieces if o not in inner], [o for o in out if o not in inner]
+                pieces.append(r)
                 out.append(r)
     return out
 
@@ -57,9 +65,14 @@ def best_spot(free: list[Free], w: int, h: int, turn: bool, judge: Callable) ->
     return best
 
 
-def maxrects(boxes: list[Box], width: int, height: int, heuristic: str = "short_side", turn: bool = False, partial: bool = False, taken: list[Free] | None = None) -> list[Spot | None] | None:
-    """Maximal rectangles; None if a box finds no room, unless partial. taken: what is occupied beforehand."""
+#: Whether an atlas of some width and height can't become a wanted one any more; both only grow while boxes are placed.
+Beyond = Callable[[int, int], bool]
+
+
+def maxrects(boxes: list[Box], width: int, height: int, heuristic: str = "short_side", turn: bool = False, partial: bool = False, taken: list[Free] | None = None, beyond: Beyond | None = None) -> list[Spot | None] | None:
+    """Maximal rectangles; None if a box finds no room, unless partial, or what is used goes beyond. taken: what is occupied beforehand."""
     free, judge, out = [(0, 0, width, height)], HEURISTICS[heuristic], []
+    wide = tall = 0
     for t in taken or ():
         free = carve(free, *t)
     for w, h in boxes:
@@ -71,6 +84,10 @@ def maxrects(boxes: list[Box], width: int, height: int, heuristic: str = "short_
             continue
         _, x, y, bw, bh, turned = spot
         out.append((x, y, turned))
+        if beyond:
+            wide, tall = max(wide, x + bw), max(tall, y + bh)
+            if beyond(wide, tall):
+                return None
         free = carve(free, x, y, bw, bh)
     return out
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.kernels import HEURISTICS, extent, guillotine, maxrects, shelf
+from ..operators.kernels import HEURISTICS, Beyond, extent, guillotine, maxrects, shelf
 from ..operators.relations import ORDERS, best_candidates, layout_stats, ranked
 
 #: Fixed values of the guided search: multiples of the step that are tried around each anchor.
@@ -135,40 +135,57 @@ def pot_candidates(sized: DataFrame, limits: Limits) -> DataFrame:
     return rows.select("job", "_at", "_s.*", F.posexplode(tries).alias("_k", "order")).select("job", (F.col("_at") * 8 + F.col("_k")).cast("long").alias("cand"), "width", "height", "order", F.lit("guillotine").alias("method"))
 
 
-def pack_one(sprites: list, cand: dict, limits: Limits) -> tuple[list, list] | None:
-    """(ordered sprites, placements) of one candidate."""
-    ordered = in_order(sprites, cand["order"], limits.stable)
-    boxes = [(s["w"] + limits.gap, s["h"] + limits.gap) for s in ordered]
+def pack_one(ordered: list, boxes: list, cand: dict, limits: Limits, beyond: Beyond | None = None) -> list | None:
+    """The places that one candidate gives the boxes of ordered sprites; None if they don't fit, or go beyond what is wanted."""
     if cand["method"] == "shelf":
-        spots = shelf(boxes, cand["width"], limits.rotate)
-    elif cand["method"] == "guillotine":
-        spots = guillotine(boxes, cand["width"], cand["height"], limits.rotate)
-    else:
-        spots = maxrects(boxes, cand["width"], limits.max_height, cand["method"], limits.rotate)
-    return None if spots is None else (ordered, spots)
+        return shelf(boxes, cand["width"], limits.rotate)
+    if cand["method"] == "guillotine":
+        return guillotine(boxes, cand["width"], cand["height"], limits.rotate)
+    return maxrects(boxes, cand["width"], limits.max_height, cand["method"], limits.rotate, beyond=beyond)
+
+
+def boxed(sprites: list, order: str, limits: Limits) -> tuple[list, list]:
+    ordered = in_order(sprites, order, limits.stable)
+    return ordered, [(s["w"] + limits.gap, s["h"] + limits.gap) for s in ordered]
+
+
+#: What a finished or growing atlas is judged by, smallest first; the first two never fall while boxes are placed.
+JUDGED: dict[str, Callable[[int, int], tuple]] = {
+    "gpu": lambda w, h: (max(w, h), w * h, abs(w - h), w),
+    "space": lambda w, h: (w * h, max(w, h), abs(w - h), w),
+}
 
 
-def tried(job_rows: DataFrame, candidates: DataFrame, limits: Limits, each: int = 16) -> DataFrame:
-    """candidates with the width and height they came to; those without room are left out."""
+def tried(job_rows: DataFrame, candidates: DataFrame, limits: Limits, goal: str, each: int = 64) -> DataFrame:
+    """The best of each chunk of candidates, with the width and height it came to; those without room are left out.
+
+    A candidate is given up once its atlas is larger than one of the chunk before it.
+    """
     fields = ["cand", "width", *(["height"] if "height" in candidates.columns else []), "order", "method"]
     listed = candidates.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / each).cast("int")), lambda k: F.slice("_all", k * each + 1, F.lit(each)))
     work = job_rows.join(listed, "job").select("job", "sprites", F.explode(chunks).alias("cands"))
     work = work.repartition(work.sparkSession.sparkContext.defaultParallelism * 4)
+    judged = JUDGED[goal]
+
+    def best_of(sprites: list, cands: list) -> tuple | None:
+        best, rank, orders = None, None, {}
+        beyond = lambda w, h: rank is not None and judged(w, h)[:2] > rank[:2]
+        for cand in cands:
+            if cand["order"] not in orders:
+                orders[cand["order"]] = boxed(sprites, cand["order"], limits)[1]
+            boxes = orders[cand["order"]]
+            spots = pack_one(sprites, boxes, cand, limits, beyond)
+            if spots:
+                w, h = (cand["width"], cand["height"]) if cand["method"] == "guillotine" else extent(boxes, spots)
+                if h <= limits.max_height and (rank is None or judged(w, h) < rank):
+                    rank, best = judged(w, h), (cand["cand"], cand["width"], cand["height"] if "height" in fields else None, cand["order"], cand["method"], w, h)
+        return best
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for job, sprites, cands in zip(frame["job"], frame["sprites"], frame["cands"], strict=True):
-                found = list(sprites)
-                for cand in cands:
-                    packed = pack_one(found, cand, limits)
-                    if packed:
-                        w, h = extent([(s["w"] + limits.gap, s["h"] + limits.gap) for s in packed[0]], packed[1])
-                        if cand["method"] == "guillotine":
-                            w, h = cand["width"], cand["height"]
-                        if h <= limits.max_height:
-                            out.append((job, cand["cand"], cand["width"], cand.get("height"), cand["order"], cand["method"], w, h))
+            found = [(job, best_of(list(sprites), cands)) for job, sprites, cands in zip(frame["job"], frame["sprites"], frame["cands"], strict=True)]
+            out = [(job, *best) for job, best in found if best]
             yield pd.DataFrame(out, columns=["job", "cand", "at_width", "at_height", "order", "method", "width", "height"]).astype({"at_height": "Int32"})
 
     return work.mapInPandas(run, "job long, cand long, at_width int, at_height int, order string, method string, width int, height int")
@@ -182,7 +199,8 @@ def placed(job_rows: DataFrame, best: DataFrame, limits: Limits) -> DataFrame:
             out = []
             for row in frame.to_dict("records"):
                 cand = {"width": row["at_width"], "height": row["at_height"], "order": row["order"], "method": row["method"]}
-                ordered, spots = pack_one(list(row["sprites"]), cand, limits)
+                ordered, boxes = boxed(list(row["sprites"]), cand["order"], limits)
+                spots = pack_one(ordered, boxes, cand, limits)
                 out += [(row["job"], s["seq"], 0, x, y, *((s["h"], s["w"]) if turned else (s["w"], s["h"])), turned) for s, (x, y, turned) in zip(ordered, spots, strict=True)]
             yield pd.DataFrame(out, columns=[f.split()[0] for f in PLACED.split(", ")])
 
@@ -191,7 +209,7 @@ def placed(job_rows: DataFrame, best: DataFrame, limits: Limits) -> DataFrame:
 
 def searched(sprites: DataFrame, candidates: Callable[[DataFrame, Limits], DataFrame], limits: Limits, goal: str) -> DataFrame:
     rows = jobs(sprites)
-    return placed(rows, best_candidates(tried(rows, candidates(bounds(sprites, limits), limits), limits), goal), limits)
+    return placed(rows, best_candidates(tried(rows, candidates(bounds(sprites, limits), limits), limits, goal), goal), limits)
 
 
 def compact(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu") -> DataFrame:  # noqa: B008
@@ -258,6 +276,10 @@ def multipack(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu",
     Best for gpu: most sprites, then most of their area, then the smaller atlas; for space the area comes first.
     """
 
+    def ranked_by(packed: list, w: int, h: int) -> tuple:
+        area = sum(s["w"] * s["h"] for s in packed)
+        return ((-len(packed), -area) if goal == "gpu" else (-area, -len(packed))) + JUDGED[goal](w, h)
+
     def place(found: list) -> list[tuple]:
         left, out, atlas = found, [], 0
         while left:
@@ -268,16 +290,15 @@ def multipack(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu",
             if pot:
                 widths = sorted({p for w in widths if (p := 1 << (w - 1).bit_length()) <= limits.max_width})
             for order in (*ORDERS, "none") if limits.order is None else (limits.order,):
-                ordered = in_order(left, order, limits.stable)
-                boxes = [(s["w"] + limits.gap, s["h"] + limits.gap) for s in ordered]
+                ordered, boxes = boxed(left, order, limits)
                 for width in widths:
+                    # No more of the sprites' area can be packed than the atlas has.
+                    if best is not None and goal == "space" and width * limits.max_height < -best[0][0]:
+                        continue
                     for method in HEURISTICS:
                         spots = maxrects(boxes, width, limits.max_height, method, limits.rotate, partial=True)
-                        w, h = extent(boxes, spots)
                         packed = [s for s, p in zip(ordered, spots, strict=True) if p]
-                        area = sum(s["w"] * s["h"] for s in packed)
-                        size = (max(w, h), w * h) if goal == "gpu" else (w * h, max(w, h))
-                        rank = (-len(packed), -area, *size) if goal == "gpu" else (-area, -len(packed), *size)
+                        rank = ranked_by(packed, *extent(boxes, spots))
                         if packed and (best is None or rank < best[0]):
                             best = rank, ordered, spots
             if best is None:
