@@ -40,10 +40,6 @@ def gif_size(data: bytes) -> tuple[int, int] | None:
     return struct.unpack("<HH", data[6:10]) if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10 else None
 
 
-def image_size(data: bytes) -> tuple[int, int] | None:
-    return png_size(data) or bmp_size(data) or gif_size(data)
-
-
 def unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     """Rows of a PNG with their filters undone."""
     out = np.zeros((height, stride), np.uint8)
@@ -74,8 +70,23 @@ def unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+#: First column and row, and steps, of the passes of an interlaced file.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def samples(raw: bytes, w: int, h: int, n: int, depth: int) -> tuple[np.ndarray, int]:
+    """The (h, w, n) samples of one pass, and how many bytes it took."""
+    stride = (w * n * depth + 7) // 8
+    rows = unfiltered(raw, h, stride, max(1, n * depth // 8))
+    if depth == 16:
+        rows = rows.view(">u2")
+    elif depth < 8:
+        rows = np.packbits(np.unpackbits(rows, axis=1).reshape(h, -1, depth), axis=2)[..., 0] >> (8 - depth)
+    return rows[:, : w * n].reshape(h, w, n), h * (stride + 1)
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """An RGBA image of shape (height, width, 4) of an 8-bit file that isn't interlaced."""
+    """An RGBA image of shape (height, width, 4); of 16 bits the upper 8 are kept."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG file")
     at, parts, palette, clear = 8, [], None, None
@@ -84,28 +95,38 @@ def read_png(data: bytes) -> np.ndarray:
         body = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             w, h, depth, color, _, _, laced = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or laced or color not in CHANNELS:
-                raise ValueError("only 8-bit files without interlacing")
+            if depth not in (1, 2, 4, 8, 16) or color not in CHANNELS:
+                raise ValueError(f"PNG with {depth} bits and colour type {color}")
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            clear = np.frombuffer(body, np.uint8)
+            clear = body
         elif kind == b"IDAT":
             parts.append(body)
         at += 12 + size
-    n = CHANNELS[color]
-    rows = unfiltered(zlib.decompress(b"".join(parts)), h, w * n, n).reshape(h, w, n)
+    n, raw = CHANNELS[color], zlib.decompress(b"".join(parts))
+    if laced:
+        found = np.zeros((h, w, n), np.uint16)
+        for x, y, dx, dy in PASSES:
+            pw, ph = -(-(w - x) // dx), -(-(h - y) // dy)
+            if pw > 0 and ph > 0:
+                found[y::dy, x::dx], used = samples(raw, pw, ph, n, depth)
+                raw = raw[used:]
+    else:
+        found = samples(raw, w, h, n, depth)[0]
     out = np.full((h, w, 4), 255, np.uint8)
     if color == 3:
-        out[..., :3] = palette[rows[..., 0]]
+        index = found[..., 0].astype(np.uint8)
+        out[..., :3] = palette[index]
         if clear is not None:
             alpha = np.full(256, 255, np.uint8)
-            alpha[: len(clear)] = clear
-            out[..., 3] = alpha[rows[..., 0]]
-    elif color in (0, 4):
-        out[..., :3] = rows[..., :1]
-        if color == 4:
-            out[..., 3] = rows[..., 1]
-    else:
-        out[..., :n] = rows
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+            out[..., 3] = alpha[index]
+        return out
+    if clear is not None:  # one colour stands for clear
+        out[(found == np.frombuffer(clear, ">u2")[:n]).all(axis=2), 3] = 0
+    eight = (found >> 8 if depth == 16 else found * (255 // ((1 << depth) - 1))).astype(np.uint8)
+    out[..., :3] = eight[..., :1] if n < 3 else eight[..., :3]
+    if color in (4, 6):
+        out[..., 3] = eight[..., -1]
     return out

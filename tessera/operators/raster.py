@@ -122,59 +122,121 @@ def keyed_out(pixels: np.ndarray, near: int = 15) -> tuple[np.ndarray, str | Non
     return out, "".join(f"{c:02x}" for c in key)
 
 
+#: Of the eight neighbours, those that follow a pixel: right, below left, below, below right.
+FOLLOWING = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def shifted(a: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels that have a neighbour at (dy, dx), and those neighbours."""
+    h, w = a.shape[:2]
+    return a[: h - dy, max(0, -dx) : w - max(0, dx)], a[dy:, max(0, dx) : w + min(0, dx)]
+
+
+def merged(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n things, linked in pairs (a, b), the smallest one that it hangs together with."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        left = label[a] != label[b]
+        a, b = a[left], b[left]
+    return label
+
+
+def labelled(linked: list[tuple[int, int, np.ndarray]], h: int, w: int) -> np.ndarray:
+    """A label for each pixel, equal where pixels hang together.
+
+    linked says, for each step (dy, dx), which of the pixels that have such a neighbour are joined with
+    it; stretches along a row are found first, so that only they are linked to one another.
+    """
+    starts = np.ones((h, w), bool)
+    for dy, dx, joined_ in linked:
+        if (dy, dx) == (0, 1):
+            starts[:, 1:] = ~joined_
+    run = (np.cumsum(starts.reshape(-1)) - 1).reshape(h, w)
+    n = int(run[-1, -1]) + 1
+    pairs = np.unique(np.concatenate([fro[joined_] * n + to[joined_] for dy, dx, joined_ in linked if dy for fro, to in (shifted(run, dy, dx),)]))
+    return merged(n, pairs // n, pairs % n)[run]
+
+
+def extents(label: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each label among the pixels `where`, in the order they are met: (label, count, x0, y0, x1, y1), and the places of the labels."""
+    ys, xs = np.nonzero(where)
+    names, first, place = np.unique(label[ys, xs], return_index=True, return_inverse=True)
+    met = np.argsort(first, kind="stable")
+    place = np.argsort(met, kind="stable")[place]
+    out = np.zeros((len(names), 6), np.int64)
+    out[:, 0], out[:, 1] = names[met], np.bincount(place, minlength=len(names))
+    for column, of, values in ((2, np.minimum, xs), (3, np.minimum, ys), (4, np.maximum, xs), (5, np.maximum, ys)):
+        out[:, column] = 1 << 40 if of is np.minimum else -1
+        of.at(out[:, column], place, values)
+    return out, place
+
+
 def components(pixels: np.ndarray, tolerance: int = 1, least: int = 4, most: int = 10_000) -> list[tuple[int, int, int, int]]:
     """Rectangles x, y, w, h of what hangs together, largest first.
 
     A component starts at an opaque pixel and grows to all eight neighbours that are opaque or whose
-    colour is nearer to the pixel it comes from than the tolerance; smaller ones are left out.
+    colour is nearer to the pixel it comes from than the tolerance; smaller ones are left out.  So
+    opaque areas and transparent ones of like colours are whole; an opaque area enters a transparent
+    one only by a like colour, but a transparent one leads to every opaque one at its border.
     """
     h, w = pixels.shape[:2]
-    solid, colour = (pixels[..., 3] != 0).tolist(), pixels[..., :3].astype(int).tolist()
-    seen, found = [[False] * w for _ in range(h)], []
-    for sy in range(h):
-        for sx in range(w):
-            if not solid[sy][sx] or seen[sy][sx]:
-                continue
-            stack, seen[sy][sx] = [(sx, sy)], True
-            x0 = x1 = sx
-            y0 = y1 = sy
-            count = 0
-            while stack:
-                x, y = stack.pop()
-                count += 1
-                x0, x1, y0, y1 = min(x0, x), max(x1, x), min(y0, y), max(y1, y)
-                own = colour[y][x]
-                for ny in range(max(0, y - 1), min(h, y + 2)):
-                    for nx in range(max(0, x - 1), min(w, x + 2)):
-                        if not seen[ny][nx] and (solid[ny][nx] or sum(abs(a - b) for a, b in zip(own, colour[ny][nx], strict=True)) < tolerance):
-                            seen[ny][nx] = True
-                            stack.append((nx, ny))
-            if count >= least:
-                found.append((-((x1 - x0 + 1) * (y1 - y0 + 1)), len(found), (x0, y0, x1 - x0 + 1, y1 - y0 + 1)))
+    if not h or not w:
+        return []
+    solid, colour = pixels[..., 3] != 0, pixels[..., :3].astype(np.int32)
+    linked, across = [], []
+    for dy, dx in FOLLOWING:
+        (a, b), (p, q) = shifted(solid, dy, dx), shifted(colour, dy, dx)
+        like = np.abs(p - q).sum(axis=-1) < tolerance
+        linked.append((dy, dx, (a & b) | (~a & ~b & like)))
+        across.append((dy, dx, a != b, like))
+    label = labelled(linked, h, w)
+    areas, place = extents(label, np.ones_like(solid))
+    place, n = place.reshape(h, w), len(areas)
+    opaque = np.zeros(n, bool)
+    opaque[place[solid]] = True
+    leads: dict[int, set[int]] = {}
+    for dy, dx, border, like in across:
+        fro, to = shifted(place, dy, dx)
+        for pair in np.unique((fro[border] * n + to[border]) * 2 + like[border]).tolist():
+            x, y = divmod(pair >> 1, n)
+            clear, full = (y, x) if opaque[x] else (x, y)
+            leads.setdefault(clear, set()).add(full)
+            if pair & 1:
+                leads.setdefault(full, set()).add(clear)
+    found, seen = [], np.zeros(len(areas), bool)
+    for start in np.flatnonzero(opaque):
+        if seen[start]:
+            continue
+        group, stack = [], [int(start)]
+        seen[start] = True
+        while stack:
+            group.append(stack.pop())
+            for k in leads.get(group[-1], ()):
+                if not seen[k]:
+                    seen[k] = True
+                    stack.append(k)
+        own = areas[group]
+        x0, y0, x1, y1 = (int(v) for v in (own[:, 2].min(), own[:, 3].min(), own[:, 4].max(), own[:, 5].max()))
+        if own[:, 1].sum() >= least:
+            found.append((-((x1 - x0 + 1) * (y1 - y0 + 1)), len(found), (x0, y0, x1 - x0 + 1, y1 - y0 + 1)))
     return [f[2] for f in sorted(found)[:most]]
 
 
 def bordered(pixels: np.ndarray, colour: tuple[int, int, int] = (255, 0, 255), near: int = 30, least: int = 4, most: int = 10_000) -> list[tuple[int, int, int, int]]:
     """Rectangles within frames drawn in a colour, in the order they are met; the border itself is left off."""
     marked = np.abs(pixels[..., :3].astype(int) - np.array(colour)).sum(axis=-1) < near
-    h, w = marked.shape
-    seen, found = np.zeros_like(marked), []
-    for sy, sx in zip(*np.nonzero(marked), strict=True):
-        if seen[sy, sx]:
-            continue
-        stack, box = [(sx, sy)], [sx, sy, sx, sy]
-        seen[sy, sx] = True
-        while stack:
-            x, y = stack.pop()
-            box = [min(box[0], x), min(box[1], y), max(box[2], x), max(box[3], y)]
-            for nx, ny in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
-                if 0 <= nx < w and 0 <= ny < h and marked[ny, nx] and not seen[ny, nx]:
-                    seen[ny, nx] = True
-                    stack.append((nx, ny))
-        if (box[2] - box[0] + 1) * (box[3] - box[1] + 1) >= least:
-            found.append([int(box[0]), int(box[1]), int(box[2] - box[0] + 1), int(box[3] - box[1] + 1)])
-    merged = joined(found)[:most]
-    return [(x + 1, y + 1, w - 2, h - 2) for x, y, w, h in merged if w > 2 and h > 2]
+    if not marked.any():
+        return []
+    label = labelled([(dy, dx, np.logical_and(*shifted(marked, dy, dx))) for dy, dx in ((0, 1), (1, 0))], *marked.shape)
+    boxes, _ = extents(label, marked)
+    found = [[x0, y0, x1 - x0 + 1, y1 - y0 + 1] for _, _, x0, y0, x1, y1 in boxes.tolist() if (x1 - x0 + 1) * (y1 - y0 + 1) >= least]
+    frames = joined(found)[:most]
+    return [(x + 1, y + 1, w - 2, h - 2) for x, y, w, h in frames if w > 2 and h > 2]
 
 
 def joined(boxes: list[list[int]]) -> list[tuple[int, int, int, int]]:

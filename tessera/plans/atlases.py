@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import check_index_pattern
 from ..operators import raster
-from ..operators.png import read_png, write_png
+from ..operators.pictures import read_image
+from ..operators.png import write_png
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,12 @@ def drawn(sprites: Iterable[dict], width: int, height: int, finish: Finish) -> b
     atlas = np.zeros((height, width, 4), np.uint8)
     places = []
     for s in sprites:
-        pixels = read_png(bytes(s["content"]))
+        pixels = read_image(bytes(s["content"]))
         full_h, full_w = pixels.shape[:2]
+        if min(s["trim_left"], s["trim_top"], s["trim_right"], s["trim_bottom"]) < 0 or s["trim_left"] + s["trim_right"] >= full_w or s["trim_top"] + s["trim_bottom"] >= full_h:
+            raise ValueError(f"{s['path']}: trims leave nothing of {full_w} by {full_h} pixels")
+        if min(s["x"], s["y"]) < 0 or s["x"] + s["w"] > width or s["y"] + s["h"] > height:
+            raise ValueError(f"{s['path']}: outside its atlas of {width} by {height} pixels")
         pixels = pixels[s["trim_top"] : full_h - s["trim_bottom"], s["trim_left"] : full_w - s["trim_right"]]
         w, h = (s["h"], s["w"]) if s["rotated"] else (s["w"], s["h"])
         pixels = raster.quantised(raster.resampled(pixels, w, h, finish.scale_filter), s.get("colors") or 0, bool(s.get("dither")))
@@ -65,18 +70,41 @@ def drawn(sprites: Iterable[dict], width: int, height: int, finish: Finish) -> b
 
 
 def composed(sprites: DataFrame, atlases: DataFrame, files: DataFrame, finish: Finish = Finish(), job: str = "job") -> DataFrame:  # noqa: B008
-    """job, atlas_index and content of every atlas: sprites (path, place, trims) meet their files (path, content)."""
+    """job, atlas_index, content and error of every atlas: sprites (path, place, trims) meet their files (path, content).
+
+    An atlas of which a file can't be read, or a sprite's trims or place don't fit, has an error only.
+    """
     keys = [job, "atlas_index"]
     optional = [c for c in ("colors", "dither") if c in sprites.columns]
     rows = sprites.join(files.select("path", "content"), "path").join(atlases.select(*keys, "width", "height"), keys)
-    rows = rows.select(*keys, "width", "height", "seq", "x", "y", "w", "h", "trim_left", "trim_top", "trim_right", "trim_bottom", "rotated", *optional, "content")
+    rows = rows.select(*keys, "width", "height", "seq", "x", "y", "w", "h", "trim_left", "trim_top", "trim_right", "trim_bottom", "rotated", *optional, "path", "content")
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("seq").to_dict("records")
-        first = ordered[0]
-        return pd.DataFrame({job: [first[job]], "atlas_index": [first["atlas_index"]], "content": [drawn(ordered, first["width"], first["height"], finish)]})
+        first, content, error = ordered[0], None, None
+        try:
+            content = drawn(ordered, first["width"], first["height"], finish)
+        except Exception as e:  # whatever a broken file leads to is that atlas's result
+            error = f"{type(e).__name__}: {e}"[:200]
+        return pd.DataFrame({job: [first[job]], "atlas_index": [first["atlas_index"]], "content": [content], "error": [error]})
+
+    return rows.groupBy(*keys).applyInPandas(draw, f"{job} long, atlas_index int, content binary, error string")
+
+
+def at_index(atlases: DataFrame, index: int) -> DataFrame:
+    """Of each job the atlas with this index."""
+    return atlases.where(F.col("atlas_index") == index)
+
+
+def tarred(cut: DataFrame) -> DataFrame:
+    """file, content and error: for each sheet a tar of its frames, as cut_frames gives them by name; one bad frame stops its sheet's."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        bad = [e for e in frame["error"] if e is not None]
+        named = sorted((n, bytes(c)) for n, c in zip(frame["name"], frame["content"], strict=True) if c is not None)
+        return pd.DataFrame({"file": [frame["file"].iloc[0]], "content": [None if bad else bundle(named)], "error": [bad[0] if bad else None]})
 
-    return rows.groupBy(*keys).applyInPandas(draw, f"{job} long, atlas_index int, content binary")
+    return cut.groupBy("file").applyInPandas(one, "file string, content binary, error string")
 
 
 def bundle(files: Iterable[tuple[str, bytes]]) -> bytes:
@@ -97,24 +125,28 @@ def atlas_name(pattern: str, index: int) -> str:
 
 # Sheets.
 
-FRAMES = "file string, index int, x int, y int, w int, h int, background string"
+FRAMES = "file string, index int, x int, y int, w int, h int, background string, error string"
 
 
 def found_frames(sheets: DataFrame, bordered: bool = False, colour: tuple[int, int, int] = (255, 0, 255), tolerance: int = 1, least: int = 4, most: int = 10_000) -> DataFrame:
-    """Frames of sheets (path, content): what hangs together on the background, or stands within drawn borders."""
+    """Frames of sheets (path, content): what hangs together on the background, or stands within drawn borders. A sheet that can't be read gives a row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                pixels = read_png(raster.unmasked(bytes(content)))
+                try:
+                    pixels = read_image(raster.unmasked(bytes(content)))
+                except Exception as e:  # whatever a broken file leads to is that file's result
+                    out.append((path, *[None] * 6, f"{type(e).__name__}: {e}"[:200]))
+                    continue
                 if bordered:
                     boxes, background = raster.bordered(pixels, colour, least=least, most=most), None
                 else:
                     pixels, background = raster.keyed_out(pixels)
                     boxes = raster.components(pixels, tolerance, least, most)
-                out += [(path, k, *b, background) for k, b in enumerate(boxes)]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in FRAMES.split(", ")])
+                out += [(path, k, *b, background, None) for k, b in enumerate(boxes)]
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in FRAMES.split(", ")]).astype({c: "Int32" for c in ("index", "x", "y", "w", "h")})
 
     return sheets.select("path", "content").mapInPandas(run, FRAMES)
 
@@ -138,7 +170,11 @@ def cut_frames(sheets: DataFrame, frames: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content, wanted in zip(part["path"], part["content"], part["frames"], strict=True):
-                pixels, out = read_png(raster.unmasked(bytes(content))), []
+                out = []
+                try:
+                    pixels = read_image(raster.unmasked(bytes(content)))
+                except Exception as e:  # whatever a broken file leads to is its frames' result
+                    wanted, out = [], [(path, f["name"], None, f"{type(e).__name__}: {e}"[:200]) for f in wanted]
                 for f in wanted:
                     try:
                         name = safe_name(f["name"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import tarfile
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.png import image_size, read_png
+from ..operators.pictures import image_size, read_image
+from ..operators.png import write_png
 from ..operators.raster import trim_bounds
 
 #: The file types that are looked at.
@@ -60,15 +62,41 @@ def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def archived(archives: DataFrame) -> DataFrame:
-    """The image files within archives (path, modificationTime, content), with paths below the archive's."""
+    """The image files within archives (path, modificationTime, content), with paths below the archive's.
+
+    An archive that can't be read, or not to its end, gives what comes before and a row of its own with the error and no content.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, at, content in zip(frame["path"], frame["modificationTime"], frame["content"], strict=True):
-                for name, data in members(path, content):
-                    yield pd.DataFrame({"path": [f"{path}/{name}"], "modificationTime": [at], "length": [len(data)], "content": [data]})
+                try:
+                    for name, data in members(path, bytes(content)):
+                        yield pd.DataFrame({"path": [f"{path}/{name}"], "modificationTime": [at], "length": [len(data)], "content": [data], "error": [None]})
+                except Exception as e:  # whatever a broken archive leads to is that archive's result
+                    yield pd.DataFrame({"path": [path], "modificationTime": [at], "length": [0], "content": [None], "error": [f"{type(e).__name__}: {e}"[:200]]})
+
+    found = archives.select("path", "modificationTime", "content").mapInPandas(run, "path string, modificationTime timestamp, length long, content binary, error string")
+    return found.where(F.col("error").isNotNull()).unionByName(only_images(found.where("error is null")))
+
+
+def recoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The JPEG files below a folder, which Spark's own image source reads, as (path, length, content) with PNG files for content."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, h, w, n, data in zip(frame["path"], frame["height"], frame["width"], frame["channels"], frame["data"], strict=True):
+                raw = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n)
+                pixels = np.full((h, w, 4), 255, np.uint8)
+                pixels[..., :3] = raw[..., 2::-1] if n >= 3 else raw[..., :1]
+                content = write_png(pixels)
+                out.append((path, len(content), content))
+            yield pd.DataFrame(out, columns=["path", "length", "content"])
 
-    return only_images(archives.select("path", "modificationTime", "content").mapInPandas(run, "path string, modificationTime timestamp, length long, content binary"))
+    read = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder).select("image.*")
+    jpeg = read.where(F.lower(F.regexp_extract("origin", r"\.([^./]+)\z", 1)).isin("jpg", "jpeg"))
+    return jpeg.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data").mapInPandas(run, "path string, length long, content binary")
 
 
 def luma_hash(pixels: np.ndarray) -> int:
@@ -81,11 +109,9 @@ def luma_hash(pixels: np.ndarray) -> int:
 
 
 def content_hash(pixels: np.ndarray) -> int:
-    """64-bit FNV-1a of the pixels, as a signed number."""
-    h = 0xCBF29CE484222325
-    for b in pixels.tobytes():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h - (1 << 64) if h >> 63 else h
+    """A 64-bit digest of the size and the pixels, as a signed number."""
+    digest = hashlib.blake2b(repr(pixels.shape).encode() + pixels.tobytes(), digest_size=8).digest()
+    return int.from_bytes(digest, "big", signed=True)
 
 
 META = "path string, length long, mtime timestamp, w int, h int, trim_left int, trim_top int, trim_right int, trim_bottom int, content_hash long, perceptual_hash long, error string"
@@ -105,7 +131,7 @@ def metadata(files: DataFrame, trim: bool = False, content: bool = False, percep
                 return (*[None] * 8, "unknown format")
             return (*size, 0, 0, 0, 0, None, None, None) if max(size) <= LONGEST_SIDE else (*[None] * 8, "too large")
         try:
-            pixels = read_png(data)
+            pixels = read_image(data)
         except Exception as e:  # whatever a broken file leads to is that file's result
             return (*[None] * 8, f"{type(e).__name__}: {e}"[:200])
         h, w = pixels.shape[:2]

@@ -302,7 +302,7 @@ def picture(h, w, seed=0):
 
 def test_png_round_trip():
     p = picture(7, 5)
-    assert (png.read_png(png.write_png(p)) == p).all() and png.image_size(png.write_png(p)) == (5, 7)
+    assert (png.read_png(png.write_png(p)) == p).all() and png.png_size(png.write_png(p)) == (5, 7)
     with pytest.raises(ValueError):
         png.read_png(b"no")
 
