@@ -54,26 +54,38 @@ def deduplicated(sprites: DataFrame, o: LayoutOptions) -> tuple[DataFrame, DataF
     return rows.where(same).drop("canonical_path"), rows.where(~same).select("job", F.col("path").alias("alias_path"), "canonical_path", "seq")
 
 
-def layout(sprites: DataFrame, o: LayoutOptions, previous: DataFrame | None = None) -> dict[str, DataFrame]:
-    """atlas, sprite, alias and header of every job of sprites (job, seq, path, w, h and trims)."""
+def searched(kept: DataFrame, o: LayoutOptions, limits: layouts.Limits, previous: DataFrame | None, hints: DataFrame | None) -> DataFrame:
+    if previous is not None and o.incremental:
+        return layouts.incremental(kept, previous, limits)
+    if o.mode == "grid":
+        return layouts.grid(kept, limits, o.multipack)
+    if o.multipack:
+        return layouts.multipack(kept, limits, o.optimize, o.mode == "pot")
+    if o.mode == "compact":
+        return layouts.compact(kept, limits, o.optimize, hints)
+    return layouts.power_of_two(kept, limits, o.optimize) if o.mode == "pot" else layouts.fast(kept, limits)
+
+
+def layout(sprites: DataFrame, o: LayoutOptions, previous: DataFrame | None = None, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """atlas, sprite, alias, header and error of every job of sprites (job, seq, path, w, h and trims).
+
+    seeds is the `sprite` table of an earlier run with the same options: jobs that it fits exactly are
+    taken over, and in the others its widths are tried too.  error has the jobs without a layout.
+    """
     kept, alias = deduplicated(sprites, o)
     kept = kept.withColumns({c: scaled(F.col(c), o.whole_scale) for c in "wh"})
     order, stable = o.order
     limits = layouts.Limits(o.max_width or LARGEST, o.max_height or LARGEST, o.padding, o.extrude, o.rotate, order, stable)
-    if previous is not None and o.incremental:
-        placed = layouts.incremental(kept, previous, limits)
-    elif o.mode == "grid":
-        placed = layouts.grid(kept, limits, o.multipack)
-    elif o.multipack:
-        placed = layouts.multipack(kept, limits, o.optimize, o.mode == "pot")
-    elif o.mode == "compact":
-        placed = layouts.compact(kept, limits, o.optimize)
-    elif o.mode == "pot":
-        placed = layouts.power_of_two(kept, limits, o.optimize)
+    if seeds is None:
+        placed = searched(kept, o, limits, previous, None)
     else:
-        placed = layouts.fast(kept, limits)
-    trims = ["trim_left", "trim_top", "trim_right", "trim_bottom"]
-    own = kept.select("job", "seq", "path", *(c if c in kept.columns else F.lit(0).alias(c) for c in trims))
+        same = r.reusable_seeds(kept, seeds, limits.gap)
+        hints = r.tight_bounds(seeds, padding=limits.gap).groupBy("job").agg(F.max("width").alias("hint"))
+        places = seeds.select("job", "path", "atlas_index", "x", "y", "w", "h", "rotated").join(same, "job", "left_semi")
+        reused = kept.select("job", F.col("seq").cast("long").alias("seq"), "path").join(places, ["job", "path"]).drop("path")
+        placed = searched(kept.join(same, "job", "left_anti"), o, limits, previous, hints)
+        placed = placed.unionByName(reused.select(*placed.columns))
+    own = kept.select("job", "seq", "path", *(c if c in kept.columns else F.lit(0).alias(c) for c in r.TRIMS))
     sprite = placed.join(own, ["job", "seq"])
     size = r.tight_bounds(sprite)
     if o.mode == "pot":
@@ -81,7 +93,15 @@ def layout(sprites: DataFrame, o: LayoutOptions, previous: DataFrame | None = No
 
         size = size.withColumns({c: next_power_of_two(F.col(c)).cast("int") for c in ("width", "height")})
     header = size.select("job").distinct().select("job", F.lit(o.whole_scale).alias("scale"), F.lit(o.extrude).alias("extrude"), F.lit(o.multipack).alias("multipack"))
-    return {"atlas": size, "sprite": sprite, "alias": alias, "header": header}
+    return {"atlas": size, "sprite": sprite, "alias": alias, "header": header, "error": unplaced(kept, placed, limits)}
+
+
+def unplaced(kept: DataFrame, placed: DataFrame, limits: layouts.Limits) -> DataFrame:
+    """job and message of the jobs without a layout: the first sprite that no atlas can hold, if there is one."""
+    left = kept.join(placed.select("job").distinct(), "job", "left_anti")
+    large = r.over_limits(left, limits.max_width, limits.max_height, limits.gap, limits.rotate).groupBy("job").agg(F.min_by("path", "seq").alias("_path"))
+    message = F.coalesce(F.concat(F.col("_path"), F.lit(" exceeds the atlas limits")), F.lit("no layout within the limits"))
+    return left.select("job").distinct().join(large, "job", "left").select("job", message.alias("message"))
 
 
 def pack(found: dict[str, DataFrame], files: DataFrame, finish: Finish = Finish()) -> DataFrame:  # noqa: B008
@@ -123,5 +143,19 @@ def folder_sprites(spark: SparkSession, folder: str, o: LayoutOptions, cache: Da
     return source_sprites(named.join(numbers, "_dir").drop("_dir"), o, cache)
 
 
+def sheet_frames(sheets: DataFrame, files: DataFrame) -> DataFrame:
+    """Frames of sheets (path): from the file beside each that has its name and ends in .json or .frames, which are looked for in that order.
+
+    files has path and value, the whole text.  What is JSON by its name or its look is read as that.
+    """
+    stem = lambda c: F.regexp_replace(c, r"[.][^./]*\z", "")
+    kind = F.regexp_extract("path", r"[.]([^./]*)\z", 1)
+    beside = files.where(kind.isin("json", "frames")).select(stem(F.col("path")).alias("_stem"), F.struct((kind != "json").alias("rank"), "path", "value").alias("_f"))
+    found = sheets.select(F.col("path").alias("file")).withColumn("_stem", stem(F.col("file"))).join(beside, "_stem").groupBy("file").agg(F.min("_f").alias("_f"))
+    found = found.select("file", "_f.value", texts.frames_format(F.col("_f.path"), F.col("_f.value")).alias("format"))
+    lined = found.where("format = 'text'").select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return texts.parse_frames_json(found.where("format = 'json'").select("file", "value")).unionByName(texts.parse_frames(lined))
+
+
 frames = atlases.found_frames
 unpack = atlases.cut_frames

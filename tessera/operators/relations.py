@@ -285,9 +285,31 @@ def signature(fingerprints: DataFrame, options: dict) -> DataFrame:
     return fingerprints.withColumn("signature", F.sha2(F.concat_ws("|", "fingerprint", F.lit(said)), 256))
 
 
-def reusable_seeds(sprites: DataFrame, seeds: DataFrame, job: str = "job") -> DataFrame:
-    """Jobs whose stored layout fits their sprites exactly: the same paths once each, equal sizes (turned, if rotated) and trims."""
-    s = seeds.select(job, "path", F.when(F.col("rotated"), F.col("h")).otherwise(F.col("w")).alias("_w"), F.when(F.col("rotated"), F.col("w")).otherwise(F.col("h")).alias("_h"))
-    both = sprites.select(job, "path", "w", "h").join(s, [job, "path"], "full_outer")
-    fits = F.coalesce((F.col("w") == F.col("_w")) & (F.col("h") == F.col("_h")), F.lit(False))
-    return both.groupBy(job).agg(F.min(fits).alias("_all"), F.count("*").alias("_n"), F.count_distinct("path").alias("_d")).where("_all and _n = _d").select(job)
+TRIMS = ("trim_left", "trim_top", "trim_right", "trim_bottom")
+
+
+def reusable_seeds(sprites: DataFrame, seeds: DataFrame, padding: int = 0, job: str = "job") -> DataFrame:
+    """Jobs whose stored layout fits their sprites exactly.
+
+    That is: the same paths once each, equal sizes (turned, if rotated) and trims (0 where a table has
+    none), and places at or right of and below 0 that do not overlap, padding included, if places are stored.
+    """
+    trim = lambda df, c: F.coalesce(F.col(c), F.lit(0)) if c in df.columns else F.lit(0)
+    own = sprites.select(job, "path", "w", "h", *(trim(sprites, c).alias(c) for c in TRIMS))
+    turned_w, turned_h = (F.when(F.col("rotated"), F.col(b)).otherwise(F.col(a)) for a, b in (("w", "h"), ("h", "w")))
+    stored = seeds.select(job, "path", turned_w.alias("_w"), turned_h.alias("_h"), *(trim(seeds, c).alias(f"_{c}") for c in TRIMS))
+    both = own.join(stored, [job, "path"], "full_outer")
+    fits = F.coalesce(reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_{c}") for c in ("w", "h", *TRIMS)]), F.lit(False))
+    same = both.groupBy(job).agg(F.min(fits).alias("_all"), F.count("*").alias("_n"), F.count_distinct("path").alias("_d")).where("_all and _n = _d").select(job)
+    if "x" not in seeds.columns:
+        return same
+    atlas = "atlas_index" if "atlas_index" in seeds.columns else F.lit(0).alias("atlas_index")
+    places = seeds.select(job, atlas, "path", "x", "y", (F.col("w") + padding).alias("w"), (F.col("h") + padding).alias("h"))
+    wrong = overlaps(places, keys=(job, "atlas_index"), name="path").select(job).unionByName(places.where("x < 0 or y < 0").select(job))
+    return same.join(wrong.distinct(), job, "left_anti")
+
+
+def stored_outputs(signed: DataFrame, stored: DataFrame, job: str = "job") -> DataFrame:
+    """signed (job, signature) with `content` and `hit`: what an earlier run stored (signature, content, cached_at) under the signature, the newest."""
+    newest = stored.groupBy("signature").agg(F.max_by("content", "cached_at").alias("content"))
+    return signed.join(newest, "signature", "left").withColumn("hit", F.col("content").isNotNull())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_size, css_name, csv_field, fnv1a, hex16, index_path, stem, unsigned, xml_text
@@ -353,3 +353,17 @@ RENDERINGS: dict[str, tuple[str, str, Callable[[], Column]]] = {
 def rendered(docs: DataFrame, kind: str | Callable[[], Column], job: str = "job") -> DataFrame:
     """job and content; kind is one of RENDERINGS or an expression of one's own."""
     return docs.select(job, (RENDERINGS[kind][2] if isinstance(kind, str) else kind)().alias("content"))
+
+
+def listing(spark: SparkSession, more: dict[str, tuple[str, str, Callable[[], Column]]] | None = None) -> DataFrame:
+    """name, description and extension of the renderings, those given included, by name."""
+    known = {**RENDERINGS, "unity.anim": ("Unity clips, one for each animation", ".anim", None), **(more or {})}
+    rows = [(name, what, extension) for name, (what, extension, _) in sorted(known.items())]
+    return spark.createDataFrame(rows, "name string, description string, extension string").orderBy("name")
+
+
+def output_files(docs: DataFrame, kind: str, stem: str = "atlas", job: str = "job") -> DataFrame:
+    """job, name and content of the files that a rendering comes to: one with its extension, or one for each animation."""
+    if kind == "unity.anim":
+        return unity_anims(docs, job)
+    return rendered(docs, kind, job).select(job, F.lit(stem + RENDERINGS[kind][1]).alias("name"), "content")

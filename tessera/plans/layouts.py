@@ -107,15 +107,16 @@ def guided_widths(hint: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tried, lambda w: (w >= least) & (w <= most))))
 
 
-def compact_candidates(sized: DataFrame, limits: Limits) -> DataFrame:
+def compact_candidates(sized: DataFrame, limits: Limits, hints: DataFrame | None = None) -> DataFrame:
     """job, cand, width, order, method: all orders at the seed width, then the guided ones and a shelf at every width.
 
-    cand is the order in which one thread would try them, which settles ties.
+    hints (job, hint) are widths of earlier layouts, around which is tried too.  cand is the order in
+    which one thread would try them, which settles ties.
     """
     orders = (*ORDERS, "none") if limits.order is None else (limits.order,)
     guided = GUIDED_ORDERS if limits.order is None else (limits.order,)
     tries = lambda names, methods: F.array(*(F.struct(F.lit(o).alias("order"), F.lit(m).alias("method")) for o in names for m in methods))
-    rows = sized.withColumn("_widths", guided_widths())
+    rows = sized.withColumn("_widths", guided_widths()) if hints is None else sized.join(hints, "job", "left").withColumn("_widths", guided_widths(F.col("hint")))
     first = rows.select("job", F.lit(0).alias("_at"), F.col("root").alias("width"), F.posexplode(tries(orders, HEURISTICS)).alias("_k", "_t"))
     rest = rows.select("job", F.posexplode("_widths").alias("_at", "width")).select("job", F.col("_at") + 1, "width", F.posexplode(tries(guided, (*HEURISTICS, "shelf"))).alias("_k", "_t"))
     return first.union(rest).select("job", (F.col("_at") * 64 + F.col("_k")).cast("long").alias("cand"), F.col("width").cast("int").alias("width"), "_t.order", "_t.method")
@@ -212,9 +213,9 @@ def searched(sprites: DataFrame, candidates: Callable[[DataFrame, Limits], DataF
     return placed(rows, best_candidates(tried(rows, candidates(bounds(sprites, limits), limits), limits, goal), goal), limits)
 
 
-def compact(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu") -> DataFrame:  # noqa: B008
+def compact(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu", hints: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """The best of many packings into one atlas per job."""
-    return searched(sprites, compact_candidates, limits, goal)
+    return searched(sprites, lambda sized, own: compact_candidates(sized, own, hints), limits, goal)
 
 
 def power_of_two(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu") -> DataFrame:  # noqa: B008

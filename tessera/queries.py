@@ -543,11 +543,11 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("path"), F.lit(False).alias("trim"), (F.col("user_id") % 50).alias("length"), F.col("user_id").alias("mtime"), F.col("ts").alias("cached_at"), (F.col("event_id") % 3).alias("content_hash"))
 
 
-@query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT 'e' || event_id AS path, ts AS cached_at FROM events, m WHERE ts >= now - INTERVAL 86400 SECOND ORDER BY ts DESC, 'e' || event_id LIMIT 100")
+@query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT 'e' || event_id AS path, ts AS cached_at FROM events, m WHERE ts >= now - INTERVAL 86400 SECOND ORDER BY ts DESC, 'e' || event_id LIMIT 10000")
 def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = cache(spark, sf_dir)
     now = entries.agg(F.max("cached_at")).first()[0]  # one value
-    return r.pruned(entries, F.lit(now), 86_400, 100).select("path", "cached_at")
+    return r.pruned(entries, F.lit(now), 86_400).select("path", "cached_at")
 
 
 @query("SELECT 'e' || event_id AS path, user_id % 50 = event_id % 50 AND event_id % 3 <> 0 AS hit FROM events")
@@ -561,12 +561,19 @@ def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.fingerprint(sprites(spark, sf_dir).withColumnsRenamed({"w": "length", "h": "mtime"}))
 
 
-@query(f"WITH {SPRITE} SELECT job FROM sprite GROUP BY job HAVING max(seq) % 2 = 0")
+@query(f"WITH {SPRITE} SELECT job FROM sprite GROUP BY job HAVING max(seq) % 2 = 0 AND (max(seq) % 3 <> 0 OR count(*) = 1) AND max(seq) % 5 <> 2")
 def seed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts of jobs whose last number is even still fit; of the others one size has changed."""
-    rows = sprites(spark, sf_dir)
-    last = rows.groupBy("job").agg(F.max("seq").alias("_last"))
-    changed = rows.join(last, "job").withColumn("w", F.col("w") + F.when((F.col("_last") % 2 != 0) & (F.col("seq") == F.col("_last")), 1).otherwise(0))
-    return r.reusable_seeds(rows, changed.withColumn("rotated", F.lit(False)))
-
-
+    """Layouts whose stored places still fit: of other jobs the last sprite has another size (2), stands on the first one (3) or is trimmed otherwise (5)."""
+    rows = sprites(spark, sf_dir).withColumn("trim_left", (F.col("seq") % 3).cast("int"))
+    ends = rows.groupBy("job").agg(F.max("seq").alias("_last"), F.min("seq").alias("_first"))
+    last = F.col("seq") == F.col("_last")
+    seeds = rows.join(ends, "job").withColumns(
+        {
+            "w": F.col("w") + F.when(last & (F.col("_last") % 2 != 0), 1).otherwise(0),
+            "trim_left": F.col("trim_left") + F.when(last & (F.col("_last") % 5 == 2), 1).otherwise(0),
+            "x": ((F.when(last & (F.col("_last") % 3 == 0), F.col("_first")).otherwise(F.col("seq")) - F.col("_first")) * 64).cast("int"),
+            "y": F.lit(0),
+            "rotated": F.lit(False),
+        }
+    )
+    return r.reusable_seeds(rows, seeds, 1)

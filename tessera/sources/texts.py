@@ -264,6 +264,12 @@ def parse_frames(lines: DataFrame) -> DataFrame:
     return found.withColumn("name", F.coalesce("name", F.concat(F.lit("sprite_"), "index")))
 
 
+def frames_format(path: Column, value: Column) -> Column:
+    """json or text: by the file's name, or else by how its content begins or what it holds."""
+    looks = F.ltrim(value).startswith("[") | value.contains('"frames":')
+    return F.when(F.lower(path).endswith(".json") | looks, "json").otherwise("text")
+
+
 FRAME = "struct<filename:string,frame:struct<x:int,y:int,w:int,h:int>,rotated:boolean,trimmed:boolean,spriteSourceSize:struct<x:int,y:int,w:int,h:int>,sourceSize:struct<w:int,h:int>>"
 
 

@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from support import rows
 
+from tessera import api
 from tessera.functions import scalars as s
 from tessera.operators import kernels, png, raster
 from tessera.operators import relations as r
+from tessera.options import options
 from tessera.plans import atlases, documents, layouts
 from tessera.sources import images, sinks, texts
 
@@ -469,3 +471,54 @@ def test_watching_a_folder(spark, folder, tmp_path):
     o = options(trim_transparent=True, deduplicate="exact")
     files = images.images(spark, str(folder)).withColumn("job", F.lit(0).cast("long"))
     assert rows(api.source_sprites(files, o, cache), "path", "w", "h", "content_hash") == rows(api.source_sprites(files, o), "path", "w", "h", "content_hash")
+
+
+def test_seeds_are_taken_over_or_hint_at_widths(spark, folder):
+    o = options(mode="compact", padding=1)
+    found = api.folder_sprites(spark, str(folder), o)
+    first = api.layout(found, o)
+    seeds = first["sprite"].persist()
+    again = api.layout(found, o, seeds=seeds)
+    columns = ("job", "seq", "x", "y", "w", "h", "rotated")
+    assert rows(again["sprite"], *columns) == rows(seeds, *columns) and first["error"].count() == 0
+    moved = seeds.withColumn("x", F.col("x") + 5)  # kept where they are, for they still fit
+    assert rows(api.layout(found, o, seeds=moved)["sprite"], *columns) == rows(moved, *columns)
+    heaped = seeds.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    assert r.overlaps(api.layout(found, o, seeds=heaped)["sprite"]).count() == 0
+    trimmed = seeds.withColumn("trim_left", F.col("trim_left") + 1)
+    assert r.reusable_seeds(found, trimmed).count() == 0 and r.reusable_seeds(found, seeds, 1).count() == found.select("job").distinct().count()
+
+
+def test_jobs_without_a_layout_say_why(spark):
+    sprites = spark.createDataFrame([(1, 0, "a", 9, 9), (2, 0, "b", 99, 9), (3, 0, "c", 60, 60), (3, 1, "d", 60, 60)], "job long, seq long, path string, w int, h int")
+    for mode in ("fast", "compact", "pot"):
+        found = api.layout(sprites, options(mode=mode, max_width=64, max_height=64))
+        assert rows(found["error"]) == [(2, "b exceeds the atlas limits"), (3, "no layout within the limits")]
+        assert {x["job"] for x in found["sprite"].collect()} == {1}
+
+
+def test_stored_outputs_are_found_by_signature(spark):
+    images_ = spark.createDataFrame([(1, 0, "a", 5, 6), (1, 1, "b", 7, 8), (2, 0, "a", 5, 7)], "job long, seq long, path string, length long, mtime long")
+    signed = r.signature(r.fingerprint(images_), {"mode": "fast", "padding": 1})
+    stored = signed.where("job = 1").select("signature", F.lit("old").alias("content"), F.lit(1).alias("cached_at"))
+    stored = stored.unionByName(stored.withColumns({"content": F.lit("new"), "cached_at": F.lit(2)}))
+    assert rows(r.stored_outputs(signed, stored), "job", "content", "hit") == [(1, "new", True), (2, None, False)]
+    other = r.signature(r.fingerprint(images_), {"mode": "fast", "padding": 2})
+    assert r.stored_outputs(other, stored).where("hit").count() == 0
+
+
+def test_frames_beside_their_sheets(spark):
+    js = '{"frames": {"one": {"frame": {"x": 1, "y": 2, "w": 3, "h": 4}, "rotated": false}}}'
+    files = spark.createDataFrame(
+        [("d/a.json", js), ("d/a.frames", "sprite 9,9 9,9"), ("d/b.frames", 'path "b"\nsprite "two" 5,6 7,8 rotated'), ("d/c.frames", ' [{"filename": "three", "frame": {"x": 1, "y": 1, "w": 2, "h": 2}}]'), ("d/d.txt", "sprite 1,1 1,1")],
+        "path string, value string",
+    )
+    sheets = spark.createDataFrame([(f"d/{n}.png",) for n in "abcd"], "path string")
+    got = api.sheet_frames(sheets, files)
+    assert rows(got, "file", "name", "x", "y", "w", "h", "rotated") == [("d/a.png", "one", 1, 2, 3, 4, False), ("d/b.png", "two", 5, 6, 7, 8, True), ("d/c.png", "three", 1, 1, 2, 2, False)]
+
+
+def test_renderings_are_listed(spark):
+    own = {"mine": ("My rows", ".txt", None)}
+    found = [(x["name"], x["extension"]) for x in documents.listing(spark, own).collect()]
+    assert found == sorted(found) and ("mine", ".txt") in found and ("unity.anim", ".anim") in found and len(found) == len(documents.RENDERINGS) + 2
