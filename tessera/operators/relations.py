@@ -152,15 +152,23 @@ def connected(edges: DataFrame, keys: tuple[str, ...] = ("job",)) -> DataFrame:
 
 
 def _use_checkpoints(df: DataFrame) -> None:
+    """Keep the session's checkpoint folder; without one, only a local session may use its warehouse."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def perceptual_duplicates(sprites: DataFrame, threshold: int = 5, job: str = "job") -> DataFrame:
     """sprites with canonical_seq: the first sprite that a chain of similar ones leads to."""
-    found = connected(similar_pairs(sprites, threshold, job), (job,)).select(job, F.col("node").alias("seq"), F.col("component").alias("canonical_seq"))
-    return sprites.join(found, [job, "seq"], "left").withColumn("canonical_seq", F.coalesce("canonical_seq", "seq"))
+    same = [job, "w", "h", "perceptual_hash"]
+    # Sprites with one hash are one, so that copies don't meet in pairs.
+    classes = sprites.where("perceptual_hash <> 0").groupBy(*same).agg(F.min("seq").alias("_seq"))
+    found = connected(similar_pairs(classes.withColumnRenamed("_seq", "seq"), threshold, job), (job,)).select(job, F.col("node").alias("_seq"), "component")
+    led = classes.join(found, [job, "_seq"], "left").select(*same, F.coalesce("component", "_seq").alias("_first"))
+    return sprites.join(led, same, "left").withColumn("canonical_seq", F.coalesce("_first", "seq")).drop("_first")
 
 
 # Lookups.
