@@ -55,4 +55,3 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     for missing in ("", "import sys; sys.modules['xxhash'] = None; "):  # with the folders gone, and here without a library that they need
         where = ROOT if missing else tmp_path
         subprocess.run([sys.executable, "-c", missing + code], cwd=where, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(where), "PYTHONDONTWRITEBYTECODE": "1"})
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"})
