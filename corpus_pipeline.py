@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns a DataFrame; all but
 the last return the columns of documents.  `run` writes each result as Parquet in the shared
-checkpoint folder and reads it again for the next stage, so a lost executor costs one stage at most.
+checkpoint folder and reads it again for the next stage, so a lost executor costs one stage at most;
+a stage's table goes once the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import linededup, neardup, packing, pii, toxicity
-from tessera.llm.common import table, use_checkpoint_dir
+from tessera.llm.common import remove, table, use_checkpoint_dir
 
 NEAR = 80  #: least similarity of near duplicates in percent; 42 bands of 6 miss 3 in 10^6 of such pairs
 
@@ -59,8 +60,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
