@@ -441,8 +441,35 @@ def test_pipeline_drops_near_copies_from_four_fifths_on(spark, tmp_path):
     assert left == {i for i, _, c in brute_components(made, 80) if i == c}
 
 
-def test_pipeline_run_is_its_stages(spark, corpus):
-    assert corpus_pipeline.run(spark, corpus).count() > 0
+def test_pipeline_run_is_its_stages(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, corpus).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    pieces = ("doc_id", "piece", "start", "length", "ids_crc32")
+    got = corpus_pipeline.run(spark, corpus).collect()
+    assert Counter(tuple(r[c] for c in pieces) for r in got) == Counter(tuple(r[c] for c in pieces) for r in docs.collect())
+    ends = Counter()
+    for r in got:
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= packing.CAPACITY and len(ends) == len({r["sequence_id"] for r in docs.collect()})
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_take_odd_rows(spark, docs, no_docs, corpus, awkward, stage):
+    name, function = corpus_pipeline.STAGES[stage]
+    out = function(spark, docs, corpus)
+    assert out.columns == docs.columns
+    left = out.select("doc_id", "text", "n_chars").collect()
+    assert all(r["n_chars"] is None or r["n_chars"] == len(r["text"] or "") for r in left) or name in ("toxicity", "near_dedup")
+    if name == "near_dedup":
+        heads = {(i, c) for (i, _, c), (_, t) in zip(brute_components(awkward, 80), awkward, strict=True)}
+        assert {r["doc_id"] for r in left} == {c for _, c in heads}
+        assert Counter(r["doc_id"] for r in left if not shingle_set(r["text"])) == Counter(i for i, t in awkward if not shingle_set(t))
+        assert max(Counter((r["doc_id"], r["text"]) for r in left if shingle_set(r["text"])).values()) == 1
+    elif name == "personal_data":
+        assert Counter(r["doc_id"] for r in left) == Counter(i for i, _ in awkward)
+    assert function(spark, no_docs, corpus).count() == 0
 
 
 def test_queries_are_registered():
