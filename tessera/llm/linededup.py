@@ -93,27 +93,23 @@ def run_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     every = cut(line_rows(docs, id_col, text_col))
     names = with_names(every, ["h1", "h2"], "rank")
     level = cut(every.join(names, ["h1", "h2"]).select(*DOC, "ord", "line", "words", "rank").dropDuplicates([*DOC, "ord"]))
-    runs = cut(shortest_runs(level, min_words))
+    runs = cut(shortest_runs(level, min_words).withColumn("k", F.length(F.bin("m")) - 1))
+    wanted = {r["k"] for r in runs.select("k").distinct().collect()}  # few: powers of two up to min_words
 
     in_doc = W.partitionBy(*DOC).orderBy("ord")
     level = level.select(*DOC, "ord", "rank")
-    parts, k = [], 0
-    while True:
+    parts = []
+    for k in range(max(wanted, default=0) + 1):  # no run needs longer blocks
         size = 1 << k
-        own = runs.where(F.col("m").between(size, 2 * size - 1)).withColumn("_end", F.col("start") + F.col("m") - size)
-        at = lambda place, name: level.select(*DOC, F.col("ord").alias(place), F.col("rank").alias(name))  # noqa: E731, B023
-        named = own.join(at("start", "a"), [*DOC, "start"])
-        named = named.join(at("_end", "b"), [*DOC, "_end"]) if k else named.withColumn("b", F.col("a"))
-        parts.append(cut(named.select(F.lit(k).alias("k"), "m", "a", "b", *DOC, "start", "lines")))
-        if 2 * size > min_words:
-            break
-        ahead_rank = F.first("rank").over(in_doc.rangeBetween(size, size))
-        pairs = cut(level.withColumn("_then", ahead_rank).where("_then is not null").select(*DOC, "ord", F.col("rank").alias("_one"), "_then"))
-        names = with_names(pairs, ["_one", "_then"], "rank")
-        if names.isEmpty():
-            break
-        level = cut(pairs.join(names, ["_one", "_then"]).select(*DOC, "ord", "rank"))
-        k += 1
+        if k:
+            ahead_rank = F.first("rank").over(in_doc.rangeBetween(size // 2, size // 2))
+            pairs = cut(level.withColumn("_then", ahead_rank).where("_then is not null").select(*DOC, "ord", F.col("rank").alias("_one"), "_then"))
+            level = cut(pairs.join(with_names(pairs, ["_one", "_then"], "rank"), ["_one", "_then"]).select(*DOC, "ord", "rank"))
+        if k in wanted or not parts:
+            at = lambda place, name: level.select(*DOC, F.col("ord").alias(place), F.col("rank").alias(name))  # noqa: E731, B023
+            named = runs.where(F.col("k") == k).withColumn("_end", F.col("start") + F.col("m") - size).join(at("start", "a"), [*DOC, "start"])
+            named = named.join(at("_end", "b"), [*DOC, "_end"]) if k else named.withColumn("b", F.col("a"))
+            parts.append(cut(named.select(*INTERVAL, *DOC, "start", "lines")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,7 +6,7 @@ buckets, and a bucket stores the leading zeros of its least hash and the ten bit
 bucket that stays empty borrows from a filled one chosen by fixed priorities.  Bands of six
 registers make LSH buckets (a pair at similarity 0.85 shares one of the 42 but for 3 in 10^9).
 
-In each LSH bucket members are first held against one, the hub, only.  Pairs whose
+In each LSH bucket members are first held against the first one, the hub, only.  Pairs whose
 Jaccard estimate, corrected for registers that agree by chance, leaves the wanted similarity possible
 are confirmed on their full sets, and confirmed links are joined into components.  In buckets that
 still hold several components, the members of different ones are then held against each other in the
@@ -279,19 +279,18 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     made, name = cut(sketches(docs)), ["set_a", "set_b"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = made.where("n_shingles > 0").groupBy(*name).agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "marks")))
-    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
-
-    # Copies tend to come after what they were made of, so the first document of a bucket is likely to be near most of it.
-    banded = classes.select("class", F.col("first.doc_id").alias("id"), F.explode(bands()("registers")).alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min(F.struct("id", "class")).alias("_hub"), F.max(F.struct("id", "class")).alias("_most")).where("_hub < _most")
-    hubs = cut(hubs.select("bucket", F.col("_hub.class").alias("hub")))
-    shared = cut(banded.drop("id").join(hubs, "bucket"))
-    tried = cut(shared.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
+    # Numbers follow the ids: copies tend to come after what they were made of, so the first class of a
+    # bucket, its hub, is likely to be near most of it, and labels that fall to the smallest soon settle.
+    classes = cut(classes.orderBy("first").withColumn("class", F.monotonically_increasing_id()))
+
+    banded = classes.select("class", F.explode(bands()("registers")).alias("bucket"))
+    hubs = cut(banded.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("_most")).where("hub < _most").select("bucket", "hub"))
+    shared = cut(banded.join(hubs, "bucket"))
+    tried = cut(shared.where("class > hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
     links = verified(tried, classes, docs, percent)
     labels = components(links)
     # Buckets that still hold several components: their members across components, once each.
-    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(apart(shared.select("bucket", "class"), classes, labels, percent).join(known, ["a", "b"], "left_anti"))
+    rest = cut(apart(shared.select("bucket", "class"), classes, labels, percent).join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         more = verified(rest, classes, docs, percent)
         if more.limit(1).count():
