@@ -217,20 +217,19 @@ def confirmed(percent: int):  # noqa: ANN201
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its smallest node) for every node of the edges.
 
-    Each round takes the smallest label among neighbours and then the label's own label; written to
-    the checkpoint folder each time.  It ends when a round changes nothing.
+    In each round a node takes the smallest label among its neighbours' and its own label's; it is one
+    join and one sum, written to the checkpoint folder.  It ends when a round changes nothing.
     """
-    both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("near")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near"))).distinct())
-    labels = both.groupBy("node").agg(F.least("node", F.min("near")).alias("component"))
-    labels = cut(labels)
+    ends = lambda x, y: edges.select(F.col(x).alias("node"), F.col(y).alias("near"))
+    near = cut(ends(a, b).unionByName(ends(b, a)).unionByName(ends(a, a)).unionByName(ends(b, b)).distinct())
+    labels = cut(near.groupBy("node").agg(F.min("near").alias("component")))
     while True:
-        offered = both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("_offer")), "near").groupBy("node").agg(F.min("_offer").alias("_offer"))
-        stepped = labels.join(offered, "node").select("node", F.col("component").alias("_was"), F.least("component", "_offer").alias("_now"))
-        jumped = stepped.join(labels.select(F.col("node").alias("_now"), F.col("component").alias("_next")), "_now")
-        moved = cut(jumped.select("node", F.least("_now", "_next").alias("component"), (F.least("_now", "_next") != F.col("_was")).alias("_moved")))
-        done = moved.where("_moved").limit(1).count() == 0
+        asked = near.unionByName(labels.where("component <> node").select("node", F.col("component").alias("near")))
+        told = asked.join(labels.select(F.col("node").alias("near"), F.col("component").alias("_label")), "near")
+        own = F.max(F.when(F.col("near") == F.col("node"), F.col("_label")))
+        moved = cut(told.groupBy("node").agg(F.min("_label").alias("component"), own.alias("_was")))
         labels = moved.select("node", "component")
-        if done:
+        if moved.where("component <> _was").isEmpty():
             return labels
 
 
@@ -291,9 +290,9 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(links)
     # Buckets that still hold several components: their members across components, once each.
     rest = cut(apart(shared.select("bucket", "class"), classes, labels, percent).join(tried, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         more = verified(rest, classes, docs, percent)
-        if more.limit(1).count():
+        if not more.isEmpty():
             labels = components(links.unionByName(more))
 
     led = labels.join(classes.select(F.col("class").alias("node"), "first"), "node")
@@ -322,7 +321,7 @@ def deduplicated(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
     own = lambda listed: (F.col("_hash") == listed["text_hash"]) & F.col("_id").eqNullSafe(listed["doc_id"])
     small = lambda listed: F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
     kept = every.join(small(gone), own(gone), "left_anti")
-    if again.limit(1).count():
+    if not again.isEmpty():
         single = kept.join(small(again), own(again), "left_semi").dropDuplicates(["_id", "_hash"])
         kept = kept.join(small(again), own(again), "left_anti").unionByName(single)
     return kept.select("_row.*")
