@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
 MIN_WORDS = 50
 SPACE = " \t\r\x0b\x0c"
@@ -110,6 +110,7 @@ def run_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             named = runs.where(F.col("k") == k).withColumn("_end", F.col("start") + F.col("m") - size).join(at("start", "a"), [*DOC, "start"])
             named = named.join(at("_end", "b"), [*DOC, "_end"]) if k else named.withColumn("b", F.col("a"))
             parts.append(cut(named.select(*INTERVAL, *DOC, "start", "lines")))
+        release(docs.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 

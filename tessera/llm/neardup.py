@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, table, text_frame
+from .common import cut, map_texts, release, table, text_frame
 
 WORDS = 5
 REGISTERS, MANTISSA, EMPTY = 256, 10, 0xFFFF
@@ -229,6 +229,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         own = F.max(F.when(F.col("near") == F.col("node"), F.col("_label")))
         moved = cut(told.groupBy("node").agg(F.min("_label").alias("component"), own.alias("_was")))
         labels = moved.select("node", "component")
+        release(edges.sparkSession)
         if moved.where("component <> _was").isEmpty():
             return labels
 
@@ -251,7 +252,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     dealt = cut(likely.join(crowded, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("_parts", F.lit(1))).alias("part")))
     with_a = dealt.join(texts.select(F.col("class").alias("a"), F.col("text").alias("_ta")), "a")
     hubs = dealt.select("b", "part").distinct().join(texts.select(F.col("class").alias("b"), F.col("text").alias("_tb")), "b")
-    return cut(with_a.join(hubs, ["b", "part"]).where(confirmed(percent)("_ta", "_tb")).select("a", "b"))
+    found = cut(with_a.join(hubs, ["b", "part"]).where(confirmed(percent)("_ta", "_tb")).select("a", "b"))
+    release(docs.sparkSession)
+    return found
 
 
 def apart(shared: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
