@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, linededup, neardup, neighbours, packing, pii, secrets, toxicity, transport
+from . import bpe, collocations, licenses, linededup, neardup, neighbours, packing, periodic, pii, secrets, tokenfiles, toxicity, transport
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         linededup.op8_line_dedup,
         licenses.op9_licence_scan,
         neardup.op10_near_duplicates,
+        collocations.op11_collocations,
+        periodic.op12_periodic_runs,
+        tokenfiles.op13_token_files,
     )
 }
-ORACLES = {"op1_secret_scan": secrets.OP1_SQL, "op6_nearest": neighbours.OP6_SQL, "op8_line_dedup": linededup.OP8_SQL, "op10_near_duplicates": neardup.OP10_SQL}
+ORACLES = {"op1_secret_scan": secrets.OP1_SQL, "op6_nearest": neighbours.OP6_SQL, "op8_line_dedup": linededup.OP8_SQL, "op10_near_duplicates": neardup.OP10_SQL, "op11_collocations": collocations.OP11_SQL}

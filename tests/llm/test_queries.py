@@ -17,18 +17,6 @@ sha = lambda b: hashlib.sha256(b).hexdigest()
 utf8 = lambda t: (t or "").encode()
 
 
-@pytest.fixture(scope="session")
-def folder(spark, docs, tmp_path_factory):
-    """documents (odd rows of all kinds), labels and embeddings as the driver lays them out."""
-    where = tmp_path_factory.mktemp("tables")
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{where}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
-    rng = np.random.default_rng(9)
-    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)] + [(150 + i, [0.5] * 8) for i in range(30)] + [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [None] * 8)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
-    return str(where)
-
-
 def run(spark, folder, name, **types):
     out = queries.QUERIES[name](spark, folder)
     had = dict(out.dtypes)
