@@ -56,7 +56,9 @@ def deduplicated(sprites: DataFrame, o: LayoutOptions) -> tuple[DataFrame, DataF
 
 def searched(kept: DataFrame, o: LayoutOptions, limits: layouts.Limits, previous: DataFrame | None, hints: DataFrame | None) -> DataFrame:
     if previous is not None and o.incremental:
-        return layouts.incremental(kept, previous, limits)
+        found = r.materialised(layouts.incremental(kept, previous, limits))
+        rest = kept.join(found.select("job").distinct(), "job", "left_anti")
+        return found.unionByName(searched(rest, o, limits, None, hints).select(*found.columns))
     if o.mode == "grid":
         return layouts.grid(kept, limits, o.multipack)
     if o.multipack:
@@ -85,6 +87,7 @@ def layout(sprites: DataFrame, o: LayoutOptions, previous: DataFrame | None = No
         reused = kept.select("job", F.col("seq").cast("long").alias("seq"), "path").join(places, ["job", "path"]).drop("path")
         placed = searched(kept.join(same, "job", "left_anti"), o, limits, previous, hints)
         placed = placed.unionByName(reused.select(*placed.columns))
+    placed = r.materialised(placed)  # all tables below are made of it
     own = kept.select("job", "seq", "path", *(c if c in kept.columns else F.lit(0).alias(c) for c in r.TRIMS))
     sprite = placed.join(own, ["job", "seq"])
     size = r.tight_bounds(sprite)
@@ -93,15 +96,19 @@ def layout(sprites: DataFrame, o: LayoutOptions, previous: DataFrame | None = No
 
         size = size.withColumns({c: next_power_of_two(F.col(c)).cast("int") for c in ("width", "height")})
     header = size.select("job").distinct().select("job", F.lit(o.whole_scale).alias("scale"), F.lit(o.extrude).alias("extrude"), F.lit(o.multipack).alias("multipack"))
-    return {"atlas": size, "sprite": sprite, "alias": alias, "header": header, "error": unplaced(kept, placed, limits)}
+    return {"atlas": size, "sprite": sprite, "alias": alias, "header": header, "error": unplaced(kept, placed, limits, o.mode == "grid")}
 
 
-def unplaced(kept: DataFrame, placed: DataFrame, limits: layouts.Limits) -> DataFrame:
-    """job and message of the jobs without a layout: the first sprite that no atlas can hold, if there is one."""
+def unplaced(kept: DataFrame, placed: DataFrame, limits: layouts.Limits, grid: bool = False) -> DataFrame:
+    """job and message of the jobs without a layout: the first sprite that no atlas can hold, or that has another size in a grid, if there is one."""
     left = kept.join(placed.select("job").distinct(), "job", "left_anti")
     large = r.over_limits(left, limits.max_width, limits.max_height, limits.gap, limits.rotate).groupBy("job").agg(F.min_by("path", "seq").alias("_path"))
-    message = F.coalesce(F.concat(F.col("_path"), F.lit(" exceeds the atlas limits")), F.lit("no layout within the limits"))
-    return left.select("job").distinct().join(large, "job", "left").select("job", message.alias("message"))
+    reasons = [F.concat(F.col("_path"), F.lit(" exceeds the atlas limits")), F.lit("no layout within the limits")]
+    rows = left.select("job").distinct().join(large, "job", "left")
+    if grid:
+        rows = rows.join(r.odd_sizes(left).select("job", F.struct("path", "w", "h").alias("_odd")), "job", "left")
+        reasons.insert(1, F.concat(F.col("_odd.path"), F.lit(" is "), F.col("_odd.w").cast("string"), F.lit("x"), F.col("_odd.h").cast("string"), F.lit(", not the size of the first sprite of the grid")))
+    return rows.select("job", F.coalesce(*reasons).alias("message"))
 
 
 def pack(found: dict[str, DataFrame], files: DataFrame, finish: Finish = Finish()) -> DataFrame:  # noqa: B008

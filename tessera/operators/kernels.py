@@ -67,20 +67,29 @@ def best_spot(free: list[Free], w: int, h: int, turn: bool, judge: Callable) ->
 
 #: Whether an atlas of some width and height can't become a wanted one any more; both only grow while boxes are placed.
 Beyond = Callable[[int, int], bool]
+#: Whether that many boxes without room, worth so much together, are too many.
+Lost = Callable[[int, int], bool]
 
 
-def maxrects(boxes: list[Box], width: int, height: int, heuristic: str = "short_side", turn: bool = False, partial: bool = False, taken: list[Free] | None = None, beyond: Beyond | None = None) -> list[Spot | None] | None:
-    """Maximal rectangles; None if a box finds no room, unless partial, or what is used goes beyond. taken: what is occupied beforehand."""
+def maxrects(boxes: list[Box], width: int, height: int, heuristic: str = "short_side", turn: bool = False, partial: bool = False, taken: list[Free] | None = None, beyond: Beyond | None = None, lost: Lost | None = None, worth: list[int] | None = None) -> list[Spot | None] | None:
+    """Maximal rectangles; None if a box finds no room, unless partial, if what is used goes beyond, or too much is lost.
+
+    taken: what is occupied beforehand; worth: what each box counts where it finds no room.
+    """
     free, judge, out = [(0, 0, width, height)], HEURISTICS[heuristic], []
-    wide = tall = 0
+    wide = tall = missed = value = 0
     for t in taken or ():
         free = carve(free, *t)
-    for w, h in boxes:
+    for k, (w, h) in enumerate(boxes):
         spot = best_spot(free, w, h, turn, judge)
         if spot is None:
             if not partial:
                 return None
             out.append(None)
+            if lost:
+                missed, value = missed + 1, value + worth[k]
+                if lost(missed, value):
+                    return None
             continue
         _, x, y, bw, bh, turned = spot
         out.append((x, y, turned))

@@ -161,6 +161,12 @@ def _use_checkpoints(df: DataFrame) -> None:
         spark.sparkContext.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder, so that what is made of it several times is computed once."""
+    _use_checkpoints(df)
+    return df.checkpoint()
+
+
 def perceptual_duplicates(sprites: DataFrame, threshold: int = 5, job: str = "job") -> DataFrame:
     """sprites with canonical_seq: the first sprite that a chain of similar ones leads to."""
     same = [job, "w", "h", "perceptual_hash"]

@@ -1,26 +1,30 @@
 """Layout search over many jobs at once.
 
-A job is a list of sprites that go into one layout; it is small enough for one task, and there may be
-any number of jobs.  Candidates (a width, an order, a method) are rows; they are packed in groups
-spread over all tasks, report only their size, and Spark reduces them to the best of each job, whose
-placements alone are then made.  Grids need no search and are arithmetic on ranks.
+A job is a list of sprites that go into one layout, and there may be any number of jobs.  Candidates (a
+width, an order, a method) are rows; they are packed in groups spread over all tasks, report only
+their size, and Spark reduces them to the best of each job, whose placements alone are then made.  A
+first pass gives each job a bound that the others must better.  Layouts of several atlases go by
+rounds, an atlas of every job in each.  Grids need no search and are arithmetic on ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import next_power_of_two
 from ..operators.kernels import HEURISTICS, Beyond, extent, guillotine, maxrects, shelf
-from ..operators.relations import ORDERS, best_candidates, layout_stats, ranked
+from ..operators.relations import ORDERS, TRIMS, best_candidates, layout_stats, materialised, overlaps, ranked
 
 #: Fixed values of the guided search: multiples of the step that are tried around each anchor.
 OFFSETS = (0, -1, 1, -2, 2, -4, 4, -8, 8, -12, 12, -16, 16, -20, 20)
 STEPS, LEAST_STEP = 24, 8
+FIRST_PASS = 64  #: candidates with lower numbers are tried first; their best one bounds the rest
 GUIDED_ORDERS = ("height", "area", "maxside", "none")
 PLACED = "job long, seq long, atlas_index int, x int, y int, w int, h int, rotated boolean"
 
@@ -98,10 +102,15 @@ def bounds(sprites: DataFrame, limits: Limits) -> DataFrame:
     return stats.where(least <= most).select("job", "n", "area", least.alias("least"), most.alias("most"), root.alias("root"))
 
 
+def seed_width(hint: Column | None = None) -> Column:
+    """The width of the first pass: that of an earlier layout, if there is one between the least and the most, or else the square root."""
+    root = F.col("root")
+    return root if hint is None else F.coalesce(F.when(hint.between(F.col("least"), F.col("most")), hint), root)
+
+
 def guided_widths(hint: Column | None = None) -> Column:
-    """The widths worth a try, ascending: around the square root, the least, the most and a hint from an earlier layout."""
-    least, most, root = F.col("least"), F.col("most"), F.col("root")
-    seed = root if hint is None else F.coalesce(F.when(hint.between(least, most), hint), root)
+    """The widths worth a try, ascending: around the first pass's width, the square root, the least and the most."""
+    least, most, root, seed = F.col("least"), F.col("most"), F.col("root"), seed_width(hint)
     step = F.greatest(F.lit(LEAST_STEP), F.floor((most - root) / STEPS))
     tried = F.array(seed, root, *(a + step * m for a in (seed, root, least, most) for m in OFFSETS))
     return F.array_sort(F.array_distinct(F.filter(tried, lambda w: (w >= least) & (w <= most))))
@@ -110,16 +119,18 @@ def guided_widths(hint: Column | None = None) -> Column:
 def compact_candidates(sized: DataFrame, limits: Limits, hints: DataFrame | None = None) -> DataFrame:
     """job, cand, width, order, method: all orders at the seed width, then the guided ones and a shelf at every width.
 
-    hints (job, hint) are widths of earlier layouts, around which is tried too.  cand is the order in
-    which one thread would try them, which settles ties.
+    hints (job, hint) are widths of earlier layouts, which come first and around which is tried too.
+    cand is the order in which one thread would try them, which settles ties; those below FIRST_PASS
+    are the first pass.
     """
     orders = (*ORDERS, "none") if limits.order is None else (limits.order,)
     guided = GUIDED_ORDERS if limits.order is None else (limits.order,)
     tries = lambda names, methods: F.array(*(F.struct(F.lit(o).alias("order"), F.lit(m).alias("method")) for o in names for m in methods))
-    rows = sized.withColumn("_widths", guided_widths()) if hints is None else sized.join(hints, "job", "left").withColumn("_widths", guided_widths(F.col("hint")))
-    first = rows.select("job", F.lit(0).alias("_at"), F.col("root").alias("width"), F.posexplode(tries(orders, HEURISTICS)).alias("_k", "_t"))
+    rows, hint = (sized, None) if hints is None else (sized.join(hints, "job", "left"), F.col("hint"))
+    rows = rows.withColumns({"_widths": guided_widths(hint), "_seed": seed_width(hint)})
+    first = rows.select("job", F.lit(0).alias("_at"), F.col("_seed").alias("width"), F.posexplode(tries(orders, HEURISTICS)).alias("_k", "_t"))
     rest = rows.select("job", F.posexplode("_widths").alias("_at", "width")).select("job", F.col("_at") + 1, "width", F.posexplode(tries(guided, (*HEURISTICS, "shelf"))).alias("_k", "_t"))
-    return first.union(rest).select("job", (F.col("_at") * 64 + F.col("_k")).cast("long").alias("cand"), F.col("width").cast("int").alias("width"), "_t.order", "_t.method")
+    return first.union(rest).select("job", (F.col("_at") * FIRST_PASS + F.col("_k")).cast("long").alias("cand"), F.col("width").cast("int").alias("width"), "_t.order", "_t.method")
 
 
 def pot_candidates(sized: DataFrame, limits: Limits) -> DataFrame:
@@ -157,39 +168,53 @@ JUDGED: dict[str, Callable[[int, int], tuple]] = {
 }
 
 
-def tried(job_rows: DataFrame, candidates: DataFrame, limits: Limits, goal: str, each: int = 64) -> DataFrame:
-    """The best of each chunk of candidates, with the width and height it came to; those without room are left out.
+TRIED = "job long, cand long, at_width int, at_height int, order string, method string, width int, height int, packings int, given_up int"
+
 
-    A candidate is given up once its atlas is larger than one of the chunk before it.
+def tried(job_rows: DataFrame, candidates: DataFrame, limits: Limits, goal: str, bound: DataFrame | None = None, each: int = 64) -> DataFrame:
+    """The best of each chunk of candidates, with the width and height it came to, and how many packings were begun and given up.
+
+    A candidate is given up once its atlas is larger than one of the chunk before it or than the job's
+    bound (job, bound_width, bound_height), if there is one; only what is better than the bound is told.
+    A chunk without a better one has nulls.
     """
     fields = ["cand", "width", *(["height"] if "height" in candidates.columns else []), "order", "method"]
     listed = candidates.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / each).cast("int")), lambda k: F.slice("_all", k * each + 1, F.lit(each)))
-    work = job_rows.join(listed, "job").select("job", "sprites", F.explode(chunks).alias("cands"))
-    work = work.repartition(work.sparkSession.sparkContext.defaultParallelism * 4)
+    known = job_rows if bound is None else job_rows.join(bound, "job", "left")
+    sides = [F.coalesce(F.col(c), F.lit(0)).alias(c) if bound is not None else F.lit(0).alias(c) for c in ("bound_width", "bound_height")]
+    work = spread(known.join(listed, "job").select("job", "sprites", *sides, F.explode(chunks).alias("cands")))
     judged = JUDGED[goal]
 
-    def best_of(sprites: list, cands: list) -> tuple | None:
-        best, rank, orders = None, None, {}
+    def best_of(sprites: list, cands: list, wide: int, tall: int) -> tuple:
+        best, rank, orders, begun, ended = None, judged(wide, tall) if wide else None, {}, 0, 0
         beyond = lambda w, h: rank is not None and judged(w, h)[:2] > rank[:2]
         for cand in cands:
             if cand["order"] not in orders:
                 orders[cand["order"]] = boxed(sprites, cand["order"], limits)[1]
             boxes = orders[cand["order"]]
+            begun += 1
             spots = pack_one(sprites, boxes, cand, limits, beyond)
             if spots:
+                ended += 1
                 w, h = (cand["width"], cand["height"]) if cand["method"] == "guillotine" else extent(boxes, spots)
                 if h <= limits.max_height and (rank is None or judged(w, h) < rank):
                     rank, best = judged(w, h), (cand["cand"], cand["width"], cand["height"] if "height" in fields else None, cand["order"], cand["method"], w, h)
-        return best
+        return (*(best or [None] * 7), begun, begun - ended)
+
+    columns = [f.split()[0] for f in TRIED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(job, best_of(list(sprites), cands)) for job, sprites, cands in zip(frame["job"], frame["sprites"], frame["cands"], strict=True)]
-            out = [(job, *best) for job, best in found if best]
-            yield pd.DataFrame(out, columns=["job", "cand", "at_width", "at_height", "order", "method", "width", "height"]).astype({"at_height": "Int32"})
+            out = [(job, *best_of(list(sprites), cands, w, h)) for job, sprites, cands, w, h in zip(*(frame[c] for c in ("job", "sprites", "cands", "bound_width", "bound_height")), strict=True)]
+            yield pd.DataFrame(out, columns=columns).astype({"cand": "Int64"} | {c: "Int32" for c in ("at_width", "at_height", "width", "height")})
 
-    return work.mapInPandas(run, "job long, cand long, at_width int, at_height int, order string, method string, width int, height int")
+    return work.mapInPandas(run, TRIED)
+
+
+def spread(work: DataFrame) -> DataFrame:
+    """Rows of much work each, dealt to tasks by their number: AQE would put few small rows into one."""
+    return work.repartition(work.sparkSession.sparkContext.defaultParallelism * 4)
 
 
 def placed(job_rows: DataFrame, best: DataFrame, limits: Limits) -> DataFrame:
@@ -208,19 +233,46 @@ def placed(job_rows: DataFrame, best: DataFrame, limits: Limits) -> DataFrame:
     return job_rows.join(best, "job").mapInPandas(run, PLACED)
 
 
-def searched(sprites: DataFrame, candidates: Callable[[DataFrame, Limits], DataFrame], limits: Limits, goal: str) -> DataFrame:
-    rows = jobs(sprites)
-    return placed(rows, best_candidates(tried(rows, candidates(bounds(sprites, limits), limits), limits, goal), goal), limits)
+def hopeful(candidates: DataFrame, bound: DataFrame, sized: DataFrame, goal: str) -> DataFrame:
+    """The candidates that may still come to less than the job's bound.
+
+    An atlas is at least as wide as the widest sprite and, with all sprites in it, as high as their area
+    over the candidate's width; where a power of two is asked for, its sides are known beforehand.
+    """
+    c = F.col
+    rows = candidates.join(sized.select("job", "area", "least"), "job").join(bound, "job", "left")
+    wide, tall = (c("width"), c("height")) if "height" in candidates.columns else (F.least(c("least"), c("width")), F.ceil(c("area") / c("width")))
+    side, area = F.greatest(wide, tall), F.greatest(wide.cast("long") * tall, c("area"))
+    most_side, most_area = F.greatest(c("bound_width"), c("bound_height")), c("bound_width").cast("long") * c("bound_height")
+    first, most = ((side, area), (most_side, most_area)) if goal == "gpu" else ((area, side), (most_area, most_side))
+    worse = (first[0] > most[0]) | ((first[0] == most[0]) & (first[1] > most[1]))
+    return rows.where(~F.coalesce(worse, F.lit(False))).select(*candidates.columns)
+
+
+def searched(sprites: DataFrame, candidates: Callable[[DataFrame, Limits], DataFrame], limits: Limits, goal: str) -> tuple[DataFrame, DataFrame]:
+    """The placements of each job's best candidate, and what the search took: job, candidates, packings and given_up.
+
+    The first pass is reduced to one bound for each job before the rest is tried; the rest leaves out
+    what can't be smaller, and stops where it no longer can be.
+    """
+    rows, sized = materialised(jobs(sprites)), materialised(bounds(sprites, limits))
+    every = candidates(sized, limits)
+    first = materialised(tried(rows, every.where(F.col("cand") < FIRST_PASS), limits, goal))
+    bound = best_candidates(first, goal).select("job", F.col("width").alias("bound_width"), F.col("height").alias("bound_height"))
+    rest = materialised(tried(rows, hopeful(every.where(F.col("cand") >= FIRST_PASS), bound, sized, goal), limits, goal, bound))
+    both = first.unionByName(rest)
+    effort = every.groupBy("job").agg(F.count("*").alias("candidates")).join(both.groupBy("job").agg(F.sum("packings").alias("packings"), F.sum("given_up").alias("given_up")), "job")
+    return placed(rows, best_candidates(both, goal), limits), effort
 
 
 def compact(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu", hints: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """The best of many packings into one atlas per job."""
-    return searched(sprites, lambda sized, own: compact_candidates(sized, own, hints), limits, goal)
+    return searched(sprites, lambda sized, own: compact_candidates(sized, own, hints), limits, goal)[0]
 
 
 def power_of_two(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu") -> DataFrame:  # noqa: B008
     """The best atlas per job whose sides are powers of two."""
-    return searched(sprites, pot_candidates, limits, goal)
+    return searched(sprites, pot_candidates, limits, goal)[0]
 
 
 def each_job(sprites: DataFrame, place: Callable[[list], list[tuple]], extra: DataFrame | None = None) -> DataFrame:
@@ -266,67 +318,128 @@ def _root(area: int) -> int:
     return isqrt(area - 1) + 1 if area > 0 else 0
 
 
-def around(least: int, most: int, root: int) -> list[int]:
-    step = max(LEAST_STEP, (most - least) // STEPS)
-    return sorted({w for w in (least, most, root, *(least + m * step for m in OFFSETS)) if least <= w <= most})
+def around(limits: Limits, pot: bool) -> Column:
+    """The widths that are tried for the sprites left (an array column), ascending."""
+    least = F.array_min(F.transform("sprites", lambda s: F.least(s["w"], s["h"]) if limits.rotate else s["w"])) + limits.gap
+    area = F.aggregate("sprites", F.lit(0).cast("long"), lambda n, s: n + s["w"].cast("long") * s["h"])
+    step = F.greatest(F.lit(LEAST_STEP), F.floor((limits.max_width - least) / STEPS).cast("int"))
+    tries = F.array(least, F.lit(limits.max_width), F.ceil(F.sqrt(area.cast("double"))).cast("int"), *(least + m * step for m in OFFSETS))
+    widths = F.filter(tries, lambda w: (w >= least) & (w <= limits.max_width))
+    if pot:
+        widths = F.filter(F.transform(widths, lambda w: next_power_of_two(w).cast("int")), lambda w: w <= limits.max_width)
+    return F.array_sort(F.array_distinct(widths))
 
 
-def multipack(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu", pot: bool = False) -> DataFrame:  # noqa: B008
-    """As many atlases per job as it takes; each is the best of partial packings of what is left.
+PARTIAL = "job long, cand long, order string, at_width int, method string, width int, height int, packed int, packed_area long"
+STATE = "job long, atlas_index int, placed array<struct<seq:long,x:int,y:int,w:int,h:int,rotated:boolean>>, sprites array<struct<seq:long,w:int,h:int,rank:int>>"
 
-    Best for gpu: most sprites, then most of their area, then the smaller atlas; for space the area comes first.
-    """
 
-    def ranked_by(packed: list, w: int, h: int) -> tuple:
-        area = sum(s["w"] * s["h"] for s in packed)
-        return ((-len(packed), -area) if goal == "gpu" else (-area, -len(packed))) + JUDGED[goal](w, h)
+def fullest(open_jobs: DataFrame, limits: Limits, goal: str, pot: bool) -> DataFrame:
+    """The best partial packing of each chunk of candidates of each open job; a chunk has fewer of them the more sprites there are."""
+    orders = F.array(*map(F.lit, (*ORDERS, "none") if limits.order is None else (limits.order,)))
+    tries = F.flatten(F.transform(orders, lambda o: F.flatten(F.transform("_widths", lambda w: F.array(*(F.struct(o.alias("order"), w.alias("width"), F.lit(m).alias("method")) for m in HEURISTICS))))))
+    rows = open_jobs.withColumn("_widths", around(limits, pot)).withColumns({"_all": tries, "_each": F.greatest(F.lit(1), F.least(F.lit(64), F.floor(F.lit(1 << 14) / F.size("sprites")))).cast("int")}).where(F.size("_all") > 0)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / F.col("_each")).cast("int")), lambda k: F.slice("_all", k * F.col("_each") + 1, F.col("_each")))
+    work = spread(rows.select("job", "sprites", "_each", F.posexplode(chunks).alias("_chunk", "cands")))
 
-    def place(found: list) -> list[tuple]:
-        left, out, atlas = found, [], 0
-        while left:
-            best = None
-            sides = [(s["w"] + limits.gap, s["h"] + limits.gap) for s in left]
-            least = min(min(b) if limits.rotate else b[0] for b in sides)
-            widths = around(least, limits.max_width, _root(sum(s["w"] * s["h"] for s in left))) if least <= limits.max_width else []
-            if pot:
-                widths = sorted({p for w in widths if (p := 1 << (w - 1).bit_length()) <= limits.max_width})
-            for order in (*ORDERS, "none") if limits.order is None else (limits.order,):
-                ordered, boxes = boxed(left, order, limits)
-                for width in widths:
-                    # No more of the sprites' area can be packed than the atlas has.
-                    if best is not None and goal == "space" and width * limits.max_height < -best[0][0]:
-                        continue
-                    for method in HEURISTICS:
-                        spots = maxrects(boxes, width, limits.max_height, method, limits.rotate, partial=True)
-                        packed = [s for s, p in zip(ordered, spots, strict=True) if p]
-                        rank = ranked_by(packed, *extent(boxes, spots))
-                        if packed and (best is None or rank < best[0]):
-                            best = rank, ordered, spots
-            if best is None:
-                return []  # a sprite fits no atlas: the job has no layout
-            out += laid(best[1], best[2], atlas)
-            done = {p[0] for p in laid(best[1], best[2])}
-            left, atlas = [s for s in left if s["seq"] not in done], atlas + 1
-        return out
+    def best_of(sprites: list, cands: list, first: int) -> tuple | None:
+        best, orders, total = None, {}, sum(s["w"] * s["h"] for s in sprites)
+        sign = 1 if goal == "gpu" else -1
+        for k, cand in enumerate(cands):
+            if cand["order"] not in orders:
+                orders[cand["order"]] = boxed(sprites, cand["order"], limits)
+            ordered, boxes = orders[cand["order"]]
+            areas = [s["w"] * s["h"] for s in ordered]
+            # Whether too much has found no room for the rest to make up for it.
+            lost = (lambda n, area: (len(sprites) - n, total - area)[::sign] < best[0][:2]) if best else None  # noqa: B023
+            spots = maxrects(boxes, cand["width"], limits.max_height, cand["method"], limits.rotate, partial=True, lost=lost, worth=areas)
+            if spots is None:
+                continue
+            n, area = sum(p is not None for p in spots), sum(a for a, p in zip(areas, spots, strict=True) if p)
+            w, h = extent(boxes, spots)
+            rank = (*(n, area)[::sign], *(-x for x in JUDGED[goal](w, h)))
+            if n and (best is None or rank > best[0]):
+                best = rank, (first + k, cand["order"], cand["width"], cand["method"], w, h, n, area)
+        return best and best[1]
 
-    return each_job(sprites, place)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(job, best_of(list(sprites), cands, chunk * each)) for job, sprites, each, chunk, cands in zip(*(frame[c] for c in ("job", "sprites", "_each", "_chunk", "cands")), strict=True)]
+            yield pd.DataFrame([(job, *best) for job, best in found if best], columns=[f.split()[0] for f in PARTIAL.split(", ")])
+
+    return work.mapInPandas(run, PARTIAL)
+
+
+def filled(open_jobs: DataFrame, best: DataFrame, limits: Limits, atlas: int) -> DataFrame:
+    """What the best packing places of each open job, and the sprites it leaves; both null where there is none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                sprites = list(row["sprites"])
+                if row["order"] is None:
+                    out.append((row["job"], atlas, None, None))
+                    continue
+                ordered, boxes = boxed(sprites, row["order"], limits)
+                spots = maxrects(boxes, int(row["at_width"]), limits.max_height, row["method"], limits.rotate, partial=True)
+                places = [dict(zip(("seq", "x", "y", "w", "h", "rotated"), (p[0], *p[2:]), strict=True)) for p in laid(ordered, spots)]
+                done = {p["seq"] for p in places}
+                out.append((row["job"], atlas, places, [s for s in sprites if s["seq"] not in done]))
+            yield pd.DataFrame(out, columns=["job", "atlas_index", "placed", "sprites"])
+
+    return spread(open_jobs.join(best.select("job", "order", "at_width", "method"), "job", "left")).mapInPandas(run, STATE)
+
+
+def multipack(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu", pot: bool = False) -> DataFrame:  # noqa: B008
+    """As many atlases per job as it takes; each is the best of partial packings of what is left.
+
+    Best for gpu: most sprites, then most of their area, then the smaller atlas; for space the area comes
+    first.  A round fills one atlas of every job that has sprites left: its candidates are rows, spread
+    over all tasks however large a job is, and what is left is written for the next round.
+    """
+    left, out, atlas = materialised(jobs(sprites)), [], 0
+    while not left.isEmpty():
+        best = best_candidates(fullest(left, limits, goal, pot), f"multipack_{goal}")
+        state = materialised(filled(left, best, limits, atlas))
+        out.append(state)
+        left, atlas = state.where(F.size("sprites") > 0).select("job", "sprites"), atlas + 1
+    if not out:
+        return each_job(sprites, lambda found: [])
+    every = reduce(DataFrame.unionByName, out)
+    failed = every.where("placed is null").select("job").distinct()  # a sprite fits no atlas: the job has no layout
+    rows = every.where("placed is not null").join(failed, "job", "left_anti").select("job", "atlas_index", F.explode("placed").alias("_p"))
+    return rows.select("job", "_p.seq", "atlas_index", "_p.x", "_p.y", "_p.w", "_p.h", "_p.rotated")
 
 
 def incremental(sprites: DataFrame, previous: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """A job's earlier placements (job, seq, x, y, w, h, rotated) stay where the size is the same; the rest goes into the room left.
+    """Sprites with an earlier place (previous: job, path, x, y, w, h, rotated) stay there; the rest goes into the room left.
 
-    A job whose new sprites find no room gives no rows: it needs a fresh search.
+    They are matched by path; a place counts if it is not left of or above 0 and size and trims (0 where a
+    table has none) are as before.  A job of which nothing stays, whose places overlap or go beyond the limits, or whose
+    other sprites find no room, gives no rows: it needs a fresh search.
     """
-    old = previous.groupBy("job").agg(F.collect_list(F.struct("seq", "x", "y", "w", "h", "rotated")).alias("extra"))
-
-    def place(found: list, earlier: list | None) -> list[tuple]:
-        known = {p["seq"]: p for p in (earlier if earlier is not None else ())}
-        same = lambda s: s["seq"] in known and (s["w"], s["h"]) == ((known[s["seq"]]["h"], known[s["seq"]]["w"]) if known[s["seq"]]["rotated"] else (known[s["seq"]]["w"], known[s["seq"]]["h"]))
-        pinned, fresh = [s for s in found if same(s)], in_order([s for s in found if not same(s)], "area")
-        kept = [known[s["seq"]] for s in pinned]
-        spots = maxrects([(s["w"] + limits.gap, s["h"] + limits.gap) for s in fresh], limits.max_width, limits.max_height, "short_side", limits.rotate, taken=[(p["x"], p["y"], p["w"] + limits.gap, p["h"] + limits.gap) for p in kept])
+    trim = lambda df, c: F.coalesce(F.col(c), F.lit(0)) if c in df.columns else F.lit(0)
+    known = F.struct(*("x", "y", "w", "h", "rotated"), *(trim(previous, c).alias(c) for c in TRIMS))
+    by = F.min_by(known, "seq") if "seq" in previous.columns else F.first(known)
+    old = previous.groupBy("job", "path").agg(by.alias("_p"))
+    own = sprites.select("job", F.col("seq").cast("long").alias("seq"), "path", "w", "h", *(trim(sprites, c).alias(c) for c in TRIMS))
+    turned_w, turned_h = (F.when(F.col("_p.rotated"), F.col(f"_p.{b}")).otherwise(F.col(f"_p.{a}")) for a, b in (("w", "h"), ("h", "w")))
+    same = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_p.{c}") for c in TRIMS], (F.col("w") == turned_w) & (F.col("h") == turned_h))
+    fits = F.col("_p").isNotNull() & (F.col("_p.x") >= 0) & (F.col("_p.y") >= 0)
+    pinned = materialised(own.join(old, ["job", "path"]).where(fits & same).select("job", "seq", "_p.x", "_p.y", "_p.w", "_p.h", "_p.rotated"))
+    padded = pinned.withColumns({c: F.col(c) + limits.gap for c in "wh"})
+    outside = padded.where((F.col("x") + F.col("w") > limits.max_width) | (F.col("y") + F.col("h") > limits.max_height))
+    wrong = overlaps(padded, keys=("job",)).select("job").unionByName(outside.select("job")).distinct()
+    kept = pinned.join(wrong, "job", "left_anti").groupBy("job").agg(F.collect_list(F.struct("seq", "x", "y", "w", "h", "rotated")).alias("extra"))
+
+    def place(found: list, earlier: list) -> list[tuple]:
+        pinned = {p["seq"] for p in earlier}
+        fresh = in_order([s for s in found if s["seq"] not in pinned], "area")
+        taken = [(p["x"], p["y"], p["w"] + limits.gap, p["h"] + limits.gap) for p in earlier]
+        spots = maxrects([(s["w"] + limits.gap, s["h"] + limits.gap) for s in fresh], limits.max_width, limits.max_height, "short_side", limits.rotate, taken=taken)
         if spots is None:
             return []
-        return [(p["seq"], 0, p["x"], p["y"], p["w"], p["h"], bool(p["rotated"])) for p in kept] + laid(fresh, spots)
+        return [(p["seq"], 0, p["x"], p["y"], p["w"], p["h"], bool(p["rotated"])) for p in earlier] + laid(fresh, spots)
 
-    return each_job(sprites, place, old)
+    return each_job(sprites.join(kept.select("job"), "job", "left_semi"), place, kept)

@@ -303,13 +303,14 @@ _packers()
 
 @query(f"WITH {SPRITE}, old AS (SELECT * FROM sprite WHERE seq % {JOB} <> 0) SELECT s.job, count(*) AS n, count(o.seq) AS kept, 0::BIGINT AS overlaps FROM sprite s LEFT JOIN old o USING (job, seq) GROUP BY s.job")
 def incremental_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sprites laid out before keep their places when one more joins."""
+    """Sprites laid out before keep their places when one more joins in front of them, so that all their numbers move."""
     source = sprites(spark, sf_dir)
-    old = p.fast(source.where(F.col("seq") % JOB != 0), LIMITS)
-    new = p.incremental(source, old, LIMITS)
-    same = new.join(old.select("job", "seq", F.col("x").alias("_x"), F.col("y").alias("_y")), ["job", "seq"], "left")
+    old = p.fast(source.where(F.col("seq") % JOB != 0).withColumn("seq", F.col("seq") - 1), LIMITS).join(source.select("job", (F.col("seq") - 1).alias("seq"), "path"), ["job", "seq"])
+    new = p.incremental(source, old, LIMITS).join(source.select("job", "seq", "path"), ["job", "seq"])
+    same = new.join(old.select("job", "path", F.col("x").alias("_x"), F.col("y").alias("_y")), ["job", "path"], "left")
     out = same.groupBy("job").agg(F.count("*").alias("n"), F.count(F.when((F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), 1)).alias("kept"))
-    return out.join(r.overlaps(new).groupBy("job").agg(F.count("*").alias("overlaps")), "job", "left").select("job", "n", "kept", F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"))
+    padded = new.withColumns({c: F.col(c) + LIMITS.gap for c in "wh"})
+    return out.join(r.overlaps(padded).groupBy("job").agg(F.count("*").alias("overlaps")), "job", "left").select("job", "n", "kept", F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,11 +269,45 @@ def test_grid_needs_equal_sizes(spark):
     assert size_of(placed) == (6, 4)
 
 
-def test_incremental_keeps_places(spark):
-    first = sprite_rows(spark, [(5, 5), (6, 4), (3, 9)])
-    old = layouts.compact(first, layouts.Limits(64, 64))
-    new = layouts.incremental(sprite_rows(spark, [(5, 5), (6, 4), (3, 9), (2, 2)]), old, layouts.Limits(64, 64))
-    assert rows(new.where("seq < 3"), "seq", "x", "y") == rows(old, "seq", "x", "y") and r.overlaps(new).count() == 0 and new.count() == 4
+def with_paths(placed, source):
+    return placed.join(source.select("job", "seq", "path"), ["job", "seq"])
+
+
+def test_incremental_keeps_places_by_path(spark):
+    sizes = {"a.png": (5, 5), "b.png": (6, 4), "c.png": (3, 9)}
+    make = lambda names: spark.createDataFrame([(0, k, n, *sizes.get(n, (2, 2)), 0) for k, n in enumerate(names)], "job long, seq long, path string, w int, h int, trim_left int")
+    limits, first = layouts.Limits(64, 64), make(sorted(sizes))
+    old = with_paths(layouts.compact(first.drop("trim_left"), limits), first).persist()
+    spots = {r["path"]: (r["x"], r["y"]) for r in old.collect()}
+    for names in (["0.png", "a.png", "b.png", "c.png"], ["c.png", "b.png", "x.png", "a.png"], ["b.png"]):
+        source = make(names)
+        got = with_paths(layouts.incremental(source, old, limits), source)
+        assert {r["path"]: (r["x"], r["y"]) for r in got.collect() if r["path"] in sizes} == {n: spots[n] for n in names if n in sizes}
+        assert got.count() == len(names) and r.overlaps(got).count() == 0
+    # Another trim: c.png is placed anew.
+    source = make(["0.png", "a.png", "b.png", "c.png"])
+    moved = with_paths(layouts.incremental(source, old.withColumn("trim_left", F.when(F.col("path") == "c.png", 1).otherwise(0)), limits), source)
+    assert {r["path"]: (r["x"], r["y"]) for r in moved.collect() if r["path"] in "a.png b.png"} == {n: spots[n] for n in ("a.png", "b.png")}
+    assert moved.count() == 4 and r.overlaps(moved).count() == 0
+
+
+@pytest.mark.parametrize("change", ["x = 0, y = 0", "x = x + 60", "x = -1", "path = 'z'"])
+def test_incremental_refuses_what_does_not_fit(spark, change):
+    source = sprite_rows(spark, [(5, 5), (6, 4), (3, 9)])
+    limits = layouts.Limits(64, 64)
+    old = with_paths(layouts.compact(source, limits), source)
+    for part in change.split(", "):
+        name, to = part.split(" = ")
+        old = old.withColumn(name, F.expr(to))
+    assert layouts.incremental(source, old, limits).count() == 0
+    o = options(mode="compact", incremental=True, max_width=64, max_height=64)
+    fresh = api.layout(source, o, previous=old)
+    assert fresh["sprite"].count() == 3 and fresh["error"].count() == 0 and r.overlaps(fresh["sprite"]).count() == 0
+
+
+def test_odd_sprites_of_a_grid_are_named(spark):
+    got = api.layout(sprite_rows(spark, [(2, 2), (2, 3)]), options(mode="grid"))
+    assert [r["message"] for r in got["error"].collect()] == ["s1.png is 2x3, not the size of the first sprite of the grid"]
 
 
 def test_overlaps_are_found_once(spark):

@@ -131,3 +131,46 @@ def test_multipack_takes_the_best_atlas_each_time(spark, goal, turn):
     got = rows(layouts.multipack(sprites, limits, goal), "job", "seq", "atlas_index", "x", "y", "rotated")
     want = [(j, *p) for j in range(5) for p in slow_multipack([f[1:2] + f[3:] for f in found if f[0] == j], limits, goal)]
     assert got == sorted(want)
+
+
+def test_a_first_pass_bounds_the_rest(spark):
+    found, sprites = made(spark, 7, 6, 40)
+    limits = layouts.Limits(150, 300, 1)
+    for goal in ("gpu", "space"):
+        placed, effort = layouts.searched(sprites, layouts.compact_candidates, limits, goal)
+        want = [(j, k, *p) for j in range(6) for k, p in slow_compact([f[1:2] + f[3:] for f in found if f[0] == j], limits, goal).items()]
+        assert rows(placed, "job", "seq", "x", "y", "rotated") == sorted(want)
+        told = effort.collect()
+        assert len(told) == 6 and all(r["packings"] <= r["candidates"] and r["given_up"] <= r["packings"] for r in told)
+        assert goal == "space" or sum(r["packings"] for r in told) < sum(r["candidates"] for r in told)
+
+
+def test_an_earlier_width_is_the_first_passes(spark):
+    _, sprites = made(spark, 8, 4, 30)
+    limits = layouts.Limits(200, 200)
+    sized = layouts.bounds(sprites, limits)
+    hints = sized.selectExpr("job", "least + 1 as hint").where("job < 3")
+    first = layouts.compact_candidates(sized, limits, hints).where(f"cand < {layouts.FIRST_PASS}")
+    got = rows(first.select("job", "width").distinct())
+    want = [(r["job"], r["least"] + 1 if r["job"] < 3 and r["least"] < r["most"] else r["root"]) for r in sized.collect()]
+    assert got == sorted(want)
+
+
+def test_one_large_job_is_packed_in_rounds(spark):
+    rng = random.Random(3)
+    found = [(0, k, f"p{k}.png", rng.randint(3, 30), rng.randint(3, 30)) for k in range(400)]
+    sprites = spark.createDataFrame(found, "job long, seq long, path string, w int, h int")
+    limits = layouts.Limits(96, 96, order="area")
+    got = layouts.multipack(sprites, limits).collect()
+    assert sorted(r["seq"] for r in got) == list(range(400)) and {r["atlas_index"] for r in got} == set(range(max(r["atlas_index"] for r in got) + 1))
+    cover = {}
+    for r in got:
+        for x in range(r["x"], r["x"] + r["w"]):
+            for y in range(r["y"], r["y"] + r["h"]):
+                assert x < 96 and y < 96 and cover.setdefault((r["atlas_index"], x, y), r["seq"]) == r["seq"]
+
+
+def test_multipack_of_what_fits_nowhere(spark):
+    sprites = spark.createDataFrame([(0, 0, "a", 9, 9), (0, 1, "b", 99, 9), (1, 0, "c", 5, 5)], "job long, seq long, path string, w int, h int")
+    assert rows(layouts.multipack(sprites, layouts.Limits(20, 20)), "job", "seq", "atlas_index") == [(1, 0, 0)]
+    assert layouts.multipack(sprites.where("job > 5"), layouts.Limits(20, 20)).count() == 0
