@@ -2,15 +2,17 @@
 
 Terms of the templates are weighed by how many documents of the whole corpus hold them (one
 aggregate, as many rows as the templates have terms); a common notice's own words keep the weight of
-words that one document in twenty holds.  Every line of a text is compared, as are blocks of
-neighbouring lines and the whole text, so notices are found wherever they stand and however common
-they are; only what an upper bound of its cosine rules out is left out.  A text that is itself like a template, or has a licence
-file's name, is a licence file, and covers its directory and all below that have none of their own:
-directories are joined with their ancestors that hold a licence file and the deepest one wins.  The
-joins are on distinct directories; only ids and paths take part, never texts.
+words that one document in twenty holds.  Every line of a text is compared, every window of consecutive
+lines (blank ones aside) with at most twice as many words as the longest template, and the whole text, so notices are found wherever they stand,
+however they are wrapped and however common they are.  What is left out is only what an upper bound of its
+cosine rules out, which changes no result.  A text with a licence file's name, or of FILE_WORDS words and
+more that is itself like a template, is a licence file, and covers its directory and all below that have
+none of their own: directories are joined with their ancestors that hold a licence file and the deepest
+one wins.  The joins are on distinct directories; only ids and paths take part, never texts.
 
 Defined results: a null or empty text has no licence of its own; a null path lies in the root; of
-several licence files in a directory the most similar one counts, then the smaller path; repeated
+several licence files in a directory the most similar one counts, then the smaller path; of equally
+similar lines and windows of a text the one that begins first counts, then the shortest; repeated
 rows each return the same; other columns are ignored; an empty table gives no rows.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +72,8 @@ TEMPLATES = {
 }
 NOTICE, FILE = 0.7, 0.45  #: least cosines of a notice and of a licence file
 RARE = 0.05  #: terms but for function words weigh as if at most this share of documents held them
-MOSTLY = 0.5  #: least upper bound of the cosines of the lines of a block
+FILE_WORDS = 50  #: words of a licence file that has no licence file's name
+SLACK = 1e-6  #: by how much bounds may be off in floating point
 #: Function words of the templates; they mark no line.
 STOP = frozenset("all and any are as at by can either except following for from has in into is it later may no not of on or that the this to under with without you".split())
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
@@ -106,8 +110,7 @@ class Matcher:
         self.postings = {w: (np.array([t for t, _ in p]), self.idf[self.vocabulary[w.decode()]] * np.array([x for _, x in p])) for w, p in held_by.items()}
         self.places = {w.encode(): k for w, k in self.vocabulary.items()}
         self.squares = {w: float(self.idf[k]) ** 2 for w, k in self.places.items()}
-        self.own = frozenset(w.encode() for w in own)
-        self.rare = frozenset(w.encode() for w in self.vocabulary if len(w) > 1 and counts.get(w, 0) <= max(1, RARE * total))
+        self.most_words = 2 * max((sum(words.values()) for words in lists), default=0)
 
     def best(self, counted: Counter) -> tuple[float, int]:
         """The greatest cosine of a text's words to a template, and that template."""
@@ -123,52 +126,69 @@ class Matcher:
         k = int(cosines.argmax())
         return round(float(cosines[k]), 9), k
 
-    def bound(self, counted: Counter) -> float:
-        """What no cosine to a template exceeds: the share of the templates' terms in the length of the vector."""
-        known = every = 0.0
+    def lengths(self, counted: Counter) -> tuple[float, float]:
+        """The squared lengths of a vector in the templates' terms and in all others."""
+        known = others = 0.0
         for w, n in counted.items():
             square = self.squares.get(w)
             if square is None:
-                every += (n * self.unknown) ** 2
+                others += (n * self.unknown) ** 2
             else:
                 known += n * n * square
-        return math.sqrt(known / (known + every)) if known else 0.0
-
-    def scan(self, text: bytes) -> tuple[str | None, float, int | None, float]:
-        """Licence, its similarity and line, and the similarity of the whole text."""
-        lines = [Counter(WORD.findall(x)) for x in text.lower().split(b"\n")]
+        return known, others
+
+    def windows(self, words: list[int], known: list[float], others: list[float], need: float) -> Iterator[tuple[int, int]]:
+        """(start, stop) of the windows of two lines and more whose cosine may reach `need`.
+
+        Terms outside the templates only add to the length, at least what they add line by line; those of
+        the templates add at most the sum of their lines' squares times the number of lines.  A window
+        that begins or ends with a line without such terms is never better than without it.
+        """
+        n = len(words)
+        if n < 2:
+            return
+        words_to, known_to, others_to = (np.concatenate(([0.0], np.cumsum(x))) for x in (words, known, others))
+        holds = np.array(known) > 0
+        share = need * need
+        for size in range(2, n + 1):
+            count = words_to[size:] - words_to[:-size]
+            short = count <= self.most_words
+            if not short.any():
+                return
+            most = size * (known_to[size:] - known_to[:-size])
+            may = short & holds[: n - size + 1] & holds[size - 1 :] & (most >= share * (most + others_to[size:] - others_to[:-size]))
+            for start in np.flatnonzero(may).tolist():
+                yield start, start + size
+
+    def scan(self, text: bytes) -> tuple[str | None, float, int | None, float, int]:
+        """Licence, its similarity and line, the similarity of the whole text, and its words."""
+        split = [(n, found) for n, line in enumerate(text.lower().split(b"\n")) if (found := WORD.findall(line))]
+        lines = [Counter(found) for _, found in split]
         every = lines[0] if len(lines) == 1 else Counter()
         if len(lines) > 1:
             for counted in lines:
                 every.update(counted)
         whole, j = self.best(every)
-        need = (whole if whole >= FILE else NOTICE) - 1e-6  # what stays below changes no result
-        bounds = [self.bound(counted) for counted in lines]
-        candidates = [(n, counted) for n, (counted, most) in enumerate(zip(lines, bounds, strict=True)) if most >= need]
-        blocks = set()
-        for marked in (
-            [n for n, counted in enumerate(lines) if bounds[n] and not self.own.isdisjoint(counted)],
-            [n for n, counted in enumerate(lines) if bounds[n] and not self.rare.isdisjoint(counted)],
-            [n for n, most in enumerate(bounds) if most >= MOSTLY],
-        ):
-            start = 0
-            for k in range(1, len(marked) + 1):
-                if k == len(marked) or marked[k] != marked[k - 1] + 1:
-                    if k - start > 1:
-                        blocks.add((marked[start], marked[k - 1]))
-                    start = k
-        for a, b in sorted(blocks):
-            counted = Counter()
-            for part in lines[a : b + 1]:
+        need = (whole if whole >= FILE else NOTICE) - SLACK  # what stays below changes no result
+        lengths = [self.lengths(counted) for counted in lines]
+        enough = lambda known, others: known > 0 and known >= need * need * (known + others)
+        tops = [(*self.best(counted), k, 1) for k, (counted, both) in enumerate(zip(lines, lengths, strict=True)) if enough(*both)]
+        start, counted, stop = -1, Counter(), 0
+        for a, b in sorted(self.windows([len(found) for _, found in split], [x for x, _ in lengths], [x for _, x in lengths], need)):
+            if a != start:
+                start, counted, stop = a, Counter(), a
+            for part in lines[stop:b]:
                 counted.update(part)
-            if self.bound(counted) >= need:
-                candidates.append((a, counted))
-        score, k, line = max(((*self.best(counted), a) for a, counted in candidates), key=lambda s: (s[0], -s[2]), default=(whole, j, 0))
+            stop = b
+            if enough(*self.lengths(counted)):
+                tops.append((*self.best(counted), a, b - a))
+        score, k, line, _ = max(tops, key=lambda t: (t[0], -t[2], -t[3]), default=(whole, j, 0, 0))
         if whole > score:
             score, k, line = whole, j, 0
+        size = sum(map(len, (found for _, found in split)))
         if score >= NOTICE or whole >= FILE:
-            return self.names[k], score, line, whole
-        return None, 0.0, None, whole
+            return self.names[k], score, split[line][0], whole, size
+        return None, 0.0, None, whole, size
 
 
 def scan(docs: DataFrame, path: Column, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,18 +196,18 @@ def scan(docs: DataFrame, path: Column, templates: dict[str, list[str]] | None =
     templates = templates or TEMPLATES
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in terms(t)})
     total, counts = document_counts(docs, vocabulary, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("licence", pa.string()), ("similarity", pa.float64()), ("line", pa.int64()), ("whole", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("licence", pa.string()), ("similarity", pa.float64()), ("line", pa.int64()), ("whole", pa.float64()), ("words", pa.int64())])
 
     def run(batches):  # noqa: ANN001, ANN202
         matcher = Matcher(templates, total, counts)
         for batch in batches:
             found = [matcher.scan(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(4))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(5))], schema=schema)
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = rows.mapInArrow(run, "doc_id long, path string, licence string, similarity double, line long, whole double")
+    own = rows.mapInArrow(run, "doc_id long, path string, licence string, similarity double, line long, whole double, words long")
     own = cut(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
-    is_file = F.col("licence").isNotNull() & ((F.col("whole") >= FILE) | F.col("path").rlike(FILE_NAME))
+    is_file = F.col("licence").isNotNull() & (((F.col("whole") >= FILE) & (F.col("words") >= FILE_WORDS)) | F.col("path").rlike(FILE_NAME))
     files = own.where(is_file).groupBy("dir").agg(F.min(F.struct((-F.col("whole")).alias("w"), "path", "licence")).alias("_f")).select(F.col("dir").alias("from_dir"), F.col("_f.licence").alias("_licence"))
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     up = own.select("dir").distinct().withColumn("_parts", parts).select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("_parts", F.lit(1), n), "/").alias("from_dir")))).alias("_a"))

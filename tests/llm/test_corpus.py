@@ -341,7 +341,7 @@ def test_every_template_is_its_own_best_match():
 
 
 def test_scans_match_plain_cosines():
-    """Similarities against vectors written out; every line by itself and the whole text, where lines with a licence's words stand apart."""
+    """Similarities against vectors written out: every line, every window of lines and the whole text."""
     rng, common = np.random.default_rng(4), "the of to in and a is".split()
     counts = {w: 700 for w in common} | {"software": 30, "license": 40}
     matcher = licenses.Matcher(licenses.TEMPLATES, 1000, counts)
@@ -359,16 +359,49 @@ def test_scans_match_plain_cosines():
             lines += [" ".join(words), "plain words between them"]
         text = "\n".join(lines)
         best = lambda t: max(((round(cosine(vector(t), v), 9), name) for name, v in templates), key=lambda x: x[0])
-        whole, each = best(text), [best(x) for x in lines]
+        whole = best(text)
+        spans = ["\n".join(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+        each = [best(t) for i, t in enumerate(spans) if "\n" not in t or len(licenses.terms(t)) <= matcher.most_words]
         top = max([whole, *each], key=lambda x: x[0])
-        licence, similarity, _, of_whole = matcher.scan(text.encode())
-        assert abs(of_whole - whole[0]) < 1e-8
+        licence, similarity, _, of_whole, words = matcher.scan(text.encode())
+        assert abs(of_whole - whole[0]) < 1e-8 and words == len(licenses.terms(text))
         if top[0] >= licenses.NOTICE:
             assert abs(similarity - top[0]) < 1e-8 and licence in {n for s, n in [whole, *each] if abs(s - top[0]) < 1e-8}
         elif whole[0] < licenses.FILE:
             assert licence is None
 
 
+WRAPPED = {
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0\nInternational License.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\n\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\nany later version.",
+    "MIT": "# Released\n#\n# under the\n# MIT\n# License.",
+}
+
+
+@pytest.mark.parametrize("share", [0.0005, 0.02, 0.2, 0.6])
+@pytest.mark.parametrize("name", sorted(WRAPPED))
+def test_wrapped_notices_between_prose_with_their_words(share, name):
+    held = int(100_000 * share)
+    matcher = licenses.Matcher(licenses.TEMPLATES, 100_000, {w: held for texts in licenses.TEMPLATES.values() for t in texts for w in licenses.terms(t)})
+    for before, after in (("some prose of ours", "and more"), ("a work of public software as its source", "the software and the work are public"), ("their license", "version 4.0")):
+        licence, similarity, line, _, _ = matcher.scan(f"{before}\n{WRAPPED[name]}\n{after}".encode())
+        assert (licence, line) == (name, 1) and similarity > 0.97
+
+
+def test_op9(spark, tmp_path):
+    prose = lambda i: " ".join(f"word{(37 * i + 7 * k * k) % 400}" for k in range(80))
+    texts = {i: prose(i) for i in range(60)} | {60: None, 61: ""}
+    wanted = {}
+    for k, (name, notice) in enumerate(WRAPPED.items()):
+        for i in (3 * k, 20 + k):
+            texts[i] = f"{prose(i)}\nthe public work\n{notice}\na source of software\n{prose(i + 90)}"
+            wanted[i] = name, "own"
+    made = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.op9_licence_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: wanted.get(i, (None, "none")) for i in texts}
+
+
 @pytest.mark.parametrize("every", [1, 3])
 def test_common_notices_are_found(spark, every):
     """A notice in all or a third of the rows, on a line of its own, behind other words, or over two lines between prose."""
