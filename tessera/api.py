@@ -16,8 +16,8 @@ from .sources import images, texts
 LARGEST = 1 << 15
 
 
-def source_sprites(files: DataFrame, o: LayoutOptions, cache: DataFrame | None = None, job: str = "job") -> DataFrame:
-    """Image files (job, path, modificationTime, length, content) as sprites: probed or decoded, and in source order.
+def read_sprites(files: DataFrame, o: LayoutOptions, cache: DataFrame | None = None, job: str = "job") -> tuple[DataFrame, DataFrame]:
+    """Image files (job, path, modificationTime, length, content) as sprites, probed or decoded and in source order, and the files left out (job, path, error).
 
     With a cache, files that it knows unchanged are not opened.
     """
@@ -31,7 +31,13 @@ def source_sprites(files: DataFrame, o: LayoutOptions, cache: DataFrame | None =
         columns = [c.split()[0] for c in images.META.split(", ") if c.split()[0] != "error"]
         fresh = images.metadata(files.join(known.where("not hit").select("path"), "path", "left_semi"), o.trim_transparent, content, perceptual)
         meta = known.where("hit").select(*columns, F.lit(None).cast("string").alias("error")).unionByName(fresh.select(*columns, "error"))
-    return meta.where("error is null").join(places, "path")
+    rows = r.materialised(meta).join(places, "path")
+    return rows.where("error is null"), rows.where("error is not null").select(job, "path", "error")
+
+
+def source_sprites(files: DataFrame, o: LayoutOptions, cache: DataFrame | None = None, job: str = "job") -> DataFrame:
+    """The sprites of read_sprites alone."""
+    return read_sprites(files, o, cache, job)[0]
 
 
 def _by_path(job: str):  # noqa: ANN202
@@ -141,13 +147,18 @@ def _by_name():  # noqa: ANN202
     return Window.partitionBy("job").orderBy("name")
 
 
-def folder_sprites(spark: SparkSession, folder: str, o: LayoutOptions, cache: DataFrame | None = None) -> DataFrame:
-    """The sprites of a folder; each folder right below it is a job, numbered by name, and what lies in none is one too."""
+def read_folder(spark: SparkSession, folder: str, o: LayoutOptions, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sprites of a folder and the files left out; each folder right below it is a job, numbered by name, and what lies in none is one too."""
     files = images.images(spark, folder)
     below = F.regexp_extract("path", rf"{folder.rstrip('/')}/([^/]+)/", 1)
     named = files.withColumn("_dir", below)
     numbers = named.select("_dir").distinct().withColumn("job", F.xxhash64("_dir"))
-    return source_sprites(named.join(numbers, "_dir").drop("_dir"), o, cache)
+    return read_sprites(named.join(numbers, "_dir").drop("_dir"), o, cache)
+
+
+def folder_sprites(spark: SparkSession, folder: str, o: LayoutOptions, cache: DataFrame | None = None) -> DataFrame:
+    """The sprites of read_folder alone."""
+    return read_folder(spark, folder, o, cache)[0]
 
 
 def sheet_frames(sheets: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pictures import image_size, read_image
-from ..operators.png import write_png
 from ..operators.raster import trim_bounds
 
 #: The file types that are looked at.
@@ -80,25 +79,6 @@ def archived(archives: DataFrame) -> DataFrame:
     return found.where(F.col("error").isNotNull()).unionByName(only_images(found.where("error is null")))
 
 
-def recoded(spark: SparkSession, folder: str) -> DataFrame:
-    """The JPEG files below a folder, which Spark's own image source reads, as (path, length, content) with PNG files for content."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for path, h, w, n, data in zip(frame["path"], frame["height"], frame["width"], frame["channels"], frame["data"], strict=True):
-                raw = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n)
-                pixels = np.full((h, w, 4), 255, np.uint8)
-                pixels[..., :3] = raw[..., 2::-1] if n >= 3 else raw[..., :1]
-                content = write_png(pixels)
-                out.append((path, len(content), content))
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
-
-    read = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder).select("image.*")
-    jpeg = read.where(F.lower(F.regexp_extract("origin", r"\.([^./]+)\z", 1)).isin("jpg", "jpeg"))
-    return jpeg.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data").mapInPandas(run, "path string, length long, content binary")
-
-
 def luma_hash(pixels: np.ndarray) -> int:
     """The 64-bit difference hash over a 9 by 8 grid of nearest pixels, weighted by alpha."""
     h, w = pixels.shape[:2]

@@ -1,12 +1,15 @@
 """Decoders against files that the platform's image library writes, and files put together by hand."""
 
 import struct
+import zipfile
 import zlib
 
 import numpy as np
 import pytest
 
+from tessera import api
 from tessera.operators import pictures, png, raster
+from tessera.options import options
 from tessera.plans import atlases
 from tessera.sources import images
 
@@ -105,15 +108,84 @@ def test_tga_and_maps():
             pictures.read_image(broken)
 
 
-def test_jpeg_comes_as_png(spark, tmp_path):
-    flat = np.zeros((16, 24, 4), np.uint8)
-    flat[...] = (180, 60, 20, 255)
-    (tmp_path / "a.JPG").write_bytes(written(spark, flat, "jpg", 5))
-    (tmp_path / "b.png").write_bytes(png.write_png(flat))
-    (tmp_path / "c.jpg").write_bytes(b"broken")
-    out = images.recoded(spark, str(tmp_path)).collect()
-    assert [r["path"].rsplit("/", 1)[1] for r in out] == ["a.JPG"]
-    assert np.abs(png.read_png(bytes(out[0]["content"])).astype(int) - flat).max() <= 3
+def photo(h, w, seed):
+    """Something smooth with edges, as JPEG is made for."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:h, :w]
+    rgb = np.stack([127 + 120 * np.sin(x / (5 + c) + y / (9 - c) + rng.random()) for c in range(3)], axis=2)
+    rgb[h // 4 : h // 2, w // 3 : w // 2] = rng.integers(0, 256, 3)
+    return np.dstack((rgb.astype(np.uint8), np.full((h, w), 255, np.uint8)))
+
+
+def jpeg(spark, pixels, java_type, quality, progressive):
+    """The JPEG file that ImageIO makes of the pixels."""
+    jvm = spark.sparkContext._jvm
+    h, w = pixels.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, java_type)
+    for y in range(h):
+        for x in range(w):
+            r, g, b, _ = (int(v) for v in pixels[y, x])
+            image.setRGB(x, y, (255 << 24 | r << 16 | g << 8 | b) - (1 << 32))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setCompressionMode(2)
+    how.setCompressionQuality(quality)
+    how.setProgressiveMode(1 if progressive else 0)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    writer.getOutput().flush()
+    writer.dispose()
+    return bytes(out.toByteArray())
+
+
+def test_jpegs_are_as_sparks_image_source_reads_them(spark, tmp_path):
+    folder, kinds = tmp_path / "sheets", {}
+    (folder / "in").mkdir(parents=True)
+    for k, (h, w, java_type, quality, progressive) in enumerate([(16, 24, 5, 0.9, False), (33, 47, 5, 0.75, False), (40, 17, 5, 0.5, True), (9, 70, 10, 0.8, False), (31, 31, 10, 0.95, True), (64, 3, 5, 0.8, True), (1, 1, 5, 0.8, False)]):
+        data = jpeg(spark, photo(h, w, k), java_type, quality, progressive)
+        (folder / "in" / f"p{k}.jpg").write_bytes(data)
+        kinds[f"p{k}.jpg"] = (w, h)
+        assert pictures.image_size(data) == (w, h)
+    seen = {r["origin"].rsplit("/", 1)[1]: r for r in spark.read.format("image").option("recursiveFileLookup", True).load(str(folder)).select("image.*").collect()}
+    for name in kinds:
+        theirs = np.frombuffer(bytes(seen[name]["data"]), np.uint8).reshape(seen[name]["height"], seen[name]["width"], -1)
+        theirs = theirs[..., ::-1] if theirs.shape[2] == 3 else theirs
+        ours = pictures.read_image((folder / "in" / name).read_bytes())
+        off = np.abs(ours[..., :3].astype(int) - theirs)
+        assert off.max() <= 3 and off.mean() < 0.1, name  # theirs transforms in integers
+    # Beside other files, some of which are broken or only look like pictures.
+    (folder / "in" / "z.png").write_bytes(png.write_png(photo(5, 6, 1)))
+    (folder / "in" / "bad.jpg").write_bytes(b"broken")
+    (folder / "in" / "cut.jpeg").write_bytes((folder / "in" / "p1.jpg").read_bytes()[:-200])
+    for o in (options(), options(deduplicate="exact")):
+        found, left_out = api.read_folder(spark, str(folder), o)
+        assert {r["path"].rsplit("/", 1)[1]: (r["w"], r["h"]) for r in found.collect() if not r["path"].endswith("jpeg")} == kinds | {"z.png": (6, 5)}
+        assert {r["path"].rsplit("/", 1)[1] for r in left_out.collect()} == ({"bad.jpg", "cut.jpeg"} if o.deduplicate == "exact" else {"bad.jpg"})
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.write(folder / "in" / "p2.jpg", "p2.jpg")
+    members = images.archived(spark.read.format("binaryFile").load(str(tmp_path / "a.zip")))
+    assert [(r["w"], r["h"]) for r in images.metadata(members, trim=True).collect()] == [(17, 40)]
+
+
+def test_jpegs_with_restarts_and_inks():
+    """A file put together by hand: grey blocks of one level each, a restart after each, and one that says four colours."""
+    head = b"\xff\xd8" + b"\xff\xdb\x00\x43\x00" + bytes([8] * 64) + b"\xff\xdd\x00\x04\x00\x01"
+    tables = b"".join(b"\xff\xc4" + (19 + len(symbols)).to_bytes(2, "big") + bytes([kind]) + bytes([0, len(symbols)] + [0] * 14) + bytes(symbols) for kind, symbols in ((0, [0, 3]), (16, [0])))
+    def made(components, units, extra=b""):
+        frame = b"\xff\xc0" + (8 + 3 * components).to_bytes(2, "big") + bytes([8, 0, 8]) + (8 * units).to_bytes(2, "big") + bytes([components]) + b"".join(bytes([c + 1, 0x11, 0]) for c in range(components))
+        scan = b"\xff\xda" + (6 + 2 * components).to_bytes(2, "big") + bytes([components]) + b"".join(bytes([c + 1, 0]) for c in range(components)) + b"\0\x3f\0"
+        return head + extra + frame + tables + scan
+    # Codes: 00 for no difference, 01 for one of three bits; 00 ends a block.
+    block = lambda bits: int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    grey = made(1, 3) + block("0111100") + b"\xff\xd0" + block("0100000") + b"\xff\xd1" + block("0000") + b"\xff\xd9"
+    got = pictures.read_image(grey)
+    assert got.shape == (8, 24, 4) and [int(got[0, x, 0]) for x in (0, 8, 16)] == [135, 121, 128]
+    inks = made(4, 1, b"\xff\xee\x00\x0eAdobe\x00\x64\x00\x00\x00\x00\x00") + block("0111100" + "0000" * 3) + b"\xff\xd9"
+    assert pictures.read_image(inks)[0, 0].tolist() == [round(135 * 128 / 255), round(128 * 128 / 255), round(128 * 128 / 255), 255]
+    for broken in (grey[:40], grey.replace(b"\xff\xd1", b"\xff\xd9"), made(2, 1) + b"\0\xff\xd9"):
+        with pytest.raises(ValueError, match="JPEG|buffer"):
+            pictures.read_image(broken)
 
 
 def test_broken_files_give_errors_and_the_rest_goes_on(spark):
