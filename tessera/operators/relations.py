@@ -7,6 +7,8 @@ column that tells them apart.  `seq` is a sprite's place in its job's source ord
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -111,23 +113,90 @@ def exact_duplicates(sprites: DataFrame, job: str = "job") -> DataFrame:
     return sprites.join(first, same, "left").withColumn("canonical_path", F.coalesce("_first.path", "path")).drop("_first")
 
 
-def similar_pairs(sprites: DataFrame, threshold: int = 5, job: str = "job") -> DataFrame:
+class Bands:
+    """The 64 bits of a hash cut into bands, each with the distance within which two similar hashes agree in one of them at least.
+
+    Of two hashes that differ in at most `threshold` bits, one of the first r + 1 of m bands differs in
+    at most q bits or one of the others in fewer than q, where threshold = q m + r.
+    """
+
+    def __init__(self, threshold: int, m: int) -> None:
+        q, r = divmod(threshold, m)
+        cuts = [64 * k // m for k in range(m + 1)]
+        self.m = m
+        self.spans = [(cuts[k], cuts[k + 1]) for k in range(m) if q or k <= r]
+        self.within = [q if k <= r else q - 1 for k in range(len(self.spans))]
+
+    def keys(self, k: int) -> int:
+        """How many values a band has within its distance of a given one."""
+        low, high = self.spans[k]
+        return sum(comb(high - low, d) for d in range(self.within[k] + 1))
+
+    def cost(self, n: Column | float) -> Column | float:
+        """Rows that n hashes give, and pairs that meet if their bits are even."""
+        rows = len(self.spans) + sum(map(self.keys, range(len(self.spans))))
+        meet = sum(self.keys(k) / 2.0 ** (high - low) for k, (low, high) in enumerate(self.spans))
+        return n * rows + n * n * (meet / 2)
+
+    def part(self, h: Column, k: int) -> Column:
+        low, high = self.spans[k]
+        return F.shiftrightunsigned(F.shiftleft(h, 64 - high), 64 - high + low)
+
+    def own(self, h: Column) -> Column:
+        return F.array(*(F.struct(F.lit(self.m).alias("bands"), F.lit(k).alias("band"), self.part(h, k).alias("bits")) for k in range(len(self.spans))))
+
+    def near(self, h: Column) -> Column:
+        """Each band's values within its distance."""
+        parts = []
+        for k, (low, high) in enumerate(self.spans):
+            masks = [sum(1 << b if b < 63 else -(1 << 63) for b in bits) for d in range(self.within[k] + 1) for bits in combinations(range(high - low), d)]
+            near = lambda mask: F.struct(F.lit(self.m).alias("bands"), F.lit(k).alias("band"), self.part(h, k).bitwiseXOR(mask.cast("long")).alias("bits"))  # noqa: B023, E731
+            parts.append(F.transform(F.array(*map(F.lit, masks)), near))
+        return F.concat(*parts)
+
+    def earlier(self, a: Column, b: Column, band: Column) -> Column:
+        """Whether a and b meet in a band before that one too."""
+        meets = [(band > k) & (F.bit_count(self.part(a, k).bitwiseXOR(self.part(b, k))) <= self.within[k]) for k in range(len(self.spans) - 1)]
+        return reduce(lambda p, q: p | q, meets, F.lit(False))
+
+
+MOST_KEYS = 4096  #: rows that one hash gives at most
+
+
+def band_choices(threshold: int) -> list[Bands]:
+    """The numbers of bands that are the cheapest for some number of hashes: more hashes want fewer, wider bands."""
+    every = [b for m in range(1, min(threshold, 63) + 2) if sum(map((b := Bands(threshold, m)).keys, range(len(b.spans)))) <= MOST_KEYS]
+    return list({min(every, key=lambda b: b.cost(2.0**k)).m: min(every, key=lambda b: b.cost(2.0**k)) for k in range(50)}.values())
+
+
+def meeting_pairs(sprites: DataFrame, threshold: int = 5, job: str = "job", choices: list[Bands] | None = None) -> DataFrame:
+    """Pairs (a < b, with hashes ha and hb) of a job with equal size that meet in a band: candidates for similar_pairs, once for each band.
+
+    Hashes are looked up in bands of bits by all values within the band's distance.  How many bands
+    there are is chosen for each job and size by the number of its hashes.
+    """
+    choices = choices or band_choices(threshold)
+    h, group = F.col("perceptual_hash"), [job, "w", "h"]
+    rows = sprites.where("perceptual_hash <> 0").select(*group, "seq", "perceptual_hash")
+    sizes = rows.groupBy(*group).agg(F.count("*").cast("double").alias("_n"))
+    best = F.array_min(F.array(*(F.struct(b.cost(F.col("_n")).alias("cost"), F.lit(b.m).alias("m")) for b in choices)))["m"]
+    rows = rows.join(sizes.select(*group, best.alias("_m")), group)
+    pick = lambda make: reduce(lambda e, b: e.when(F.col("_m") == b.m, make(b)), choices[1:], F.when(F.col("_m") == choices[0].m, make(choices[0])))
+    asked = rows.select(*group, F.col("seq").alias("a"), h.alias("ha"), F.explode(pick(lambda b: b.near(h))).alias("_k")).select(*group, "a", "ha", "_k.*")
+    told = rows.select(*group, F.col("seq").alias("b"), h.alias("hb"), F.explode(pick(lambda b: b.own(h))).alias("_k")).select(*group, "b", "hb", "_k.*")
+    return asked.join(told, [*group, "bands", "band", "bits"]).where("a < b")
+
+
+def similar_pairs(sprites: DataFrame, threshold: int = 5, job: str = "job", choices: list[Bands] | None = None) -> DataFrame:
     """Pairs (a < b) of a job with equal size whose 64-bit hashes differ in at most threshold bits; hash 0 has no partners.
 
-    By the pigeonhole principle two such hashes agree on one of threshold + 1 bands of bits: bands
-    are the join keys, and a pair counts in the first band it agrees on.
+    A pair counts in the first band in which it meets.
     """
-    bands = threshold + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    part = lambda c, k: F.shiftrightunsigned(F.shiftleft(c, 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k])
-    h = F.col("perceptual_hash")
-    rows = sprites.where("perceptual_hash <> 0").select(job, "w", "h", "seq", "perceptual_hash", F.posexplode(F.array(*(part(h, k) for k in range(bands)))).alias("band", "bits"))
-    a, b = rows.alias("a"), rows.alias("b")
+    choices = choices or band_choices(threshold)
     c = F.col
-    same = reduce(lambda p, q: p & q, [c(f"a.{k}") == c(f"b.{k}") for k in (job, "w", "h", "band", "bits")])
-    earlier = reduce(lambda p, q: p | q, [(c("a.band") > k) & (part(c("a.perceptual_hash"), k) == part(c("b.perceptual_hash"), k)) for k in range(bands - 1)], F.lit(False))
-    near = hamming(c("a.perceptual_hash"), c("b.perceptual_hash"))
-    return a.join(b, same & (c("a.seq") < c("b.seq")) & (near <= threshold) & ~earlier).select(c(f"a.{job}").alias(job), c("a.seq").alias("a"), c("b.seq").alias("b"), near.alias("distance"))
+    again = reduce(lambda p, q: p | q, [(c("bands") == b.m) & b.earlier(c("ha"), c("hb"), c("band")) for b in choices])
+    near = hamming(c("ha"), c("hb"))
+    return meeting_pairs(sprites, threshold, job, choices).where((near <= threshold) & ~again).select(job, "a", "b", near.alias("distance"))
 
 
 def connected(edges: DataFrame, keys: tuple[str, ...] = ("job",)) -> DataFrame:

@@ -318,13 +318,29 @@ def test_overlaps_are_found_once(spark):
     assert rows(r.overlaps(made), "a", "b") == sorted(want)
 
 
-def test_similar_pairs_match_all_pairs(spark):
+def hash_rows(spark, hashes):
+    return spark.createDataFrame([(0, 8, 8, i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "job int, w int, h int, seq int, perceptual_hash long")
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 5, 15, 30])
+def test_similar_pairs_match_all_pairs(spark, threshold):
     rng = random.Random(10)
-    hashes = [rng.getrandbits(64) for _ in range(30)]
-    hashes += [h ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6))) for h in hashes] + [0, 0]
-    made = spark.createDataFrame([(0, 8, 8, i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "job int, w int, h int, seq int, perceptual_hash long")
-    want = [(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if hashes[i] and hashes[j] and bin(hashes[i] ^ hashes[j]).count("1") <= 5]
-    assert rows(r.similar_pairs(made, 5), "a", "b") == want
+    hashes = [rng.getrandbits(64) for _ in range(60)]
+    hashes += [h ^ sum(1 << b for b in {rng.randrange(64) for _ in range(rng.randint(0, 20))}) for h in hashes] + [0, 0, 1 << 63, (1 << 63) | 5]
+    made = hash_rows(spark, hashes)
+    want = [(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if hashes[i] and hashes[j] and bin(hashes[i] ^ hashes[j]).count("1") <= threshold]
+    assert rows(r.similar_pairs(made, threshold), "a", "b") == want
+    for bands in r.band_choices(threshold):
+        assert rows(r.similar_pairs(made, threshold, choices=[bands]), "a", "b") == want
+
+
+def test_wider_bands_meet_fewer_pairs(spark):
+    rng = random.Random(11)
+    made = hash_rows(spark, [rng.getrandbits(64) | 1 for _ in range(1000)])
+    met = {bands.m: r.meeting_pairs(made, 15, choices=[bands]).count() for bands in r.band_choices(15)}
+    assert met[4] * 10 < met[16] and abs(met[16] / (16 * 999 * 500 / 16) - 1) < 0.1
+    big, small = (min(r.band_choices(15), key=lambda b: b.cost(n)).m for n in (1e6, 1e2))  # noqa: B023
+    assert (big, small) == (4, 16)
 
 
 # Images.
