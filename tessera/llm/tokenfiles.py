@@ -3,8 +3,8 @@
 Ids are counted over the whole corpus; the counts are scaled to a frequency table of 2^20 slots that
 all blocks share.  Texts are put in order of their ids and become token ids, each with an end id; the
 stream of ids is cut into blocks that are coded independently of each other.  In a block id number i
-belongs to lane i mod 256; each lane is a coder with a 64-bit state that gives off 32-bit words, and
-the words of all lanes stand interleaved in the order in which a decoder asks for them.  Every 65536
+belongs to lane i mod 512; each lane is a coder with a 64-bit state that gives off 32-bit words, and
+the words of all lanes stand interleaved in the order in which a decoder asks for them.  Every 131072
 ids a checkpoint notes the states and the place in the words, so that a decoder runs the parts between
 them side by side, or starts at the one before the id it wants.  A block has a checksum of its bytes
 and one of its ids; both are tested when it is read.
@@ -44,7 +44,7 @@ from .packing import WordIds
 
 END_ID = 2
 SLOT_BITS = 20
-LANES, ROWS, BLOCK = 256, 256, 1 << 19  #: lanes of a block, ids of each between checkpoints, ids of a block
+LANES, ROWS, BLOCK = 512, 256, 1 << 19  #: lanes of a block, ids of each between checkpoints, ids of a block
 LEAST = np.uint64(1 << 31)  #: states are at least this and below 2^63
 MAGIC, VERSION = b"rANS", 1
 HEAD = struct.Struct("<4s7I")
@@ -85,7 +85,7 @@ class Coder:
         self.ids = np.array(sorted(table), dtype=np.int64)
         sizes = np.array([table[i] for i in self.ids.tolist()], dtype=np.int64)
         self.size, self.first = sizes.astype(np.uint64), (np.cumsum(sizes) - sizes).astype(np.uint64)
-        self.symbol_at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.symbol_at = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int32), sizes)
         self.rank = np.full(int(self.ids.max(initial=-1)) + 1, -1, np.int64)
         self.rank[self.ids] = np.arange(len(sizes))
 
@@ -96,24 +96,24 @@ class Coder:
             raise ValueError("an id is not in the frequency table")
         n, bits = len(ids), self.bits
         size, first = self.size[symbols], self.first[symbols]
-        most = size << (np.uint64(63) - bits)
+        most, rest = size << (np.uint64(63) - bits), np.uint64(1 << int(bits)) - size
         state, given, kept = np.full(LANES, LEAST), [], []
         for row in range(-(-n // LANES) - 1, -1, -1):
             a, b = row * LANES, min(n, (row + 1) * LANES)
             x = state[: b - a]
-            full = x >= most[a:b]
-            given.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x = np.where(full, x >> np.uint64(32), x)
-            whole = x // size[a:b]
-            state[: b - a] = (whole << bits) + (x - whole * size[a:b]) + first[a:b]
+            full = np.flatnonzero(x >= most[a:b])
+            over = x[full]
+            given.append(over.astype("<u4"))  # the low 32 bits
+            x[full] = over >> np.uint64(32)
+            x += x // size[a:b] * rest[a:b] + first[a:b]  # whole * 2^bits + remainder + first
             if row % ROWS == 0:
                 kept.append((row, state.copy()))
         given.reverse()
         before = np.concatenate(([0], np.cumsum([len(g) for g in given])))
         words = np.concatenate(given)
         marks = b"".join(struct.pack("<I", before[row]) + states.astype("<u8").tobytes() for row, states in reversed(kept))
-        rest = marks + words.tobytes()
-        return HEAD.pack(MAGIC, VERSION, LANES, LANES * ROWS, n, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest)) + rest
+        body = marks + words.tobytes()
+        return HEAD.pack(MAGIC, VERSION, LANES, LANES * ROWS, n, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
     def decode(self, data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of a block, or those from start to stop, decoded from the checkpoint before."""
@@ -127,25 +127,28 @@ class Coder:
         if len(rest) != parts * (4 + 8 * lanes) + 4 * n_words or zlib.crc32(rest) != rest_crc:
             raise Damaged("a block's bytes are not those that were written")
         marks = np.frombuffer(rest, np.uint8, parts * (4 + 8 * lanes)).reshape(parts, -1)
-        words = np.frombuffer(rest, "<u4", n_words, marks.size).astype(np.uint64)
+        words = np.frombuffer(rest, "<u4", n_words, marks.size).astype(np.uint64) if n_words else np.zeros(1, np.uint64)
         stop = n if stop is None else min(stop, n)
         a, b = start // apart, -(-stop // apart)
         if start >= stop:
             return np.zeros(0, np.uint32)
-        at = np.ascontiguousarray(marks[a:b, :4]).view("<u4").astype(np.int64)
-        state = np.ascontiguousarray(marks[a:b, 4:]).view("<u8").astype(np.uint64)
-        out = np.zeros((b - a, apart // lanes, lanes), np.int32)
-        low = np.uint64((1 << int(self.bits)) - 1)
+        at = np.ascontiguousarray(marks[a:b, :4]).view("<u4").astype(np.int64).reshape(-1)
+        state = np.ascontiguousarray(marks[a:b, 4:]).view("<u8").astype(np.uint64).reshape(-1)
+        out = np.zeros((b - a, apart // lanes, lanes), self.symbol_at.dtype)
+        low, ends = np.uint64((1 << int(self.bits)) - 1), np.arange(1, b - a + 1) * lanes
         for row in range(apart // lanes):  # all parts side by side
             slot = state & low
             symbol = self.symbol_at[slot]
-            out[:, row] = symbol
-            state = self.size[symbol] * (state >> self.bits) + slot - self.first[symbol]
-            empty = state < LEAST
-            place = at + np.cumsum(empty, axis=1) - 1
-            word = words[np.minimum(np.maximum(place, 0), n_words - 1)] if n_words else np.zeros_like(state)
-            state = np.where(empty, state << np.uint64(32) | word, state)
-            at += empty.sum(axis=1, keepdims=True)
+            out[:, row] = symbol.reshape(b - a, lanes)
+            state >>= self.bits
+            state *= self.size[symbol]
+            state += slot - self.first[symbol]
+            empty = np.flatnonzero(state < LEAST)
+            upto = np.searchsorted(empty, ends)  # how many words the parts before and this one take
+            taken = np.diff(upto, prepend=0)
+            place = np.arange(len(empty)) + np.repeat(at - upto + taken, taken)
+            state[empty] = state[empty] << np.uint64(32) | words.take(place, mode="clip")
+            at += taken
         ids = self.ids[out.reshape(-1)[: min(b * apart, n) - a * apart]].astype(np.uint32)
         if (a, min(b * apart, n)) == (0, n) and zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
             raise Damaged("a block's ids are not those that were written")
@@ -293,7 +296,7 @@ def _xor(values) -> int:  # noqa: ANN001
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of a file set; a document that lacks ids raises Damaged."""
-    pieces = read_pieces(spark, folder)
+    pieces = cut(read_pieces(spark, folder))  # decoded once; some numbers for each document
     whole = F.col("n") == F.col("n_tokens")
     parts = pieces.where(~whole).groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "ids_crc32"))).alias("parts"))
 
