@@ -13,8 +13,8 @@ together leave no bits, a shard goes down only those phrases that are frequent i
 them only where the end of the longer phrase is frequent too.  No threshold is applied to a shard's own counts.
 
 Only words, phrases and counts of shards are shuffled; a phrase that stands in every text has one row for each shard.
-A shard's bitmaps and its frequent phrases meet in one task; both are bounded by its places.  Nothing
-is collected or broadcast.
+A shard's bitmaps and its frequent phrases meet in one task; both are bounded by its places.  What is
+collected and broadcast is 2 MB of bits that tell most rare words, whatever the size of the vocabulary.
 
 Defined results: a null or empty text has no words; a null language is `und`; repeated rows all count;
 an empty table gives no rows; other columns and missing ids are ignored; a piece is never cut, however long.
@@ -22,11 +22,13 @@ an empty table gives no rows; other columns and missing ids are ignored; a piece
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ SHARD = 1 << 21  #: places of a shard, beyond which it is closed at the end of a
 BITS = 16  #: places of a block
 LOT = 1 << 15  #: blocks that are extended together
 UNKNOWN = "und"
+MARKS = 1 << 24  #: bits that tell rare words before the shuffle
 
 _TO_BREAK = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 
@@ -61,30 +64,62 @@ class Shard:
             if words:
                 places.append(-1)
 
-    def bitmaps(self, shard: int, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
-        """shard, lang, word, n, blocks (their numbers, 32 bits each) and bits (16 bits each)."""
-        of = np.array(self.places, dtype=np.int64)
+    def bitmaps(self, shard: int, marks: np.ndarray | None = None, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
+        """shard, lang, word, blocks (their numbers, 32 bits each) and bits (16 bits each) of all words, or those that marks (mark_bits) have."""
+        of, names = np.array(self.places, dtype=np.int64), list(self.ids)
+        if marks is not None:
+            held = np.fromiter((marked(marks, lang, word) for lang, word in names), bool, len(names))
+            names = [names[k] for k in np.flatnonzero(held)]
+            number = np.where(held, np.cumsum(held) - 1, -1)
+            of = number[of] if len(number) else of
+            of[np.array(self.places, dtype=np.int64) < 0] = -1
         at = np.flatnonzero(of >= 0)
         of = of[at]
         order = np.argsort(of, kind="stable")
         of, at = of[order], at[order]
-        n = np.bincount(of, minlength=len(self.ids))
         block, bit = at // BITS, np.uint16(1) << (at % BITS).astype(np.uint16)
         new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
         bits = np.bitwise_or.reduceat(bit, new) if len(new) else bit
         block, of = block[new].astype("<u4"), of[new]
-        ends = np.cumsum(np.bincount(of, minlength=len(self.ids)))
-        names = list(self.ids)
+        ends = np.cumsum(np.bincount(of, minlength=len(names)))
         for a in range(0, len(names), at_once):
             b = min(len(names), a + at_once)
             low = ends[a - 1] if a else 0
             cuts = np.concatenate(([0], ends[a:b] - low))
             data = lambda values, size: pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * size).astype("<i4").tobytes()), pa.py_buffer(values[low : ends[b - 1]].tobytes())])  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard), pa.int64()), pa.array([x for x, _ in names[a:b]], pa.string()), pa.array([w for _, w in names[a:b]], pa.binary()), pa.array(n[a:b], pa.int64()), data(block, 4), data(bits, 2)], names=["shard", "lang", "word", "n", "blocks", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard), pa.int64()), pa.array([x for x, _ in names[a:b]], pa.string()), pa.array([w for _, w in names[a:b]], pa.binary()), data(block, 4), data(bits, 2)], names=["shard", "lang", "word", "blocks", "bits"])
 
 
-def word_bitmaps(docs: DataFrame, lang_col: str, text_col: str, shard_places: int = SHARD) -> DataFrame:
-    """shard, lang, word (binary), n, blocks and bits of every word of every shard."""
+def mark(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed=zlib.crc32(lang.encode())) % MARKS
+
+
+def marked(marks: np.ndarray, lang: str, word: bytes) -> bool:
+    at = mark(lang, word)
+    return bool(marks[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+
+
+def mark_bits(words: DataFrame) -> np.ndarray:
+    """MARKS bits, of which each of the words (lang, word) sets one; at most MARKS / 64 rows come to the driver.
+
+    They tell most of the rare words, whose bitmaps then need not be shuffled; the join with the
+    frequent words tells the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([mark(lang, word) for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+
+    found = words.select("lang", "word").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
+    marks = np.zeros(MARKS // 64, np.uint64)
+    marks[[r["at"] for r in found]] = np.array([r["bits"] for r in found], dtype=np.int64).view(np.uint64)
+    return marks
+
+
+def word_bitmaps(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray, shard_places: int = SHARD) -> DataFrame:
+    """shard, lang, word (binary), blocks and bits of every marked word of every shard."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)  # MARKS bits, however many words there are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -94,15 +129,15 @@ def word_bitmaps(docs: DataFrame, lang_col: str, text_col: str, shard_places: in
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shard.add(lang, text)
                 if len(shard.places) >= shard_places:
-                    yield from shard.bitmaps(number)
+                    yield from shard.bitmaps(number, shared.value)
                     shard, number = Shard(), number + 1
         if shard.ids:
-            yield from shard.bitmaps(number)
+            yield from shard.bitmaps(number, shared.value)
         del shard
         trim()
 
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "shard long, lang string, word binary, n long, blocks binary, bits binary")
+    return rows.mapInArrow(run, "shard long, lang string, word binary, blocks binary, bits binary")
 
 
 class Bitmaps:
@@ -268,7 +303,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     langs = cut(every.groupBy("lang").agg(F.sum("f").alias("n")))
     words = every.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
     words = cut(words.withColumn("phrase", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
-    shards = shard_rows(word_bitmaps(docs, lang_col, text_col, shard_places), words)
+    shards = shard_rows(word_bitmaps(docs, lang_col, text_col, mark_bits(words), shard_places), words)
     release(docs.sparkSession)
     found, known = [], None
     for size in range(2, longest + 1):
@@ -325,7 +360,8 @@ WITH pieces AS (
   SELECT doc_id, lang, unnest(parts) AS piece, generate_subscripts(parts, 1) AS part FROM (
     SELECT row_number() OVER () AS doc_id, coalesce(lang, '{UNKNOWN}') AS lang,
       string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]') AS parts
+-
+]') AS parts
     FROM documents)
 ), listed AS (
   SELECT doc_id, lang, part, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS words FROM pieces
