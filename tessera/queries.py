@@ -6,17 +6,23 @@ Sprites come from `part` (25 to a job), rasters of 8 by 8 pixels from `embedding
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rendering_sql
 from .functions import scalars as s
 from .operators import relations as r
+from .operators.pictures import read_image
+from .operators.png import write_png
+from .plans import atlases as sheets_plan
 from .plans import documents as d
 from .plans import layouts as p
-from .sources import sinks, texts
+from .sources import images, sinks, texts
 
 JOB = 25
 
@@ -425,6 +431,77 @@ def components_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("vec_id", "component").agg(F.min("x").alias("x"), F.min("y").alias("y"), side("x").alias("w"), side("y").alias("h"), F.count("*").alias("pixels")).where("pixels >= 2")
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rasters as PNG files: vec_id, path and content; what isn't opaque has a colour that no grey has."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for vec_id, grey, opaque in zip(frame["vec_id"], frame["grey"], frame["opaque"], strict=True):
+                pixels = np.full((64, 4), (1, 2, 3, 0), np.uint8)
+                seen = np.array(opaque, bool)
+                pixels[seen] = np.stack((*[np.array(grey)[seen]] * 3, np.full(seen.sum(), 255)), axis=1)
+                out.append((vec_id, f"v{vec_id}.png", write_png(pixels.reshape(8, 8, 4))))
+            yield pd.DataFrame(out, columns=["vec_id", "path", "content"])
+
+    return rasters(spark, sf_dir).mapInPandas(run, "vec_id long, path string, content binary")
+
+
+VEC = F.regexp_extract("path", r"v(\d+)\.png", 1).cast("long").alias("vec_id")
+
+
+@query(f"WITH {RASTER}, b AS (SELECT vec_id, coalesce(min(x) FILTER (opaque), 0) AS x, coalesce(min(y) FILTER (opaque), 0) AS y, coalesce(max(x) FILTER (opaque) - min(x) FILTER (opaque) + 1, 1) AS w, coalesce(max(y) FILTER (opaque) - min(y) FILTER (opaque) + 1, 1) AS h FROM pixel GROUP BY vec_id) SELECT vec_id, w::INT AS w, h::INT AS h, x::INT AS trim_left, y::INT AS trim_top, (8 - w - x)::INT AS trim_right, (8 - h - y)::INT AS trim_bottom, NULL::VARCHAR AS error FROM b")
+def picture_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picture files written, read and trimmed."""
+    files = pictures(spark, sf_dir).withColumns({"length": F.length("content").cast("long"), "modificationTime": F.lit(None).cast("timestamp")})
+    return images.metadata(files, trim=True, content=True, perceptual=True).select(VEC, "w", "h", "trim_left", "trim_top", "trim_right", "trim_bottom", "error")
+
+
+SHOWN = RASTER + """, shown AS (SELECT p.*, p.opaque AND NOT (f.opaque AND 3 * abs(p.grey - f.grey) <= 15) AS solid FROM pixel p JOIN pixel f ON f.vec_id = p.vec_id AND f.x = 0 AND f.y = 0),
+spot AS (SELECT vec_id, x, y, 8 * y + x AS id FROM shown WHERE solid),
+reach AS (SELECT vec_id, id AS n, x, y FROM spot UNION SELECT r.vec_id, r.n, s.x, s.y FROM reach r JOIN spot s ON s.vec_id = r.vec_id AND abs(s.x - r.x) <= 1 AND abs(s.y - r.y) <= 1),
+label AS (SELECT vec_id, n, min(8 * y + x) AS c FROM reach GROUP BY ALL),
+box AS (SELECT l.vec_id, l.c, min(s.x) AS x, min(s.y) AS y, max(s.x) - min(s.x) + 1 AS w, max(s.y) - min(s.y) + 1 AS h FROM label l JOIN spot s ON s.vec_id = l.vec_id AND s.id = l.n GROUP BY l.vec_id, l.c HAVING count(*) >= 2)"""
+
+
+@query(f"WITH RECURSIVE {SHOWN} SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY w * h DESC, c) - 1)::INT AS index, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM box")
+def frames_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames found in sheets: the first pixel's colour is the background if it is opaque, and what hangs together is a frame, the largest first."""
+    return sheets_plan.found_frames(pictures(spark, sf_dir), least=2).where("index is not null").select(F.regexp_extract("file", r"v(\d+)\.png", 1).cast("long").alias("vec_id"), "index", "x", "y", "w", "h")
+
+
+@query(
+    f"""WITH {RASTER}, kept AS (SELECT vec_id, x - vec_id % 2 AS x, y - vec_id % 3 AS y, grey, opaque FROM pixel WHERE x >= vec_id % 2 AND y >= vec_id % 3)
+SELECT vec_id, (8 - vec_id % 2)::INT AS w, (8 - vec_id % 3)::INT AS h, count(*) FILTER (opaque) AS n, coalesce(sum(grey) FILTER (opaque), 0)::BIGINT AS grey, coalesce(sum(grey * (x + 1)) FILTER (opaque), 0)::BIGINT AS across, coalesce(sum(grey * (y + 1)) FILTER (opaque), 0)::BIGINT AS down FROM kept GROUP BY vec_id"""
+)
+def atlas_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sprites, trimmed and a quarter of them turned, drawn into atlases and cut out again: their pixels' sums."""
+    files = pictures(spark, sf_dir)
+    k, v = F.col("vec_id") % JOB, F.col("vec_id")
+    size = {"w": (8 - v % 2).cast("int"), "h": (8 - v % 3).cast("int")}
+    turn = v % 4 == 0
+    placed = files.select(
+        F.floor(v / JOB).alias("job"), F.lit(0).alias("atlas_index"), v.alias("seq"), "path", (k % 5 * 10 + 1).cast("int").alias("x"), (F.floor(k / 5) * 10 + 1).cast("int").alias("y"),
+        F.when(turn, size["h"]).otherwise(size["w"]).alias("w"), F.when(turn, size["w"]).otherwise(size["h"]).alias("h"),
+        (v % 2).cast("int").alias("trim_left"), (v % 3).cast("int").alias("trim_top"), F.lit(0).alias("trim_right"), F.lit(0).alias("trim_bottom"), turn.alias("rotated"),
+    )
+    sheets = placed.select("job", "atlas_index").distinct().select("job", "atlas_index", F.lit(52).alias("width"), F.lit(52).alias("height"))
+    drawn = sheets_plan.composed(placed, sheets, files, sheets_plan.Finish(extrude=1)).select(F.col("job").cast("string").alias("path"), "content")
+    wanted = placed.select(F.col("job").cast("string").alias("file"), F.col("seq").cast("int").alias("index"), F.col("path").alias("name"), "x", "y", "w", "h", "rotated")
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                pixels = read_image(bytes(content))
+                seen, grey = pixels[..., 3] == 255, pixels[..., 0].astype(int)
+                y, x = np.nonzero(seen)
+                out.append((int(name[1:-4]), pixels.shape[1], pixels.shape[0], len(x), int(grey[seen].sum()), int((grey[seen] * (x + 1)).sum()), int((grey[seen] * (y + 1)).sum())))
+            yield pd.DataFrame(out, columns=["vec_id", "w", "h", "n", "grey", "across", "down"])
+
+    return sheets_plan.cut_frames(drawn, wanted).select("name", "content").mapInPandas(sums, "vec_id long, w int, h int, n long, grey long, across long, down long")
+
+
 # Text forms.
 
 
@@ -578,3 +655,88 @@ def seed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return r.reusable_seeds(rows, seeds, 1)
+
+
+# Lists, markers, animations and frames as lines.
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """file, line (from 0, in that order) and text."""
+    return rows.select("file", (F.row_number().over(W.partitionBy("file").orderBy(*order)) - 1).cast("int").alias("line"), "text")
+
+
+@query(
+    f"""WITH {SPRITE}, entry AS (SELECT *, CASE WHEN seq % 11 = 0 THEN '/abs/' || path ELSE path END AS said FROM sprite),
+line AS (SELECT job, seq, 0 AS k, NULL AS said FROM sprite WHERE seq % 5 = 0 UNION ALL SELECT job, seq, 1, said FROM entry),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq, k)::INT AS line FROM line)
+SELECT 'list' || job AS file, line, CASE WHEN said LIKE '/%' THEN said ELSE './img' || job || '/' || said END AS path FROM numbered WHERE k = 1 AND seq % 13 <> 0 AND (seq % 5 <> 0 OR seq % 11 = 0)"""
+)
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with a root, exclusions, quoted and absolute paths, less what an ignore file names."""
+    rows = sprites(spark, sf_dir)
+    name, said = F.concat(F.lit("list"), F.col("job").cast("string")), F.when(F.col("seq") % 11 == 0, F.concat(F.lit("/abs/"), "path")).otherwise(F.col("path"))
+    root = rows.groupBy("job").agg(F.lit(-1).alias("seq")).select(name.alias("file"), "seq", F.lit(0).alias("k"), F.concat(F.lit('root "./img'), F.col("job").cast("string"), F.lit('/"')).alias("text"))
+    out = rows.where("seq % 5 = 0").select(name.alias("file"), "seq", F.lit(0).alias("k"), F.concat(F.lit('exclude "'), "path", F.lit('"')).alias("text"))
+    entries = rows.select(name.alias("file"), "seq", F.lit(1).alias("k"), F.when(F.col("seq") % 7 == 0, F.concat(F.lit('  "'), said, F.lit('"'))).otherwise(said).alias("text"))
+    listed = texts.parse_lists(numbered(root.unionByName(out).unionByName(entries), "seq", "k"))
+    own = F.when(F.col("seq") % 11 == 0, said).otherwise(F.concat(F.lit("img"), F.col("job").cast("string"), F.lit("/"), said))
+    ignored = rows.where("seq % 13 = 0").select(F.when(F.col("seq") % 2 == 0, F.concat(F.lit('exclude "'), own, F.lit('"'))).otherwise(own).alias("text"))
+    return texts.excluded(listed, ignored.unionByName(spark.createDataFrame([("# a remark",), ("",)], "text string")), ".").select("file", "line", "path")
+
+
+MARKED = MARKER + """, single AS (SELECT * FROM marker QUALIFY row_number() OVER (PARTITION BY job, index ORDER BY sprite_index NULLS FIRST, name, type, x, y) = 1),
+kinds AS (SELECT *, CASE WHEN index % 10 = 7 THEN 'blob' WHEN index % 10 = 3 THEN 'rectangle' WHEN index % 10 = 5 THEN 'polygon' ELSE type END AS kind FROM single)"""
+
+
+@query(
+    f"""WITH {MARKED} SELECT 'job' || job AS file, (row_number() OVER (PARTITION BY job ORDER BY index) - 1)::INT AS index, 'p' || coalesce(sprite_index, -1) || '.png' AS key, name, kind AS type,
+  CASE WHEN kind <> 'polygon' THEN x END AS x, CASE WHEN kind <> 'polygon' THEN y END AS y, CASE WHEN kind = 'circle' THEN 3 END AS radius, CASE WHEN kind = 'rectangle' THEN 4 END AS w, CASE WHEN kind = 'rectangle' THEN x END AS h,
+  CASE WHEN kind = 'polygon' THEN x || ',' || y || ';1,-2;' || y || ',0' END AS vertices
+FROM kinds WHERE kind <> 'blob'"""
+)
+def marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of all kinds as lines, each below its path, and read again; unknown kinds are left out."""
+    n = F.col("index") % 10
+    kind = F.when(n == 7, "blob").when(n == 3, "rectangle").when(n == 5, "polygon").otherwise(F.col("type"))
+    at = F.concat_ws(",", "x", "y")
+    more = F.when(kind == "circle", F.concat_ws(" ", at, F.lit("3"))).when(kind == "rectangle", F.concat(at, F.lit(" 4,"), F.col("x").cast("string"))).when(kind == "polygon", F.concat(at, F.lit(" 1,-2 "), F.col("y").cast("string"), F.lit(",0"))).otherwise(at)
+    path = F.concat(F.lit('path "p'), F.coalesce("sprite_index", F.lit(-1)).cast("string"), F.lit('.png"'))
+    line = F.concat(F.lit('- marker "'), "name", F.lit('" '), kind, F.lit(" "), more)
+    single = markers(spark, sf_dir).groupBy("job", "index").agg(F.min(F.struct("sprite_index", "name", "type", "x", "y")).alias("_m")).select("job", "index", "_m.*")
+    rows = single.select(F.concat(F.lit("job"), F.col("job").cast("string")).alias("file"), "index", F.posexplode(F.array(path, line)).alias("k", "text"))
+    found = texts.parse_markers(numbered(rows, "index", "k"))
+    points = F.array_join(F.transform("vertices", lambda v: F.concat_ws(",", v["x"].cast("string"), v["y"].cast("string"))), ";")
+    return found.withColumn("vertices", points)
+
+
+@query(
+    f"""WITH {SPRITE}, g AS (SELECT job, seq, seq // 5 AS g, path FROM sprite), a AS (SELECT DISTINCT job, g FROM g)
+SELECT 'job' || g.job AS file, (dense_rank() OVER (PARTITION BY g.job ORDER BY g.g) - 1)::INT AS index, 'a' || g.g AS name,
+  CASE WHEN g.g % 2 = 0 THEN g.g % 7 + 1 WHEN p.g IS NOT NULL THEN p.g % 7 + 1 ELSE 8 END::INT AS fps, CASE WHEN g.g % 3 = 0 THEN 'x' END AS flip,
+  (row_number() OVER (PARTITION BY g.g ORDER BY seq) - 1)::INT AS pos, CASE WHEN seq % 4 <> 0 THEN path END AS key, CASE WHEN seq % 4 = 0 THEN seq::INT END AS number
+FROM g LEFT JOIN a p ON p.job = g.job AND p.g = g.g - 1"""
+)
+def animation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Animations as lines, some with a rate of their own or turned over, their frames by path or number, and read again."""
+    rows = sprites(spark, sf_dir).select(F.concat(F.lit("job"), F.col("job").cast("string")).alias("file"), F.floor(F.col("seq") / 5).alias("g"), "seq", "path")
+    rate = F.when(F.col("g") % 2 == 0, F.concat(F.lit("fps "), (F.col("g") % 7 + 1).cast("string")))
+    head = F.concat(F.lit('animation "a'), F.col("g").cast("string"), F.lit('"'), F.when(F.col("g") % 3 == 0, " flip x").otherwise(""))
+    heads = rows.select("file", "g").distinct().select("file", "g", F.lit(-1).cast("long").alias("seq"), F.posexplode(F.array(rate, head)).alias("k", "text")).where("text is not null")
+    frames = rows.select("file", "g", "seq", F.lit(0).alias("k"), F.when(F.col("seq") % 4 == 0, F.concat(F.lit("- frame "), F.col("seq").cast("string"))).otherwise(F.concat(F.lit('- frame "'), "path", F.lit('"'))).alias("text"))
+    moving, found = texts.parse_animations(numbered(heads.unionByName(frames), "g", "seq", "k"))
+    return found.join(moving, ["file", "index"]).select("file", "index", "name", "fps", "flip", "pos", "key", "number")
+
+
+@query(f"WITH {INDEXED}, f AS (SELECT unnest(['text', 'object', 'list']) AS form) SELECT form || job AS file, index, CASE WHEN form = 'text' THEN 'sprite_' || index ELSE path END AS name, x, y, w, h, form <> 'text' AND rotated AS rotated FROM indexed, f")
+def frames_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as lines and as JSON objects and lists, told apart by their look, and read again."""
+    rows = indexed(spark, sf_dir)
+    named = lambda form: F.concat(F.lit(form), F.col("job").cast("string")).alias("file")
+    lines = texts.frame_lines(rows.select(named("text"), "index", "x", "y", "w", "h"))
+    frame = F.struct(F.struct("x", "y", "w", "h").alias("frame"), "rotated")
+    listed = lambda e: F.transform(F.array_sort(F.collect_list(F.struct("index", e.alias("e")))), lambda x: x["e"])
+    as_map = rows.groupBy(named("object")).agg(F.to_json(F.struct(F.map_from_entries(listed(F.struct("path", frame))).alias("frames"))).alias("value"))
+    as_list = rows.groupBy(named("list")).agg(F.to_json(listed(F.struct(F.col("path").alias("filename"), frame["frame"].alias("frame"), "rotated"))).alias("value"))
+    every = sinks.as_texts(lines).unionByName(as_map).unionByName(as_list).withColumn("format", texts.frames_format(F.col("file"), F.col("value")))
+    found = texts.parse_frames(texts.split_lines(every.where("format = 'text'"))).unionByName(texts.parse_frames_json(every.where("format = 'json'")))
+    return found.select("file", "index", "name", "x", "y", "w", "h", "rotated")
