@@ -310,6 +310,61 @@ def test_toxicity_of_odd_rows(judged, docs, no_docs, awkward):
     assert toxicity.training_sample(labelled, labels.limit(0)) == ([], [])
 
 
+def test_scores_match_plain_loops():
+    """Words, n-grams, filters, maxima and the logistic layer, one number after the other."""
+    made = ["Bad words here, BAD words", "one", "", "  ", "ein Wort und noch ein Wort der die das", "x" * 60 + " end", "日本語のテキスト is long enough to be parted", "a b c d e f g h i"]
+    labels = [1, 0, 0, 1, 0, 1, 0, 1]
+    model = toxicity.train(made, np.array(labels, dtype=np.float64), epochs=2, least_steps=8, batch=4)
+    model.bias[:] = np.linspace(-0.2, 0.3, len(model.bias))
+    fold = lambda b: bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in b)
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & mask
+        return h ^ h >> 32
+
+    poly = lambda b: mix(sum((c + 1) * pow(int(toxicity._BASE), k, 1 << 64) for k, c in enumerate(b)) & mask)
+
+    def embedded(piece, first, last):
+        """The mean of the vectors of a piece and of its n-grams."""
+        whole = poly(piece)
+        if not (first and last):
+            whole = mix((whole + (1 + first + 2 * last) * int(toxicity._BASE)) & mask)
+        buckets = [mix((whole + 1) & mask)]
+        for n in toxicity.GRAMS:
+            for i in range(len(piece) - n + 1):
+                kind = 4 * n + 2 * (first and i == 0) + (last and i + n == len(piece))
+                buckets.append(mix((poly(piece[i : i + n]) + kind) & mask))
+        return sum(model.table[b % toxicity.BUCKETS] for b in buckets) / len(buckets)
+
+    def logit(text):
+        words = []
+        for run in fold(text.encode()).split():
+            many = 1 + max(0, -(-(len(run) - toxicity.LONGEST) // toxicity.STEP))
+            words += [embedded(run[k * toxicity.STEP : k * toxicity.STEP + toxicity.LONGEST], k == 0, k == many - 1) for k in range(many)]
+        blank = model.table[0]
+        words = words or [blank]
+        padded, tops = words + [blank] * toxicity.PAD, []
+        for width, filters in zip(toxicity.WIDTHS, model.filters, strict=True):
+            for f in range(toxicity.FILTERS):
+                tops.append(max(sum(float(padded[i + k] @ filters[k][:, f]) for k in range(width)) for i in range(len(words))))
+        return sum(np.tanh(t + b) * o for t, b, o in zip(tops, model.bias, model.out, strict=True)) + model.shift
+
+    raw, languages = toxicity.logits(model, [t.encode() for t in made])
+    assert np.abs(raw - [logit(t) for t in made]).max() < 1e-4 and languages[4] == "de"
+    model.thresholds = {"": 0.25, "de": -0.5}
+    want = [1 / (1 + np.exp(-(x - model.thresholds.get(lang, 0.25) + np.log(7 / 3)))) for x, lang in zip(raw, languages, strict=True)]
+    assert np.abs(toxicity.scores(model, [t.encode() for t in made]) - want).max() < 1e-9
+
+
+def test_thresholds_are_the_best_of_all_cuts():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = rng.permutation(40).astype(float), (rng.random(40) < 0.4).astype(float)
+        f1 = lambda cut: 2 * y[x >= cut].sum() / ((x >= cut).sum() + max(y.sum(), 1))  # noqa: B023, E731
+        assert abs(f1(toxicity.threshold(x, y)) - max(f1(c) for c in x)) < 1e-12
+
+
 FILES = [
     (1, "src/a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     (2, "src/a/main.c", "int main() {}"),
