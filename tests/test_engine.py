@@ -572,3 +572,83 @@ def test_renderings_are_listed(spark):
     own = {"mine": ("My rows", ".txt", None)}
     found = [(x["name"], x["extension"]) for x in documents.listing(spark, own).collect()]
     assert found == sorted(found) and ("mine", ".txt") in found and ("unity.anim", ".anim") in found and len(found) == len(documents.RENDERINGS) + 2
+
+
+def test_stores_commit_whole_versions(spark, tmp_path):
+    from tessera.sources.store import Store
+
+    where, schema = f"{tmp_path}/store", "name string, n long"
+    store = Store(spark, where, schema)
+    assert store.read().count() == 0
+    add = lambda *names: lambda old: old.unionByName(spark.createDataFrame([(n, 1) for n in names], schema))
+    assert store.update(add("a")) == 1
+    # A writer that dies before its mark, and one that dies while it writes it, leave the version as it is.
+    spark.createDataFrame([("lost", 1)], schema).write.parquet(f"{where}/data-dead")
+    assert rows(store.read(), "name") == [("a",)]
+    # A second writer that starts from the same version repeats its change on the first one's.
+    other, tries = Store(spark, where, schema), []
+
+    def late(old):
+        tries.append(old.count())
+        if len(tries) == 1:
+            other.update(add("b"))
+        return add("c")(old)
+
+    assert store.update(late) == 3 and tries == [1, 2]
+    assert rows(store.read(), "name") == [("a",), ("b",), ("c",)]
+
+    def broken(old):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError, match="no"):
+        store.update(broken)
+    (tmp_path / "store" / "versions" / f"{4:012d}").write_bytes(b"data-ha")  # cut off in its name
+    from tessera.sources import store as module
+
+    module.GRACE, before = 0.3, module.GRACE
+    assert rows(store.read(), "name") == [("a",), ("b",), ("c",)] and store.update(add("d")) == 5
+    module.GRACE = before
+    store.tidy()
+    assert rows(store.read(), "name") == [("a",), ("b",), ("c",), ("d",)] and len(list((tmp_path / "store").glob("data-*"))) == 3
+
+
+def test_layouts_are_remembered(spark, folder, tmp_path):
+    from tessera.plans import memory
+
+    o = options(mode="compact", padding=1, trim_transparent=True, max_width=64, max_height=64)
+    files = images.images(spark, str(folder)).withColumn("job", (F.length("path") % 2).cast("long"))
+    at = lambda minute: F.lit(f"2026-01-01 00:{minute:02d}:00").cast("timestamp")
+    first = memory.remembered(files, o, f"{tmp_path}/kept", at(0))
+    assert {x["hit"] for x in first["text"].collect()} == {False} and first["error"].count() == 0
+    texts_ = rows(first["text"], "job", "content")
+    again = memory.remembered(files, o, f"{tmp_path}/kept", at(5))
+    assert {x["hit"] for x in again["text"].collect()} == {True} and rows(again["text"], "job", "content") == texts_
+    parsed = texts.parse_layouts(texts.split_lines(again["text"].select(F.col("job").cast("string").alias("file"), F.col("content").alias("value"))))
+    assert parsed["errors"].count() == 0 and parsed["sprite"].count() == files.count()
+    # Other options: laid out anew, from sizes that are known; what is used again is as new.
+    other = options(mode="compact", padding=2, trim_transparent=True, max_width=64, max_height=64)
+    third = memory.remembered(files, other, f"{tmp_path}/kept", at(50))
+    assert {x["hit"] for x in third["text"].collect()} == {False}
+    metas = memory.Store(spark, f"{tmp_path}/kept/metadata", memory.META).read()
+    assert metas.count() == files.count() and {str(x["cached_at"]) for x in metas.collect()} == {"2026-01-01 00:50:00"}
+    late = memory.remembered(files, o, f"{tmp_path}/kept", F.lit("2026-01-01 02:00:00").cast("timestamp"))
+    assert {x["hit"] for x in late["text"].collect()} == {False} and rows(late["text"], "job", "content") == texts_
+
+
+def test_remembered_places_of_a_folder_that_grows(spark, folder, tmp_path):
+    from tessera.plans import memory
+
+    o = options(mode="compact", incremental=True, max_width=64, max_height=64)
+    files = images.images(spark, str(folder)).withColumn("job", F.lit(1).cast("long")).persist()
+    last = files.agg(F.min("path")).first()[0]
+    places = lambda found: {x["path"]: (x["x"], x["y"]) for x in texts.parse_layouts(texts.split_lines(found["text"].select(F.lit("f").alias("file"), F.col("content").alias("value"))))["sprite"].collect()}
+    some = places(memory.remembered(files.where(F.col("path") != last), o, f"{tmp_path}/kept"))
+    every = places(memory.remembered(files, o, f"{tmp_path}/kept"))
+    assert len(every) == len(some) + 1 and {p: every[p] for p in some} == some
+
+
+def test_entries_that_cannot_be_true_are_dropped(spark):
+    from tessera.plans import memory
+
+    made = spark.createDataFrame([("a", 5, 5, 0), ("b", 0, 5, 0), ("c", 5, 100_001, 0), ("d", 5, 5, -1)], "path string, w int, h int, trim_left int")
+    assert rows(memory.sound(made.withColumns({c: F.lit(0) for c in r.TRIMS[1:]})), "path") == [("a",)]
