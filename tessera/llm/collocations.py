@@ -29,6 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,38 +65,50 @@ class Shard:
             if words:
                 places.append(-1)
 
-    def bitmaps(self, shard: int, marks: np.ndarray | None = None, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
-        """shard, lang, word, blocks (their numbers, 32 bits each) and bits (16 bits each) of all words, or those that marks (mark_bits) have."""
+    def row(self, shard: int, marks: np.ndarray | None = None) -> pa.RecordBatch:
+        """One row, SHARD_SQL: the bitmaps of all words, or of those that marks (mark_bits) have."""
         of, names = np.array(self.places, dtype=np.int64), list(self.ids)
         if marks is not None:
             held = np.fromiter((marked(marks, lang, word) for lang, word in names), bool, len(names))
             names = [names[k] for k in np.flatnonzero(held)]
-            number = np.where(held, np.cumsum(held) - 1, -1)
-            of = number[of] if len(number) else of
-            of[np.array(self.places, dtype=np.int64) < 0] = -1
+            number = np.append(np.where(held, np.cumsum(held) - 1, -1), -1)  # the last is for places without a word
+            of = number[of]
         at = np.flatnonzero(of >= 0)
         of = of[at]
         order = np.argsort(of, kind="stable")
         of, at = of[order], at[order]
         block, bit = at // BITS, np.uint16(1) << (at % BITS).astype(np.uint16)
-        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
+        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))) if len(of) else at
         bits = np.bitwise_or.reduceat(bit, new) if len(new) else bit
-        block, of = block[new].astype("<u4"), of[new]
-        ends = np.cumsum(np.bincount(of, minlength=len(names)))
-        for a in range(0, len(names), at_once):
-            b = min(len(names), a + at_once)
-            low = ends[a - 1] if a else 0
-            cuts = np.concatenate(([0], ends[a:b] - low))
-            data = lambda values, size: pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * size).astype("<i4").tobytes()), pa.py_buffer(values[low : ends[b - 1]].tobytes())])  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard), pa.int64()), pa.array([x for x, _ in names[a:b]], pa.string()), pa.array([w for _, w in names[a:b]], pa.binary()), data(block, 4), data(bits, 2)], names=["shard", "lang", "word", "blocks", "bits"])
+        block, of = block[new], of[new]
+        gap = np.diff(block, prepend=0)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        gap[first] = block[first]
+        sizes = np.bincount(of, minlength=len(names)).astype("<u4")
+        columns = [[shard], [[x for x, _ in names]], [[w for _, w in names]], [sizes.tobytes()], [packed(gap.astype("<u4"))], [packed(bits.astype("<u2"))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SHARD_FIELDS, strict=True)], schema=SHARD_FIELDS)
 
 
-def mark(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=zlib.crc32(lang.encode())) % MARKS
+SHARD_FIELDS = pa.schema([("shard", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.binary())), ("sizes", pa.binary()), ("gaps", pa.binary()), ("bits", pa.binary())])
+SHARD_SQL = "shard long, langs array<string>, words array<binary>, sizes binary, gaps binary, bits binary"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers compressed byte plane by byte plane: most high bytes are 0."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def mark(lang: str, word: bytes, size: int) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed=zlib.crc32(lang.encode())) % size
 
 
 def marked(marks: np.ndarray, lang: str, word: bytes) -> bool:
-    at = mark(lang, word)
+    at = mark(lang, word, 64 * len(marks))
     return bool(marks[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
 
 
@@ -105,20 +118,21 @@ def mark_bits(words: DataFrame) -> np.ndarray:
     They tell most of the rare words, whose bitmaps then need not be shuffled; the join with the
     frequent words tells the rest.
     """
+    size = MARKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array([mark(lang, word) for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
+            at = np.array([mark(lang, word, size) for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     found = words.select("lang", "word").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    marks = np.zeros(MARKS // 64, np.uint64)
+    marks = np.zeros(size // 64, np.uint64)
     marks[[r["at"] for r in found]] = np.array([r["bits"] for r in found], dtype=np.int64).view(np.uint64)
     return marks
 
 
-def word_bitmaps(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray, shard_places: int = SHARD) -> DataFrame:
-    """shard, lang, word (binary), blocks and bits of every marked word of every shard."""
+def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray, shard_places: int = SHARD) -> DataFrame:
+    """A row, SHARD_SQL, for each shard: its marked words and, for each of them in turn, its blocks (as gaps) and their bits."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # MARKS bits, however many words there are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,33 +143,42 @@ def word_bitmaps(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarra
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shard.add(lang, text)
                 if len(shard.places) >= shard_places:
-                    yield from shard.bitmaps(number, shared.value)
+                    yield shard.row(number, shared.value)
                     shard, number = Shard(), number + 1
         if shard.ids:
-            yield from shard.bitmaps(number, shared.value)
+            yield shard.row(number, shared.value)
         del shard
         trim()
 
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "shard long, lang string, word binary, blocks binary, bits binary")
+    return cut(rows.mapInArrow(run, SHARD_SQL))
+
+
+def shard_ids(shards: DataFrame, words: DataFrame) -> DataFrame:
+    """shard and ids: of its words that are frequent, the place in its list and the id."""
+    listed = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "_w")).select("shard", "at", F.col("_w.langs").alias("lang"), F.col("_w.words").alias("word"))
+    return cut(listed.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("ids")))
 
 
 class Bitmaps:
-    """The bitmaps of a shard's words, sorted by block; words are numbered within the shard."""
-
-    def __init__(self, words: list[int], blocks: list[bytes], bits: list[bytes]) -> None:
-        self.words = np.array(words, dtype=np.int64)
-        order = np.argsort(self.words)
-        self.words = self.words[order]
-        block = np.frombuffer(b"".join([blocks[k] for k in order]), "<u4").astype(np.int64)
-        bit = np.frombuffer(b"".join([bits[k] for k in order]), "<u2")
-        word = np.repeat(np.arange(len(order)), [len(bits[k]) // 2 for k in order])
+    """The bitmaps of a shard's frequent words, sorted by block; words are numbered within the shard."""
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, gaps: np.ndarray, bits: np.ndarray) -> None:
+        number = np.full(len(sizes), -1)
+        order = np.argsort(ids)
+        self.words = ids[order]
+        number[at[order]] = np.arange(len(order))
+        word, total = np.repeat(number, sizes), np.cumsum(gaps, dtype=np.int64)
+        first = (np.cumsum(sizes, dtype=np.int64) - sizes)[sizes > 0]
+        block = total - np.repeat(total[first] - gaps[first], sizes[sizes > 0])
+        mine = np.flatnonzero(word >= 0)
+        mine = mine[np.argsort(word[mine], kind="stable")]
         #: By word: for the first word of a phrase.
-        self.of, self.block, self.bit = word, block, bit
+        self.of, self.block, self.bit = word[mine], block[mine], bits[mine]
         #: By block: for the next one.
-        by_block = np.argsort(block, kind="stable")
-        self.next_word, self.next_bit = word[by_block], bit[by_block]
-        self.start = np.searchsorted(block[by_block], np.arange(block.max(initial=-1) + 3))
+        by_block = np.argsort(self.block, kind="stable")
+        self.next_word, self.next_bit = self.of[by_block], self.bit[by_block]
+        self.start = np.searchsorted(self.block[by_block], np.arange(self.block.max(initial=-1) + 3))
 
     def extend(self, phrase: np.ndarray, block: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Shift the bitmaps of some phrases by one place and intersect them with those of all words: phrase, word, block and bits that remain."""
@@ -239,35 +262,30 @@ class Search:
         return ok
 
 
-def shard_rows(bitmaps: DataFrame, words: DataFrame) -> DataFrame:
-    """A row for each shard: its frequent words' ids, blocks and bits."""
-    met = bitmaps.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "blocks", "bits")
-    return cut(met.groupBy("shard").agg(F.collect_list(F.struct("id", "blocks", "bits")).alias("maps")))
-
-
-def shard_counts(shards: DataFrame, size: int, known: DataFrame | None) -> DataFrame:
+def shard_counts(shards: DataFrame, ids: DataFrame, size: int, known: DataFrame | None) -> DataFrame:
     """shard, phrase (the ids of `size` words, 64 bits each) and n; known has the frequent phrases of one word less in each shard."""
     out = pa.schema([("shard", pa.int64()), ("phrase", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                listed = batch.column(1)[k].values
-                maps = Bitmaps(listed.field("id").to_pylist(), listed.field("blocks").to_pylist(), listed.field("bits").to_pylist())
+                shard, listed = batch.column(0)[k].as_py(), batch.column(1)[k].values
+                numbers = [listed.field(c).to_numpy(zero_copy_only=False) for c in ("at", "id")]
+                sizes = np.frombuffer(batch.column(2)[k].as_py(), "<u4").astype(np.int64)
+                maps = Bitmaps(*numbers, sizes, unpacked(batch.column(3)[k].as_py(), "<u4"), unpacked(batch.column(4)[k].as_py(), "<u2"))
                 rows = np.zeros((0, size - 1), np.int64)
                 if size > 2:
-                    ids = np.frombuffer(b"".join(batch.column(2)[k].as_py()), ">i8").reshape(-1, size - 1)
-                    rows = np.searchsorted(maps.words, ids)
+                    rows = np.searchsorted(maps.words, np.frombuffer(b"".join(batch.column(5)[k].as_py()), ">i8").reshape(-1, size - 1))
                 for phrases, n in Search(maps, size, rows).counts():
                     data, ends = maps.words[phrases].astype(">i8").tobytes(), np.arange(len(n) + 1, dtype="<i4") * (8 * size)
                     phrase = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column(0)[k].as_py()), pa.int64()), phrase, pa.array(n)], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int64()), phrase, pa.array(n)], schema=out)
                 del maps, listed
         trim()
 
-    if size > 2:
-        shards = shards.join(known.groupBy("shard").agg(F.collect_list("phrase").alias("known")), "shard")
-    return small_batches(shards).mapInArrow(run, "shard long, phrase binary, n long")
+    told = ids if known is None else ids.join(known.groupBy("shard").agg(F.collect_list("phrase").alias("known")), "shard")
+    rows = shards.select("shard", "sizes", "gaps", "bits").join(told, "shard")
+    return small_batches(rows).select("shard", "ids", "sizes", "gaps", "bits", *([] if known is None else ["known"])).mapInArrow(run, "shard long, phrase binary, n long")
 
 
 def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 300_000) -> DataFrame:
@@ -303,11 +321,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     langs = cut(every.groupBy("lang").agg(F.sum("f").alias("n")))
     words = every.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
     words = cut(words.withColumn("phrase", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
-    shards = shard_rows(word_bitmaps(docs, lang_col, text_col, mark_bits(words), shard_places), words)
+    shards = shard_rows(docs, lang_col, text_col, mark_bits(words), shard_places)
+    ids = shard_ids(shards, words)
     release(docs.sparkSession)
     found, known = [], None
     for size in range(2, longest + 1):
-        told = shard_counts(shards, size, known).withColumn("f", F.sum("n").over(W.partitionBy("phrase")))
+        told = shard_counts(shards, ids, size, known).withColumn("f", F.sum("n").over(W.partitionBy("phrase")))
         known = cut(told.where(F.col("f") >= least).select("shard", "phrase", "f"))
         found.append(known.groupBy("phrase").agg(F.first("f").alias("f")).select("phrase", F.lit(size).alias("size"), "f"))
         release(docs.sparkSession)

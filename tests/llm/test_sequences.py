@@ -67,8 +67,9 @@ def test_lots_of_a_shard_are_independent():
     shard = collocations.Shard()
     for lang, text in phrase_texts():
         shard.add(lang or "und", (text or "").encode())
-    made = [b.to_pydict() for b in shard.bitmaps(0)]
-    maps = collocations.Bitmaps(list(range(len(shard.ids))), [x for b in made for x in b["blocks"]], [x for b in made for x in b["bits"]])
+    row = shard.row(0).to_pylist()[0]
+    every = np.arange(len(shard.ids))
+    maps = collocations.Bitmaps(every, every[::-1].copy(), np.frombuffer(row["sizes"], "<u4").astype(np.int64), collocations.unpacked(row["gaps"], "<u4"), collocations.unpacked(row["bits"], "<u2"))
     want = None
     for lot in (3, 40, 1 << 20):
         collocations.LOT, before = lot, collocations.LOT
