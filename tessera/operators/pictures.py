@@ -1,4 +1,4 @@
-"""Image files of several formats as RGBA rasters: PNG, JPEG, BMP, GIF, TGA and portable maps."""
+"""Image files of several formats as RGBA rasters: PNG, JPEG, BMP, GIF, TGA, PSD, HDR, PIC and portable maps."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import struct
 import numpy as np
 
 from .jpeg import jpeg_size, read_jpeg
+from .layered import PIC_MAGIC, hdr_size, pic_size, psd_size, read_hdr, read_pic, read_psd
 from .png import SIGNATURE, bmp_size, gif_size, png_size, read_png
 
 
@@ -182,12 +183,12 @@ def read_gif(data: bytes) -> np.ndarray:
 def image_size(data: bytes) -> tuple[int, int] | None:
     """Width and height from the header alone."""
     head = map_head(data)
-    return png_size(data) or jpeg_size(data) or bmp_size(data) or gif_size(data) or (head[1:3] if head else None) or tga_size(data)
+    return png_size(data) or jpeg_size(data) or psd_size(data) or hdr_size(data) or pic_size(data) or bmp_size(data) or gif_size(data) or (head[1:3] if head else None) or tga_size(data)
 
 
 def read_image(data: bytes) -> np.ndarray:
     """An RGBA image of shape (height, width, 4)."""
-    for begin, read in ((SIGNATURE, read_png), (b"\xff\xd8\xff", read_jpeg), (b"BM", read_bmp), (b"GIF8", read_gif), (b"P5", read_map), (b"P6", read_map)):
+    for begin, read in ((SIGNATURE, read_png), (b"\xff\xd8\xff", read_jpeg), (b"8BPS", read_psd), (b"#?R", read_hdr), (PIC_MAGIC, read_pic), (b"BM", read_bmp), (b"GIF8", read_gif), (b"P5", read_map), (b"P6", read_map)):
         if data.startswith(begin):
             return read(data)
     if tga_size(data):

@@ -79,19 +79,24 @@ def out_of_bounds(placed: DataFrame, atlases: DataFrame, keys: tuple[str, ...] =
 def overlaps(placed: DataFrame, tile: int = 64, keys: tuple[str, ...] = ("job", "atlas_index"), name: str = "seq") -> DataFrame:
     """Pairs (a < b) of sprites of an atlas that overlap.
 
-    Rectangles are dealt to the tiles they touch and meet by an equi-join there; a pair counts in
+    Rectangles are dealt to tiles and meet by an equi-join there.  Tiles come in levels, each twice as
+    large as the one below; a rectangle stands on the level whose tiles are not smaller than it, so it
+    touches four of them at most, and asks on its own and on all higher levels of its atlas.  A pair counts in
     the tile that holds the upper left corner of the overlap, so it appears once.
     """
-    rows = placed.where("w > 0 and h > 0").select(*keys, F.col(name).alias("id"), "x", "y", "w", "h")
-    across = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / tile), F.floor((F.col(at) + F.col(size) - 1) / tile)))
-    tiled = rows.withColumn("tx", across("x", "w")).withColumn("ty", across("y", "h"))
-    a, b = tiled.alias("a"), tiled.alias("b")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("w", "h") / tile))).cast("int")
+    rows = placed.where("w > 0 and h > 0").select(*keys, F.col(name).alias("id"), "x", "y", "w", "h", level.alias("level"))
+    rows = rows.withColumn("_top", F.max("level").over(W.partitionBy(*keys)))
+    across = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / F.col("side")), F.floor((F.col(at) + F.col(size) - 1) / F.col("side"))))
+    tiled = lambda df: df.withColumn("side", F.lit(tile) * F.pow(F.lit(2), F.col("on")).cast("long")).withColumn("tx", across("x", "w")).withColumn("ty", across("y", "h"))
+    a, b = tiled(rows.withColumn("on", F.col("level"))).alias("a"), tiled(rows.withColumn("on", F.explode(F.sequence("level", "_top")))).alias("b")
     c = F.col
     left, top = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
-    same = reduce(lambda p, q: p & q, [c(f"a.{k}") == c(f"b.{k}") for k in (*keys, "tx", "ty")])
+    same = reduce(lambda p, q: p & q, [c(f"a.{k}") == c(f"b.{k}") for k in (*keys, "on", "tx", "ty")])
     meet = (left < F.least(c("a.x") + c("a.w"), c("b.x") + c("b.w"))) & (top < F.least(c("a.y") + c("a.h"), c("b.y") + c("b.h")))
-    once = (F.floor(left / tile) == c("a.tx")) & (F.floor(top / tile) == c("a.ty"))
-    return a.join(b, same & (c("a.id") < c("b.id")) & meet & once).select(*(c(f"a.{k}").alias(k) for k in keys), c("a.id").alias("a"), c("b.id").alias("b"))
+    once = (F.floor(left / c("a.side")) == c("a.tx")) & (F.floor(top / c("a.side")) == c("a.ty"))
+    other = (c("a.level") > c("b.level")) | (c("a.id") < c("b.id"))
+    return a.join(b, same & other & meet & once).select(*(c(f"a.{k}").alias(k) for k in keys), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
 def tight_bounds(placed: DataFrame, keys: tuple[str, ...] = ("job", "atlas_index"), padding: int = 0) -> DataFrame:

@@ -313,6 +313,7 @@ def test_odd_sprites_of_a_grid_are_named(spark):
 def test_overlaps_are_found_once(spark):
     rng = random.Random(9)
     boxes = [(0, 0, i, rng.randint(0, 150), rng.randint(0, 150), rng.randint(1, 90), rng.randint(1, 90)) for i in range(40)]
+    boxes += [(0, 0, 40, -30, 20, 5000, 3), (0, 0, 41, 100, 100, 1, 1), (0, 0, 42, 0, 0, 64, 64), (0, 0, 43, 63, 63, 65, 2)]
     made = spark.createDataFrame(boxes, "job int, atlas_index int, seq int, x int, y int, w int, h int")
     want = [(a[2], b[2]) for a in boxes for b in boxes if a[2] < b[2] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5] and a[4] < b[4] + b[6] and b[4] < a[4] + a[6]]
     assert rows(r.overlaps(made), "a", "b") == sorted(want)

@@ -188,6 +188,96 @@ def test_jpegs_with_restarts_and_inks():
             pictures.read_image(broken)
 
 
+def bits_packed(row):
+    """PackBits with runs where bytes repeat."""
+    out, k = b"", 0
+    while k < len(row):
+        n = 1
+        while k + n < len(row) and row[k + n] == row[k] and n < 128:
+            n += 1
+        out += bytes([257 - n, row[k]]) if n > 1 else bytes([0, row[k]])
+        k += n
+    return out
+
+
+def psd(planes, depth=8, packed=True, mode=3):
+    n, h, w = planes.shape
+    rows = [planes[c, y].astype(">u2" if depth == 16 else "u1").tobytes() for c in range(n) for y in range(h)]
+    body = b"".join(rows)
+    if packed:
+        short = [bits_packed(r) for r in rows]
+        body = b"".join(len(r).to_bytes(2, "big") for r in short) + b"".join(short)
+    head = b"8BPS" + struct.pack(">H6xHIIHH", 1, n, h, w, depth, mode)
+    return head + struct.pack(">I", 0) + struct.pack(">I4s", 4, b"rsrc") + struct.pack(">I", 0) + struct.pack(">H", int(packed)) + body
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("depth", [8, 16])
+def test_photoshop_documents(packed, depth):
+    p = picture(9, 14, 5)
+    planes = p[..., :3].transpose(2, 0, 1).astype(int)
+    data = psd(planes * 257 if depth == 16 else planes, depth, packed)
+    assert pictures.image_size(data) == (14, 9) and (pictures.read_image(data) == p).all()
+    grey = pictures.read_image(psd(planes[:1], 8, packed, 1))
+    assert (grey[..., :3] == p[..., :1]).all()
+    alpha = np.full((9, 14), 255)
+    alpha[0], alpha[1] = 0, 128
+    on_white = np.rint(planes * alpha / 255 + 255 - alpha).astype(int)
+    clear = pictures.read_image(psd(np.concatenate((on_white, alpha[None])), 8, packed))
+    assert (clear[..., 3] == alpha).all() and (clear[2:] == p[2:]).all() and np.abs(clear[1, :, :3].astype(int) - p[1, :, :3]).max() <= 1
+    for broken in (data[:30], data[:-3], data[:22] + b"\0\x08\0\x09" + data[26:]):
+        with pytest.raises(ValueError, match="PSD|buffer"):
+            pictures.read_image(broken)
+
+
+@pytest.mark.parametrize("w", [5, 21])
+def test_radiance_maps(w):
+    rng = np.random.default_rng(w)
+    light = rng.random((6, w, 3)) ** 3 * 1.2
+    light[2, 3:5] = 0
+    top = light.max(axis=2)
+    e = np.where(top > 0, np.ceil(np.log2(np.where(top > 0, top, 1))).astype(int) + 1, 0)
+    mantissa = np.floor(light * np.where(top > 0, np.ldexp(1.0, 8 - e), 0)[..., None]).clip(0, 255).astype(np.uint8)
+    rgbe = np.dstack((mantissa, np.where(top > 0, e + 128, 0).astype(np.uint8)))
+    head = b"#?RADIANCE\n# made\nFORMAT=32-bit_rle_rgbe\n\n-Y 6 +X %d\n" % w
+    if w < 8:
+        body = rgbe.tobytes()
+    else:
+        body = b""
+        for y in range(6):
+            body += b"\2\2" + w.to_bytes(2, "big")
+            for c in range(4):
+                row = rgbe[y, :, c].tobytes()
+                body += bytes([128 + w, row[0]]) if len(set(row)) == 1 else bytes([4]) + row[:4] + bytes([w - 4]) + row[4:]
+    got = pictures.read_image(head + body)
+    known = rgbe[..., :3] * np.where(rgbe[..., 3:] > 0, np.ldexp(1.0, rgbe[..., 3:].astype(int) - 136), 0)
+    assert pictures.image_size(head + body) == (w, 6) and (got[..., :3] == np.clip(known ** (1 / 2.2) * 255 + 0.5, 0, 255).astype(np.uint8)).all()
+    with pytest.raises(ValueError, match="HDR"):
+        pictures.read_image((head + body)[:-2])
+
+
+def test_softimage_pictures():
+    p = picture(4, 140, 6)
+    p[1, :, 0] = 7
+    p[..., 3] = 9
+    head = bytearray(104)
+    head[:4], head[88:92], head[92:96] = b"\x53\x80\xf6\x34", b"PICT", struct.pack(">HH", 140, 4)
+    body = b""
+    for y in range(4):
+        for x in range(0, 140, 70):  # three channels in mixed runs
+            body += bytes([69]) + p[y, x : x + 70, :3].tobytes()
+        body += bytes([128]) + struct.pack(">H", 140) + b"\x09"  # alpha in one long run
+    data = bytes(head) + bytes([1, 8, 2, 0xE0, 0, 8, 2, 0x10]) + body
+    assert pictures.image_size(data) == (140, 4) and (pictures.read_image(data) == p).all()
+    plain = bytes(head) + bytes([0, 8, 0, 0xE0]) + p[..., :3].tobytes()
+    assert (pictures.read_image(plain)[..., :3] == p[..., :3]).all() and (pictures.read_image(plain)[..., 3] == 255).all()
+    runs = bytes(head) + bytes([0, 8, 1, 0xE0]) + b"".join(bytes([1]) + p[y, x, :3].tobytes() for y in range(4) for x in range(140))
+    assert (pictures.read_image(runs)[..., :3] == p[..., :3]).all()
+    for broken in (data[:-1], data[:90], plain[:200]):
+        with pytest.raises(ValueError, match="PIC|unknown"):
+            pictures.read_image(broken)
+
+
 def test_broken_files_give_errors_and_the_rest_goes_on(spark):
     sheet = np.zeros((12, 12, 4), np.uint8)
     sheet[2:6, 3:9] = (1, 2, 3, 255)
