@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import scaled
+from .functions.scalars import normal_path, scaled
 from .operators import relations as r
 from .options import LayoutOptions
 from .plans import atlases, documents, layouts
@@ -162,14 +162,19 @@ def folder_sprites(spark: SparkSession, folder: str, o: LayoutOptions, cache: Da
 
 
 def sheet_frames(sheets: DataFrame, files: DataFrame) -> DataFrame:
-    """Frames of sheets (path): from the file beside each that has its name and ends in .json or .frames, which are looked for in that order.
+    """Frames of sheets (path): from the file beside each that has its name and ends in .json or .frames, which are looked for in that order, or else from a frame list whose path line names it.
 
     files has path and value, the whole text.  What is JSON by its name or its look is read as that.
     """
     stem = lambda c: F.regexp_replace(c, r"[.][^./]*\z", "")
     kind = F.regexp_extract("path", r"[.]([^./]*)\z", 1)
-    beside = files.where(kind.isin("json", "frames")).select(stem(F.col("path")).alias("_stem"), F.struct((kind != "json").alias("rank"), "path", "value").alias("_f"))
-    found = sheets.select(F.col("path").alias("file")).withColumn("_stem", stem(F.col("file"))).join(beside, "_stem").groupBy("file").agg(F.min("_f").alias("_f"))
+    ranked = lambda rank: F.struct(rank.alias("rank"), "path", "value").alias("_f")
+    beside = files.where(kind.isin("json", "frames")).select(stem(F.col("path")).alias("_stem"), ranked((kind != "json").cast("int")))
+    by_name = sheets.select(F.col("path").alias("file")).withColumn("_stem", stem(F.col("file"))).join(beside, "_stem").select("file", "_f")
+    named = texts.named_sheets(texts.split_lines(files.withColumnRenamed("path", "file"))).withColumnRenamed("file", "path")
+    by_line = named.join(files, "path").select("sheet", ranked(F.lit(2)))
+    by_line = sheets.select(F.col("path").alias("file"), normal_path(F.col("path")).alias("sheet")).join(by_line, "sheet").select("file", "_f")
+    found = by_name.unionByName(by_line).groupBy("file").agg(F.min("_f").alias("_f"))
     found = found.select("file", "_f.value", texts.frames_format(F.col("_f.path"), F.col("_f.value")).alias("format"))
     lined = found.where("format = 'text'").select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     return texts.parse_frames_json(found.where("format = 'json'").select("file", "value")).unionByName(texts.parse_frames(lined))

@@ -181,3 +181,23 @@ def color_distance(a: Column, b: Column) -> Column:
 
 def content_size(w: Column, h: Column, rotated: Column) -> tuple[Column, Column]:
     return F.when(rotated, h).otherwise(w), F.when(rotated, w).otherwise(h)
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and `.` parts and with `..` taken back where there is something to take back."""
+    absolute = path.startswith("/")
+
+    def step(acc: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")) != "..")
+        stay = part.isin("", ".") | ((part == "..") & absolute & (F.size(acc) == 0))
+        return F.when(stay, acc).when(back, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def beside(path: Column, other: Column) -> Column:
+    """The normal path of `other` as it is said in the file `path`: from that file's folder, unless it is absolute."""
+    folder = F.regexp_replace(path, r"[^/]*\z", "")
+    return normal_path(F.when(other.startswith("/"), other).otherwise(F.concat(folder, other)))

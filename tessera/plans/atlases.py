@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import check_index_pattern
 from ..operators import raster
-from ..operators.pictures import read_image
+from ..operators.pictures import image_size, read_image
 from ..operators.png import write_png
 
 
@@ -125,6 +125,18 @@ def atlas_name(pattern: str, index: int) -> str:
 
 # Sheets.
 
+LONGEST_SIDE, MOST_PIXELS = 32_768, 100_000_000  #: of a sheet
+
+
+def sheet(content: bytes) -> np.ndarray:
+    """The pixels of a sheet, unmasked; those of one that is too large are not decoded."""
+    data = raster.unmasked(bytes(content))
+    size = image_size(data)
+    if size and (max(size) > LONGEST_SIDE or size[0] * size[1] > MOST_PIXELS):
+        raise ValueError(f"a sheet of {size[0]} by {size[1]} pixels is too large")
+    return read_image(data)
+
+
 FRAMES = "file string, index int, x int, y int, w int, h int, background string, error string"
 
 
@@ -136,7 +148,7 @@ def found_frames(sheets: DataFrame, bordered: bool = False, colour: tuple[int, i
             out = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    pixels = read_image(raster.unmasked(bytes(content)))
+                    pixels = sheet(content)
                 except Exception as e:  # whatever a broken file leads to is that file's result
                     out.append((path, *[None] * 6, f"{type(e).__name__}: {e}"[:200]))
                     continue
@@ -172,7 +184,7 @@ def cut_frames(sheets: DataFrame, frames: DataFrame) -> DataFrame:
             for path, content, wanted in zip(part["path"], part["content"], part["frames"], strict=True):
                 out = []
                 try:
-                    pixels = read_image(raster.unmasked(bytes(content)))
+                    pixels = sheet(content)
                 except Exception as e:  # whatever a broken file leads to is its frames' result
                     wanted, out = [], [(path, f["name"], None, f"{type(e).__name__}: {e}"[:200]) for f in wanted]
                 for f in wanted:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import QUOTED, parse_double, parse_int, parse_pair, unquoted
+from ..functions.scalars import QUOTED, beside, parse_double, parse_int, parse_pair, unquoted
 
 FILE = "file"
 SLICE_MODES = ("stretch", "repeat", "mirror")
@@ -264,6 +264,13 @@ def parse_frames(lines: DataFrame) -> DataFrame:
     return found.withColumn("name", F.coalesce("name", F.concat(F.lit("sprite_"), "index")))
 
 
+def named_sheets(lines: DataFrame) -> DataFrame:
+    """file and sheet: the image that a frame list names in its first path line, as a normal path."""
+    text = F.trim("text")
+    named = lines.where(text.rlike(rf"^path\s*{QUOTED}")).groupBy(FILE).agg(F.min_by(first_quoted(text), "line").alias("_p"))
+    return named.select(FILE, beside(F.col(FILE), F.col("_p")).alias("sheet"))
+
+
 def frames_format(path: Column, value: Column) -> Column:
     """json or text: by the file's name, or else by how its content begins or what it holds."""
     looks = F.ltrim(value).startswith("[") | value.contains('"frames":')

@@ -653,3 +653,30 @@ def test_entries_that_cannot_be_true_are_dropped(spark):
 
     made = spark.createDataFrame([("a", 5, 5, 0), ("b", 0, 5, 0), ("c", 5, 100_001, 0), ("d", 5, 5, -1)], "path string, w int, h int, trim_left int")
     assert rows(memory.sound(made.withColumns({c: F.lit(0) for c in r.TRIMS[1:]})), "path") == [("a",)]
+
+
+def test_paths_are_made_normal(spark):
+    import posixpath
+
+    paths = ["a/b", "./a//b/", "a/../b", "../a", "a/../../b", "/../a", "/a/./b/..", ".", "", "a/..", "../../x/..", "/"]
+    made = spark.createDataFrame([(p,) for p in paths], "p string").select("p", s.normal_path(F.col("p")).alias("n"), s.beside(F.lit("in/list.frames"), F.col("p")).alias("b"))
+    for x in made.collect():
+        assert x["n"] == posixpath.normpath(x["p"]), x
+        assert x["b"] == posixpath.normpath(posixpath.join("in", x["p"])), x
+
+
+def test_frame_lists_that_name_their_sheet(spark):
+    sheets = spark.createDataFrame([("in/x.png",), ("in/y.png",), ("in/z.png",)], "path string")
+    files = spark.createDataFrame([("in/lists/one.txt", 'path "../x.png"\nsprite "a" 1,2 3,4\n'), ("in/y.json", '{"frames": {"b": {"frame": {"x": 0, "y": 0, "w": 5, "h": 6}}}}'), ("in/lists/two.txt", 'path "../y.png"\nsprite "no" 1,2 3,4\n')], "path string, value string")
+    assert rows(api.sheet_frames(sheets, files), "file", "name", "w", "h") == [("in/x.png", "a", 3, 4), ("in/y.png", "b", 5, 6)]
+
+
+def test_sheets_that_are_too_large_are_told(spark):
+    import struct
+
+    from tessera.operators.png import SIGNATURE
+
+    wide = SIGNATURE + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 40_000, 2, 8, 6, 0, 0, 0)
+    many = SIGNATURE + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 20_000, 20_000, 8, 6, 0, 0, 0)
+    made = spark.createDataFrame([("w", bytearray(wide)), ("m", bytearray(many))], "path string, content binary")
+    assert all("too large" in x["error"] for x in atlases.found_frames(made).collect())
