@@ -22,6 +22,7 @@ from .operators.png import write_png
 from .plans import atlases as sheets_plan
 from .plans import documents as d
 from .plans import layouts as p
+from .plans import tiled
 from .sources import images, sinks, texts
 
 JOB = 25
@@ -502,6 +503,27 @@ def atlas_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets_plan.cut_frames(drawn, wanted).select("name", "content").mapInPandas(sums, "vec_id long, w int, h int, n long, grey long, across long, down long")
 
 
+TILED = RASTER + f""", placed AS (SELECT vec_id // {JOB} AS job, (vec_id % {JOB} % 5 * 8 + x)::INT AS x, (vec_id % {JOB} // 5 * 8 + y)::INT AS y, grey, opaque FROM pixel),
+spot AS (SELECT p.job, p.x, p.y, 40 * p.y + p.x AS id FROM placed p LEFT JOIN placed f ON f.job = p.job AND f.x = 0 AND f.y = 0 WHERE p.opaque AND NOT coalesce(f.opaque AND 3 * abs(p.grey - f.grey) <= 15, false)),
+reach AS (SELECT job, id AS n, x, y FROM spot UNION SELECT r.job, r.n, s.x, s.y FROM reach r JOIN spot s ON s.job = r.job AND abs(s.x - r.x) <= 1 AND abs(s.y - r.y) <= 1),
+label AS (SELECT job, n, min(40 * y + x) AS c FROM reach GROUP BY ALL),
+box AS (SELECT l.job, l.c, min(s.x) AS x, min(s.y) AS y, max(s.x) - min(s.x) + 1 AS w, max(s.y) - min(s.y) + 1 AS h FROM label l JOIN spot s ON s.job = l.job AND s.id = l.n GROUP BY l.job, l.c HAVING count(*) >= 4)"""
+
+
+@query(f"WITH RECURSIVE {TILED} SELECT 'sheet' || job AS file, (row_number() OVER (PARTITION BY job ORDER BY w * h DESC, c) - 1)::INT AS index, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM box")
+def tiled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of sheets of 25 rasters each, found in tiles of 11 pixels."""
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        pixels = np.full((40, 40, 4), (1, 2, 3, 0), np.uint8)
+        for k, content in zip(frame["vec_id"] % JOB, frame["content"], strict=True):
+            pixels[k // 5 * 8 : k // 5 * 8 + 8, k % 5 * 8 : k % 5 * 8 + 8] = read_image(bytes(content))
+        return pd.DataFrame({"path": [f"sheet{frame['vec_id'].iloc[0] // JOB}"], "content": [write_png(pixels)]})
+
+    sheets = pictures(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / JOB)).applyInPandas(joined, "path string, content binary")
+    return tiled.tiled_frames(tiled.tiles(sheets, 11))
+
+
 # Text forms.
 
 
