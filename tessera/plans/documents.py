@@ -283,42 +283,39 @@ def unity_json() -> Column:
 
 
 #: What the meta format says before and after the sprites.
-META_IMPORT = """mipmaps:
-  mipMapMode: 0
-  enableMipMap: 0
-  sRGBTexture: 1
-  linearTexture: 0
-isReadable: 0
-filterMode: 0
-textureType: 8
-textureShape: 1
-maxTextureSizeSet: 0
-compressionQuality: 50
-textureFormat: -1
-alphaUsage: 1
-alphaIsTransparency: 1
-spriteMode: 2
-spriteExtrude: 1
-spriteMeshType: 1
-alignment: 0
-spritePivot: {x: 0.5, y: 0.5}
-spritePixelsToUnits: 100
-spriteBorder: {x: 0, y: 0, z: 0, w: 0}
-spriteGenerateFallbackPhysicsShape: 1
+META_IMPORT = """\
+  mipmaps:
+    mipMapMode: 0
+    enableMipMap: 0
+    sRGBTexture: 1
+    linearTexture: 0
+  isReadable: 0
+  filterMode: 0
+  textureType: 8
+  textureShape: 1
+  maxTextureSizeSet: 0
+  compressionQuality: 50
+  textureFormat: -1
+  alphaUsage: 1
+  alphaIsTransparency: 1
+  spriteMode: 2
+  spriteExtrude: 1
+  spriteMeshType: 1
+  alignment: 0
+  spritePivot: {x: 0.5, y: 0.5}
+  spritePixelsToUnits: 100
+  spriteBorder: {x: 0, y: 0, z: 0, w: 0}
+  spriteGenerateFallbackPhysicsShape: 1
 """
 
 
-def indented(text: str, by: int) -> str:
-    return "".join(" " * by + line + "\n" for line in text.splitlines())
-
-
 def unity_meta() -> Column:
     entry = lambda s: glued("    - first:\n        213: ", unsigned(s["name_hash"]), "\n      second: ", s["name"], "\n")
     rect = lambda s: glued(
         "    - serializedVersion: 2\n      name: ", s["name"], "\n      rect:\n        serializedVersion: 2\n        x: ", s["x"], "\n        y: ", s["unity_y"], "\n        width: ", s["content_w"], "\n        height: ", s["content_h"],
         "\n      alignment: 9\n      pivot: {x: ", short_number(s["pivot_x_norm"]), ", y: ", short_number(s["pivot_y_norm"]), "}\n      border: {x: 0, y: 0, z: 0, w: 0}\n      spriteID: ", hex16(s["name_hash"]), "\n      internalID: ", unsigned(s["name_hash"]), "\n",
     )
-    return glued("fileFormatVersion: 2\nguid: ", F.col("stem_hash_hex"), "0000000000000000\nTextureImporter:\n  internalIDToNameTable:\n", lines(F.col("sprites"), entry), "  externalObjects: {}\n  serializedVersion: 13\n", indented(META_IMPORT, 2), "  spriteSheet:\n    serializedVersion: 2\n    sprites:\n", lines(F.col("sprites"), rect))
+    return glued("fileFormatVersion: 2\nguid: ", F.col("stem_hash_hex"), "0000000000000000\nTextureImporter:\n  internalIDToNameTable:\n", lines(F.col("sprites"), entry), "  externalObjects: {}\n  serializedVersion: 13\n", META_IMPORT, "  spriteSheet:\n    serializedVersion: 2\n    sprites:\n", lines(F.col("sprites"), rect))
 
 
 def unity_anims(docs: DataFrame, job: str = "job") -> DataFrame:

@@ -616,7 +616,7 @@ a AS (SELECT job, string_agg(concat('    <animation index="', index, '" name="',
 SELECT job, concat('<?xml version="1.0" encoding="UTF-8"?>\n<layout multipack="false" scale="1" extrude="0">\n  <atlases>\n    <atlas index="0" width="', aw, '" height="', ah, '" path="atlas_0.png">\n      <sprites>\n        ', body, '\n      </sprites>\n    </atlas>\n  </atlases>\n', CASE WHEN anims IS NULL THEN '' ELSE concat('  <animations>\n', anims, '\n  </animations>\n') END, '</layout>\n') AS content FROM b JOIN size USING (job) LEFT JOIN a USING (job)""",
 }
 
-RENDER_SQL |= rendering_sql.renderings(DOC) | {"unity.meta": rendering_sql.unity_meta(DOC, d.indented(d.META_IMPORT, 2))}
+RENDER_SQL |= rendering_sql.renderings(DOC) | {"unity.meta": rendering_sql.unity_meta(DOC, d.META_IMPORT)}
 
 
 def _renderings() -> None:
