@@ -7,6 +7,7 @@ one job.  Its lists are those of one layout and stay small.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -359,8 +360,29 @@ def listing(spark: SparkSession, more: dict[str, tuple[str, str, Callable[[], Co
     return spark.createDataFrame(rows, "name string, description string, extension string").orderBy("name")
 
 
-def output_files(docs: DataFrame, kind: str, stem: str = "atlas", job: str = "job") -> DataFrame:
-    """job, name and content of the files that a rendering comes to: one with its extension, or one for each animation."""
+@dataclass(frozen=True)
+class Rendering:
+    """A rendering of one's own: its extension and either the content of one file or several files (an array of name and content)."""
+
+    what: str
+    extension: str
+    content: Callable[[], Column] | None = None
+    files: Callable[[], Column] | None = None
+
+    def __post_init__(self) -> None:
+        if not self.extension.startswith(".") or len(self.extension) < 2:
+            raise ValueError(f"{self.extension!r} is no file extension")
+        if (self.content is None) == (self.files is None):
+            raise ValueError("a rendering makes one content or several files, not both and not neither")
+
+
+def output_files(docs: DataFrame, kind: str | Rendering, stem: str = "atlas", job: str = "job") -> DataFrame:
+    """job, name and content of the files that a rendering comes to: one with its extension, one for each animation, or those it names itself."""
     if kind == "unity.anim":
         return unity_anims(docs, job)
-    return rendered(docs, kind, job).select(job, F.lit(stem + RENDERINGS[kind][1]).alias("name"), "content")
+    if isinstance(kind, str):
+        what, extension, content = RENDERINGS[kind]
+        kind = Rendering(what, extension, content)
+    if kind.files is not None:
+        return docs.select(job, F.explode(kind.files()).alias("_f")).select(job, "_f.name", "_f.content")
+    return rendered(docs, kind.content, job).select(job, F.lit(stem + kind.extension).alias("name"), "content")

@@ -680,3 +680,14 @@ def test_sheets_that_are_too_large_are_told(spark):
     many = SIGNATURE + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 20_000, 20_000, 8, 6, 0, 0, 0)
     made = spark.createDataFrame([("w", bytearray(wide)), ("m", bytearray(many))], "path string, content binary")
     assert all("too large" in x["error"] for x in atlases.found_frames(made).collect())
+
+
+def test_renderings_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "job long, names array<string>")
+    one = documents.Rendering("names", ".txt", content=lambda: F.array_join("names", " "))
+    assert rows(documents.output_files(docs, one, "sheet")) == [(1, "sheet.txt", "a b"), (2, "sheet.txt", "c")]
+    each = documents.Rendering("a file for each", ".txt", files=lambda: F.transform("names", lambda n: F.struct(F.concat(n, F.lit(".txt")).alias("name"), n.alias("content"))))
+    assert rows(documents.output_files(docs, each)) == [(1, "a.txt", "a"), (1, "b.txt", "b"), (2, "c.txt", "c")]
+    for wrong in ({"extension": "txt", "content": F.lit}, {"extension": ".txt"}, {"extension": ".txt", "content": F.lit, "files": F.lit}):
+        with pytest.raises(ValueError, match="extension|content"):
+            documents.Rendering("no", **wrong)
