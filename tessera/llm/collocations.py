@@ -44,30 +44,43 @@ LOT = 1 << 15  #: blocks that are extended together
 UNKNOWN = "und"
 MARKS = 1 << 24  #: bits that tell rare words before the shuffle
 
-_TO_BREAK = bytes.maketrans(ENDS, b"\n" * len(ENDS))
+_UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+_TO_BREAK = bytes.maketrans(_UPPER + ENDS, _LOWER + b"\xff" * len(ENDS))  # no UTF-8 text has this byte
+_TO_SPACE = bytes.maketrans(_UPPER + ENDS, _LOWER + b" " * len(ENDS))
+
+
+class Numbers(dict):
+    """Words of a language and their places in the list of a shard's words, where new ones are put."""
+
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]) -> None:
+        super().__init__({b"\xff": -1})
+        self.lang, self.names = lang, names
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        return n
 
 
 class Shard:
-    """The places of the words of some texts."""
+    """The places of the words of some texts; -1 between pieces."""
 
     def __init__(self) -> None:
-        self.ids: dict[tuple[str, bytes], int] = {}
+        self.names: list[tuple[str, bytes]] = []
         self.places: list[int] = []
-        self.known: dict[str, dict[bytes, int]] = {}
+        self.known: dict[str, Numbers] = {}
 
     def add(self, lang: str, text: bytes) -> None:
-        known, places = self.known.setdefault(lang, {}), self.places
-        for piece in text.lower().translate(_TO_BREAK).split(b"\n"):
-            words = piece.split()  # space and tab are the only white space left
-            for w in set(words).difference(known):
-                known[w] = self.ids[lang, w] = len(self.ids)
-            places += map(known.__getitem__, words)
-            if words:
-                places.append(-1)
+        known = self.known.get(lang)
+        if known is None:
+            known = self.known[lang] = Numbers(lang, self.names)
+        # Space and tab are the only white space left.
+        self.places += map(known.__getitem__, text.translate(_TO_BREAK).replace(b"\xff", b" \xff ").split())
+        self.places.append(-1)
 
     def row(self, shard: int, marks: np.ndarray | None = None) -> pa.RecordBatch:
         """One row, SHARD_SQL: the bitmaps of all words, or of those that marks (mark_bits) have."""
-        of, names = np.array(self.places, dtype=np.int64), list(self.ids)
+        of, names = np.array(self.places, dtype=np.int64), self.names
         if marks is not None:
             held = np.fromiter((marked(marks, lang, word) for lang, word in names), bool, len(names))
             names = [names[k] for k in np.flatnonzero(held)]
@@ -145,7 +158,7 @@ def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray,
                 if len(shard.places) >= shard_places:
                     yield shard.row(number, shared.value)
                     shard, number = Shard(), number + 1
-        if shard.ids:
+        if shard.names:
             yield shard.row(number, shared.value)
         del shard
         trim()
@@ -291,7 +304,6 @@ def shard_counts(shards: DataFrame, ids: DataFrame, size: int, known: DataFrame
 def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 300_000) -> DataFrame:
     """lang, word (binary) and f of every word."""
     out = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-    to_space = bytes.maketrans(ENDS, b" " * len(ENDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -305,7 +317,7 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 30
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(text.lower().translate(to_space).split())
+                counts.setdefault(lang, Counter()).update(text.translate(_TO_SPACE).split())
             if sum(map(len, counts.values())) > at_once:
                 yield from rows()
         yield from rows()

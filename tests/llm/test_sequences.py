@@ -68,7 +68,7 @@ def test_lots_of_a_shard_are_independent():
     for lang, text in phrase_texts():
         shard.add(lang or "und", (text or "").encode())
     row = shard.row(0).to_pylist()[0]
-    every = np.arange(len(shard.ids))
+    every = np.arange(len(shard.names))
     maps = collocations.Bitmaps(every, every[::-1].copy(), np.frombuffer(row["sizes"], "<u4").astype(np.int64), collocations.unpacked(row["gaps"], "<u4"), collocations.unpacked(row["bits"], "<u2"))
     want = None
     for lot in (3, 40, 1 << 20):
