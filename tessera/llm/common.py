@@ -58,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder and read again.
+
+    A loop over joins needs this and not a checkpoint: a checkpoint keeps the size that Spark has
+    estimated, the product of the joined ones, which squares in each round until the driver does little else than
+    multiply numbers of millions of digits.
+    """
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Bytes of a batch of rows that goes to a Python worker, where the session leaves it at Spark's 64 MB:
 #: a batch stands in the worker several times over, as Arrow, as Python objects and as results.
 BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20

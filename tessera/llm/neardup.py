@@ -27,6 +27,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, release, table, text_frame
+from .common import cut, map_texts, release, remove, stored, table, text_frame, use_checkpoint_dir
 
 WORDS = 5
 REGISTERS, MANTISSA, EMPTY = 256, 10, 0xFFFF
@@ -220,16 +221,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     In each round a node takes the smallest label among its neighbours' and its own label's; it is one
     join and one sum, written to the checkpoint folder.  It ends when a round changes nothing.
     """
+    spark = edges.sparkSession
+    use_checkpoint_dir(spark)
+    folder, turn = f"{spark.sparkContext.getCheckpointDir()}/components-{uuid.uuid4().hex}", 0
     ends = lambda x, y: edges.select(F.col(x).alias("node"), F.col(y).alias("near"))
-    near = cut(ends(a, b).unionByName(ends(b, a)).unionByName(ends(a, a)).unionByName(ends(b, b)).distinct())
-    labels = cut(near.groupBy("node").agg(F.min("near").alias("component")))
+    near = stored(ends(a, b).unionByName(ends(b, a)).unionByName(ends(a, a)).unionByName(ends(b, b)).distinct(), f"{folder}/near")
+    labels = stored(near.groupBy("node").agg(F.min("near").alias("component")), f"{folder}/0")
     while True:
         asked = near.unionByName(labels.where("component <> node").select("node", F.col("component").alias("near")))
         told = asked.join(labels.select(F.col("node").alias("near"), F.col("component").alias("_label")), "near")
         own = F.max(F.when(F.col("near") == F.col("node"), F.col("_label")))
-        moved = cut(told.groupBy("node").agg(F.min("_label").alias("component"), own.alias("_was")))
+        moved = stored(told.groupBy("node").agg(F.min("_label").alias("component"), own.alias("_was")), f"{folder}/{turn + 1}")
         labels = moved.select("node", "component")
-        release(edges.sparkSession)
+        remove(spark, f"{folder}/{turn}")
+        turn += 1
+        release(spark)
         if moved.where("component <> _was").isEmpty():
             return labels
 
