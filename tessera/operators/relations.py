@@ -6,6 +6,7 @@ column that tells them apart.  `seq` is a sprite's place in its job's source ord
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -207,24 +208,37 @@ def similar_pairs(sprites: DataFrame, threshold: int = 5, job: str = "job", choi
 def connected(edges: DataFrame, keys: tuple[str, ...] = ("job",)) -> DataFrame:
     """keys, node and component (the smallest node reachable) of the nodes of edges (keys, a, b).
 
-    Labels spread to neighbours and then to their label's label until nothing changes; each round is
-    written to the checkpoint folder.
+    In each round a node takes the smallest label among its neighbours' and its own label's, until nothing
+    changes; each round is one join and one sum, written as a table in the checkpoint folder.
     """
     k = list(keys)
     _use_checkpoints(edges)
-    both = edges.select(*k, F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(*k, F.col("b").alias("node"), F.col("a").alias("near"))).distinct().checkpoint()
-    labels = both.groupBy(*k, "node").agg(F.least("node", F.min("near")).alias("component")).checkpoint()
+    spark = edges.sparkSession
+    folder, turn = f"{spark.sparkContext.getCheckpointDir()}/connected-{uuid.uuid4().hex}", 0
+    ends = lambda x, y: edges.select(*k, F.col(x).alias("node"), F.col(y).alias("near"))
+    near = written(ends("a", "b").unionByName(ends("b", "a")).unionByName(ends("a", "a")).unionByName(ends("b", "b")).distinct(), f"{folder}/near")
+    labels = written(near.groupBy(*k, "node").agg(F.min("near").alias("component")), f"{folder}/0")
     while True:
-        offers = both.join(labels.select(*k, F.col("node").alias("near"), F.col("component").alias("_offer")), [*k, "near"]).groupBy(*k, "node").agg(F.min("_offer").alias("_offer"))
-        near = labels.join(offers, [*k, "node"]).select(*k, "node", F.col("component").alias("_was"), F.least("component", "_offer").alias("_now"))
-        far = near.join(labels.select(*k, F.col("node").alias("_now"), F.col("component").alias("_next")), [*k, "_now"])
-        now = F.least("_now", "_next")
-        moved = far.select(*k, "node", now.alias("component"), (now != F.col("_was")).alias("_moved")).checkpoint()
+        asked = near.unionByName(labels.where("component <> node").select(*k, "node", F.col("component").alias("near")))
+        told = asked.join(labels.select(*k, F.col("node").alias("near"), F.col("component").alias("_label")), [*k, "near"])
+        own = F.max(F.when(F.col("near") == F.col("node"), F.col("_label")))
+        turn += 1
+        moved = written(told.groupBy(*k, "node").agg(F.min("_label").alias("component"), own.alias("_was")), f"{folder}/{turn}")
         labels = moved.select(*k, "node", "component")
-        if moved.where("_moved").isEmpty():
+        if moved.where("component <> _was").isEmpty():
             return labels
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder and read again.
+
+    Loops over joins need this: a checkpoint keeps the size that Spark has estimated, which is the
+    product of the joined ones and so squares in each round.
+    """
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _use_checkpoints(df: DataFrame) -> None:
     """Keep the session's checkpoint folder; without one, only a local session may use its warehouse."""
     spark = df.sparkSession

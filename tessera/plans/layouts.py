@@ -9,6 +9,7 @@ rounds, an atlas of every job in each.  Grids need no search and are arithmetic
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import next_power_of_two
 from ..operators.kernels import HEURISTICS, Beyond, extent, guillotine, maxrects, shelf
-from ..operators.relations import ORDERS, TRIMS, best_candidates, layout_stats, materialised, overlaps, ranked
+from ..operators.relations import ORDERS, TRIMS, best_candidates, layout_stats, materialised, overlaps, ranked, written
 
 #: Fixed values of the guided search: multiples of the step that are tried around each anchor.
 OFFSETS = (0, -1, 1, -2, 2, -4, 4, -8, 8, -12, 12, -16, 16, -20, 20)
@@ -399,9 +400,10 @@ def multipack(sprites: DataFrame, limits: Limits = Limits(), goal: str = "gpu",
     over all tasks however large a job is, and what is left is written for the next round.
     """
     left, out, atlas = materialised(jobs(sprites)), [], 0
+    folder = f"{sprites.sparkSession.sparkContext.getCheckpointDir()}/multipack-{uuid.uuid4().hex}"
     while not left.isEmpty():
         best = best_candidates(fullest(left, limits, goal, pot), f"multipack_{goal}")
-        state = materialised(filled(left, best, limits, atlas))
+        state = written(filled(left, best, limits, atlas), f"{folder}/{atlas}")
         out.append(state)
         left, atlas = state.where(F.size("sprites") > 0).select("job", "sprites"), atlas + 1
     if not out:

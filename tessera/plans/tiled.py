@@ -8,6 +8,7 @@ Spark joins them over all tiles.  An area's name is the number of its first pixe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster
 from ..operators.png import read_png, write_png
-from ..operators.relations import connected, materialised
+from ..operators.relations import connected, materialised, written
 from .atlases import sheet
 
 TILE = "path string, x int, y int, width int, height int, content binary, error string"
@@ -87,13 +88,15 @@ def reached(areas: DataFrame, leads: DataFrame) -> DataFrame:
 
     Each round takes the starts of those that lead to an area, and the start of its start; it ends when nothing changes.
     """
-    starts = materialised(areas.select("path", "area", F.when(F.col("opaque"), F.col("area")).alias("start")))
+    folder, turn = f"{areas.sparkSession.sparkContext.getCheckpointDir()}/reached-{uuid.uuid4().hex}", 0
+    starts = written(areas.select("path", "area", F.when(F.col("opaque"), F.col("area")).alias("start")), f"{folder}/0")
     while True:
         told = leads.join(starts.withColumnRenamed("area", "a"), ["path", "a"]).select("path", F.col("b").alias("area"), "start")
         both = starts.select("path", "area", "start", F.lit(True).alias("_own")).unionByName(told.select("path", "area", "start", F.lit(False).alias("_own")))
         near = both.groupBy("path", "area").agg(F.min("start").alias("start"), F.max(F.when(F.col("_own"), F.col("start"))).alias("_was"))
         far = near.join(starts.select("path", F.col("area").alias("start"), F.col("start").alias("_far")), ["path", "start"], "left")
-        moved = materialised(far.select("path", "area", F.least("start", "_far").alias("start"), "_was"))
+        turn += 1
+        moved = written(far.select("path", "area", F.least("start", "_far").alias("start"), "_was"), f"{folder}/{turn}")
         starts = moved.select("path", "area", "start")
         if moved.where(~F.col("start").eqNullSafe(F.col("_was"))).isEmpty():
             return starts.where("start is not null")
