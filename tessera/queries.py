@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -448,14 +448,15 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters(spark, sf_dir).mapInPandas(run, "vec_id long, path string, content binary")
 
 
-VEC = F.regexp_extract("path", r"v(\d+)\.png", 1).cast("long").alias("vec_id")
+def vec_id(path: str) -> Column:
+    return F.regexp_extract(path, r"v(\d+)\.png", 1).cast("long").alias("vec_id")
 
 
 @query(f"WITH {RASTER}, b AS (SELECT vec_id, coalesce(min(x) FILTER (opaque), 0) AS x, coalesce(min(y) FILTER (opaque), 0) AS y, coalesce(max(x) FILTER (opaque) - min(x) FILTER (opaque) + 1, 1) AS w, coalesce(max(y) FILTER (opaque) - min(y) FILTER (opaque) + 1, 1) AS h FROM pixel GROUP BY vec_id) SELECT vec_id, w::INT AS w, h::INT AS h, x::INT AS trim_left, y::INT AS trim_top, (8 - w - x)::INT AS trim_right, (8 - h - y)::INT AS trim_bottom, NULL::VARCHAR AS error FROM b")
 def picture_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picture files written, read and trimmed."""
     files = pictures(spark, sf_dir).withColumns({"length": F.length("content").cast("long"), "modificationTime": F.lit(None).cast("timestamp")})
-    return images.metadata(files, trim=True, content=True, perceptual=True).select(VEC, "w", "h", "trim_left", "trim_top", "trim_right", "trim_bottom", "error")
+    return images.metadata(files, trim=True, content=True, perceptual=True).select(vec_id("path"), "w", "h", "trim_left", "trim_top", "trim_right", "trim_bottom", "error")
 
 
 SHOWN = RASTER + """, shown AS (SELECT p.*, p.opaque AND NOT (f.opaque AND 3 * abs(p.grey - f.grey) <= 15) AS solid FROM pixel p JOIN pixel f ON f.vec_id = p.vec_id AND f.x = 0 AND f.y = 0),
@@ -468,7 +469,7 @@ box AS (SELECT l.vec_id, l.c, min(s.x) AS x, min(s.y) AS y, max(s.x) - min(s.x)
 @query(f"WITH RECURSIVE {SHOWN} SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY w * h DESC, c) - 1)::INT AS index, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM box")
 def frames_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames found in sheets: the first pixel's colour is the background if it is opaque, and what hangs together is a frame, the largest first."""
-    return sheets_plan.found_frames(pictures(spark, sf_dir), least=2).where("index is not null").select(F.regexp_extract("file", r"v(\d+)\.png", 1).cast("long").alias("vec_id"), "index", "x", "y", "w", "h")
+    return sheets_plan.found_frames(pictures(spark, sf_dir), least=2).where("index is not null").select(vec_id("file"), "index", "x", "y", "w", "h")
 
 
 @query(
