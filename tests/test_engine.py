@@ -344,6 +344,37 @@ def test_wider_bands_meet_fewer_pairs(spark):
     assert (big, small) == (4, 16)
 
 
+@pytest.mark.parametrize("block", [7, 40, 1 << 15])
+def test_blocks_of_hashes_match_all_pairs(spark, monkeypatch, block):
+    """Links and chains over copies, blank hashes, several sizes and jobs; no pair of hashes is a row anywhere."""
+    rng = random.Random(12)
+    hashes = [rng.getrandbits(64) for _ in range(40)]
+    hashes += [h ^ sum(1 << b for b in {rng.randrange(64) for _ in range(rng.randint(0, 9))}) for h in hashes for _ in range(2)] + hashes[:5] * 3 + [0, 0, 1 << 63]
+    made = [(i % 2, 8 + i % 3 // 2, 8, i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
+    near = lambda a, b: a[:3] == b[:3] and a[4] and b[4] and bin((a[4] ^ b[4]) % (1 << 64)).count("1") <= 5
+    links = [(a[3], min((b[3] for b in made if near(a, b) and a[4] == b[4]), default=a[3]), sum(bool(near(a, b)) for b in made if a is not b)) for a in made]
+    first = list(range(len(made)))
+    for _ in made:
+        first = [min([first[a[3]]] + [first[b[3]] for b in made if near(a, b)]) for a in made]
+    monkeypatch.setattr(r.hash_blocks, "__defaults__", ("job", block))
+    frame = spark.createDataFrame(made, "job int, w int, h int, seq int, perceptual_hash long")
+    assert rows(r.similar_counts(frame), "seq", "class_seq", "links") == links
+    assert rows(r.perceptual_duplicates(frame), "seq", "canonical_seq") == list(enumerate(first))
+
+
+def test_dense_hashes_are_joined_without_their_pairs(spark):
+    """Four hundred hashes of which any two are alike: chains tell them by fewer links than there are hashes."""
+    rng = random.Random(13)
+    made = hash_rows(spark, sorted({(1 << 40) | sum(1 << b for b in rng.sample(range(30), 2)) for _ in range(400)}))
+    n = made.count()
+    assert {x["canonical_seq"] for x in r.perceptual_duplicates(made).collect()} == {0}
+    assert {x["links"] for x in r.similar_counts(made).collect()} == {n - 1}
+    h = np.array([x["perceptual_hash"] for x in made.collect()], np.uint64)
+    half = n // 2
+    assert len(r.chains_between(h[:half], np.zeros(half, np.int64), h[half:], np.arange(half, n), 5)) == n - half
+    assert set(r.chained(h, 5)) == {0}
+
+
 # Images.
 
 
