@@ -722,3 +722,22 @@ def test_renderings_of_ones_own(spark):
     for wrong in ({"extension": "txt", "content": F.lit}, {"extension": ".txt"}, {"extension": ".txt", "content": F.lit, "files": F.lit}):
         with pytest.raises(ValueError, match="extension|content"):
             documents.Rendering("no", **wrong)
+
+
+def test_each_marker_line_is_taken_apart_once(spark):
+    """The quoted head's expression stands in the plan a few times, not once for each field made of it."""
+    lines = spark.createDataFrame([("f", 0, 'path "a.png"'), ("f", 1, '- marker "m" circle 1,2 3')], "file string, line int, text string").repartition(1)
+    plan = texts.parse_markers(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 4 and plan.count("regexp_extract") <= 2
+    assert rows(texts.parse_markers(lines), "key", "name", "type", "x", "y", "radius") == [("a.png", "m", "circle", 1, 2, 3)]
+
+
+def test_a_job_of_few_sprites_is_one_chunk(spark):
+    """Its candidates share what the best of them came to; a shelf is given up like any other packing."""
+    sprites = spark.createDataFrame([(0, i, f"s{i}", 3 + i * 5 % 7, 2 + i * 3 % 8) for i in range(12)], "job long, seq long, path string, w int, h int")
+    limits = layouts.Limits(40, 100, 1)
+    every = layouts.compact_candidates(layouts.bounds(sprites, limits), limits)
+    told = layouts.tried(layouts.jobs(sprites), every, limits, "space").collect()
+    assert every.count() > 64 and len(told) == 1 and told[0]["packings"] == every.count()
+    boxes = [(4, 4)] * 10
+    assert kernels.shelf(boxes, 8, beyond=lambda w, h: h > 12) is None and len(kernels.shelf(boxes, 8, beyond=lambda w, h: h > 20)) == 10
