@@ -34,3 +34,19 @@ def test_tiles_find_what_whole_sheets_do(spark, side):
         got = tiled.tiled_frames(parts, tolerance, least)
         assert rows(got.select("file", "index", "x", "y", "w", "h")) == want
     assert [r["path"] for r in parts.where("error is not null").collect()] == ["bad"]
+
+
+def test_labels_do_not_go_through_the_driver(spark, monkeypatch):
+    """However small the files of a round are, nothing in it is broadcast."""
+    from tessera.operators import relations
+
+    plans, written = [], relations.written
+    note = lambda df, folder: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, folder))[1]
+    monkeypatch.setattr(relations, "written", note)
+    monkeypatch.setattr(tiled, "written", note)
+    edges = spark.createDataFrame([(0, k, k + 1) for k in range(9)], "job int, a long, b long")
+    assert {r["component"] for r in relations.connected(edges).collect()} == {0}
+    areas = spark.createDataFrame([("s", 0, True), ("s", 1, False), ("s", 2, True)], "path string, area long, opaque boolean")
+    leads = spark.createDataFrame([("s", 0, 1), ("s", 1, 2)], "path string, a long, b long")
+    assert sorted((r["area"], r["start"]) for r in tiled.reached(areas, leads).collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
