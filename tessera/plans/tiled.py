@@ -91,10 +91,10 @@ def reached(areas: DataFrame, leads: DataFrame) -> DataFrame:
     folder, turn = f"{areas.sparkSession.sparkContext.getCheckpointDir()}/reached-{uuid.uuid4().hex}", 0
     starts = written(areas.select("path", "area", F.when(F.col("opaque"), F.col("area")).alias("start")), f"{folder}/0")
     while True:
-        told = leads.join(starts.withColumnRenamed("area", "a"), ["path", "a"]).select("path", F.col("b").alias("area"), "start")
+        told = leads.hint("merge").join(starts.withColumnRenamed("area", "a"), ["path", "a"]).select("path", F.col("b").alias("area"), "start")
         both = starts.select("path", "area", "start", F.lit(True).alias("_own")).unionByName(told.select("path", "area", "start", F.lit(False).alias("_own")))
         near = both.groupBy("path", "area").agg(F.min("start").alias("start"), F.max(F.when(F.col("_own"), F.col("start"))).alias("_was"))
-        far = near.join(starts.select("path", F.col("area").alias("start"), F.col("start").alias("_far")), ["path", "start"], "left")
+        far = near.hint("merge").join(starts.select("path", F.col("area").alias("start"), F.col("start").alias("_far")), ["path", "start"], "left")
         turn += 1
         moved = written(far.select("path", "area", F.least("start", "_far").alias("start"), "_was"), f"{folder}/{turn}")
         starts = moved.select("path", "area", "start")
@@ -112,14 +112,15 @@ def tiled_frames(parts: DataFrame, tolerance: int = 1, least: int = 4, most: int
                 rows = [(path, *row) for row in tile_areas(read_png(bytes(content)), x, y, w, h, tolerance)]
                 yield pd.DataFrame(rows, columns=columns).astype({"other": "Int64", "n": "Int64", "opaque": "boolean"} | {c: "Int32" for c in ("x0", "y0", "x1", "y1")})
 
+    # What stands for each area or pixel is shuffled: it grows with the sheets, and a broadcast goes through the driver.
     found = materialised(parts.where("error is null").select("path", "x", "y", "width", "height", "content").mapInPandas(run, AREA))
     whole = connected(found.where("kind = 'edge'").select("path", F.col("area").alias("a"), F.col("other").alias("b")), ("path",))
-    named = lambda df, c: df.join(whole.select("path", F.col("node").alias(c), "component"), ["path", c], "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    named = lambda df, c: df.hint("merge").join(whole.select("path", F.col("node").alias(c), "component"), ["path", c], "left").withColumn(c, F.coalesce("component", c)).drop("component")
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     areas = materialised(named(found.where("kind = 'area'"), "area").groupBy("path", "area").agg(F.sum("n").alias("n"), F.max("opaque").alias("opaque"), *box))
     leads = named(named(found.where("kind = 'lead'").select("path", F.col("area").alias("a"), F.col("other").alias("b")), "a"), "b")
     starts = reached(areas, materialised(leads.select("path", "a", "b").distinct()))
-    frames = areas.join(starts, ["path", "area"]).groupBy("path", "start").agg(F.sum("n").alias("n"), *box).where(F.col("n") >= least)
+    frames = areas.hint("merge").join(starts, ["path", "area"]).groupBy("path", "start").agg(F.sum("n").alias("n"), *box).where(F.col("n") >= least)
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     order = W.partitionBy("path").orderBy(F.desc(w.cast("long") * h), "start")
     rows = frames.withColumn("index", F.row_number().over(order) - 1).where(F.col("index") < most)
