@@ -27,7 +27,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above the toxicity cut go."""
-    return toxicity.clean(docs, toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A word's embedding is the mean of hashed vectors of the word and of its characte
 run without spaces (a clause, in some scripts) is a row of overlapping pieces that count as words, so
 that all of it is seen.  Filters
 of several widths run over the words, each keeps its maximum, and a logistic layer scores them.
-Training takes a sample of labelled rows, bounded in rows and bytes (`sample_rows`, `sample_bytes`), on
-the driver, which is freed of it afterwards; scoring covers every whole text in Arrow batches and shuffles nothing.  Thresholds are calibrated on
+Training starts on the driver from a sample of labelled rows, bounded in rows and bytes (`sample_rows`,
+`sample_bytes`), and goes on over all of them in shards, whose models are averaged; scoring covers every whole text in Arrow batches and shuffles nothing.  Thresholds are calibrated on
 held-back training rows for each language, which is guessed from the text's function words: labels,
 lang, source and id never enter a score.  The calibrated score is 0.7 at a language's threshold.
 
@@ -16,7 +16,9 @@ every score is 0; equal texts get equal scores; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches, table, text_frame, trim
+from .common import map_texts, remove, small_batches, stored, table, text_frame, trim, use_checkpoint_dir
 
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 GRAMS = (3, 4, 5, 6, 7)  #: bytes
@@ -244,13 +246,17 @@ def responses(projected: np.ndarray, ids: np.ndarray, real: np.ndarray) -> np.nd
     return joined
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 8, least_steps: int = 600, batch: int = 48, rate: float = 0.03) -> Model:
-    """Adam on the logistic loss, both classes weighing alike; the table is updated where a batch touches it."""
-    model, rng = new_model(seed), np.random.default_rng(seed)
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 8, least_steps: int = 600, batch: int = 48, rate: float = 0.03, start: Model | None = None, share: float | None = None) -> Model:
+    """Adam on the logistic loss, both classes weighing alike; the table is updated where a batch touches it.
+
+    It goes on from a start, if there is one, which is changed; share is that of label 1 if these rows are a part only.
+    """
+    model, rng = start or new_model(seed), np.random.default_rng(seed)
     words = Sample.of([t.encode() for t in texts])
     feats, starts = words.features, words.starts
     stops = np.append(words.begin[1:], len(words.ids))
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
+    share = labels.mean() if share is None else share
+    weight = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     dense = [*model.filters, model.bias, model.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     first, second = np.zeros_like(model.table), np.zeros_like(model.table)
@@ -368,13 +374,18 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, least: int = 20) ->
     return model
 
 
+def usable_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """doc_id and toxic of the labelled documents that are not held out."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    return known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 2400, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
     """Texts and labels of at most sample_rows labelled documents, up to half of them toxic, none of them held out.
 
     Texts are taken in the order of a hash until they come to sample_bytes; none is longer than a 64th part of that.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    usable = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    usable = usable_labels(labels, id_col, label_col)
     ids: dict[int, int] = {}
     for toxic in (1, 0):
         for r in usable.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).collect():  # bounded by sample_rows
@@ -389,6 +400,126 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 2400,
     return [r["text"] for r in rows], [ids[r["doc_id"]] for r in rows]
 
 
+PARTS = 64  #: of the table, each averaged by itself
+STEP_BYTES = 1 << 20  #: of text that are made words at once in training
+
+
+def dense(model: Model) -> np.ndarray:
+    return np.concatenate([*(w.ravel() for w in model.filters), model.bias, model.out, [model.shift]])
+
+
+def trained_shards(rows: DataFrame, start: Model, shards: int, share: float) -> DataFrame:
+    """part and delta (float32 bytes) of every shard's model against the start, each trained on all rows (doc_id, text, toxic) of its shard."""
+    shared = rows.sparkSession.sparkContext.broadcast(start)  # of fixed size
+
+    def told(model: Model) -> pa.RecordBatch:
+        parts = np.split((model.table - shared.value.table).astype(np.float32), PARTS)
+        deltas = [*parts, (dense(model) - dense(shared.value)).astype(np.float32)]
+        return pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([d.tobytes() for d in deltas], pa.binary())], ["part", "delta"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, model, texts, y, size = None, None, [], [], 0
+
+        def step() -> None:
+            nonlocal texts, y, size
+            if texts:
+                train(texts, np.array(y, np.float64), epochs=1, least_steps=0, rate=0.005, start=model, share=share)
+            texts, y, size = [], [], 0
+
+        for batch in batches:
+            for own, text, toxic in zip(*(batch[c].to_pylist() for c in ("shard", "text", "toxic")), strict=True):
+                if own != shard:
+                    if model is not None:
+                        step()
+                        yield told(model)
+                    shard, model = own, copy.deepcopy(shared.value)
+                texts.append(text)
+                y.append(toxic)
+                size += len(text)
+                if size >= STEP_BYTES:
+                    step()
+        if model is not None:
+            step()
+            yield told(model)
+        trim()
+
+    # Mixed by a hash, so that a shard's rows and their order are the same however rows arrive.
+    mixed_up = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", "text")
+    return small_batches(mixed_up.select("shard", "text", "toxic")).mapInArrow(run, "part int, delta binary")
+
+
+def averaged(deltas: DataFrame) -> dict[int, np.ndarray]:
+    """The mean change of each part over shards; of a row of the table, over the shards that changed it."""
+
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        total, many = 0.0, 0
+        for d in frame["delta"]:
+            one = np.frombuffer(d, np.float32).astype(np.float64)
+            one = one.reshape(-1, SIZE) if frame["part"].iloc[0] < PARTS else one[None]
+            total, many = total + one, many + (one != 0).any(axis=1)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "delta": [(total / np.maximum(many, 1)[:, None]).tobytes()]})
+
+    return {r["part"]: np.frombuffer(r["delta"], np.float64) for r in deltas.groupBy("part").applyInPandas(mean, "part int, delta binary").collect()}  # of fixed size
+
+
+def calibrated(model: Model, rows: DataFrame, least: int = 20) -> dict[str, float]:
+    """Thresholds by guessed language from all rows (text, toxic): counts for each 64th of a logit, of which there are 2^14 at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, languages = logits(shared.value, [t.encode() for t in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(np.asarray(raw, np.float64)), batch["toxic"]], ["lang", "raw", "toxic"])
+        trim()
+
+    told = small_batches(rows.select("text", "toxic")).mapInArrow(run, "lang string, raw double, toxic int")
+    at = F.floor(F.least(F.greatest(F.col("raw"), F.lit(-127.0)), F.lit(127.0)) * 64)
+    bins = told.groupBy("lang", at.alias("at")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).toPandas()  # of bounded size
+
+    def cut(own: pd.DataFrame) -> float:
+        own = own.groupby("at").agg({"hits": "sum", "n": "sum", "low": "min", "high": "max"}).sort_index(ascending=False)
+        f1 = 2 * own["hits"].cumsum() / (own["n"].cumsum() + max(own["hits"].sum(), 1))
+        best = int(f1.to_numpy().argmax())
+        low = own["low"].iloc[best]
+        return float((low + (own["high"].iloc[best + 1] if best + 1 < len(own) else low - 1)) / 2)
+
+    found = {"": cut(bins)}
+    for name in FUNCTION_WORDS:
+        own = bins[bins["lang"] == name]
+        if min(own["hits"].sum(), (own["n"] - own["hits"]).sum()) >= least:
+            found[name] = cut(own)
+    return found
+
+
+def learn(docs: DataFrame, labels: DataFrame, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **sample: int) -> Model | None:
+    """A model that all labelled rows have trained, but for those held out, with thresholds from all that are held back.
+
+    The model of a sample is where the training starts.  From there each shard of the rows trains
+    a model of its own, and their mean is taken; all rows that are held back, a fifth by their texts, then set the thresholds.
+    """
+    start = fit(*training_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **sample))
+    if start is None:
+        return None
+    spark = docs.sparkSession
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/toxicity-{uuid.uuid4().hex}"
+    texts = text_frame(docs, id_col, text_col).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rows = stored(texts.join(usable_labels(labels, id_col, label_col), "doc_id").withColumn("back", F.crc32(F.encode("text", "UTF-8")) % 5 == 0), folder)
+    count = {r["back"]: (r["n"], r["hits"]) for r in rows.groupBy("back").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).collect()}  # two rows
+    both = lambda back: back in count and 0 < count[back][1] < count[back][0]
+    n, hits = count[False] if both(False) else (sum(c[0] for c in count.values()), sum(c[1] for c in count.values()))
+    changes = averaged(trained_shards(rows.where("not back") if both(False) else rows, start, -(-n // shard_rows), hits / n))
+    start.table += np.concatenate([changes[k].reshape(-1, SIZE) for k in range(PARTS)])
+    vector, at = dense(start) + changes[PARTS], 0
+    for w in (*start.filters, start.bias, start.out):
+        w[...] = vector[at : at + w.size].reshape(w.shape)
+        at += w.size
+    start.shift = float(vector[-1])
+    start.thresholds = calibrated(start, rows.where("back") if both(True) else rows)
+    remove(spark, folder)
+    return start
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -415,4 +546,4 @@ def clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(*training_sample(docs, table(spark, sf_dir, "labels"))))
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))

@@ -278,6 +278,19 @@ def test_toxicity_training_is_bounded_and_blind(judged):
     assert not held & set(texts)
 
 
+def test_toxicity_learns_from_all_labelled_rows(judged):
+    """The sample is but the start: words that it lacks are trained too, and all rows held back set the thresholds."""
+    docs, labels = judged
+    texts, y = toxicity.training_sample(docs, labels, sample_rows=40)
+    start, model = toxicity.fit(texts, y), toxicity.learn(docs, labels, shard_rows=100, sample_rows=40)
+    seen = np.zeros(len(model.table), bool)
+    seen[toxicity.Words([t.encode() for t in texts]).features] = True
+    assert ((start.table != model.table).any(axis=1) & ~seen).any() and model.thresholds != start.thresholds
+    held = toxicity.score(docs, toxicity.learn(docs, labels, shard_rows=100, sample_rows=300)).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.95 * len(held)
+    assert toxicity.learn(docs, labels.limit(0)) is None
+
+
 def test_all_of_a_run_without_spaces_is_seen():
     """Toxic words far into runs of letters and of Chinese characters; texts of either class begin alike."""
     rng = np.random.default_rng(8)
