@@ -5,7 +5,8 @@ run without spaces (a clause, in some scripts) is a row of overlapping pieces th
 that all of it is seen.  Filters
 of several widths run over the words, each keeps its maximum, and a logistic layer scores them.
 Training starts on the driver from a sample of labelled rows, bounded in rows and bytes (`sample_rows`,
-`sample_bytes`), and goes on over all of them in shards, whose models are averaged; scoring covers every whole text in Arrow batches and shuffles nothing.  Thresholds are calibrated on
+`sample_bytes`), and goes on over all of them in shards, whose models are averaged; scoring covers every whole text in Arrow batches and shuffles nothing.
+Texts meet their labels and their shard in one shuffle, before which LABEL_BITS bits leave out most texts without a label.  Thresholds are calibrated on
 held-back training rows for each language, which is guessed from the text's function words: labels,
 lang, source and id never enter a score.  The calibrated score is 0.7 at a language's threshold.
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import copy
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, remove, small_batches, stored, table, text_frame, trim, use_checkpoint_dir
+from .common import cut, map_texts, release, small_batches, table, text_frame, trim
 
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 GRAMS = (3, 4, 5, 6, 7)  #: bytes
@@ -320,7 +320,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 8,
 _MARKS = {name: Words([" ".join(known).encode()]).hashes for name, known in FUNCTION_WORDS.items()}
 
 
-def logits(model: Model, texts: list[bytes], at_once: int = 1 << 18) -> tuple[np.ndarray, list[str]]:
+def logits(model: Model, texts: list[bytes], at_once: int = 1 << 20) -> tuple[np.ndarray, list[str]]:
     """Raw logits and guessed languages of UTF-8 texts, in blocks of about at_once bytes."""
     out, languages = [], []
     names, light = list(FUNCTION_WORDS), model.light()
@@ -408,8 +408,39 @@ def dense(model: Model) -> np.ndarray:
     return np.concatenate([*(w.ravel() for w in model.filters), model.bias, model.out, [model.shift]])
 
 
-def trained_shards(rows: DataFrame, start: Model, shards: int, share: float) -> DataFrame:
-    """part and delta (float32 bytes) of every shard's model against the start, each trained on all rows (doc_id, text, toxic) of its shard."""
+LABEL_BITS = 1 << 24  #: bits that tell most texts without a label before the shuffle
+
+
+def label_bits(usable: DataFrame) -> np.ndarray:
+    """LABEL_BITS bits, of which each doc_id sets one; at most LABEL_BITS / 64 rows come to the driver."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(LABEL_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    found = usable.groupBy(F.floor(at / 64).alias("at")).agg(F.bit_or(one).alias("bits")).toPandas()
+    bits = np.zeros(LABEL_BITS // 64, np.uint64)
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def labelled_shards(texts: DataFrame, usable: DataFrame, shards: int) -> DataFrame:
+    """shard, doc_id, text and toxic of all rows (doc_id, text) that have a label: a partition for each shard, mixed by a hash.
+
+    Both sides of the join are dealt by doc_id to the shards, so the texts are shuffled once, and
+    only those that the bits let through; the join tells the rest.  A shard's rows and their order are the same however rows arrive.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(label_bits(usable))  # LABEL_BITS bits, however many labels there are
+
+    @F.pandas_udf("boolean")
+    def may_have(at: pd.Series) -> pd.Series:
+        where = at.to_numpy(np.int64)
+        return pd.Series(((shared.value[where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+
+    likely = small_batches(texts).where(F.col("doc_id").isNotNull()).where(may_have(F.pmod(F.xxhash64("doc_id"), F.lit(LABEL_BITS))))
+    rows = likely.repartition(shards, "doc_id").join(usable.repartition(shards, "doc_id").hint("merge"), "doc_id")
+    return cut(rows.select(F.spark_partition_id().alias("shard"), "doc_id", "text", "toxic").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", "text"))
+
+
+def trained_shards(rows: DataFrame, start: Model, share: float) -> DataFrame:
+    """part and delta (float32 bytes) of every shard's model against the start, each trained on all rows (labelled_shards) of its shard."""
     shared = rows.sparkSession.sparkContext.broadcast(start)  # of fixed size
 
     def told(model: Model) -> pa.RecordBatch:
@@ -443,9 +474,7 @@ def trained_shards(rows: DataFrame, start: Model, shards: int, share: float) ->
             yield told(model)
         trim()
 
-    # Mixed by a hash, so that a shard's rows and their order are the same however rows arrive.
-    mixed_up = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", "text")
-    return small_batches(mixed_up.select("shard", "text", "toxic")).mapInArrow(run, "part int, delta binary")
+    return small_batches(rows.select("shard", "text", "toxic")).mapInArrow(run, "part int, delta binary")
 
 
 def averaged(deltas: DataFrame) -> dict[int, np.ndarray]:
@@ -501,14 +530,13 @@ def learn(docs: DataFrame, labels: DataFrame, shard_rows: int = 8192, id_col: st
     if start is None:
         return None
     spark = docs.sparkSession
-    use_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/toxicity-{uuid.uuid4().hex}"
     texts = text_frame(docs, id_col, text_col).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    rows = stored(texts.join(usable_labels(labels, id_col, label_col), "doc_id").withColumn("back", F.crc32(F.encode("text", "UTF-8")) % 5 == 0), folder)
+    usable = cut(usable_labels(labels, id_col, label_col))
+    rows = labelled_shards(texts, usable, max(1, -(-usable.count() // shard_rows))).withColumn("back", F.crc32(F.encode("text", "UTF-8")) % 5 == 0)
     count = {r["back"]: (r["n"], r["hits"]) for r in rows.groupBy("back").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).collect()}  # two rows
     both = lambda back: back in count and 0 < count[back][1] < count[back][0]
     n, hits = count[False] if both(False) else (sum(c[0] for c in count.values()), sum(c[1] for c in count.values()))
-    changes = averaged(trained_shards(rows.where("not back") if both(False) else rows, start, -(-n // shard_rows), hits / n))
+    changes = averaged(trained_shards(rows.where("not back") if both(False) else rows, start, hits / n))
     start.table += np.concatenate([changes[k].reshape(-1, SIZE) for k in range(PARTS)])
     vector, at = dense(start) + changes[PARTS], 0
     for w in (*start.filters, start.bias, start.out):
@@ -516,7 +544,8 @@ def learn(docs: DataFrame, labels: DataFrame, shard_rows: int = 8192, id_col: st
         at += w.size
     start.shift = float(vector[-1])
     start.thresholds = calibrated(start, rows.where("back") if both(True) else rows)
-    remove(spark, folder)
+    del rows, usable, texts
+    release(spark)
     return start
 
 

@@ -291,6 +291,23 @@ def test_toxicity_learns_from_all_labelled_rows(judged):
     assert toxicity.learn(docs, labels.limit(0)) is None
 
 
+def test_toxicity_shuffles_only_labelled_texts_and_once(spark, monkeypatch):
+    """Texts without a label stay where they are, and the join needs no second shuffle; without any bits' help the rows are the same."""
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(3).union(spark.sql("SELECT 7L, 'again'"))
+    usable = spark.range(0, 400, 10).selectExpr("id + 7 AS doc_id", "int(id % 20 = 0) AS toxic")
+    want = sorted((i, t, int((i - 7) % 20 == 0)) for i, t in [(7, "again"), *((i, f"text {i}") for i in range(7, 400, 10))])
+    plans = []
+    monkeypatch.setattr(toxicity, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    for bits in (1 << 24, 64):
+        monkeypatch.setattr(toxicity, "LABEL_BITS", bits)
+        told = toxicity.label_bits(usable)
+        found = toxicity.labelled_shards(texts, usable, 4).collect()
+        assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in found) == want and len({r["shard"] for r in found}) == 4
+        assert sum(int(x).bit_count() for x in told) <= 40
+        plan = plans[-1].split("Initial Plan")[0]
+        assert plan.count("hashpartitioning(doc_id") == 2 and plan.index("hashpartitioning(doc_id") < plan.index("may_have(")
+
+
 def test_all_of_a_run_without_spaces_is_seen():
     """Toxic words far into runs of letters and of Chinese characters; texts of either class begin alike."""
     rng = np.random.default_rng(8)
