@@ -16,9 +16,12 @@ empty table gives no rows; columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,11 @@ from .common import cut, map_texts, table, text_frame
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 300_000
+CACHED = 600_000
 PUNCTUATION = b".,;:!?*#%&$"
+LOWER = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower())
+#: A chunk that is a word of lower-case letters and punctuation; any other has empty groups.
+PLAIN = re.compile(f"^(?:([{LOWER}]+)([{re.escape(PUNCTUATION.decode())}]*)|.*)$", re.MULTILINE)
 
 
 def word_merges(tokenizer) -> tuple:  # noqa: ANN001
@@ -62,7 +68,8 @@ class WordIds(dict):
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     chunks; most chunks recur, so most are looked up.  A chunk that is a word with ASCII punctuation
     after it is put together from both, for the tokenizer parts them and folds case.  What is new is
-    encoded many at once.
+    encoded many at once, and most of it is told apart by one expression over all of it.  When too
+    many are known those that came first stay, for frequent ones come early.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,14 +81,35 @@ class WordIds(dict):
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
         self.words: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
         self.merges, self.ends = word_merges(self.tokenizer)
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = chunks.difference(self)
-        if len(self) + len(new) > CACHED:
+    def learn(self, new: set[bytes]) -> None:
+        listed = list(new)
+        found = PLAIN.findall(b"\n".join(listed).lower().decode())
+        words = list(filterfalse(self.plain.__contains__, {w for w, _ in found if w}))
+        for at in range(0, len(words), 8192):
+            self.encode_plain(words[at : at + 8192])
+        ends = {t for _, t in found if t}
+        self.learn_odd([*(c for c, (w, _) in zip(listed, found, strict=True) if not w), *filterfalse(self.__contains__, (t.encode() for t in ends))])
+        plain, tails = self.plain, {t: self[t.encode()] for t in ends} | {"": b""}
+        self.update([(c, plain[w] + tails[t]) for c, (w, t) in zip(listed, found, strict=True) if w])
+
+    def encode_plain(self, words: list[str]) -> None:
+        ids = np.array(self.merges.encode_ordinary("\1".join([*words, ""])), dtype="<u4")
+        data, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        self.plain.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def forget(self) -> None:
+        """Keep a third of what may be known, once it is more."""
+        if len(self) > CACHED:
+            kept = list(islice(self.items(), CACHED // 3))
             self.clear()
+            self.update(kept)
+            self.plain.clear()
             self.words.clear()
-            new = chunks
+
+    def learn_odd(self, new: list[bytes]) -> None:
         known, parts = self.words, {}
         for c in new:
             word = c.rstrip(PUNCTUATION)
@@ -144,12 +172,21 @@ class WordIds(dict):
                 size += len(texts[stop])
                 stop += 1
             split = [t.split() for t in texts[start:stop]]
-            self.learn(set().union(*split))
+            self.forget()
+            new = set(filterfalse(self.__contains__, chain.from_iterable(split)))
+            if new:
+                self.learn(new)
             out += [b"".join(map(self.__getitem__, chunks)) for chunks in split]
             start = stop
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The one of this process: a Python worker takes many tasks, and what it knows serves all of them."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids of every piece of every document."""
     end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
@@ -174,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     if keep_ids:
         fields.append(("ids", pa.list_(pa.int32())))
         schema += ", ids array<int>"
-    return map_texts(docs, each, schema, pa.schema(fields), lambda: WordIds(tokenizer_path))
+    return map_texts(docs, each, schema, pa.schema(fields), lambda: word_ids(tokenizer_path))
 
 
 def fullest(lengths: list[int], left: dict[int, int], room: int) -> dict[int, int]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, small_batches, table, text_frame, trim, use_checkpoint_dir
-from .packing import WordIds
+from .packing import word_ids
 
 END_ID = 2
 SLOT_BITS = 20
@@ -159,7 +159,7 @@ def ordered_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
     """doc_id, ids (little-endian 32-bit) and part of every row of a text_frame, in order of the ids: parts follow one another."""
     end = np.array([end_id], dtype="<u4").tobytes()
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    made = map_texts(ordered, lambda ids, texts, words: {"doc_id": ids, "ids": [x + end for x in words.ids(texts)]}, "doc_id long, ids binary", pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), lambda: WordIds(tokenizer_path))
+    made = map_texts(ordered, lambda ids, texts, words: {"doc_id": ids, "ids": [x + end for x in words.ids(texts)]}, "doc_id long, ids binary", pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), lambda: word_ids(tokenizer_path))
     return cut(made.withColumn("part", F.spark_partition_id()))
 
 

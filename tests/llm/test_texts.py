@@ -191,6 +191,16 @@ def test_words_get_the_tokenizers_ids():
         assert np.frombuffer(ids, "<u4").tolist() == theirs.ids, text
 
 
+def test_words_stay_known_in_a_worker(monkeypatch):
+    """A process loads the tokenizer once; what came first stays known when too much is, and ids are the same."""
+    assert packing.word_ids(WORD_BPE) is packing.word_ids(WORD_BPE)
+    monkeypatch.setattr(packing, "CACHED", 30)
+    words, texts = packing.WordIds(WORD_BPE), [f"The Übung, ab{c}{d}e, of {d}{c}; x{c}." for c in "abcdefgh" for d in "klmn"]
+    got = [words.ids([t.encode()])[0] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert b"The" in words and len(words) <= 36
+
+
 def test_packing_is_gapless_and_tight(docs, no_docs, awkward):
     from tokenizers import Tokenizer
 
