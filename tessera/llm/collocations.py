@@ -12,7 +12,10 @@ summed over the shards before the next length is counted: words that are too rar
 together leave no bits, a shard goes down only those phrases that are frequent in all, and extends
 them only where the end of the longer phrase is frequent too.  No threshold is applied to a shard's own counts.
 
-Only words, phrases and counts of shards are shuffled; a phrase that stands in every text has one row for each shard.
+Shards stay where they are: they are a table in buckets, with which what is frequent in each of them is
+joined.  What is shuffled is words, and a shard's phrases with their counts, packed into one row for each
+bucket of phrases, whose rows meet in one task.  A word's id is a hash of ID_BITS bits, so no shard is joined
+with a vocabulary; should two words of the texts have one id, all are hashed anew.
 A shard's bitmaps and its frequent phrases meet in one task; both are bounded by its places.  What is
 collected and broadcast is 2 MB of bits that tell most rare words, whatever the size of the vocabulary.
 
@@ -22,6 +25,7 @@ an empty table gives no rows; other columns and missing ids are ignored; a piece
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, release, small_batches, table, trim
+from .common import cut, release, remove, small_batches, table, trim, use_checkpoint_dir
 
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"  #: characters that part pieces
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -43,6 +47,8 @@ BITS = 16  #: places of a block
 LOT = 1 << 15  #: blocks that are extended together
 UNKNOWN = "und"
 MARKS = 1 << 24  #: bits that tell rare words before the shuffle
+ID_BITS = 56
+SEEDS = 64  #: tries to give all words different ids
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _TO_BREAK = bytes.maketrans(_UPPER + ENDS, _LOWER + b"\xff" * len(ENDS))  # no UTF-8 text has this byte
@@ -78,12 +84,13 @@ class Shard:
         self.places += map(known.__getitem__, text.translate(_TO_BREAK).replace(b"\xff", b" \xff ").split())
         self.places.append(-1)
 
-    def row(self, shard: int, marks: np.ndarray | None = None) -> pa.RecordBatch:
+    def row(self, shard: int, marks: np.ndarray | None = None, seed: int = 0) -> pa.RecordBatch:
         """One row, SHARD_SQL: the bitmaps of all words, or of those that marks (mark_bits) have."""
-        of, names = np.array(self.places, dtype=np.int64), self.names
+        of, ids = np.array(self.places, dtype=np.int64), word_ids(self.names, seed)
         if marks is not None:
-            held = np.fromiter((marked(marks, lang, word) for lang, word in names), bool, len(names))
-            names = [names[k] for k in np.flatnonzero(held)]
+            at = ids % (64 * len(marks))
+            held = (marks[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            ids = ids[held]
             number = np.append(np.where(held, np.cumsum(held) - 1, -1), -1)  # the last is for places without a word
             of = number[of]
         at = np.flatnonzero(of >= 0)
@@ -97,13 +104,13 @@ class Shard:
         gap = np.diff(block, prepend=0)
         first = np.flatnonzero(np.diff(of, prepend=-1))
         gap[first] = block[first]
-        sizes = np.bincount(of, minlength=len(names)).astype("<u4")
-        columns = [[shard], [[x for x, _ in names]], [[w for _, w in names]], [sizes.tobytes()], [packed(gap.astype("<u4"))], [packed(bits.astype("<u2"))]]
+        sizes = np.bincount(of, minlength=len(ids)).astype("<u4")
+        columns = [[shard], [ids.astype("<i8").tobytes()], [sizes.tobytes()], [packed(gap.astype("<u4"))], [packed(bits.astype("<u2"))]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SHARD_FIELDS, strict=True)], schema=SHARD_FIELDS)
 
 
-SHARD_FIELDS = pa.schema([("shard", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.binary())), ("sizes", pa.binary()), ("gaps", pa.binary()), ("bits", pa.binary())])
-SHARD_SQL = "shard long, langs array<string>, words array<binary>, sizes binary, gaps binary, bits binary"
+SHARD_FIELDS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("gaps", pa.binary()), ("bits", pa.binary())])
+SHARD_SQL = "shard long, ids binary, sizes binary, gaps binary, bits binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -116,35 +123,28 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def mark(lang: str, word: bytes, size: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=zlib.crc32(lang.encode())) % size
-
-
-def marked(marks: np.ndarray, lang: str, word: bytes) -> bool:
-    at = mark(lang, word, 64 * len(marks))
-    return bool(marks[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+def word_ids(names: list[tuple[str, bytes]], seed: int = 0) -> np.ndarray:
+    """Ids of words (lang, word): hashes of ID_BITS bits."""
+    seeds = {lang: zlib.crc32(lang.encode()) | seed << 32 for lang in {lang for lang, _ in names}}
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(word, seed=seeds[lang]) for lang, word in names), np.uint64, len(names))
+    return (hashes >> np.uint64(64 - ID_BITS)).astype(np.int64)
 
 
 def mark_bits(words: DataFrame) -> np.ndarray:
-    """MARKS bits, of which each of the words (lang, word) sets one; at most MARKS / 64 rows come to the driver.
+    """MARKS bits, of which the id of each of the words sets one; at most MARKS / 64 rows come to the driver.
 
-    They tell most of the rare words, whose bitmaps then need not be shuffled; the join with the
-    frequent words tells the rest.
+    They tell most of the rare words, whose bitmaps then need not be kept; phrases with the others are
+    too rare to be frequent.
     """
-    size = MARKS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.array([mark(lang, word, size) for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
-
-    found = words.select("lang", "word").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    marks = np.zeros(size // 64, np.uint64)
-    marks[[r["at"] for r in found]] = np.array([r["bits"] for r in found], dtype=np.int64).view(np.uint64)
+    at = F.pmod(F.col("id"), F.lit(MARKS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    found = words.groupBy(F.floor(at / 64).alias("at")).agg(F.bit_or(one).alias("bits")).toPandas()
+    marks = np.zeros(MARKS // 64, np.uint64)
+    marks[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return marks
 
 
-def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray, shard_places: int = SHARD) -> DataFrame:
+def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray, shard_places: int = SHARD, seed: int = 0) -> DataFrame:
     """A row, SHARD_SQL, for each shard: its marked words and, for each of them in turn, its blocks (as gaps) and their bits."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # MARKS bits, however many words there are
 
@@ -156,21 +156,15 @@ def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray,
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 shard.add(lang, text)
                 if len(shard.places) >= shard_places:
-                    yield shard.row(number, shared.value)
+                    yield shard.row(number, shared.value, seed)
                     shard, number = Shard(), number + 1
         if shard.names:
-            yield shard.row(number, shared.value)
+            yield shard.row(number, shared.value, seed)
         del shard
         trim()
 
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(rows.mapInArrow(run, SHARD_SQL))
-
-
-def shard_ids(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """shard and ids: of its words that are frequent, the place in its list and the id."""
-    listed = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "_w")).select("shard", "at", F.col("_w.langs").alias("lang"), F.col("_w.words").alias("word"))
-    return cut(listed.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("ids")))
+    return rows.mapInArrow(run, SHARD_SQL)
 
 
 class Bitmaps:
@@ -275,35 +269,101 @@ class Search:
         return ok
 
 
-def shard_counts(shards: DataFrame, ids: DataFrame, size: int, known: DataFrame | None) -> DataFrame:
-    """shard, phrase (the ids of `size` words, 64 bits each) and n; known has the frequent phrases of one word less in each shard."""
-    out = pa.schema([("shard", pa.int64()), ("phrase", pa.binary()), ("n", pa.int64())])
+def packed_phrases(phrases: np.ndarray) -> bytes:
+    """Rows of ids, compressed by column; rows that lie near each other begin alike."""
+    return packed(np.concatenate((np.diff(phrases[:, 0], prepend=0), phrases[:, 1:].T.ravel())).astype("<i8"))
+
+
+def unpacked_phrases(data: bytes, size: int) -> np.ndarray:
+    columns = unpacked(data, "<i8").reshape(size, -1).T.copy()
+    columns[:, 0] = np.cumsum(columns[:, 0])
+    return columns
+
+
+def bucket_of(phrases: np.ndarray, buckets: int) -> np.ndarray:
+    h = np.zeros(len(phrases), np.uint64)
+    for column in phrases.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h % np.uint64(buckets)).astype(np.int32)
+
+
+def shard_counts(shards: DataFrame, size: int, known: DataFrame | None, buckets: int) -> DataFrame:
+    """bucket, shard, phrases (of `size` words) and their counts, packed; known has the frequent phrases of one word less in each shard."""
+    out = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, listed = batch.column(0)[k].as_py(), batch.column(1)[k].values
-                numbers = [listed.field(c).to_numpy(zero_copy_only=False) for c in ("at", "id")]
-                sizes = np.frombuffer(batch.column(2)[k].as_py(), "<u4").astype(np.int64)
-                maps = Bitmaps(*numbers, sizes, unpacked(batch.column(3)[k].as_py(), "<u4"), unpacked(batch.column(4)[k].as_py(), "<u2"))
+                shard, ids, sizes, gaps, bits, *told = (c[k].as_py() for c in batch.columns)
+                ids, sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<u4").astype(np.int64)
+                maps = Bitmaps(np.arange(len(ids)), ids, sizes, unpacked(gaps, "<u4"), unpacked(bits, "<u2"))
                 rows = np.zeros((0, size - 1), np.int64)
                 if size > 2:
-                    rows = np.searchsorted(maps.words, np.frombuffer(b"".join(batch.column(5)[k].as_py()), ">i8").reshape(-1, size - 1))
-                for phrases, n in Search(maps, size, rows).counts():
-                    data, ends = maps.words[phrases].astype(">i8").tobytes(), np.arange(len(n) + 1, dtype="<i4") * (8 * size)
-                    phrase = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int64()), phrase, pa.array(n)], schema=out)
-                del maps, listed
+                    rows = np.searchsorted(maps.words, np.concatenate([unpacked_phrases(x, size - 1) for x in told[0]]))
+                found = [x for x in Search(maps, size, rows).counts() if len(x[1])]
+                if found:
+                    phrases, n = maps.words[np.concatenate([p for p, _ in found])], np.concatenate([c for _, c in found]).astype("<u4")
+                    del found
+                    bucket = bucket_of(phrases, buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    phrases, n, upto = phrases[order], n[order], np.cumsum(np.bincount(bucket))
+                    for b, (start, stop) in enumerate(zip([0, *upto[:-1]], upto, strict=True)):
+                        if start < stop:
+                            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((b, shard, packed_phrases(phrases[start:stop]), packed(n[start:stop])), out, strict=True)], schema=out)
+                    del phrases, n
+                del maps
+        trim()
+
+    told = shards if known is None else shards.join(known.groupBy("shard").agg(F.collect_list("known").alias("known")), "shard")
+    rows = small_batches(told).select("shard", "ids", "sizes", "gaps", "bits", *([] if known is None else ["known"]))
+    return rows.mapInArrow(run, "bucket int, shard long, phrases binary, counts binary")
+
+
+def summed(counts: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
+    """Frequent phrases: phrase (ids, 64 bits each) and f; and rows of shard and known, its frequent phrases, packed."""
+    out = pa.schema([("shard", pa.int64()), ("known", pa.binary()), ("phrase", pa.binary()), ("f", pa.int64())])
+
+    def added(pieces: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        phrases, n = [unpacked_phrases(p, size) for _, p, _ in pieces], np.concatenate([unpacked(c, "<u4") for _, _, c in pieces])
+        every = np.concatenate(phrases)
+        number = np.zeros(len(every), np.int64)
+        for column in every.T:
+            distinct, own = np.unique(column, return_inverse=True)
+            _, first, number = np.unique(number * len(distinct) + own, return_index=True, return_inverse=True)
+        f = np.zeros(len(first), np.int64)
+        np.add.at(f, number, n.astype(np.int64))
+        often, at = f >= least, 0
+        for (shard, _, _), own in zip(pieces, phrases, strict=True):
+            kept = own[often[number[at : at + len(own)]]]
+            at += len(own)
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([x], g.type) for x, g in zip((shard, packed_phrases(kept), None, None), out, strict=True)], schema=out)
+        data, k = every[first[often]].astype(">i8").tobytes(), int(often.sum())
+        ends = np.arange(k + 1, dtype="<i4") * (8 * size)
+        phrase = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), phrase, pa.array(f[often])], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, pieces = None, []
+        for batch in batches:
+            for own, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket and pieces:
+                    yield from added(pieces)
+                    pieces = []
+                bucket = own
+                pieces.append(tuple(piece))
+        if pieces:
+            yield from added(pieces)
         trim()
 
-    told = ids if known is None else ids.join(known.groupBy("shard").agg(F.collect_list("phrase").alias("known")), "shard")
-    rows = shards.select("shard", "sizes", "gaps", "bits").join(told, "shard")
-    return small_batches(rows).select("shard", "ids", "sizes", "gaps", "bits", *([] if known is None else ["known"])).mapInArrow(run, "shard long, phrase binary, n long")
+    dealt = counts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return cut(small_batches(dealt).mapInArrow(run, "shard long, known binary, phrase binary, f long"))
 
 
-def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 300_000) -> DataFrame:
-    """lang, word (binary) and f of every word."""
-    out = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 300_000, seed: int = 0) -> DataFrame:
+    """lang, word (binary), id and f of every word."""
+    out = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -312,7 +372,7 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 30
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counted in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()), pa.array(word_ids([(lang, word) for word in counted], seed)), pa.array(list(counted.values()), pa.int64())], schema=out)
             counts.clear()
 
         for batch in batches:
@@ -324,27 +384,41 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 30
         trim()
 
     rows = small_batches(docs).select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return rows.mapInArrow(run, "lang string, word binary, id long, n long").groupBy("lang", "word", "id").agg(F.sum("n").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", shard_places: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The frequent words (lang, word, id, phrase, f), the frequent phrases of 2 to `longest` words (phrase, size, f) and the languages (lang, n)."""
-    every = cut(word_counts(docs, lang_col, text_col))
+    spark = docs.sparkSession
+    for seed in range(SEEDS):
+        every = cut(word_counts(docs, lang_col, text_col, seed=seed))
+        if every.groupBy("id").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise ValueError(f"words share ids of {ID_BITS} bits whatever their seed")
     langs = cut(every.groupBy("lang").agg(F.sum("f").alias("n")))
-    words = every.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
-    words = cut(words.withColumn("phrase", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
-    shards = shard_rows(docs, lang_col, text_col, mark_bits(words), shard_places)
-    ids = shard_ids(shards, words)
-    release(docs.sparkSession)
+    words = cut(every.where(F.col("f") >= least).withColumn("phrase", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
+    use_checkpoint_dir(spark)
+    name = f"shards_{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    made = shard_rows(docs, lang_col, text_col, mark_bits(words), shard_places, seed)
+    # With fewer buckets than this Spark shuffles both sides of a join.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    made.write.bucketBy(parts, "shard").sortBy("shard").option("path", folder).saveAsTable(name)
+    shards = spark.table(name)
+    buckets = max(1, shards.count())
     found, known = [], None
     for size in range(2, longest + 1):
-        told = shard_counts(shards, ids, size, known).withColumn("f", F.sum("n").over(W.partitionBy("phrase")))
-        known = cut(told.where(F.col("f") >= least).select("shard", "phrase", "f"))
-        found.append(known.groupBy("phrase").agg(F.first("f").alias("f")).select("phrase", F.lit(size).alias("size"), "f"))
-        release(docs.sparkSession)
+        rows = summed(shard_counts(shards, size, known, buckets), size, least, buckets)
+        known = rows.where("shard IS NOT NULL").select("shard", "known")
+        found.append(rows.where("shard IS NULL").select("phrase", F.lit(size).alias("size"), "f"))
+        release(spark)
         if known.isEmpty():
             break
-    return words, cut(reduce(DataFrame.unionByName, found)), langs
+    phrases = cut(reduce(DataFrame.unionByName, found))
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, folder)
+    return words, phrases, langs
 
 
 def part(phrase: str, start: str, size: str) -> Column:

@@ -63,6 +63,21 @@ def test_collocations(spark, monkeypatch, least, places, lot, marks):
     assert rows(got, "lang", "rank", "phrase", "a", "l", "r", "n", "score") == brute_phrases(texts, least=least, top=30)
 
 
+def test_shards_are_neither_shuffled_nor_joined_with_words(spark, monkeypatch):
+    """Only packed counts move; words that share an id are hashed anew."""
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(phrase_texts())], "doc_id long, lang string, text string").repartition(3)
+    plans, kept = [], collocations.cut
+    monkeypatch.setattr(collocations, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    monkeypatch.setattr(collocations, "ID_BITS", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    words, phrases, _ = collocations.frequent_phrases(docs, least=5, shard_places=300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert words.select("id").distinct().count() == words.count() and phrases.where("size > 2").count()
+    rounds = [p.split("Initial Plan")[0] for p in plans if "bucket#" in p]
+    assert len(rounds) >= 2 and all(p.count("Exchange hashpartitioning(shard") <= 1 and "Join [lang" not in p for p in rounds)
+
+
 def test_lots_of_a_shard_are_independent():
     shard = collocations.Shard()
     for lang, text in phrase_texts():
