@@ -25,6 +25,7 @@ from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +34,14 @@ from .common import cut, map_texts, table, text_frame
 
 CAPACITY = 4096
 END_ID = 1
-CACHED = 600_000
+CACHED = 50_000
+LOT = 4 << 20  #: bytes of text that are tokenised together
+FEW = 4096  #: bytes of a lot below which its chunks are looked up one by one
 PUNCTUATION = b".,;:!?*#%&$"
 LOWER = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower())
 #: A chunk that is a word of lower-case letters and punctuation; any other has empty groups.
 PLAIN = re.compile(f"^(?:([{LOWER}]+)([{re.escape(PUNCTUATION.decode())}]*)|.*)$", re.MULTILINE)
+PLAIN_PARTS = f"^(?P<word>[{LOWER}]+)(?P<tail>[{re.escape(PUNCTUATION.decode())}]*)$"
 
 
 def word_merges(tokenizer) -> tuple:  # noqa: ANN001
@@ -66,9 +70,10 @@ class WordIds(dict):
     """Ids, as little-endian 32-bit bytes, of the chunks between ASCII white space.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    chunks; most chunks recur, so most are looked up.  A chunk that is a word with ASCII punctuation
-    after it is put together from both, for the tokenizer parts them and folds case.  What is new is
-    encoded many at once, and most of it is told apart by one expression over all of it.  When too
+    chunks.  A chunk that is a word with ASCII punctuation after it is put together from both, for the
+    tokenizer parts them and folds case.  Texts go in lots: a lot's distinct chunks are found, told
+    apart, encoded and put together by Arrow, and nothing of them is kept, for most distinct chunks are rare
+    and a worker's memory is not.  Only chunks that aren't plain, and those of very small lots, stay known. When too
     many are known those that came first stay, for frequent ones come early.
     """
 
@@ -96,7 +101,7 @@ class WordIds(dict):
         self.update([(c, plain[w] + tails[t]) for c, (w, t) in zip(listed, found, strict=True) if w])
 
     def encode_plain(self, words: list[str]) -> None:
-        ids = np.array(self.merges.encode_ordinary("\1".join([*words, ""])), dtype="<u4")
+        ids = self.merges.encode_to_numpy("\1".join([*words, ""]))
         data, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         self.plain.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
@@ -164,26 +169,63 @@ class WordIds(dict):
         text = word.decode()
         return text.isalpha() and max(text) < "\u0180" and text == text.lower()
 
-    def ids(self, texts: list[bytes], at_once: int = 1 << 20) -> list[bytes]:
+    def encoded_words(self, words: pa.StringArray, at_once: int = 8192) -> pa.LargeBinaryArray:
+        """The ids of words of lower-case letters."""
+        out = []
+        for at in range(0, len(words), at_once):
+            part = words[at : at + at_once]
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), pa.scalar("\1", part.type))[0].as_py()
+            ids = self.merges.encode_to_numpy(joined + "\1").astype("<u4", copy=False)
+            ends = np.concatenate(([0], 4 * np.flatnonzero(self.ends[ids]) + 4))
+            out.append(pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def encoded_chunks(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each of the chunks; none for an empty one."""
+        parts = pc.extract_regex(pc.ascii_lower(chunks), PLAIN_PARTS)
+        odd = parts.is_null()
+        words, tails = (c.filter(parts.is_valid()).dictionary_encode() for c in parts.flatten())
+        listed = [c.encode() for c in chunks.filter(odd).to_pylist()]
+        ends = [t.encode() for t in tails.dictionary.to_pylist()]
+        self[b""] = b""
+        self.learn_odd(list(filterfalse(self.__contains__, dict.fromkeys([*listed, *ends]))))
+        ends = pa.array(map(self.__getitem__, ends), pa.large_binary()).take(tails.indices)
+        joined = pc.binary_join_element_wise(self.encoded_words(words.dictionary).take(words.indices), ends, pa.scalar(b"", pa.large_binary()))
+        every = pa.concat_arrays([joined, pa.array(map(self.__getitem__, listed), pa.large_binary())])
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        return every.take(pa.array(np.where(is_odd, len(joined) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd) - 1)))
+
+    def lot(self, texts: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        ids = self.encoded_chunks(chunks.dictionary).take(chunks.indices)
+        cuts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def few(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = set(filterfalse(self.__contains__, chain.from_iterable(split)))
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+
+    def ids(self, texts: list[bytes], at_once: int = LOT) -> list[bytes]:
         out, start = [], 0
         while start < len(texts):
             stop, size = start, 0
             while stop < len(texts) and (stop == start or size + len(texts[stop]) <= at_once):
                 size += len(texts[stop])
                 stop += 1
-            split = [t.split() for t in texts[start:stop]]
             self.forget()
-            new = set(filterfalse(self.__contains__, chain.from_iterable(split)))
-            if new:
-                self.learn(new)
-            out += [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+            out += (self.lot if size > FEW else self.few)(texts[start:stop])
             start = stop
         return out
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """The one of this process: a Python worker takes many tasks, and what it knows serves all of them."""
+    """The one of this process: a Python worker takes many tasks, and loading takes most of a second."""
     return WordIds(path)
 
 

@@ -201,6 +201,17 @@ def test_words_stay_known_in_a_worker(monkeypatch):
     assert b"The" in words and len(words) <= 36
 
 
+def test_lots_of_words_are_not_kept():
+    """A lot of many new words gives the tokenizer's ids, and leaves a worker no larger; so do lots without plain words or without words."""
+    words, rng = packing.WordIds(WORD_BPE), random.Random(5)
+    new = [*("".join(rng.choice("aeionrstüé") for _ in range(9)) + rng.choice(["", ".", ",", "!?"]) for _ in range(20_000)), "Été,", "A1", "x—y"]
+    texts = [" ".join(rng.choices(new, k=4000)) for _ in range(8)] + ["", " ", "日本 A1 " * 2000, " \t" * 5000]
+    for lot in (texts[:8], texts, texts[10:11], texts[11:], texts[8:10]):
+        for text, ids, theirs in zip(lot, words.ids([t.encode() for t in lot]), words.tokenizer.encode_batch(lot, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.ids, text[:80]
+    assert len(words) + len(words.plain) + len(words.words) < 100
+
+
 def test_packing_is_gapless_and_tight(docs, no_docs, awkward):
     from tokenizers import Tokenizer
 
