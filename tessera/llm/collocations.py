@@ -14,7 +14,9 @@ them only where the end of the longer phrase is frequent too.  No threshold is a
 
 Shards stay where they are: they are a table in buckets, with which what is frequent in each of them is
 joined.  What is shuffled is words, and a shard's phrases with their counts, packed into one row for each
-bucket of phrases, whose rows meet in one task.  A word's id is a hash of ID_BITS bits, so no shard is joined
+bucket of phrases, whose rows meet in one task.  Pairs of words are far more than frequent ones, so at first only
+KEY_BITS bits of a hash of each pair are summed, as gaps of about 12 bits; then the pairs whose key comes up often
+enough are counted exactly, and the few rare ones among them drop out.  A word's id is a hash of ID_BITS bits, so no shard is joined
 with a vocabulary; should two words of the texts have one id, all are hashed anew.
 A shard's bitmaps and its frequent phrases meet in one task; both are bounded by its places.  What is
 collected and broadcast is 2 MB of bits that tell most rare words, whatever the size of the vocabulary.
@@ -27,11 +29,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +47,14 @@ from .common import cut, release, remove, small_batches, table, trim, use_checkp
 
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"  #: characters that part pieces
 LONGEST, LEAST, TOP = 5, 100, 2000
-SHARD = 1 << 21  #: places of a shard, beyond which it is closed at the end of a text
+SHARD = 1 << 21  #: places of a shard, beyond which it is closed at the end of a lot of texts
+TEXT_LOT = 1 << 21  #: bytes of texts whose words are told apart together
 BITS = 16  #: places of a block
 LOT = 1 << 15  #: blocks that are extended together
 UNKNOWN = "und"
 MARKS = 1 << 24  #: bits that tell rare words before the shuffle
 ID_BITS = 56
+KEY_BITS = 32  #: of a pair, by which likely ones are told
 SEEDS = 64  #: tries to give all words different ids
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +62,29 @@ _TO_BREAK = bytes.maketrans(_UPPER + ENDS, _LOWER + b"\xff" * len(ENDS))  # no U
 _TO_SPACE = bytes.maketrans(_UPPER + ENDS, _LOWER + b" " * len(ENDS))
 
 
+def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The different words between white space, and which of them stands at each place."""
+    data = data.strip()
+    if not data:
+        return [], np.zeros(0, np.int32)
+    found = pc.ascii_split_whitespace(pa.array([data], pa.large_binary()).view(pa.large_string())).flatten().dictionary_encode()
+    _, ends, held = found.dictionary.buffers()
+    ends, held = np.frombuffer(ends, np.int64, len(found.dictionary) + 1).tolist(), held.to_pybytes()
+    return [held[a:b] for a, b in pairwise(ends)], found.indices.to_numpy()
+
+
+def by_lang(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of each language of a batch (lang, text), in lots that are closed at the end of a text."""
+    lots: dict[str, tuple[list[bytes], list[int]]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        texts, size = lots.setdefault(lang, ([], [0]))
+        texts.append(text)
+        size[0] += len(text)
+        if size[0] >= at_once:
+            yield lang, lots.pop(lang)[0]
+    yield from ((lang, texts) for lang, (texts, _) in lots.items())
+
+
 class Numbers(dict):
     """Words of a language and their places in the list of a shard's words, where new ones are put."""
 
@@ -73,16 +103,16 @@ class Shard:
 
     def __init__(self) -> None:
         self.names: list[tuple[str, bytes]] = []
-        self.places: list[int] = []
+        self.places = array("q")
         self.known: dict[str, Numbers] = {}
 
-    def add(self, lang: str, text: bytes) -> None:
+    def add(self, lang: str, *texts: bytes) -> None:
         known = self.known.get(lang)
         if known is None:
             known = self.known[lang] = Numbers(lang, self.names)
         # Space and tab are the only white space left.
-        self.places += map(known.__getitem__, text.translate(_TO_BREAK).replace(b"\xff", b" \xff ").split())
-        self.places.append(-1)
+        words, at = distinct_words(b"\xff".join([*texts, b""]).translate(_TO_BREAK).replace(b"\xff", b" \xff "))
+        self.places.frombytes(np.fromiter(map(known.__getitem__, words), np.int64, len(words))[at].tobytes())
 
     def row(self, shard: int, marks: np.ndarray | None = None, seed: int = 0) -> pa.RecordBatch:
         """One row, SHARD_SQL: the bitmaps of all words, or of those that marks (mark_bits) have."""
@@ -153,8 +183,8 @@ def shard_rows(docs: DataFrame, lang_col: str, text_col: str, marks: np.ndarray,
 
         shard, number = Shard(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                shard.add(lang, text)
+            for lang, texts in by_lang(batch, min(TEXT_LOT, 4 * shard_places)):
+                shard.add(lang, *texts)
                 if len(shard.places) >= shard_places:
                     yield shard.row(number, shared.value, seed)
                     shard, number = Shard(), number + 1
@@ -200,12 +230,26 @@ class Bitmaps:
         return phrase[each], self.next_word[other], block[each], both[kept]
 
 
+class Likely:
+    """A set of keys (phrase_keys)."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.marks = np.sort(keys), np.zeros(1 << 22, bool)
+        self.marks[self.keys >> np.uint32(10)] = True  # tells most others at once
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        ok = self.marks[keys >> np.uint32(10)]
+        at = np.flatnonzero(ok)
+        ok[at] = self.keys[np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)] == keys[at]
+        return ok
+
+
 class Search:
     """Counts of the phrases of `size` words of a shard, given the frequent ones of one word less."""
 
-    def __init__(self, maps: Bitmaps, size: int, known: np.ndarray) -> None:
-        """known: rows of size - 1 numbers of the shard's words, sorted."""
-        self.maps, self.size = maps, size
+    def __init__(self, maps: Bitmaps, size: int, known: np.ndarray, likely: Likely | None = None) -> None:
+        """known: rows of size - 1 numbers of the shard's words, sorted; likely: keys of the phrases that count, if only some do."""
+        self.maps, self.size, self.likely = maps, size, likely
         self.known, self.width = known, len(maps.words)
         #: For each depth the keys (number of the phrase before, word) of the frequent phrases; a key's place is its phrase's number.
         self.keys: list[np.ndarray] = []
@@ -233,6 +277,10 @@ class Search:
         """Go down from phrases of `depth` words, of which each bitmap's block has the number and the words."""
         at = np.arange(len(block))
         each, word, block, bit = self.maps.extend(at, block, bit)
+        if depth == self.size - 1 and self.likely is not None:
+            ids = self.maps.words
+            ok = np.flatnonzero(self.likely.holds(phrase_keys([*(ids[path[each, k]] for k in range(depth)), ids[word]])))
+            each, word, block, bit = each[ok], word[ok], block[ok], bit[ok]
         key = number[each] * self.width + word
         if depth == self.size - 1:
             order = np.argsort(key, kind="stable")
@@ -280,28 +328,119 @@ def unpacked_phrases(data: bytes, size: int) -> np.ndarray:
     return columns
 
 
-def bucket_of(phrases: np.ndarray, buckets: int) -> np.ndarray:
-    h = np.zeros(len(phrases), np.uint64)
-    for column in phrases.T:
+def phrase_hashes(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of phrases, of which the ids are given column by column."""
+    h = np.zeros(1, np.uint64)
+    for column in columns:
         h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return (h % np.uint64(buckets)).astype(np.int32)
+    return h
+
+
+def phrase_keys(columns: Iterable[np.ndarray]) -> np.ndarray:
+    return (phrase_hashes(columns) >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
+
+
+def bucket_of(phrases: np.ndarray, buckets: int) -> np.ndarray:
+    return (phrase_hashes(phrases.T) % np.uint64(buckets)).astype(np.int32)
+
+
+def gaps_of(keys: np.ndarray) -> bytes:
+    """Keys, sorted, packed."""
+    return packed(np.diff(keys, prepend=np.uint32(0)).astype("<u4"))
 
 
-def shard_counts(shards: DataFrame, size: int, known: DataFrame | None, buckets: int) -> DataFrame:
-    """bucket, shard, phrases (of `size` words) and their counts, packed; known has the frequent phrases of one word less in each shard."""
+def keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u4"), dtype=np.uint32)
+
+
+def opened(ids: bytes, sizes: bytes, gaps: bytes, bits: bytes) -> Bitmaps:
+    """The bitmaps of a row of SHARD_SQL."""
+    ids, sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<u4").astype(np.int64)
+    return Bitmaps(np.arange(len(ids)), ids, sizes, unpacked(gaps, "<u4"), unpacked(bits, "<u2"))
+
+
+def key_counts(shards: DataFrame, buckets: int) -> DataFrame:
+    """bucket, shard, keys of the pairs of words and their counts, packed; a bucket has a range of the keys."""
+    out = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64((1 << 32) - 1)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, *maps = (c[k].as_py() for c in batch.columns)
+                maps, each = opened(*maps), []
+                for phrases, n in Search(maps, 2, np.zeros((0, 1), np.int64)).counts():
+                    each.append(phrase_keys(maps.words[phrases].T).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64))
+                del maps
+                if not sum(map(len, each)):
+                    continue
+                each = np.sort(np.concatenate(each))
+                keys, n = (each >> np.uint64(32)).astype(np.uint32), each & low
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                keys, n = keys[first], np.add.reduceat(n, first).astype("<u4")
+                del each
+                bucket = (keys.astype(np.uint64) * np.uint64(buckets) >> np.uint64(KEY_BITS)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for start, stop in zip(starts, [*starts[1:], len(keys)], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket[start], shard, gaps_of(keys[start:stop]), packed(n[start:stop])), out, strict=True)], schema=out)
+        trim()
+
+    return small_batches(shards).select("shard", "ids", "sizes", "gaps", "bits").mapInArrow(run, "bucket int, shard long, keys binary, counts binary")
+
+
+def likely_keys(counts: DataFrame, least: int, buckets: int) -> DataFrame:
+    """shard and known: of the keys of each shard those that come up `least` times in all, packed."""
+    out = pa.schema([("shard", pa.int64()), ("known", pa.binary())])
+
+    def added(pieces: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        keys = [keys_of(k) for _, k, _ in pieces]
+        every, number = np.unique(np.concatenate(keys), return_inverse=True)
+        often = np.bincount(number, np.concatenate([unpacked(c, "<u4") for _, _, c in pieces]), len(every)) >= least  # sums are exact below 2^53
+        del number
+        often = every[often]
+        for (shard, _, _), own in zip(pieces, keys, strict=True):
+            kept = np.intersect1d(own, often, assume_unique=True)
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([gaps_of(kept)], pa.binary())], schema=out)
+
+    return cut(by_bucket(counts, buckets, added, "shard long, known binary"))
+
+
+def by_bucket(counts: DataFrame, buckets: int, added: Callable, schema: str) -> DataFrame:
+    """What added makes of the rows of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, pieces = None, []
+        for batch in batches:
+            for own, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket and pieces:
+                    yield from added(pieces)
+                    pieces = []
+                bucket = own
+                pieces.append(tuple(piece))
+        if pieces:
+            yield from added(pieces)
+        trim()
+
+    dealt = counts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return small_batches(dealt).mapInArrow(run, schema)
+
+
+def shard_counts(shards: DataFrame, size: int, known: DataFrame, buckets: int) -> DataFrame:
+    """bucket, shard, phrases (of `size` words) and their counts, packed; known has the frequent phrases of one word less in each shard, or the likely keys of pairs."""
     out = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, ids, sizes, gaps, bits, *told = (c[k].as_py() for c in batch.columns)
-                ids, sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<u4").astype(np.int64)
-                maps = Bitmaps(np.arange(len(ids)), ids, sizes, unpacked(gaps, "<u4"), unpacked(bits, "<u2"))
-                rows = np.zeros((0, size - 1), np.int64)
+                shard, *maps, told = (c[k].as_py() for c in batch.columns)
+                maps, likely, rows = opened(*maps), None, np.zeros((0, size - 1), np.int64)
                 if size > 2:
-                    rows = np.searchsorted(maps.words, np.concatenate([unpacked_phrases(x, size - 1) for x in told[0]]))
-                found = [x for x in Search(maps, size, rows).counts() if len(x[1])]
+                    rows = np.searchsorted(maps.words, np.concatenate([unpacked_phrases(x, size - 1) for x in told]))
+                else:
+                    likely = Likely(np.concatenate([keys_of(x) for x in told]))
+                found = [x for x in Search(maps, size, rows, likely).counts() if len(x[1])]
                 if found:
                     phrases, n = maps.words[np.concatenate([p for p, _ in found])], np.concatenate([c for _, c in found]).astype("<u4")
                     del found
@@ -315,8 +454,8 @@ def shard_counts(shards: DataFrame, size: int, known: DataFrame | None, buckets:
                 del maps
         trim()
 
-    told = shards if known is None else shards.join(known.groupBy("shard").agg(F.collect_list("known").alias("known")), "shard")
-    rows = small_batches(told).select("shard", "ids", "sizes", "gaps", "bits", *([] if known is None else ["known"]))
+    told = shards.join(known.groupBy("shard").agg(F.collect_list("known").alias("known")), "shard")
+    rows = small_batches(told).select("shard", "ids", "sizes", "gaps", "bits", "known")
     return rows.mapInArrow(run, "bucket int, shard long, phrases binary, counts binary")
 
 
@@ -344,21 +483,7 @@ def summed(counts: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
         phrase = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), phrase, pa.array(f[often])], schema=out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, pieces = None, []
-        for batch in batches:
-            for own, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != bucket and pieces:
-                    yield from added(pieces)
-                    pieces = []
-                bucket = own
-                pieces.append(tuple(piece))
-        if pieces:
-            yield from added(pieces)
-        trim()
-
-    dealt = counts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return cut(small_batches(dealt).mapInArrow(run, "shard long, known binary, phrase binary, f long"))
+    return cut(by_bucket(counts, buckets, added, "shard long, known binary, phrase binary, f long"))
 
 
 def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 300_000, seed: int = 0) -> DataFrame:
@@ -376,8 +501,9 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str, at_once: int = 30
             counts.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(text.translate(_TO_SPACE).split())
+            for lang, texts in by_lang(batch, TEXT_LOT):
+                words, at = distinct_words(b" ".join(texts).translate(_TO_SPACE))
+                counts.setdefault(lang, Counter()).update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True)))
             if sum(map(len, counts.values())) > at_once:
                 yield from rows()
         yield from rows()
@@ -398,6 +524,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         raise ValueError(f"words share ids of {ID_BITS} bits whatever their seed")
     langs = cut(every.groupBy("lang").agg(F.sum("f").alias("n")))
     words = cut(every.where(F.col("f") >= least).withColumn("phrase", F.unhex(F.lpad(F.hex("id"), 16, "0"))))
+    del every
+    release(spark)  # the counts of all words, most of them rare
     use_checkpoint_dir(spark)
     name = f"shards_{uuid.uuid4().hex}"
     folder = f"{spark.sparkContext.getCheckpointDir()}/{name}"
@@ -407,7 +535,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     made.write.bucketBy(parts, "shard").sortBy("shard").option("path", folder).saveAsTable(name)
     shards = spark.table(name)
     buckets = max(1, shards.count())
-    found, known = [], None
+    found, known = [], likely_keys(key_counts(shards, buckets), least, buckets)
+    release(spark)
     for size in range(2, longest + 1):
         rows = summed(shard_counts(shards, size, known, buckets), size, least, buckets)
         known = rows.where("shard IS NOT NULL").select("shard", "known")

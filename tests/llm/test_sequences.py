@@ -162,6 +162,29 @@ def test_op12(spark, folder, no_docs, awkward):
     assert periodic.digests(periodic.periodic_runs(no_docs)).count() == 0
 
 
+def test_pairs_are_told_by_small_keys(spark, monkeypatch):
+    """What is summed for all pairs is a few bytes each; rare pairs that pass don't count."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    texts = [("en", " ".join(rng.choices(words, k=400)) + " w1 w2") for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang").repartition(2)
+    sizes, kept = [], collocations.by_bucket
+
+    def by_bucket(counts, *rest):
+        if "keys" in counts.columns:
+            sizes.append(counts.selectExpr("sum(length(keys) + length(counts))").first()[0])
+        return kept(counts, *rest)
+
+    monkeypatch.setattr(collocations, "by_bucket", by_bucket)
+    want = brute_phrases(texts)
+    assert rows(collocations.collocations(docs), "lang", "rank", "phrase", "a", "l", "r", "n", "score") == want
+    pairs = len({p for _, t in texts for p in zip(t.split(), t.split()[1:], strict=False)})
+    assert pairs > 100_000 and 0 < sizes[0] < 4 * pairs
+    told = collocations.likely_keys
+    monkeypatch.setattr(collocations, "likely_keys", lambda counts, least, buckets: told(counts, 1, buckets))  # as if all shared frequent keys
+    assert rows(collocations.collocations(docs), "lang", "rank", "phrase", "a", "l", "r", "n", "score") == want
+
+
 @pytest.mark.parametrize("words", [1, 3, 2_000])
 def test_ids_through_a_coder(words):
     rng = np.random.default_rng(words)
